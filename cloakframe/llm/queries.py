@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_join, media_tiles, pii_anchor, secret_ledger, simhash_ring, source_mix, token_count
+from . import chat_format, embedding_join, media_tiles, pii_anchor, quality_nbsvm, secret_ledger, sentencepiece_scan, simhash_ring, source_mix, token_count
 from .common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.piece_digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,11 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_nbsvm.score(documents, quality_nbsvm.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ring.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,8 +69,21 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_secret_ledger, op3_prefix_target_chat, op4_pii_anchors, op5_metric_range_join, op6_token_count, op8_simhash_ring, op9_media_tiles, op10_source_mix]
-    return {f.__name__: f for f in found}
+    import corpus_pipeline
+
+    found = [
+        op1_sentencepiece_scan,
+        op2_secret_ledger,
+        op3_prefix_target_chat,
+        op4_pii_anchors,
+        op5_metric_range_join,
+        op6_token_count,
+        op7_quality_nbsvm,
+        op8_simhash_ring,
+        op9_media_tiles,
+        op10_source_mix,
+    ]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 OP3_SQL = r"""

@@ -139,4 +139,4 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     rows = df.withColumn("__text", text_or_empty(text_col)).withColumn("blob", F.sha2("__text", 256))
     clean = F.when(F.col("findings").isNull(), F.col(text_col)).otherwise(walk)
-    return rows.join(hits, "blob", "left").withColumn(text_col, clean).drop("__text", "blob", "findings")
+    return rows.join(hits, "blob", "left").withColumn(text_col, clean).select(*df.columns)

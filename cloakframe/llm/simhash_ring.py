@@ -21,10 +21,12 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts
+from .common import durable, map_texts, text_or_empty
 from .components import SALTS, components
 
 SEED = 42
@@ -119,33 +121,38 @@ def ring_links(prints: DataFrame, distance: int = 2, paired: int = PAIRED) -> Da
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """id, fingerprint (16 hex digits) and component_id (smallest id reachable) for every row."""
-    rows = durable(fingerprints(df, id_col, text_col, width).select(F.col(id_col).alias("id"), "fp"))
+def grouped(df: DataFrame, id_col: str, text_col: str, width: int, distance: int) -> DataFrame:
+    """id, sha (of the text), fp, top (a fingerprint that names the component) and component_id for every row."""
+
+    def make():
+        return lambda text: (fingerprint(text, width), hashlib.sha256(text.encode("utf-8")).hexdigest())
+
+    rows = durable(map_texts(df, id_col, text_col, make, "fp bigint, sha string").withColumnRenamed(id_col, "id"))
     prints = durable(rows.groupBy("fp").agg(F.min("id").alias("rep")))
-    links = ring_links(prints.select("fp"), distance)
     # components run over fingerprints; each then takes its smallest document
-    found = components(links).select(F.col("id").alias("fp"), F.col("component").alias("top"))
+    found = components(ring_links(prints.select("fp"), distance)).select(F.col("id").alias("fp"), F.col("component").alias("top"))
     tops = prints.join(found, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
     smallest = tops.groupBy("top").agg(F.min("rep").alias("component_id"))
     # a component may hold very many fingerprints: they are dealt over salts
     dealt = tops.withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS)))
     each = smallest.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    by_print = durable(dealt.join(each, ["top", "salt"]).select(F.col("fp").alias("p"), "component_id"))
-    out = rows.join(by_print, F.col("fp") == F.col("p"))
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = durable(dealt.join(each, ["top", "salt"]).select(F.col("fp").alias("p"), "top", "component_id"))
+    return rows.join(by_print, F.col("fp") == F.col("p")).drop("p")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
+    """id, fingerprint (16 hex digits) and component_id (smallest id reachable) for every row."""
+    return grouped(df, id_col, text_col, width, distance).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """`df` with one row of each component: that of its smallest id; of rows repeated under it, one stays.
+    """`df` with one row of each component: that of its smallest id (null last), then of its smallest digest.
 
-    Rows with a null id stay only where no row of their component has an id, one of each text.
+    Rows with equal id and text are one before they are shuffled.
     """
-    from pyspark.sql import Window
-
-    groups = near_duplicates(df, id_col, text_col, width, distance).select(F.col(id_col).alias("g"), F.col("component_id").alias("c"))
-    keep = groups.where(F.col("g").eqNullSafe(F.col("c"))).select("g").distinct()
-    rows = df.join(keep, F.col(id_col).eqNullSafe(F.col("g")), "left_semi")
-    again = Window.partitionBy(id_col).orderBy(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    key = "__again"
-    return rows.withColumn(key, F.row_number().over(again)).where((F.col(key) == 1) | F.col(id_col).isNull()).drop(key)
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "sha")
+    keep = grouped(df, id_col, text_col, width, distance).groupBy("top").agg(F.min(order).alias("k")).select(F.col("k.id").alias("g"), F.col("k.sha").alias("s"))
+    sha = F.sha2(text_or_empty(text_col), 256)
+    once = df.withColumn("__sha", sha).groupBy(id_col, "__sha").agg(*[F.first(c).alias(c) for c in df.columns if c != id_col])
+    kept = once.join(durable(keep), F.col(id_col).eqNullSafe(F.col("g")) & (F.col("__sha") == F.col("s")), "left_semi")
+    return kept.select(*df.columns)

@@ -31,8 +31,8 @@ RANGES = 4096
 WEIGHTS = (5, 2, 1)
 
 
-def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    """id, source, size, key and key range: narrow rows, from one scan of the texts."""
+def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *also: str) -> DataFrame:
+    """id, source, size, key and key range: from one scan of the texts; `also` names columns to keep."""
     text = text_or_empty(text_col)
     marks = F.length(text) - F.length(F.translate(text, MARKS, ""))
     quality = 1 - marks / (F.length(text) + 1)
@@ -44,6 +44,7 @@ def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str)
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
         (-F.log(u) / quality).alias("key"),
+        *also,
     ).withColumn("key_range", F.least(F.floor((1 - F.exp(-F.col("key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
 
 
@@ -71,6 +72,35 @@ def targets(sources: DataFrame, share_percent: int, cap: int, weights: tuple[int
     return level.select("source", "source_size", F.least(F.col("limit").cast("double"), share).alias("target"))
 
 
+def by_size(side: DataFrame, bound: int = 50_000) -> DataFrame:
+    """`side`, to be broadcast if it has no more rows than the bound; else joined by a shuffle."""
+    return F.broadcast(side) if side.limit(bound + 1).count() <= bound else side
+
+
+def budgets(rows: DataFrame, share_percent: int, cap: int, weights: tuple[int, ...]) -> DataFrame:
+    """s (the source), source_size, target, epochs, budget, edge_range and edge_before: one row a source.
+
+    edge_range is the key range in which the running sum of words crosses the budget
+    of the fractional epoch, edge_before the words of all ranges before it.
+    """
+    ranges = durable(rows.groupBy("source", "key_range").agg(F.sum("size").alias("words")))
+    goals = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), share_percent, cap, weights)
+    goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
+    goals = goals.withColumn("budget", (F.floor(F.col("target")) - F.col("epochs") * F.col("source_size")).cast("bigint"))
+    running = Window.partitionBy("source").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
+    edge = sums.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).groupBy("s", "source_size", "target", "epochs", "budget")
+    edge = edge.agg(F.max(F.when(F.col("before") <= F.col("budget"), F.struct("key_range", "before"))).alias("edge"))
+    return durable(edge.select("s", "source_size", "target", "epochs", "budget", F.col("edge.key_range").alias("edge_range"), F.col("edge.before").alias("edge_before")))
+
+
+def inside_edge(placed: DataFrame) -> DataFrame:
+    """The rows of edge ranges with `ahead`, the words of their source's fractional epoch before them."""
+    order = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.where(F.col("key_range") == F.col("edge_range"))
+    return inside.withColumn("ahead", F.col("edge_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -86,27 +116,11 @@ def mix(
     `taken` is epochs * size plus what the document adds inside the fractional epoch.
     """
     rows = durable(sized(df, id_col, text_col, source_col, seed))
-    ranges = durable(rows.groupBy("source", "key_range").agg(F.sum("size").alias("words")))
-    goals = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), share_percent, cap, weights)
-    goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
-    goals = goals.withColumn("budget", (F.floor(F.col("target")) - F.col("epochs") * F.col("source_size")).cast("bigint"))
-    # per source: the range in which the running sum crosses the budget, and the words before it
-    running = Window.partitionBy("source").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranges.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    edge = (
-        sums.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .groupBy("source", "source_size", "target", "epochs", "budget")
-        .agg(F.max(F.when(F.col("before") <= F.col("budget"), F.struct("key_range", "before"))).alias("edge"))
-        .select(F.col("source").alias("s"), "source_size", "target", "epochs", "budget", F.col("edge.key_range").alias("edge_range"), F.col("edge.before").alias("edge_before"))
-    )
-    edge = durable(edge)
-    # one row a source: broadcast by its measured size, else joined with skew handling
-    placed = rows.join(edge, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    whole = placed.where(F.col("key_range") != F.col("edge_range")).withColumn("extra", F.when(F.col("key_range") < F.col("edge_range"), F.col("size")).otherwise(F.lit(0).cast("bigint")))
-    order = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = placed.where(F.col("key_range") == F.col("edge_range"))
-    inside = inside.withColumn("ahead", F.col("edge_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    inside = inside.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("ahead")))).drop("ahead")
+    edge = budgets(rows, share_percent, cap, weights)
+    placed = rows.join(by_size(edge), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    none = F.lit(0).cast("bigint")
+    whole = placed.where(F.col("key_range") != F.col("edge_range")).withColumn("extra", F.when(F.col("key_range") < F.col("edge_range"), F.col("size")).otherwise(none))
+    inside = inside_edge(placed).withColumn("extra", F.greatest(none, F.least(F.col("size"), F.col("budget") - F.col("ahead")))).drop("ahead")
     both = whole.unionByName(inside)
     return both.select(
         F.col("id").alias(id_col),
@@ -117,3 +131,32 @@ def mix(
         "epochs",
         (F.col("epochs") * F.col("size") + F.col("extra")).cast("bigint").alias("taken"),
     )
+
+
+def mixed_documents(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: str = "mix-1",
+    share_percent: int = 150,
+    cap: int = 2,
+    weights: tuple[int, ...] = WEIGHTS,
+) -> DataFrame:
+    """`df` with every row as often as the mix takes it, whole: never cut at a budget's edge.
+
+    The document at the edge of a fractional epoch is taken if at least half of it
+    fits. Each source's choice is one last key, so texts are not shuffled.
+    """
+    rows = durable(sized(df, id_col, text_col, source_col, seed))
+    edge = budgets(rows, share_percent, cap, weights)
+    placed = rows.join(by_size(edge), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    fits = inside_edge(placed).where(2 * F.col("ahead") + F.col("size") <= 2 * F.col("budget"))
+    last = fits.groupBy("source").agg(F.max(F.struct("key", "id", "size")).alias("last")).withColumnRenamed("source", "t")
+    plan = durable(edge.join(last, F.col("s").eqNullSafe(F.col("t")), "left").select("s", "epochs", "edge_range", "last"))
+    drawn = sized(df.select(F.struct(*df.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(source_col).alias("__source")), "__id", "__text", "__source", seed, "__row")
+    here = F.struct("key", "id", "size")
+    taken = (F.col("key_range") < F.col("edge_range")) | ((F.col("key_range") == F.col("edge_range")) & F.coalesce(here <= F.col("last"), F.lit(False)))
+    copies = F.col("epochs") + F.when(taken, 1).otherwise(0)
+    out = drawn.join(by_size(plan), F.col("source").eqNullSafe(F.col("s"))).where(copies > 0)
+    return out.select("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).select("__row.*")
