@@ -12,12 +12,12 @@ from ..sources.shared import new_folder
 from .base import query, table
 
 
-@query("SELECT l_returnflag, count(*) AS n, sum(l_linenumber) AS lines FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY l_returnflag")
 def a1_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
 
 
-@query("SELECT p_brand, count(*) AS n, sum(p_size) AS sizes FROM part GROUP BY p_brand")
+@query("SELECT p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes FROM part GROUP BY p_brand")
 def a2_write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = f"{new_folder(spark, 'tables')}/part.csv"
     tables.write_table(table(spark, sf_dir, "part"), place)

@@ -147,7 +147,7 @@ def h11_list_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST('2026-01-01 00:00:00' AS TIMESTAMP) AS \"at\", source || '/doc-' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'approved' ELSE 'no_matching_approval' END AS reason FROM documents")
 def h12_access_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = artifacts(spark, sf_dir).select("path", "sha256", F.lit("teaching").alias("purpose"))
-    return release.access_events(release.match_approvals(asked, ledger(spark, sf_dir)), "2026-01-01 00:00:00").select("at", "path", "reason")
+    return release.access_events(release.match_approvals(asked, ledger(spark, sf_dir)), "2026-01-01 00:00:00").select(F.col("at").cast("timestamp_ntz").alias("at"), "path", "reason")
 
 
 @query(
