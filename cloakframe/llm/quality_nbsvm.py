@@ -151,9 +151,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     indexed = map_texts(rows.select(F.struct("id", "y").alias("key"), "text"), "key", "text", lambda: (lambda f: lambda text: (np.sort(f(text)),))(Features()), "found array<int>")
     got = indexed.select("key.id", "key.y", "found").toArrow()
-    order = np.lexsort([np.array([len(x) for x in got["found"]]), got["id"].to_numpy()])
-    found = [np.asarray(got["found"][int(i)].as_py(), dtype=np.int32) for i in order]
-    good = got["y"].to_numpy()[order] > 0
+    ids = got["id"].to_pylist()
+    found = [np.asarray(x.as_py(), dtype=np.int32) for x in got["found"]]
+    # one order whatever the partitions: the descent depends on it
+    order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), len(found[i]), found[i].tobytes()))
+    found, good = [found[i] for i in order], got["y"].to_numpy()[order] > 0
     if not len(good) or good.all() or not good.any():
         return Model(np.zeros(0), np.zeros(0), 0.0, float(good.mean()) if len(good) else 0.5)
     ratio = log_ratio(found, good)
