@@ -26,13 +26,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, text_or_empty
+from .common import map_texts, text_or_empty
 
 MARK = "▁"
 #: Characters to a chunk; texts of up to one chunk are encoded where they are read.
@@ -126,6 +127,12 @@ class Pieces:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str) -> Pieces:
+    """The vocabulary, kept by a Python worker for the groups that follow."""
+    return Pieces(path)
+
+
 def free_before(text: str, at: int) -> bool:
     """No piece crosses this place: a line break on the right, or a space after something else."""
     return text[at] == "\n" or text[at] == " " and text[at - 1] != " "
@@ -223,31 +230,55 @@ class Chunk:
             out[node] = chain[::-1]
         return out
 
-    def matrix(self) -> np.ndarray:
-        """Weights from entry states (one row if first) to exit states (one column if last)."""
-        rows = 1 if self.first else len(self.entry)
-        columns = 1 if self.last else len(self.exit)
-        out = np.full((rows, columns), NEVER)
-        if self.head_end is not None and self.tail_start is not None and self.head_end <= self.tail_start:
-            head = [0.0] if self.first else [0.0 if self.paths(s, self.head_end, False) else NEVER for s in self.entry]
-            tail = [0.0] if self.last else (lambda found: [0.0 if s in found else NEVER for s in self.exit])(self.paths(self.tail_start, self.end, True))
-            return np.array(head)[:, None] + np.array(tail)[None]
-        for i, s in enumerate(self.entry):
-            found = self.paths(s, self.end, not self.last)
-            for j in range(columns):
-                out[i, j] = 0.0 if (found if self.last else self.exit[j] in found) else NEVER
-        return out
+    def ids(self, chain: list[tuple[int, int]]) -> bytes:
+        return np.array([i for a, b in chain for i in self.pieces.ids(self.marked[a:b])], "<i4").tobytes()
 
-    def trace(self, entry: int, exit_: int) -> bytes:
-        """The ids of the pieces that start in this chunk, between two known states."""
-        p, t = self.pieces, self.marked
-        ids = lambda chain: np.array([i for a, b in chain for i in p.ids(t[a:b])], "<i4").tobytes()
+    def solve(self) -> dict:
+        """The matrix of this chunk and, for every finite weight in it, the ids of the pieces that start here.
+
+        With a free place inside, a path is a head (by entry state), the body and a tail
+        (by exit state), and the matrix has rank one; else `grid` has the paths one by one.
+        """
+        rows, columns = 1 if self.first else len(self.entry), 1 if self.last else len(self.exit)
         if self.head_end is not None and self.tail_start is not None and self.head_end <= self.tail_start:
-            head = [] if self.first else next(iter(self.paths(self.entry[entry], self.head_end, False).values()))
-            tail = [] if self.last else self.paths(self.tail_start, self.end, True)[self.exit[exit_]]
-            return ids(head) + p.encode_units(self.text[self.head_end : self.tail_start]) + ids(tail)
-        found = self.paths(self.entry[entry], self.end, not self.last)
-        return ids(next(iter(found.values())) if self.last else found[self.exit[exit_]])
+            heads = [b""] if self.first else [self.only(self.paths(s, self.head_end, False)) for s in self.entry]
+            tails = [b""]
+            if not self.last:
+                found = self.paths(self.tail_start, self.end, True)
+                tails = [self.ids(found[s]) if s in found else None for s in self.exit]
+            body, grid = self.pieces.encode_units(self.text[self.head_end : self.tail_start]), []
+            able = [[h is not None and t is not None for t in tails] for h in heads]
+        else:
+            heads, tails, body, grid = [], [], b"", []
+            for s in self.entry:
+                found = self.paths(s, self.end, not self.last)
+                grid += [self.only(found)] if self.last else [self.ids(found[e]) if e in found else None for e in self.exit]
+            able = [[grid[i * columns + j] is not None for j in range(columns)] for i in range(rows)]
+        return {"rows": rows, "weights": np.where(able, 0.0, NEVER).ravel(), "heads": heads, "body": body, "tails": tails, "grid": grid}
+
+    def only(self, found: dict) -> bytes | None:
+        """The ids of the one chain that ends at a given place, if there is one."""
+        return self.ids(next(iter(found.values()))) if found else None
+
+
+def traced(solved: dict, entry: int, exit_: int) -> bytes:
+    """The ids of a solved chunk between two known states."""
+    if len(solved["grid"]):
+        return bytes(solved["grid"][entry * (len(solved["weights"]) // solved["rows"]) + exit_])
+    return bytes(solved["heads"][entry]) + bytes(solved["body"]) + bytes(solved["tails"][exit_])
+
+
+def states_at_cuts(matrices: list[np.ndarray]) -> list[int]:
+    """The state at every cut, 0 before the first and after the last chunk: a pass forward and one backward."""
+    forward = [m[0] for m in scan(matrices)]
+    backward = [m[0] for m in scan([m.T for m in matrices[::-1]])][::-1]
+    at = [0]
+    for f, b in zip(forward[:-1], backward[1:], strict=True):
+        both = f + b
+        if not len(both) or both.max() == NEVER:
+            raise ValueError("no chain of pieces through a document")
+        at.append(int(both.argmax()))
+    return [*at, 0]
 
 
 def encode_whole(pieces: Pieces, text: str) -> bytes:
@@ -266,54 +297,52 @@ def chunk_rows(df: DataFrame, chunk: int, reach: int) -> DataFrame:
     return rows.select("doc", "no", "n", lead.alias("lead"), body.alias("body"))
 
 
+SOLVED = "doc string, no int, rows int, weights array<double>, heads array<binary>, body binary, tails array<binary>, grid array<binary>"
+
+
+def solved_chunks(giant: DataFrame, model_path: str, chunk: int) -> DataFrame:
+    """Every chunk of giant texts (doc, text) solved by itself; chunks of equal texts meet before they are shuffled."""
+    spread = chunk_rows(giant, chunk, Pieces(model_path).reach).dropDuplicates(["doc", "no"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = Pieces(model_path)
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                last = r.no == r.n - 1
+                end = len(r.body) if last else r.lead + chunk
+                out.append({"doc": r.doc, "no": r.no, **Chunk(pieces, r.body, r.lead, end, r.no == 0, last).solve()})
+            if out:
+                yield pd.DataFrame(out)
+
+    return spread.mapInPandas(run, SOLVED)
+
+
+def traced_parts(group: pd.DataFrame) -> list[bytes]:
+    """The ids of each chunk of one document, from its solved chunks."""
+    chunks = group.sort_values("no").to_dict("records")
+    at = states_at_cuts([np.asarray(c["weights"], dtype=np.float64).reshape(c["rows"], -1) for c in chunks])
+    return [traced(c, i, j) for c, i, j in zip(chunks, at, at[1:], strict=False)]
+
+
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """id, part, parts, ids (binary int32, little-endian): the pieces of every row, part by part in order.
 
     Rows of up to one chunk have one part. Giant texts are told apart by their
     SHA-256, so equal ones are encoded once and repeated rows stay.
     """
-    reach = Pieces(model_path).reach
-    if chunk < reach:
+    if chunk < (reach := Pieces(model_path).reach):
         raise ValueError(f"a chunk needs {reach} characters at least")
     size = F.length(text_or_empty(text_col)) + 1
     small = map_texts(df.where(size <= chunk), id_col, text_col, lambda: (lambda p: lambda t: (encode_whole(p, t),))(Pieces(model_path)), "ids binary")
     small = small.select(id_col, F.lit(0).alias("part"), F.lit(1).alias("parts"), "ids")
     giant = df.where(size > chunk).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("doc", F.sha2("text", 256))
-    spread = chunk_rows(giant.select("doc", "text"), chunk, reach).repartition("doc", "no").dropDuplicates(["doc", "no"])
 
-    def load(row, pieces: Pieces) -> Chunk:
-        first, last = row.no == 0, row.no == row.n - 1
-        end = len(row.body) if last else row.lead + chunk
-        return Chunk(pieces, row.body, row.lead, end, first, last)
+    def trace(group: pd.DataFrame) -> pd.DataFrame:
+        ids = traced_parts(group)
+        return pd.DataFrame({"doc": group["doc"].iloc[0], "part": range(len(ids)), "parts": len(ids), "ids": ids})
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model_path)
-        for b in batches:
-            found = [load(r, pieces).matrix() for r in b.itertuples()]
-            yield pd.DataFrame({"doc": b["doc"], "no": b["no"], "rows": [m.shape[0] for m in found], "weights": [m.ravel() for m in found]})
-
-    def combine(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("no")
-        matrices = [np.asarray(w, dtype=np.float64).reshape(r, -1) for w, r in zip(group["weights"], group["rows"], strict=True)]
-        forward = [m[0] for m in scan(matrices)]
-        backward = [m[0] for m in scan([m.T for m in matrices[::-1]])][::-1]
-        at = [0]
-        for f, b in zip(forward[:-1], backward[1:], strict=True):
-            both = f + b
-            if not len(both) or both.max() == NEVER:
-                raise ValueError("no chain of pieces through a document")
-            at.append(int(both.argmax()))
-        at.append(0)
-        return pd.DataFrame({"doc": group["doc"], "no": group["no"], "entry": at[:-1], "exit": at[1:]})
-
-    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model_path)
-        for b in batches:
-            yield pd.DataFrame({"doc": b["doc"], "part": b["no"], "parts": b["n"], "ids": [load(r, pieces).trace(r.entry, r.exit) for r in b.itertuples()]})
-
-    spread = durable(spread)
-    states = spread.mapInPandas(weigh, "doc string, no int, rows int, weights array<double>").groupBy("doc").applyInPandas(combine, "doc string, no int, entry int, exit int")
-    parts = spread.join(states, ["doc", "no"]).mapInPandas(trace, "doc string, part int, parts int, ids binary")
+    parts = solved_chunks(giant.select("doc", "text"), model_path, chunk).groupBy("doc").applyInPandas(trace, "doc string, part int, parts int, ids binary")
     large = giant.select("id", "doc").join(parts, "doc").select(F.col("id").alias(id_col), "part", "parts", "ids")
     return small.unionByName(large)
 
@@ -339,28 +368,32 @@ def piece_digest(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     ids_sha256 is over the ids as int32, little-endian; decoded_sha256 over the decoded
     text; round_trip says whether that is the text (U+2581 read as a space).
     """
+    if chunk < (reach := Pieces(model_path).reach):
+        raise ValueError(f"a chunk needs {reach} characters at least")
     text = text_or_empty(text_col)
     size = F.length(text) + 1
 
-    def small_digest():
+    def digest(pieces: Pieces, ids: bytes) -> tuple[int, str, str, bytes]:
+        raw = pieces.decode_bytes(np.frombuffer(ids, "<i4"))[1:]
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), raw
+
+    def make():
         pieces = Pieces(model_path)
 
         def one(t: str) -> tuple:
-            ids = encode_whole(pieces, t)
-            raw = pieces.decode_bytes(np.frombuffer(ids, "<i4"))[1:]
-            return (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == t.replace(MARK, " ").encode("utf-8"))
+            *found, raw = digest(pieces, encode_whole(pieces, t))
+            return (*found, raw == t.replace(MARK, " ").encode("utf-8"))
 
         return one
 
-    fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    small = map_texts(df.where(size <= chunk), id_col, text_col, small_digest, fields)
-    giant = df.where(size > chunk).select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("doc"), F.sha2(F.regexp_replace(text, MARK, " "), 256).alias("plain"))
-    one_of_each = df.where(size > chunk).select(F.sha2(text, 256).alias("doc"), text.alias("text"))
-    parts = durable(encode(one_of_each, model_path, "doc", "text", chunk).select("doc", "part", "ids").dropDuplicates(["doc", "part"]))
-    raw = decode(parts.withColumn("parts", F.lit(0)), model_path, "doc").select("doc", "part", "raw")
-    ordered = lambda c: F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", F.hex(c).alias("v")))), lambda x: x["v"]), ""))
-    ids_by_doc = parts.groupBy("doc").agg((F.sum(F.length("ids")) / 4).cast("bigint").alias("n_tokens"), F.sha2(ordered("ids"), 256).alias("ids_sha256"))
-    raw_by_doc = raw.groupBy("doc").agg(F.sha2(ordered("raw"), 256).alias("decoded_sha256"))
-    large = giant.join(ids_by_doc, "doc").join(raw_by_doc, "doc")
-    large = large.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("plain")).alias("round_trip"))
+    def of_giant(group: pd.DataFrame) -> pd.DataFrame:
+        n, ids_sha, raw_sha, _ = digest(loaded(model_path), b"".join(traced_parts(group)))
+        return pd.DataFrame({"doc": [group["doc"].iloc[0]], "n_tokens": [n], "ids_sha256": [ids_sha], "decoded_sha256": [raw_sha]})
+
+    fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    small = map_texts(df.where(size <= chunk), id_col, text_col, make, f"{fields}, round_trip boolean")
+    giant = df.where(size > chunk)
+    found = solved_chunks(giant.select(F.sha2(text, 256).alias("doc"), text.alias("text")), model_path, chunk).groupBy("doc").applyInPandas(of_giant, f"doc string, {fields}")
+    rows = giant.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("doc"), F.sha2(F.replace(text, F.lit(MARK), F.lit(" ")), 256).alias("plain"))
+    large = rows.join(found, "doc").select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("plain")).alias("round_trip"))
     return small.unionByName(large)
