@@ -125,11 +125,11 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Texts without findings pass unchanged, byte for byte.
     """
     ledger = update_ledger(df, None, text_col)
-    hits = ledger.where((F.col("rule_version") == rule_version()) & (F.size("findings") > 0)).select("blob", "findings")
+    found = ledger.where((F.col("rule_version") == rule_version()) & (F.size("findings") > 0)).select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
     text = F.col("__text")
     # spans are sorted by start: walk them once, keeping what lies between
     walk = F.aggregate(
-        "findings",
+        "__findings",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda acc, s: F.when(
             s["start"] >= acc["at"],
@@ -137,6 +137,8 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))),
         lambda acc: F.array_join(F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "[SECRET]"),
     )
-    rows = df.withColumn("__text", text_or_empty(text_col)).withColumn("blob", F.sha2("__text", 256))
-    clean = F.when(F.col("findings").isNull(), F.col(text_col)).otherwise(walk)
-    return rows.join(hits, "blob", "left").withColumn(text_col, clean).select(*df.columns)
+    # other columns travel in one struct, so that none can clash with a working name
+    others = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in df.columns if c != text_col])
+    rows = df.select(others.alias("__row"), F.col(f"`{text_col}`").alias("__text"), F.sha2(text_or_empty(text_col), 256).alias("__blob"))
+    clean = F.when(F.col("__findings").isNull(), text).otherwise(walk)
+    return rows.join(found, "__blob", "left").select(*[clean.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
