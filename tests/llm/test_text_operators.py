@@ -1,0 +1,215 @@
+"""Token counts, pieces, secrets, personal data, media: against the libraries and plain regular expressions."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cloakframe.llm import media_tiles, pii_anchor, secret_ledger, sentencepiece_scan, token_count
+from cloakframe.llm.queries import tokenizer_file
+
+ODD = [None, "", " ", "a", "é 你好 😀\n\n x", "word " * 4000, "<|endoftext|> tail <|endoftext|>", "\x00\t\x85\xa0", "x" * 3000]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, odd and long texts, repeated rows, a null id, and columns whose names clash with outputs."""
+    rows = [(i, t, "s", 1, "z") for i, t in enumerate(ODD)] + [(3, "a", "s", 1, "z"), (None, "tail", None, None, None)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, id string, n_tokens int, spans string").cache()
+
+
+@pytest.fixture(scope="module")
+def counter():
+    return token_count.WholeTokenCounter(tokenizer_file("byte_bpe_50k.json"))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60))
+def test_counts_equal_the_library(counter, text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_every_character_is_split_as_by_the_library(counter):
+    for point in [*range(0, 0x300), *range(0x2000, 0x2070), 0x20AC, 0x3000]:
+        c = chr(point)
+        text = f"a{c}b {c}{c} 1{c}2 {c}.{c}"
+        assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids), hex(point)
+
+
+def test_token_rows(spark, odd, counter):
+    got = sorted(map(tuple, token_count.count_tokens(odd, tokenizer_file("byte_bpe_50k.json")).collect()), key=str)
+    want = [(i, len((t or "").encode()), len(counter.tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in [*enumerate(ODD), (3, "a"), (None, "tail")]]
+    assert got == sorted([(*w, w[2] > 512) for w in want], key=str)
+    assert token_count.count_tokens(odd.limit(0), tokenizer_file("byte_bpe_50k.json")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return sentencepiece_scan.Pieces(tokenizer_file("piece_bpe_32k.model"))
+
+
+def scanned(pieces, text: str, size: int) -> list[int]:
+    """The whole scan of one text, in plain Python."""
+    marked, chunks = " " + text, []
+    n = -(-len(marked) // size)
+    for k in range(n):
+        lead = min(k * size, pieces.reach)
+        body = marked[k * size - lead : k * size + size + pieces.reach]
+        chunks.append(sentencepiece_scan.Chunk(pieces, body, lead, len(body) if k == n - 1 else lead + size, k == 0, k == n - 1))
+    solved = [c.solve() for c in chunks]
+    matrices = [x["weights"].reshape(x["rows"], -1) for x in solved]
+    forward = [m[0] for m in sentencepiece_scan.scan(matrices)]
+    backward = [m[0] for m in sentencepiece_scan.scan([m.T for m in matrices[::-1]])][::-1]
+    assert all(((f + b) == 0).sum() == 1 for f, b in zip(forward[:-1], backward[1:], strict=True))  # one chain of pieces and no other
+    at = sentencepiece_scan.states_at_cuts(matrices)
+    return np.frombuffer(b"".join(sentencepiece_scan.traced(c, i, j) for c, i, j in zip(solved, at, at[1:], strict=False)), "<i4").tolist()
+
+
+def test_scan_equals_the_library_wherever_it_cuts(pieces):
+    rnd = random.Random(5)
+    kinds = ["abcdehinorst ", "ab ", "thein", "  \n", "é ß你好 a", "=-_ *", "0123 .", "AaBbThE.,\n ", "\x00\t▁a "]
+    for _ in range(400):
+        text = "".join(rnd.choice(kinds[rnd.randrange(len(kinds))]) for _ in range(rnd.randrange(1, 120)))
+        assert scanned(pieces, text, rnd.choice([16, 17, 23, 40])) == pieces.model.encode(text), text
+    for kind in kinds:
+        text = "".join(rnd.choice(kind) for _ in range(150))
+        assert scanned(pieces, text, 16) == pieces.model.encode(text), text
+
+
+def test_max_plus_is_associative():
+    rng = np.random.default_rng(0)
+    a, b, c = (np.where(rng.random((4, 4)) < 0.5, -np.inf, rng.integers(0, 5, (4, 4))) for _ in range(3))
+    left = sentencepiece_scan.max_plus(sentencepiece_scan.max_plus(a, b), c)
+    assert (left == sentencepiece_scan.max_plus(a, sentencepiece_scan.max_plus(b, c))).all()
+
+
+def test_piece_rows(spark, odd, pieces):
+    path = tokenizer_file("piece_bpe_32k.model")
+    for chunk in (64, 32768):
+        got = {r.doc_id: r for r in sentencepiece_scan.piece_digest(odd, path, chunk=chunk).collect()}
+        for i, t in [*enumerate(ODD), (None, "tail")]:
+            ids = np.array(pieces.model.encode(t or ""), "<i4").tobytes()
+            assert got[i].ids_sha256 == hashlib.sha256(ids).hexdigest() and got[i].n_tokens == len(ids) // 4 and got[i].round_trip, (i, chunk)
+        assert sentencepiece_scan.piece_digest(odd, path, chunk=chunk).count() == len(ODD) + 2
+    parts = sentencepiece_scan.encode(odd, path, chunk=64)
+    by_id: dict = {}
+    for r in sentencepiece_scan.decode(parts.dropDuplicates(["doc_id", "part"]), path).collect():
+        by_id.setdefault(r.doc_id, {})[r.part] = bytes(r.raw)
+    assert all(b"".join(by_id[i][p] for p in sorted(by_id[i])).decode() == (t or "") for i, t in enumerate(ODD))
+    assert sentencepiece_scan.piece_digest(odd.limit(0), path).count() == 0
+
+
+SECRETS = ["password=abc123x", "token = 'short' token='longer-one'", "AKIA" + "A" * 16 + " AKIA1", "x" + "0af9" * 7, "secret=secret=abcdefgh", "token=token:abcdefgh", "API-KEY: zzzzzz api_key:zzzzzz", "-----BEGIN RSA PRIVATE KEY-----"]
+
+
+def plain_secrets(text: str) -> list[tuple[str, int, int]]:
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found = [("assign", m.start(), m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*SECRETS, "AKIA", "token", "=", ": ", "'", "abcdef0123456789", " ", "é"]), max_size=12).map("".join))
+def test_base_secrets_equal_the_plain_patterns(text):
+    assert secret_ledger.base_spans(text) == plain_secrets(text)
+
+
+def test_ledger_scans_only_what_is_new(spark, odd, monkeypatch):
+    docs = odd.unionByName(spark.createDataFrame([(100 + i, t, "", 0, "") for i, t in enumerate(SECRETS * 2)], odd.schema))
+    ledger = secret_ledger.update_ledger(docs)
+    assert ledger.count() == docs.selectExpr("coalesce(text, '')").distinct().count()
+    assert secret_ledger.scan_unseen(docs, ledger).count() == 0
+    more = docs.unionByName(spark.createDataFrame([(900, "new secret=abcdef1", "", 0, "")], odd.schema))
+    assert secret_ledger.scan_unseen(more, ledger).count() == 1
+    found = {r.doc_id: [tuple(s) for s in r.findings] for r in secret_ledger.findings_by_path(docs, ledger).collect()}
+    assert all(found[100 + i] == secret_ledger.scan_text(t) for i, t in enumerate(SECRETS * 2))
+    monkeypatch.setattr(secret_ledger, "rule_version", lambda: "another")
+    assert secret_ledger.scan_unseen(docs, ledger).count() == ledger.count()
+
+
+def test_secret_rows_and_marks(spark, odd):
+    docs = odd.unionByName(spark.createDataFrame([(100 + i, t, "", 0, "") for i, t in enumerate(SECRETS)], odd.schema))
+    got = {r.doc_id: r for r in secret_ledger.secret_digest(docs).collect()}
+    assert len(got) == len(ODD) + 1 + len(SECRETS) and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    for i, t in enumerate(SECRETS):
+        assert got[100 + i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in plain_secrets(t)).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in secret_ledger.redact(docs).collect()}
+    assert clean[100] == "[SECRET]" and clean[5] == ODD[5] and clean[0] is None
+    assert not any(plain_secrets(t or "") for t in clean.values())
+    assert secret_ledger.redact(docs).columns == docs.columns
+    clash = docs.selectExpr("doc_id", "text", "doc_id as blob", "doc_id as findings")
+    assert all(r.blob == r.findings == r.doc_id for r in secret_ledger.redact(clash).collect())
+    assert secret_ledger.secret_digest(odd.limit(0)).count() == 0
+
+
+def plain_pii(text: str) -> list[tuple[str, int, int]]:
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    cards = [(m, re.sub("[ -]", "", m[0])) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text)]
+    out += [("card", m.start(), m.end()) for m, d in cards if 13 <= len(d) <= 19 and pii_anchor.luhn(d)]
+    phones = re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text)
+    return out + [("phone", m.start(), m.end()) for m in phones if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_pii_equals_the_plain_patterns():
+    scanner, rnd = pii_anchor.AnchorScanner(), random.Random(1)
+    for _ in range(20000):
+        kind = rnd.choice(["a@.-b ", "0123456789 -", "12.3 +0", "+12 ().-3", "a@b.c+1 2-"])
+        text = "".join(rnd.choice(kind) for _ in range(rnd.randrange(40)))
+        assert [s for s in scanner.spans(text) if s[0] in pii_anchor.BASE_KINDS] == plain_pii(text), text
+    assert scanner.spans("see https://a.b/c?x. IBAN: GB82 WEST 1234 5698 7654 32 ok") == [("url", 4, 19), ("iban", 27, 54)]
+
+
+def test_pii_rows(spark, odd):
+    docs = odd.unionByName(spark.createDataFrame([(50, "é😀 a.b@c.de; +1 (555) 123-4567; 10.0.0.1; 4111 1111 1111 1111", "", 0, "")], odd.schema))
+    got = {r.doc_id: r for r in pii_anchor.pii_digest(docs).collect()}
+    assert (got[50].n_email, got[50].n_ip, got[50].n_card, got[50].n_phone) == (1, 1, 1, 1)
+    assert got[50].spans.startswith("email:3:11,") and got[0].spans == "" and len(got) == len(ODD) + 2
+    assert pii_anchor.find_pii(docs.limit(0)).count() == 0
+
+
+def test_images_round_trip_and_area_averages(monkeypatch):
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        monkeypatch.setattr(media_tiles, "STRIP", int(rng.integers(1, 9)))
+        h, w, height, width = map(int, rng.integers(1, 24, 4))
+        grey = rng.integers(0, 256, (h, w), dtype=np.uint8)
+        for encode in (media_tiles.encode_pgm, media_tiles.encode_bmp):
+            assert (media_tiles.decode(encode(grey))[:, :, 0] == grey).all()
+        big = np.kron(grey.astype(int), np.ones((height, width), int)).reshape(height, h, width, w).sum(axis=(1, 3))
+        assert (media_tiles.area_resize(grey[:, :, None], height, width)[:, :, 0] == (2 * big + h * w) // (2 * h * w)).all()
+
+
+def test_other_image_kinds():
+    assert media_tiles.decode(b"P1\n# c\n2 2\n1 0\n0 1\n")[:, :, 0].tolist() == [[0, 255], [255, 0]]
+    assert media_tiles.decode(b"P4\n3 1\n\xa0")[:, :, 0].tolist() == [[0, 255, 0]]
+    assert media_tiles.decode(b"P2 2 1 15 0 15")[:, :, 0].tolist() == [[0, 255]]
+    assert media_tiles.decode(b"P3 1 1 255 1 2 3").tolist() == [[[1, 2, 3]]]
+    assert media_tiles.decode(b"P6 1 1 255\n\x01\x02\x03").tolist() == [[[1, 2, 3]]]
+    assert media_tiles.decode(b"P5 1 1 65535\n\xff\xff")[:, :, 0].tolist() == [[255]]
+    for bad in (b"", b"P5 1", b"P5 9 9 255\n1", b"GIF89a", b"BM" + b"\0" * 60):
+        with pytest.raises((media_tiles.MediaError, ValueError)):
+            media_tiles.decode(bad)
+
+
+def test_media_rows(spark, odd):
+    got = {r.doc_id: r for r in media_tiles.text_media_features(odd).collect()}
+    for i, t in enumerate(ODD):
+        raw = (t or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert got[0].feature == got[1].feature and got[0].media_sha256 == got[1].media_sha256
+    stored = media_tiles.text_media(odd)
+    tiles = media_tiles.media_tiles(stored.unionByName(spark.createDataFrame([(77, 0, bytearray(b"junk"))], stored.schema)), "doc_id", "media").collect()
+    assert {r.doc_id for r in tiles if r.error} == {77} and all(bytes(r.tile_npy[:6]) == b"\x93NUMPY" for r in tiles if not r.error)
