@@ -142,5 +142,22 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 """
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) AS (
+  SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a
+), top AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n FROM p GROUP BY a
+)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(top.b, vec_id)) AS component_id, vec_id <= coalesce(top.b, vec_id) AS kept
+FROM embeddings LEFT JOIN top ON vec_id = top.a LEFT JOIN n ON vec_id = n.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_prefix_target_chat": OP3_SQL, "op10_source_mix": OP10_SQL}
+    return {"op3_prefix_target_chat": OP3_SQL, "op5_metric_range_join": OP5_SQL, "op10_source_mix": OP10_SQL}
