@@ -151,8 +151,10 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with equal id and text are one before they are shuffled.
     """
     order = F.struct(F.col("id").isNull().alias("last"), "id", "sha")
-    keep = grouped(df, id_col, text_col, width, distance).groupBy("top").agg(F.min(order).alias("k")).select(F.col("k.id").alias("g"), F.col("k.sha").alias("s"))
-    sha = F.sha2(text_or_empty(text_col), 256)
-    once = df.withColumn("__sha", sha).groupBy(id_col, "__sha").agg(*[F.first(c).alias(c) for c in df.columns if c != id_col])
-    kept = once.join(durable(keep), F.col(id_col).eqNullSafe(F.col("g")) & (F.col("__sha") == F.col("s")), "left_semi")
-    return kept.select(*df.columns)
+    # a key that is never null: the group and the join then share one shuffle of the texts
+    key = lambda i, sha: F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit("="), sha)
+    best = grouped(df, id_col, text_col, width, distance).groupBy("top").agg(F.min(order).alias("k"))
+    keep = durable(best.select(key(F.col("k.id"), F.col("k.sha")).alias("__key")))
+    rows = df.withColumn("__key", key(F.col(id_col), F.sha2(text_or_empty(text_col), 256)))
+    once = rows.groupBy("__key").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return once.join(keep, "__key", "left_semi").drop("__key")
