@@ -27,7 +27,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ from .common import durable
 from .components import components
 
 #: Vectors to a pivot, and the fewest and most pivots; the pivots are the bounded sample that is sent to tasks.
-PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 8192, 4, 256
+PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 8192, 4, 2048
 HOME_BLOCK, MEMBER_BLOCK = 4096, 16384
 #: Similarities this close to the threshold are computed again by themselves, in one fixed order.
 NEAR = 1e-9
@@ -70,24 +70,32 @@ def pivots_of(distinct: DataFrame, count: int) -> np.ndarray:
     return found[kept]
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix, without a Python object for each row."""
+    one = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return one.flatten().to_numpy(zero_copy_only=False).reshape(len(one), -1).astype(np.float64)
+
+
 def deal(distinct: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
-    """cell, home, node, vec: each vector once at home and once for each cell a neighbour may call home."""
-    gaps = np.linalg.norm(pivots[:, None] - pivots[None], axis=2)
-    np.fill_diagonal(gaps, np.inf)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            near = unit(vectors_of(b["vec"])) @ pivots.T
-            home = near.argmax(axis=1)
-            apart = (near[np.arange(len(b)), home][:, None] - near) / gaps[home]
-            apart[np.arange(len(b)), home] = 0
-            row, cell = np.nonzero(apart <= radius + NEAR)
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "home": home[row] == cell, "node": b["node"].to_numpy()[row], "copies": b["copies"].to_numpy()[row], "vec": b["vec"].to_numpy()[row]})
+    """cell, home, node, copies, vec: each vector once at home and once for each cell a neighbour may call home."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))
+        np.fill_diagonal(gaps, np.inf)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                near = unit(matrix(b.column("vec"))) @ pivots.T
+                home = near.argmax(axis=1)
+                apart = (near[np.arange(len(home)), home][:, None] - near) / gaps[home]
+                apart[np.arange(len(home)), home] = 0
+                row, cell = np.nonzero(apart <= radius + NEAR)
+                kept = b.take(pa.array(row))
+                columns = [pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), *(kept.column(c) for c in ("node", "copies", "vec"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "home", "node", "copies", "vec"])
 
     kind = distinct.schema["vec"].dataType.simpleString()
-    return distinct.select("node", "copies", "vec").mapInPandas(run, f"cell int, home boolean, node bigint, copies bigint, vec {kind}")
+    return distinct.select("node", "copies", "vec").mapInArrow(run, f"cell int, home boolean, node bigint, copies bigint, vec {kind}")
 
 
 class Union:
@@ -108,37 +116,50 @@ class Union:
                 self.top[again] = self.top[self.top[again]]
 
 
-def join_block(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+#: Pairs whose similarity is computed in double precision at one time.
+PAIRS = 200_000
+
+
+def close_pairs(raw_a: np.ndarray, a: np.ndarray, raw_b: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs at or above the threshold, strip by strip.
+
+    Single precision with a margin above its error finds candidates; double precision decides.
+    """
+    low_a, low_b = a.astype(np.float32), b.astype(np.float32)
+    margin = np.float32(threshold - 1e-5 - 4e-7 * a.shape[1])
+    for top in range(0, len(a), 512):
+        rows, columns = np.nonzero(low_a[top : top + 512] @ low_b.T >= margin)
+        rows += top
+        for at in range(0, len(rows), PAIRS):
+            row, col = rows[at : at + PAIRS], columns[at : at + PAIRS]
+            near = np.einsum("ij,ij->i", a[row], b[col])
+            close = near >= threshold
+            for i in np.flatnonzero(np.abs(near - threshold) < NEAR):
+                close[i] = cosine(raw_a[row[i]], raw_b[col[i]]) >= threshold
+            yield row[close], col[close]
+
+
+def join_block(group: pa.Table, threshold: float) -> pa.Table:
     """node, links (rows linked to it in this block), other (a node of its set): for one home and one member block."""
-    home, other = group[group["side"] == 0], group[group["side"] == 1]
-    empty = pd.DataFrame({"node": np.array([], np.int64), "links": np.array([], np.int64), "other": np.array([], np.int64)})
-    if not len(home) or not len(other):
-        return empty
-    raw_a, raw_b = vectors_of(home["vec"]), vectors_of(other["vec"])
-    a, b = unit(raw_a), unit(raw_b)
-    ids = np.concatenate([home["node"].to_numpy(), other["node"].to_numpy()])
-    weights = other["copies"].to_numpy()
-    b_ids = other["node"].to_numpy()
+    side = group.column("side").to_numpy()
+    vectors, ids, copies = matrix(group.column("vec")), group.column("node").to_numpy(), group.column("copies").to_numpy()
+    home, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    raw_a, raw_b = vectors[home], vectors[other]
     nodes, place = np.unique(ids, return_inverse=True)
-    sets, links = Union(len(nodes)), np.zeros(len(a), np.int64)
-    for top in range(0, len(a), 512):
-        near = a[top : top + 512] @ b.T
-        close = near >= threshold
-        for i, j in np.argwhere(np.abs(near - threshold) < NEAR):
-            close[i, j] = cosine(raw_a[top + i], raw_b[j]) >= threshold
-        row, col = np.nonzero(close)
-        row += top
-        same = ids[row] == b_ids[col]
-        row, col = row[~same], col[~same]
-        np.add.at(links, row, weights[col])
-        sets.link(place[row], place[len(a) + col])
-    linked = np.flatnonzero(sets.top != np.arange(len(nodes)))
-    return pd.concat(
-        [
-            pd.DataFrame({"node": home["node"].to_numpy(), "links": links, "other": home["node"].to_numpy()})[links > 0],
-            pd.DataFrame({"node": nodes[linked], "links": np.zeros(len(linked), np.int64), "other": nodes[sets.top[linked]]}),
-            empty,
-        ]
+    sets, links = Union(len(nodes)), np.zeros(len(home), np.int64)
+    if len(home) and len(other):
+        for row, col in close_pairs(raw_a, unit(raw_a), raw_b, unit(raw_b), threshold):
+            apart = ids[home[row]] != ids[other[col]]
+            row, col = row[apart], col[apart]
+            links += np.bincount(row, weights=copies[other[col]], minlength=len(home)).astype(np.int64)
+            sets.link(place[home[row]], place[other[col]])
+    linked, counted = np.flatnonzero(sets.top != np.arange(len(nodes))), np.flatnonzero(links)
+    return pa.table(
+        {
+            "node": np.concatenate([ids[home[counted]], nodes[linked]]),
+            "links": np.concatenate([links[counted], np.zeros(len(linked), np.int64)]),
+            "other": np.concatenate([ids[home[counted]], nodes[sets.top[linked]]]),
+        }
     )
 
 
@@ -156,7 +177,7 @@ def join_cells(dealt: DataFrame, threshold: float) -> DataFrame:
     member = spread.select(
         "cell", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("h"), F.pmod(F.xxhash64("node"), F.col("mb")).cast("int").alias("m"), F.lit(1).alias("side"), "node", "copies", "vec"
     )
-    return home.unionByName(member).groupBy("cell", "h", "m").applyInPandas(lambda g: join_block(g, threshold), "node bigint, links bigint, other bigint")
+    return home.unionByName(member).groupBy("cell", "h", "m").applyInArrow(lambda g: join_block(g, threshold), "node bigint, links bigint, other bigint")
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
