@@ -63,7 +63,7 @@ def ip_count(c: Column, ipv6: bool = True) -> Column:
     return ipv4_count(c) + F.coalesce(_ipv6_count(F.coalesce(candidate, F.lit(""))), F.lit(0))
 
 
-def entity_counts(c: Column, ipv6: bool = False) -> dict[str, Column]:
+def entity_counts(c: Column, ipv6: bool = True) -> dict[str, Column]:
     """The five counts, independent of each other; null counts as empty."""
     text = F.coalesce(c.cast("string"), F.lit(""))
     counts = (email_count(text), phone_count(text), national_id_count(text), postcode_count(text), ip_count(text, ipv6))

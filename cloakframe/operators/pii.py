@@ -18,7 +18,7 @@ from ..functions.lazy import vectorised
 SPAN = "array<struct<start:int,end:int,entity:string,value:string>>"
 
 
-def scan_table(df: DataFrame, columns: list[str] | None = None, ipv6: bool = False) -> DataFrame:
+def scan_table(df: DataFrame, columns: list[str] | None = None, ipv6: bool = True) -> DataFrame:
     """column, entity, hits over the columns as text: one pass of sums, then an unpivot. Pairs without hits are left out."""
     columns = columns or df.columns
     sums = {(c, e): n for c in columns for e, n in pii.entity_counts(F.col(f"`{c}`"), ipv6).items()}
@@ -27,7 +27,7 @@ def scan_table(df: DataFrame, columns: list[str] | None = None, ipv6: bool = Fal
     return wide.select(F.inline(F.array(*each))).where("hits > 0")
 
 
-def scan_text_column(df: DataFrame, id_col: str, text_col: str, ipv6: bool = False) -> DataFrame:
+def scan_text_column(df: DataFrame, id_col: str, text_col: str, ipv6: bool = True) -> DataFrame:
     """id, the five counts and their total for every row."""
     counts = pii.entity_counts(F.col(text_col), ipv6)
     out = df.select(id_col, *[n.alias(e) for e, n in counts.items()])

@@ -199,3 +199,18 @@ def test_pending_status_and_summary(spark):
     status = ps.residual_status(df, "doc_id", "text")
     assert {r.doc_id: r.status for r in status.collect()} == {1: "LOCAL_ONLY", 2: "MANUAL_REVIEW_REQUIRED"}
     assert ps.batch_summary(status.withColumn("resumed", F.lit(False))).first()["status"] == "LOCAL_ONLY"
+
+
+def test_scans_and_gates_count_ipv6_by_default(spark, tmp_path):
+    from cloakframe.operators import release, requests
+    from cloakframe.sources import tables
+
+    df = spark.createDataFrame([(1, "seen at 2001:db8::1 today")], "doc_id bigint, note string")
+    assert [(r.column, r.entity, r.hits) for r in scans.scan_table(df, ["note"]).collect()] == [("note", "ip_address", 1)]
+    assert scans.scan_text_column(df, "doc_id", "note").first()["ip_address"] == 1
+    assert scans.inspect_texts(df, "doc_id", "note").first()["pii_hits"] == 1
+    assert ps.residual_status(df, "doc_id", "note").first()["status"] == "LOCAL_ONLY"
+    assert not release.final_scan_gate(df, True).first()["passed"]
+    assert not tables.stage_release(df, True, f"{tmp_path}/staged").first()["allow_after_final_scan"]
+    request = "select 'GET' as method, 'https://a.example/x' as url, cast(array() as array<struct<name:string,value:string>>) as headers, cast(array() as array<struct<name:string,value:string>>) as cookies, 'from 2001:db8::1' as body"
+    assert any(v == 1 for k, v in requests.inspect_requests(spark.sql(request)).first().asDict().items() if "hits" in k)
