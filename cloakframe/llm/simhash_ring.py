@@ -129,9 +129,14 @@ def grouped(df: DataFrame, id_col: str, text_col: str, width: int, distance: int
 
     rows = durable(map_texts(df, id_col, text_col, make, "fp bigint, sha string").withColumnRenamed(id_col, "id"))
     prints = durable(rows.groupBy("fp").agg(F.min("id").alias("rep")))
+    return in_components(rows, prints, ring_links(prints.select("fp"), distance))
+
+
+def in_components(rows: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` with top and component_id; `prints` has every fp of theirs with its smallest id (rep), `links` join fps (a, b)."""
     # components run over fingerprints; each then takes its smallest document
-    found = components(ring_links(prints.select("fp"), distance)).select(F.col("id").alias("fp"), F.col("component").alias("top"))
-    tops = prints.join(found, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
+    found = components(links).select(F.col("id").alias("fp"), F.col("component").alias("top"))
+    tops = prints.select("fp", "rep").join(found, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
     smallest = tops.groupBy("top").agg(F.min("rep").alias("component_id"))
     # a component may hold very many fingerprints: they are dealt over salts
     dealt = tops.withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS)))
@@ -150,11 +155,20 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows with equal id and text are one before they are shuffled.
     """
+    return keep_smallest(df, grouped(df, id_col, text_col, width, distance), id_col, text_col)
+
+
+def row_key(id_col: Column, sha: Column) -> Column:
+    """Names rows of equal id and text; never null."""
+    return F.concat(F.coalesce(id_col.cast("string"), F.lit("null")), F.lit("="), sha)
+
+
+def keep_smallest(df: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`df` with one row of each group (id, sha, top), as keep_representatives has it."""
     order = F.struct(F.col("id").isNull().alias("last"), "id", "sha")
+    best = groups.groupBy("top").agg(F.min(order).alias("k"))
     # a key that is never null: the group and the join then share one shuffle of the texts
-    key = lambda i, sha: F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit("="), sha)
-    best = grouped(df, id_col, text_col, width, distance).groupBy("top").agg(F.min(order).alias("k"))
-    keep = durable(best.select(key(F.col("k.id"), F.col("k.sha")).alias("__key")))
-    rows = df.withColumn("__key", key(F.col(id_col), F.sha2(text_or_empty(text_col), 256)))
+    keep = durable(best.select(row_key(F.col("k.id"), F.col("k.sha")).alias("__key")))
+    rows = df.withColumn("__key", row_key(F.col(id_col), F.sha2(text_or_empty(text_col), 256)))
     once = rows.groupBy("__key").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in df.columns])
     return once.join(keep, "__key", "left_semi").drop("__key")
