@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,16 +19,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
 
-    The session's own folder is used; only a session without one (as in tests)
-    gets a temporary folder.
+    The session must name that folder; there is no other that executors are sure to share.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        if shared is None:
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
+class Remembered(dict):
+    """A task's memory of results by text, bounded by the bytes of its keys and values, not by their number."""
+
+    def __init__(self, most: int = 32 << 20) -> None:
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, key, value, size: int):
+        """Remember `value`; one that takes more than a thousandth of the bound is passed on only."""
+        if size * 1000 <= self.most:
+            # about what an entry takes beside its contents
+            self.held += size + 150
+            if self.held > self.most:
+                self.clear()
+                self.held = size + 150
+            self[key] = value
+        return value
+
+
 def text_or_empty(column: str = "text"):
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cloakframe.llm import media_tiles, pii_anchor, secret_ledger, sentencepiece_scan, token_count
+from cloakframe.llm.common import table
 from cloakframe.llm.queries import tokenizer_file
 
 ODD = [None, "", " ", "a", "é 你好 😀\n\n x", "word " * 4000, "<|endoftext|> tail <|endoftext|>", "\x00\t\x85\xa0", "x" * 3000]
@@ -56,32 +58,64 @@ def pieces():
     return sentencepiece_scan.Pieces(tokenizer_file("piece_bpe_32k.model"))
 
 
-def scanned(pieces, text: str, size: int) -> list[int]:
-    """The whole scan of one text, in plain Python."""
-    marked, chunks = " " + text, []
-    n = -(-len(marked) // size)
-    for k in range(n):
-        lead = min(k * size, pieces.reach)
-        body = marked[k * size - lead : k * size + size + pieces.reach]
-        chunks.append(sentencepiece_scan.Chunk(pieces, body, lead, len(body) if k == n - 1 else lead + size, k == 0, k == n - 1))
-    solved = [c.solve() for c in chunks]
-    matrices = [x["weights"].reshape(x["rows"], -1) for x in solved]
+def scanned(pieces, text: str, part: int, chunk: int) -> list[int]:
+    """The whole scan of one text, in plain Python: its parts, their products, the states these fix, and the traces."""
+    said, parts = " " + text, []
+    n = -(-len(said) // part)
+    for no in range(n):
+        lead = min(no * part, pieces.reach)
+        body = said[no * part - lead : (no + 1) * part + pieces.reach]
+        parts.append(sentencepiece_scan.Part(pieces, body, lead, len(body) if no == n - 1 else lead + part, no == 0, no == n - 1, chunk))
+    matrices = [c["weights"] for p in parts for c in p.chunks]
     forward = [m[0] for m in sentencepiece_scan.scan(matrices)]
     backward = [m[0] for m in sentencepiece_scan.scan([m.T for m in matrices[::-1]])][::-1]
     assert all(((f + b) == 0).sum() == 1 for f, b in zip(forward[:-1], backward[1:], strict=True))  # one chain of pieces and no other
-    at = sentencepiece_scan.states_at_cuts(matrices)
-    return np.frombuffer(b"".join(sentencepiece_scan.traced(c, i, j) for c, i, j in zip(solved, at, at[1:], strict=False)), "<i4").tolist()
+    at = sentencepiece_scan.states_at_cuts([p.product() for p in parts])
+    assert b"".join(p.said(i, j) for p, i, j in zip(parts, at, at[1:], strict=False)).decode() == said.replace("▁", " ")
+    return np.frombuffer(b"".join(p.traced(i, j) for p, i, j in zip(parts, at, at[1:], strict=False)), "<i4").tolist()
 
 
 def test_scan_equals_the_library_wherever_it_cuts(pieces):
     rnd = random.Random(5)
     kinds = ["abcdehinorst ", "ab ", "thein", "  \n", "é ß你好 a", "=-_ *", "0123 .", "AaBbThE.,\n ", "\x00\t▁a "]
     for _ in range(400):
-        text = "".join(rnd.choice(kinds[rnd.randrange(len(kinds))]) for _ in range(rnd.randrange(1, 120)))
-        assert scanned(pieces, text, rnd.choice([16, 17, 23, 40])) == pieces.model.encode(text), text
+        text = "".join(rnd.choice(kinds[rnd.randrange(len(kinds))]) for _ in range(rnd.randrange(1, 160)))
+        chunk = rnd.choice([16, 17, 23])
+        assert scanned(pieces, text, chunk * rnd.choice([1, 2, 3]), chunk) == pieces.model.encode(text), text
     for kind in kinds:
-        text = "".join(rnd.choice(kind) for _ in range(150))
-        assert scanned(pieces, text, 16) == pieces.model.encode(text), text
+        text = "".join(rnd.choice(kind) for _ in range(200))
+        assert scanned(pieces, text, 32, 16) == pieces.model.encode(text), text
+
+
+def test_texts_without_blanks_are_scanned_as_by_the_library(pieces):
+    rnd = random.Random(6)
+    for text in ("-" * 20000, " " * 20000, "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(6000)), "".join(rnd.choice("ABCabc0129+/") for _ in range(6000))):
+        assert scanned(pieces, text, 4096, 1024) == pieces.model.encode(text)
+
+
+def test_models_are_checked(pieces, monkeypatch):
+    assert sentencepiece_scan.checked.__wrapped__(tokenizer_file("piece_bpe_32k.model")) == pieces.reach
+    monkeypatch.setattr(sentencepiece_scan.Pieces, "merge", lambda self, t: list(t))
+    with pytest.raises(ValueError):
+        sentencepiece_scan.checked.__wrapped__(tokenizer_file("piece_bpe_32k.model"))
+
+
+def test_most_documents_take_several_chunks(spark, sf):
+    rows = sentencepiece_scan.piece_digest(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model")).collect()
+    assert sum(r.chunks > 1 for r in rows) > 0.5 * len(rows) and all(r.round_trip for r in rows)
+
+
+def test_a_giant_text_takes_linear_time(spark, pieces):
+    path, said = tokenizer_file("piece_bpe_32k.model"), "some words of a sentence, and one-more;\n"
+    took = []
+    for times in (100, 312_500, 1_250_000):  # the last is 50 MB
+        df = spark.range(1).selectExpr("id as doc_id", f"repeat('{said}', {times}) as text").coalesce(1)
+        began = time.time()
+        row = sentencepiece_scan.piece_digest(df, path).first()
+        took.append(time.time() - began)
+        assert row.round_trip and row.parts == -(-(len(said) * times + 1) // sentencepiece_scan.PART)
+    assert took[2] < 8 * took[1]
+    assert row.n_tokens == len(pieces.model.encode(said)) + (len(pieces.model.encode("x\n" + said)) - len(pieces.model.encode("x\n"))) * (times - 1)
 
 
 def test_max_plus_is_associative():
@@ -93,17 +127,24 @@ def test_max_plus_is_associative():
 
 def test_piece_rows(spark, odd, pieces):
     path = tokenizer_file("piece_bpe_32k.model")
-    for chunk in (64, 32768):
-        got = {r.doc_id: r for r in sentencepiece_scan.piece_digest(odd, path, chunk=chunk).collect()}
+    for part, chunk in ((64, 16), (65536, 1024)):
+        parts: dict = {}
+        encoded = sentencepiece_scan.encode(odd, path, part=part, chunk=chunk)
+        for r in encoded.dropDuplicates(["doc_id", "part"]).collect():
+            parts.setdefault(r.doc_id, {})[r.part] = bytes(r.ids)
+        raw: dict = {}
+        for r in sentencepiece_scan.decode(encoded.dropDuplicates(["doc_id", "part"]), path).collect():
+            raw.setdefault(r.doc_id, {})[r.part] = bytes(r.raw)
+        rows = sentencepiece_scan.piece_digest(odd, path, part=part, chunk=chunk).collect()
+        got = {r.doc_id: r for r in rows}
+        assert len(rows) == len(ODD) + 2
         for i, t in [*enumerate(ODD), (None, "tail")]:
-            ids = np.array(pieces.model.encode(t or ""), "<i4").tobytes()
-            assert got[i].ids_sha256 == hashlib.sha256(ids).hexdigest() and got[i].n_tokens == len(ids) // 4 and got[i].round_trip, (i, chunk)
-        assert sentencepiece_scan.piece_digest(odd, path, chunk=chunk).count() == len(ODD) + 2
-    parts = sentencepiece_scan.encode(odd, path, chunk=64)
-    by_id: dict = {}
-    for r in sentencepiece_scan.decode(parts.dropDuplicates(["doc_id", "part"]), path).collect():
-        by_id.setdefault(r.doc_id, {})[r.part] = bytes(r.raw)
-    assert all(b"".join(by_id[i][p] for p in sorted(by_id[i])).decode() == (t or "") for i, t in enumerate(ODD))
+            ids = [parts[i][k] for k in sorted(parts[i])]
+            assert np.frombuffer(b"".join(ids), "<i4").tolist() == pieces.model.encode(t or ""), (i, part)
+            assert b"".join(raw[i][k] for k in sorted(raw[i])).decode() == (t or "")
+            digests = [hashlib.sha256(x).hexdigest() for x in ids]
+            assert got[i].ids_sha256 == (digests[0] if len(ids) == 1 else hashlib.sha256(",".join(digests).encode()).hexdigest())
+            assert got[i].parts == len(ids) == max(1, -(-(len(t or "") + 1) // part)) and got[i].n_tokens == len(b"".join(ids)) // 4 and got[i].round_trip
     assert sentencepiece_scan.piece_digest(odd.limit(0), path).count() == 0
 
 
