@@ -59,6 +59,14 @@ def span_digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
+def by_size(side: DataFrame, weight=None, bound: int = 50_000) -> DataFrame:
+    """`side`, to be broadcast if its rows (and what `weight` adds for each) stay within the bound; else joined by a shuffle."""
+    if weight is None:
+        return F.broadcast(side) if side.limit(bound + 1).count() <= bound else side
+    total = side.agg((F.count("*") + F.coalesce(F.sum(weight), F.lit(0))).alias("n")).first()["n"]
+    return F.broadcast(side) if total <= bound else side
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[str], tuple]], fields: str) -> DataFrame:
     """Apply a function of the whole text to every row, in Arrow batches; ids pass unchanged.
 

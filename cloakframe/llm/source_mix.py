@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty
+from .common import by_size, durable, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that mark junk; their share lowers a document's quality weight.
@@ -72,11 +72,6 @@ def targets(sources: DataFrame, share_percent: int, cap: int, weights: tuple[int
     return level.select("source", "source_size", F.least(F.col("limit").cast("double"), share).alias("target"))
 
 
-def by_size(side: DataFrame, bound: int = 50_000) -> DataFrame:
-    """`side`, to be broadcast if it has no more rows than the bound; else joined by a shuffle."""
-    return F.broadcast(side) if side.limit(bound + 1).count() <= bound else side
-
-
 def budgets(rows: DataFrame, share_percent: int, cap: int, weights: tuple[int, ...]) -> DataFrame:
     """s (the source), source_size, target, epochs, budget, edge_range and edge_before: one row a source.
 
