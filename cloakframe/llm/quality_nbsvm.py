@@ -15,20 +15,23 @@ Defined results: null text is empty and is scored by the bias alone; labels with
 ids or null quality are not used, repeated labels count once with the larger quality;
 repeated rows are scored each; without labels of both classes every score is the share
 of label 1 (0.5 without labels); a null id is not held out; an empty table gives no
-rows; extra columns are ignored. Ids, languages, sources and labels enter no score.
+rows; extra columns are ignored; very long texts are read whole. A labelled id that repeats
+counts once in the fit. Ids, languages, sources and labels enter no score.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Remembered, map_texts
 
 #: Hashed features, and the bound on labelled rows that the fit uses.
 BUCKETS = 1 << 18
@@ -54,27 +57,21 @@ def shape(word: str) -> str:
             return "X"
         return "Xx" if run[0].isupper() else "x"
 
-    return RUNS.sub(mark, word)[:12]
+    return RUNS.sub(mark, word)
 
 
 class Features:
-    """The hashed indicators of a text; the memory of words seen is bounded."""
+    """The hashed indicators of a text; the memory of words seen is bounded by their bytes."""
 
     def __init__(self) -> None:
-        self.words: dict[str, tuple[int, str]] = {}
-        self.grams: dict[tuple, int] = {}
+        self.words, self.grams = Remembered(16 << 20), Remembered(16 << 20)
 
     def word(self, w: str) -> tuple[int, str]:
-        if len(self.words) > 300_000:
-            self.words.clear()
-        out = self.words[w] = (zlib.crc32(b"w" + w.lower().encode("utf-8")) % BUCKETS, shape(w))
-        return out
+        marks = shape(w)
+        return self.words.keep(w, (zlib.crc32(b"w" + w.lower().encode("utf-8")) % BUCKETS, marks), 2 * len(w) + 2 * len(marks) + 120)
 
     def gram(self, g: tuple) -> int:
-        if len(self.grams) > 300_000:
-            self.grams.clear()
-        out = self.grams[g] = zlib.crc32("s".join(map(str, g)).encode("utf-8")) % BUCKETS
-        return out
+        return self.grams.keep(g, zlib.crc32("s".join(map(str, g)).encode("utf-8")) % BUCKETS, sum(map(len, g)) + 150)
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.split()
@@ -88,7 +85,8 @@ class Features:
         grams, gram = self.grams.get, self.gram
         for n in (1, 2, 3):
             for g in set(zip(*(shapes[i:] for i in range(n)), strict=False)):
-                found.add(grams(g) or gram(g))
+                bucket = grams(g)
+                found.add(gram(g) if bucket is None else bucket)
         return np.fromiter(found, np.int32, len(found))
 
 
@@ -150,11 +148,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     # at most `sample` pairs of numbers: bounded, so every task may hold them
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     indexed = map_texts(rows.select(F.struct("id", "y").alias("key"), "text"), "key", "text", lambda: (lambda f: lambda text: (np.sort(f(text)),))(Features()), "found array<int>")
-    got = indexed.select("key.id", "key.y", "found").toArrow()
+    # one row an id, however often it repeats: the smallest by its indicators, taken before the shuffle
+    got = indexed.groupBy("key").agg(F.min("found").alias("found")).select("key.id", "key.y", "found").toArrow()
     ids = got["id"].to_pylist()
     found = [np.asarray(x.as_py(), dtype=np.int32) for x in got["found"]]
     # one order whatever the partitions: the descent depends on it
-    order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), len(found[i]), found[i].tobytes()))
+    order = sorted(range(len(ids)), key=lambda i: str(ids[i]))
     found, good = [found[i] for i in order], got["y"].to_numpy()[order] > 0
     if not len(good) or good.all() or not good.any():
         return Model(np.zeros(0), np.zeros(0), 0.0, float(good.mean()) if len(good) else 0.5)
@@ -175,11 +174,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`df` without the rows predicted 0; the columns stay as they are."""
+    """`df` without the rows predicted 0; the columns stay as they are, also in an empty table."""
     model = df.sparkSession.sparkContext.broadcast(fit(df, labels, id_col, text_col))
-    import pyarrow as pa
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, fitted = Features(), model.value
         for b in batches:
             keep = [fitted.score(features(t.as_py() or "")) >= 0.5 for t in b.column(text_col)]
