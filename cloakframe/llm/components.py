@@ -1,8 +1,9 @@
-"""Connected components of links between integer ids, by alternating stars.
+"""Connected components of links between ids, by alternating stars.
 
 Large-star and small-star steps (Kiveris et al., 2014) with sums before shuffles:
 each step takes the smallest neighbour of every id by a partial aggregate and joins
-it back to the links over salts, so an id that a third of all links share never gathers them in
+it back to the links. An id with more than PER_TASK links is dealt over as many salts
+as its count asks for, so an id that a third of all links share never gathers them in
 one task. Rounds are checkpointed; their number grows with the logarithm of the
 longest chain.
 """
@@ -12,31 +13,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import by_size, durable
 
-SALTS = 8
+#: Links of one id to a task.
+PER_TASK = 200_000
+
+
+def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str, count: str = "n") -> DataFrame:
+    """`rows` joined on `key` with `side`, which has one row a key and in `count` how many rows it meets.
+
+    Keys that meet more than PER_TASK rows (a list of at most rows / PER_TASK) are dealt by
+    a hash of the column `by`; their row of `side` is repeated as often.
+    """
+    many = side.where(F.col(count) > PER_TASK).select(F.col(key).alias("__k"), (1 + F.floor(F.col(count) / PER_TASK)).cast("int").alias("__s"))
+    salt = F.coalesce(F.pmod(F.hash(by), F.col("__s")), F.lit(0))
+    left = rows.join(by_size(many), F.col(key) == F.col("__k"), "left").withColumn("__salt", salt).drop("__k", "__s")
+    salts = F.sequence(F.lit(0), F.floor(F.col(count) / PER_TASK).cast("int"))
+    return left.join(side.withColumn("__salt", F.explode(salts)).drop(count), [key, "__salt"]).drop("__salt")
 
 
 def point_to_smallest(links: DataFrame, larger_only: bool) -> DataFrame:
     """One star step over links (u, v) with u > v: the neighbours concerned are linked to the smallest."""
     if larger_only:  # every neighbour above u is linked to the smallest neighbour of u (or u)
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        concerned = both.where("v > u")
-        smallest = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
-        # a centre may have very many neighbours: they are dealt over salts
-        dealt = concerned.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
-        each = smallest.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        out = dealt.join(each, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        smallest = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        out = dealt_join(both.where("v > u"), smallest, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # u and its neighbours below are linked to the smallest of them
-        smallest = links.groupBy("u").agg(F.min("v").alias("m"))
-        out = links.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v")))
+        smallest = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        out = dealt_join(links, smallest, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v")))
     return out.where("u > v").distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component for every id that has a link to another id; component is the smallest id reachable.
 
-    Links with a null end and links of an id to itself are ignored.
+    Links with a null end and links of an id to itself are ignored. Ids are of any kind that has an order.
     """
     now = durable(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while True:

@@ -9,30 +9,34 @@ so few bits that one of its halves is equal too: segment plus half form the join
 The chain budgets prune the pairs that share a key before the full Hamming check.
 
 Keys that many fingerprints share are not paired. Their members are linked through
-the balls around them: each emits itself and its neighbours at one bit (radius
-distance / 2), and two fingerprints are within 2 bits exactly when their balls meet,
-so rows grow with the members and every group is small. Nothing is dropped.
+the balls around them: each emits all points within half the distance, rounded up, and
+two fingerprints are within the distance exactly when a point lies within half of it,
+rounded down, of one and in the other's ball; so rows grow with the members and every
+group is small. Nothing is dropped.
 
 Defined results: null text is empty; texts without words have fingerprint zero and
 link like any other; repeated rows and equal texts share a fingerprint and so a
 component; rows with a null id get the smallest id reachable; an empty table gives no
-rows; extra columns are ignored.
+rows; extra columns are ignored; very long texts are hashed whole, in linear time.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_texts, text_or_empty
-from .components import SALTS, components
+from .components import components, dealt_join
 
 SEED = 42
 #: Fingerprints that share a key are paired up to this many, else linked through their balls.
 PAIRED = 64
 BITS = 64
+#: The largest distance that the ring is written for.
+MOST = 4
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -69,12 +73,7 @@ def segments(count: int) -> list[tuple[int, int]]:
 
 
 def bits(c: Column, low: int, size: int) -> Column:
-    return F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << size) - 1))
-
-
-def flip(c: Column, bit: int) -> Column:
-    mask = 1 << bit
-    return c.bitwiseXOR(F.lit(mask - (1 << BITS) if bit == BITS - 1 else mask).cast("bigint"))
+    return F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << size) - 1).cast("bigint"))
 
 
 def chain_holds(x: Column, start: int, cuts: list[tuple[int, int]], distance: int) -> Column:
@@ -87,23 +86,32 @@ def chain_holds(x: Column, start: int, cuts: list[tuple[int, int]], distance: in
     return ok
 
 
+def ball(c: Column, radius: int) -> Column:
+    """All fingerprints within `radius` bits, as an array."""
+    masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(BITS), r)]
+    signed = F.array(*[F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("bigint") for m in masks])
+    return F.transform(signed, lambda m: c.bitwiseXOR(m))
+
+
 def ring_links(prints: DataFrame, distance: int = 2, paired: int = PAIRED) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all pairs within `distance` bits.
 
     `prints` has distinct column fp. Linked pairs that share a crowded key may be
     joined through fingerprints between them: the links give the same components.
+    Distances go up to MOST; beyond, segments are too short to be keys, and balls too large.
     """
-    if distance != 2:
-        raise ValueError("the ball form is written for a distance of 2 bits")
+    if not 1 <= distance <= MOST:
+        raise ValueError(f"distances from 1 to {MOST} bits")
     cuts = segments(distance + 1)
     keys = []
     for start in range(len(cuts)):
         low, size = cuts[start]
         next_low, next_size = cuts[(start + 1) % len(cuts)]
         half = next_size // 2
+        # the second chain leaves the next segment one bit at most, so one of its halves is equal
         for part, (at, n) in enumerate([(next_low, half), (next_low + half, next_size - half)]):
-            # segment (22 bits at most), half (11 at most) and which of the six: 36 bits
-            key = F.shiftleft(bits(F.col("fp"), low, size), 16) + F.shiftleft(bits(F.col("fp"), at, n), 4) + F.lit(2 * start + part)
+            # segment (32 bits at most), half (16 at most) and which of them: 52 bits
+            key = F.shiftleft(bits(F.col("fp"), low, size), 20) + F.shiftleft(bits(F.col("fp"), at, n), 4) + F.lit(2 * start + part)
             keys.append(F.struct(key.cast("bigint").alias("key"), F.lit(start).alias("start")))
     keyed = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.start")
     sizes = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -113,10 +121,15 @@ def ring_links(prints: DataFrame, distance: int = 2, paired: int = PAIRED) -> Da
     left = few.select("key", F.col("fp").alias("a"), "start")
     right = few.select("key", F.col("fp").alias("b"))
     pairs = left.join(right, "key").where(F.col("a") < F.col("b")).where(chain & (F.bit_count(x) <= distance)).select("a", "b")
-    crowded = keyed.join(sizes.where(F.col("n") > paired), "key", "left_semi").select("fp").distinct()
-    ball = F.explode(F.array(F.col("fp"), *(flip(F.col("fp"), b) for b in range(BITS))))
-    members = crowded.select("fp", ball.alias("centre"))
-    centres = members.groupBy("centre").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
+    crowded = durable(keyed.join(sizes.where(F.col("n") > paired), "key", "left_semi").select("fp").distinct())
+    if not crowded.limit(1).count():
+        return pairs.distinct()
+    # two are within the distance if a point lies within half of it from one and within the rest from the other
+    inner, outer = distance // 2, distance - distance // 2
+    near = crowded.select("fp", F.explode(ball(F.col("fp"), outer)).alias("centre"))
+    near = near.withColumn("hub", F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= inner, F.col("fp")))
+    # a ball holds few points, so no more fingerprints than that share a centre
+    centres = near.groupBy("centre").agg(F.min("hub").alias("a"), F.collect_set("fp").alias("all")).where(F.col("a").isNotNull() & (F.size("all") > 1))
     stars = centres.select("a", F.explode("all").alias("b")).where("a <> b")
     return pairs.union(stars).distinct()
 
@@ -137,11 +150,9 @@ def in_components(rows: DataFrame, prints: DataFrame, links: DataFrame) -> DataF
     # components run over fingerprints; each then takes its smallest document
     found = components(links).select(F.col("id").alias("fp"), F.col("component").alias("top"))
     tops = prints.select("fp", "rep").join(found, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
-    smallest = tops.groupBy("top").agg(F.min("rep").alias("component_id"))
-    # a component may hold very many fingerprints: they are dealt over salts
-    dealt = tops.withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS)))
-    each = smallest.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    by_print = durable(dealt.join(each, ["top", "salt"]).select(F.col("fp").alias("p"), "top", "component_id"))
+    # a component may hold very many fingerprints
+    smallest = tops.groupBy("top").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    by_print = durable(dealt_join(tops.select("top", "fp"), smallest, "top", "fp").select(F.col("fp").alias("p"), "top", "component_id"))
     return rows.join(by_print, F.col("fp") == F.col("p")).drop("p")
 
 
@@ -169,6 +180,8 @@ def keep_smallest(df: DataFrame, groups: DataFrame, id_col: str, text_col: str)
     best = groups.groupBy("top").agg(F.min(order).alias("k"))
     # a key that is never null: the group and the join then share one shuffle of the texts
     keep = durable(best.select(row_key(F.col("k.id"), F.col("k.sha")).alias("__key")))
-    rows = df.withColumn("__key", row_key(F.col(id_col), F.sha2(text_or_empty(text_col), 256)))
-    once = rows.groupBy("__key").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    return once.join(keep, "__key", "left_semi").drop("__key")
+    rest = [c for c in df.columns if c != text_col]
+    rows = df.select(row_key(F.col(id_col), F.sha2(text_or_empty(text_col), 256)).alias("__key"), F.col(f"`{text_col}`").alias("__text"), F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("__rest"))
+    # rows equal in id and text: the one whose other columns are smallest, so that reruns agree
+    once = rows.groupBy("__key").agg(F.min_by("__rest", F.to_json("__rest")).alias("__rest"), F.max("__text").alias("__text"))
+    return once.join(keep, "__key", "left_semi").select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__rest.`{c}`").alias(c) for c in df.columns])

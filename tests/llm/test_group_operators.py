@@ -80,8 +80,15 @@ def test_fingerprints():
         assert simhash_ring.fingerprint(text) & (2**64 - 1) == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("paired", [64, 2])
-def test_ring_finds_every_pair_within_two_bits(spark, paired):
+def test_hot_ids_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components, "PER_TASK", 7)
+    links = [(0, k) for k in range(1, 100)] + [(k, 1000) for k in range(100, 200)] + [(150, 50)] + [(k, 999) for k in range(300, 350)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {k: 300 if k == 999 or 300 <= k < 350 else 0 for k in [*range(200), 1000, 999, *range(300, 350)]}
+
+
+@pytest.mark.parametrize(("paired", "distance"), [(64, 2), (2, 2), (64, 1), (2, 1), (64, 3), (64, 4), (4, 3)])
+def test_ring_finds_every_pair_within_the_distance(spark, paired, distance):
     rnd = random.Random(3)
     base = [rnd.getrandbits(64) for _ in range(40)]
     prints = set(base)
@@ -99,9 +106,9 @@ def test_ring_finds_every_pair_within_two_bits(spark, paired):
     prints = sorted(f - (1 << 64) if f >> 63 else f for f in prints)
     sets = Sets()
     for a, b in itertools.combinations(prints, 2):
-        if ((a ^ b) & (2**64 - 1)).bit_count() <= 2:
+        if ((a ^ b) & (2**64 - 1)).bit_count() <= distance:
             sets.link(a, b)
-    links = simhash_ring.ring_links(spark.createDataFrame([(f,) for f in prints], "fp bigint"), 2, paired)
+    links = simhash_ring.ring_links(spark.createDataFrame([(f,) for f in prints], "fp bigint"), distance, paired)
     got = {r.id: r.component for r in components.components(links).collect()}
     assert all(got.get(f, f) == sets.top(f) for f in prints)
 
@@ -115,7 +122,16 @@ def test_near_duplicate_rows(spark):
     assert got == sorted([(5, 3), (3, 3), (9, near), (1, 1), (2, 1), (4, 4), (None, 3), (None, None), (4, 4)], key=str)
     kept = sorted([r.doc_id for r in simhash_ring.keep_representatives(docs).collect()], key=str)
     assert kept == sorted([3, 1, 4, None, *([9] if near == 9 else [])], key=str)
-    assert simhash_ring.near_duplicates(docs.limit(0)).count() == 0
+    assert simhash_ring.near_duplicates(docs.limit(0)).count() == simhash_ring.keep_representatives(docs.limit(0)).count() == 0
+    other = docs.unionByName(spark.createDataFrame([(3, long, 7), (3, long, -7)], docs.schema))
+    for again in (other, other.repartition(3)):
+        assert [r.component_id for r in simhash_ring.keep_representatives(again).where("doc_id = 3").collect()] == [-7]
+
+
+def test_a_long_text_is_hashed_whole(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    assert simhash_ring.fingerprint(" ".join(words)) & (2**64 - 1) == plain_fingerprint(" ".join(words))
+    assert simhash_ring.fingerprint(" ".join(words[:-50_000])) != simhash_ring.fingerprint(" ".join(words))
 
 
 def test_vectors_equal_brute_force(spark):
