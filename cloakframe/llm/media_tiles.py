@@ -6,15 +6,17 @@ difference hash. A text column is stored losslessly as 8-bit grey samples, 64 to
 row: as binary PGM when the number of rows is even, else as 8-bit BMP.
 
 Defined results: null text counts as empty (one row of zeros); a binary column with
-null, empty or undecodable content gives null height, width, tile and hash, with the
-reason in `error`; rows repeat as given; null ids stay null; extra columns of the
-input are ignored.
+null, empty or undecodable content, samples out of range among it, gives null height,
+width, tile and hash, with the reason in `error`; rows repeat as given; null ids stay
+null; an empty table gives no rows; extra columns of the input are ignored; very long
+texts are stored whole, and reduced strip by strip.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 from .common import map_texts
 
 ROW = 64
+COMMENT = re.compile(rb"#[^\n]*")
 #: Rows of an image whose integral image is held at one time.
 STRIP = 4096
 
@@ -49,12 +52,20 @@ def netpbm_tokens(data: bytes, count: int, at: int) -> tuple[list[int], int]:
         start = at
         while at < len(data) and 48 <= data[at] <= 57:
             at += 1
-        if start == at:
+        if not 0 < at - start < 10:
             raise MediaError("netpbm header")
         out.append(int(data[start:at]))
     return out, at
 
 
+def plain_samples(data: bytes, n: int, top: int) -> np.ndarray:
+    """n numbers of 0 to `top` in decimal, comments left out."""
+    found = COMMENT.sub(b" ", data).split()[:n]
+    if any(not x.isdigit() or len(x) > 9 for x in found):
+        raise MediaError("netpbm sample")
+    return np.array(found, dtype=np.int64)
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
     """P1 to P6; samples scaled to 0..255."""
     kind = data[1] - 48
@@ -66,9 +77,12 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if not n or not 0 < top < 65536:
         raise MediaError("netpbm size")
     if kind == 1:
-        flat = np.frombuffer(bytes(b for b in data[at:] if b in b"01"), np.uint8)[:n] - 48
+        drawn = b"".join(COMMENT.sub(b" ", data[at:]).split())[:n]
+        if drawn.strip(b"01"):
+            raise MediaError("netpbm sample")
+        flat = np.frombuffer(drawn, np.uint8) - 48
     elif kind in (2, 3):
-        flat = np.array(data[at:].split()[:n], dtype=np.int64)
+        flat = plain_samples(data[at:], n, top)
     elif kind == 4:
         stride = (width + 7) // 8
         raw = np.frombuffer(data, np.uint8, offset=at + 1)[: stride * height]
@@ -79,6 +93,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, np.uint8 if top < 256 else ">u2", count=min(n, (len(data) - at - 1) // (1 + (top > 255))), offset=at + 1)
     if flat.size < n:
         raise MediaError("netpbm data")
+    if flat.max() > top:
+        raise MediaError("netpbm sample")
     if bitmap:
         flat = 1 - flat
     if top != 255:
@@ -90,11 +106,14 @@ def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed BMP of 1, 4, 8, 24 or 32 bits; palettes resolved, grey palettes to one channel."""
     if len(data) < 54:
         raise MediaError("bmp header")
-    offset, size, width, height, _, bits, packed = struct.unpack_from("<I I i i H H I", data, 10)
+    offset, size, width, height, planes, bits, packed = struct.unpack_from("<I I i i H H I", data, 10)
     used = struct.unpack_from("<I", data, 46)[0]
     rows = abs(height)
-    if packed or bits not in (1, 4, 8, 24, 32) or width <= 0 or not rows:
+    # cores of 12 bytes hold other fields in other places
+    if size < 40 or planes != 1 or packed or bits not in (1, 4, 8, 24, 32) or width <= 0 or not rows:
         raise MediaError("bmp kind")
+    if offset < 14 + size or bits < 24 and used > 1 << bits:
+        raise MediaError("bmp header")
     stride = (width * bits + 31) // 32 * 4
     if len(data) < offset + stride * rows:
         raise MediaError("bmp data")
@@ -102,7 +121,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if bits >= 24:
         out = raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
     else:
-        palette = np.frombuffer(data, np.uint8, count=4 * (used or 1 << bits), offset=14 + size).reshape(-1, 4)[:, 2::-1]
+        palette = np.frombuffer(data[14 + size : offset], np.uint8)[: 4 * (used or 1 << bits)]
+        palette = palette[: len(palette) // 4 * 4].reshape(-1, 4)[:, 2::-1]
         if bits == 8:
             index = raw[:, :width]
         elif bits == 4:
@@ -111,7 +131,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
             index = np.unpackbits(raw, axis=1)[:, :width]
         if index.max(initial=0) >= len(palette):
             raise MediaError("bmp palette")
-        grey = (palette[:, 0] == palette[:, 1]).all() and (palette[:, 1] == palette[:, 2]).all()
+        grey = len(palette) and (palette[:, 0] == palette[:, 1]).all() and (palette[:, 1] == palette[:, 2]).all()
         out = palette[index][:, :, :1] if grey else palette[index]
     return out if height < 0 else out[::-1]
 
@@ -191,8 +211,10 @@ def media_tiles(df: DataFrame, id_col: str, content_col: str, tile: tuple[int, i
     def one(content: bytes | None) -> tuple:
         try:
             image = decode(content or b"")
-        except (MediaError, ValueError, struct.error) as e:
+        except MediaError as e:
             return (None, None, None, None, None, str(e)[:80])
+        except (ValueError, OverflowError, struct.error):
+            return (None, None, None, None, None, "malformed content")
         return (*image.shape, npy(area_resize(image, *tile)), difference_hash(image), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -293,6 +293,15 @@ def test_other_image_kinds():
     assert media_tiles.decode(b"P3 1 1 255 1 2 3").tolist() == [[[1, 2, 3]]]
     assert media_tiles.decode(b"P6 1 1 255\n\x01\x02\x03").tolist() == [[[1, 2, 3]]]
     assert media_tiles.decode(b"P5 1 1 65535\n\xff\xff")[:, :, 0].tolist() == [[255]]
+    assert media_tiles.decode(b"P1 2 1 # 0 0\n1 # 1\n0")[:, :, 0].tolist() == [[0, 255]]
+    wrong = [b"P2 1 1 255 99999999999999999999", b"P2 1 1 255 300", b"P2 1 1 255 -5", b"P2 2 1 100 255 1", b"P5 1 1 100\n\xff", b"P1 2 1\n1 2", b"P2 99999999999999999999 1 255 1", b"P2 1 1 255 x"]
+    core = bytearray(media_tiles.encode_bmp(np.zeros((2, 2), np.uint8)))
+    core[14] = 12
+    short = bytearray(media_tiles.encode_bmp(np.full((2, 2), 9, np.uint8)))
+    short[46:50] = (5).to_bytes(4, "little")
+    for bad in (*wrong, bytes(core), bytes(short)):
+        with pytest.raises(media_tiles.MediaError):
+            media_tiles.decode(bad)
     for bad in (b"", b"P5 1", b"P5 9 9 255\n1", b"GIF89a", b"BM" + b"\0" * 60):
         with pytest.raises((media_tiles.MediaError, ValueError)):
             media_tiles.decode(bad)
@@ -308,4 +317,8 @@ def test_media_rows(spark, odd):
     assert got[0].feature == got[1].feature and got[0].media_sha256 == got[1].media_sha256
     stored = media_tiles.text_media(odd)
     tiles = media_tiles.media_tiles(stored.unionByName(spark.createDataFrame([(77, 0, bytearray(b"junk"))], stored.schema)), "doc_id", "media").collect()
+    odd_content = spark.createDataFrame([(1, None), (2, bytearray()), (3, bytearray(b"P2 1 1 255 99999999999999999999")), (None, bytearray(b"P2 1 1 255 7"))], "doc_id bigint, media binary")
+    told = {r.doc_id: r for r in media_tiles.media_tiles(odd_content, "doc_id", "media").collect()}
+    assert all(told[i].error and told[i].tile_npy is None for i in (1, 2, 3)) and told[None].error is None and told[None].height == 1
+    assert media_tiles.media_tiles(odd_content.limit(0), "doc_id", "media").count() == media_tiles.text_media_features(odd.limit(0)).count() == 0
     assert {r.doc_id for r in tiles if r.error} == {77} and all(bytes(r.tile_npy[:6]) == b"\x93NUMPY" for r in tiles if not r.error)
