@@ -117,8 +117,9 @@ FROM placed GROUP BY conv_id
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    -ln((CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
-      / (1 - CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#$%&*|!@^~<>{}\[\]\\]', '', 'g')) AS DOUBLE) / (length(coalesce(text, '')) + 1)) AS key
+    -ln((CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
+      / (1 - CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#$%&*|!@^~<>{}\[\]\\]', '', 'g')) AS DOUBLE) / (length(coalesce(text, '')) + 1)) AS key,
+    md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS digest
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
@@ -138,7 +139,7 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM goals
 ), ordered AS (
   SELECT doc_id, size, b.source_size, target, epochs, CAST(floor(target) AS BIGINT) - epochs * b.source_size
-    - coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+    - coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
   FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
 )
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, room)) AS BIGINT) AS taken FROM ordered

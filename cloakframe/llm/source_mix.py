@@ -9,12 +9,14 @@ counts the words that still fit.
 
 DataFrame functions only. The prefix sum runs over key ranges: words are summed by
 (source, range) before any shuffle, the edge range of each source is found from these
-sums, and only documents inside an edge range are ordered, so a source that holds a
-third of all rows never meets in one task.
+sums, and only documents inside an edge range are ordered, rows equal in id and text as
+one, so a source that holds a third of all rows never meets in one task.
 
 Defined results: null text has size 0; a null source is a source of its own, last in
 order; documents of size 0 take 0; sources of size 0 have target 0; repeated rows
-count as separate documents; an empty table gives no rows; extra columns are ignored.
+count as separate documents, and as many of them are taken as fit; null ids are drawn by
+their texts; an empty table gives no rows; extra columns are ignored by `mix` and kept by
+`mixed_documents`; very long texts count whole.
 """
 
 from __future__ import annotations
@@ -32,11 +34,15 @@ WEIGHTS = (5, 2, 1)
 
 
 def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *also: str) -> DataFrame:
-    """id, source, size, key and key range: from one scan of the texts; `also` names columns to keep."""
+    """id, source, size, key, digest and key range: from one scan of the texts; `also` names columns to keep.
+
+    Rows that agree in source, key, digest and size tie; they are rows equal in id and text.
+    """
     text = text_or_empty(text_col)
     marks = F.length(text) - F.length(F.translate(text, MARKS, ""))
     quality = 1 - marks / (F.length(text) + 1)
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    # the text takes part, so that rows without ids or with repeated ones are drawn apart
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text)))
     # 52 bits of the digest, moved off 0 and 1
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     return df.select(
@@ -44,6 +50,7 @@ def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str,
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
         (-F.log(u) / quality).alias("key"),
+        digest.alias("digest"),
         *also,
     ).withColumn("key_range", F.least(F.floor((1 - F.exp(-F.col("key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
 
@@ -89,11 +96,33 @@ def budgets(rows: DataFrame, share_percent: int, cap: int, weights: tuple[int, .
     return durable(edge.select("s", "source_size", "target", "epochs", "budget", F.col("edge.key_range").alias("edge_range"), F.col("edge.before").alias("edge_before")))
 
 
-def inside_edge(placed: DataFrame) -> DataFrame:
-    """The rows of edge ranges with `ahead`, the words of their source's fractional epoch before them."""
-    order = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+TIE = ("key", "digest", "size")
+
+
+def edge_ties(placed: DataFrame) -> DataFrame:
+    """source, key, digest, size, n and ahead of the ties inside edge ranges: how many rows, and the words of the fractional epoch before them."""
     inside = placed.where(F.col("key_range") == F.col("edge_range"))
-    return inside.withColumn("ahead", F.col("edge_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    ties = inside.groupBy("source", *TIE).agg(F.count("*").alias("n"), F.first("edge_before").alias("edge_before"), F.first("budget").alias("budget"))
+    order = Window.partitionBy("source").orderBy(*TIE).rowsBetween(Window.unboundedPreceding, -1)
+    return ties.withColumn("ahead", F.col("edge_before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0)))
+
+
+def split_tie(rows: DataFrame) -> DataFrame:
+    """`rows` (in ties that the budget's edge divides) numbered from 0 within each tie as `nth`.
+
+    Numbers run inside the partitions of the stored rows, a small table carries the counts
+    of the partitions before, so a tie that a third of all rows share is spread.
+    """
+    named = rows.withColumn("mark", F.monotonically_increasing_id())
+    named = durable(named).withColumn("part", F.shiftright("mark", 33))
+    keys = ("source", *TIE)
+    sums = named.groupBy(*keys, "part").agg(F.count("*").alias("rows"))
+    over = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"), F.coalesce(F.sum("rows").over(over), F.lit(0)).alias("rows_before"))
+    inside = Window.partitionBy(*keys, "part").orderBy("mark")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "part")]
+    out = named.withColumn("in_part", F.row_number().over(inside) - 1).join(ahead, same)
+    return out.withColumn("nth", F.col("rows_before") + F.col("in_part"))
 
 
 def mix(
@@ -114,9 +143,16 @@ def mix(
     edge = budgets(rows, share_percent, cap, weights)
     placed = rows.join(by_size(edge), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     none = F.lit(0).cast("bigint")
-    whole = placed.where(F.col("key_range") != F.col("edge_range")).withColumn("extra", F.when(F.col("key_range") < F.col("edge_range"), F.col("size")).otherwise(none))
-    inside = inside_edge(placed).withColumn("extra", F.greatest(none, F.least(F.col("size"), F.col("budget") - F.col("ahead")))).drop("ahead")
-    both = whole.unionByName(inside)
+    # per source, the last tie of which anything fits: what comes before is taken whole
+    fits = edge_ties(placed).where(F.col("ahead") < F.col("budget"))
+    last = fits.groupBy("source").agg(F.max(F.struct(*TIE)).alias("last"), F.max("ahead").alias("ahead")).withColumnRenamed("source", "t")
+    told = placed.join(by_size(durable(last)), F.col("source").eqNullSafe(F.col("t")), "left").drop("t")
+    here, inside = F.struct(*TIE), F.col("key_range") == F.col("edge_range")
+    at_edge = F.coalesce(inside & (here == F.col("last")), F.lit(False))
+    taken = (F.col("key_range") < F.col("edge_range")) | (inside & F.coalesce(here < F.col("last"), F.lit(False)))
+    whole = told.where(~at_edge).withColumn("extra", F.when(taken, F.col("size")).otherwise(none))
+    tied = split_tie(told.where(at_edge)).withColumn("extra", F.greatest(none, F.least(F.col("size"), F.col("budget") - F.col("ahead") - F.col("nth") * F.col("size"))))
+    both = whole.select(*placed.columns, "extra").unionByName(tied.select(*placed.columns, "extra"))
     return both.select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
@@ -141,17 +177,29 @@ def mixed_documents(
     """`df` with every row as often as the mix takes it, whole: never cut at a budget's edge.
 
     The document at the edge of a fractional epoch is taken if at least half of it
-    fits. Each source's choice is one last key, so texts are not shuffled.
+    fits; of rows that tie there, as many as fit. Each source's choice is one last tie
+    and a number, so texts are not shuffled, but for those of that tie.
     """
     rows = durable(sized(df, id_col, text_col, source_col, seed))
     edge = budgets(rows, share_percent, cap, weights)
     placed = rows.join(by_size(edge), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    fits = inside_edge(placed).where(2 * F.col("ahead") + F.col("size") <= 2 * F.col("budget"))
-    last = fits.groupBy("source").agg(F.max(F.struct("key", "id", "size")).alias("last")).withColumnRenamed("source", "t")
-    plan = durable(edge.join(last, F.col("s").eqNullSafe(F.col("t")), "left").select("s", "epochs", "edge_range", "last"))
-    drawn = sized(df.select(F.struct(*df.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(source_col).alias("__source")), "__id", "__text", "__source", seed, "__row")
-    here = F.struct("key", "id", "size")
-    taken = (F.col("key_range") < F.col("edge_range")) | ((F.col("key_range") == F.col("edge_range")) & F.coalesce(here <= F.col("last"), F.lit(False)))
+    # the c-th of a tie is taken if ahead + (c - 1/2) size is within the budget
+    fit = F.least(F.col("n"), F.floor((2 * (F.col("budget") - F.col("ahead")) + F.col("size")) / (2 * F.col("size"))))
+    fits = edge_ties(placed).withColumn("take", F.when(F.col("size") > 0, fit).otherwise(F.lit(0)).cast("bigint")).where("take > 0")
+    last = fits.groupBy("source").agg(F.max(F.struct(*TIE)).alias("last"), F.max_by(F.struct("take", "n"), F.struct(*TIE)).alias("cut")).withColumnRenamed("source", "t")
+    plan = durable(edge.join(last, F.col("s").eqNullSafe(F.col("t")), "left").select("s", "epochs", "edge_range", "last", "cut"))
+    whole_row = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    drawn = sized(df.select(whole_row, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(source_col).alias("__source")), "__id", "__text", "__source", seed, "__row")
+    told = drawn.join(by_size(plan), F.col("source").eqNullSafe(F.col("s")))
+    here, inside = F.struct(*TIE), F.col("key_range") == F.col("edge_range")
+    tie = inside & F.coalesce(here == F.col("last"), F.lit(False))
+    divided = tie & (F.col("cut.take") < F.col("cut.n"))
+    taken = (F.col("key_range") < F.col("edge_range")) | (inside & F.coalesce(here <= F.col("last"), F.lit(False)))
     copies = F.col("epochs") + F.when(taken, 1).otherwise(0)
-    out = drawn.join(by_size(plan), F.col("source").eqNullSafe(F.col("s"))).where(copies > 0)
-    return out.select("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).select("__row.*")
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("bigint"), n)).alias("__n")
+    plain = told.where(~divided & (copies > 0)).select("__row", times(copies))
+    # a tie that the edge divides: its rows are equal in id and text, and the first of them are taken once more
+    tied = split_tie(told.where(divided).select("source", *TIE, "epochs", F.col("cut.take").alias("take"), "__row"))
+    more = F.col("epochs") + F.when(F.col("nth") < F.col("take"), 1).otherwise(0)
+    out = plain.unionByName(tied.where(more > 0).select("__row", times(more)))
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns])

@@ -202,6 +202,39 @@ def test_mix_meets_targets(spark):
     assert source_mix.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [1, None])
+def test_ties_at_the_edge_take_as_many_as_fit(spark, doc_id):
+    """One document of 20 words repeated 50 times beside a source that leaves it a target of less."""
+    rows = [(doc_id, "w " * 20, "a", i) for i in range(50)] + [(100 + i, "v " * 7, "b", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, __row int")
+    for share in (20, 75, 110, 150):
+        got = source_mix.mix(docs, share_percent=share).where("source = 'a'").collect()
+        assert len(got) == 50 and abs(sum(r.taken for r in got) - got[0].target) <= 1 and all(0 <= r.taken <= 40 for r in got)
+        whole = source_mix.mixed_documents(docs, share_percent=share)
+        assert whole.columns == docs.columns
+        words = sum(len(r.text.split()) for r in whole.where("source = 'a'").collect())
+        assert abs(words - got[0].target) <= 10
+    assert source_mix.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_rows_without_ids_are_drawn_apart(spark):
+    docs = spark.createDataFrame([(None, f"w{i} " * (1 + i % 5), "a") for i in range(300)], "doc_id bigint, text string, source string")
+    rows = source_mix.sized(docs, "doc_id", "text", "source", "s").collect()
+    assert len({r.key_range for r in rows}) > 200
+    got = source_mix.mix(docs).collect()
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 1
+
+
+def test_mixed_query_equals_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(queries.OP10_SQL).fetchall())
+    got = sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in queries.op10_source_mix(spark, sf).collect())
+    assert [(w[0], w[1], w[2], w[4]) for w in want] == [(g[0], g[1], g[2], g[4]) for g in got]
+
+
 def test_classifier_holds_out_and_learns(spark, sf):
     docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
     out = quality_nbsvm.score(docs, quality_nbsvm.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
