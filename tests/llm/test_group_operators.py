@@ -161,9 +161,34 @@ def test_split_blocks_change_nothing(spark, monkeypatch):
     rows = [(i, list(map(float, base + rng.normal(size=8) * 0.05))) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     want = sorted(map(tuple, embedding_join.near_vectors(df).collect()))
-    monkeypatch.setattr(embedding_join, "HOME_BLOCK", 40)
-    monkeypatch.setattr(embedding_join, "MEMBER_BLOCK", 70)
+    monkeypatch.setattr(embedding_join, "BLOCK", 40)
     assert sorted(map(tuple, embedding_join.near_vectors(df).collect())) == want
+    monkeypatch.setattr(embedding_join, "PER_PIVOT", 20)
+    assert sorted(map(tuple, embedding_join.near_vectors(df).collect())) == want
+
+
+def test_many_cells_and_long_vectors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "PER_PIVOT", 16)
+    monkeypatch.setattr(embedding_join, "BLOCK", 8)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(25, 48))
+    vectors = np.array([c + rng.normal(size=48) * s for c in centres for s in (0.1, 0.2, 0.22, 0.25, 0.3, 0.5, 0.1, 0.22)])
+    close = (unit := vectors / np.linalg.norm(vectors, axis=1)[:, None]) @ unit.T >= 0.95
+    sets = Sets()
+    for a, b in np.argwhere(close):
+        sets.link(int(a), int(b))
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_join.near_vectors(df).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (close[i].sum() - 1, sets.top(i)) for i in range(len(vectors)))
+
+
+def test_vectors_of_any_length_and_size_link_with_their_own(spark):
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 0.0]), (4, [2e-200, 0.0]), (5, [1e-200, 0.0]), (6, [1e200, 0.0]), (7, [5e-324, 0.0]), (8, [1.0, 2.0, 1e-3]), (9, [-1.0, -2.0]), (None, [3.0, 6.0]), (2, [0.0, -1.0]), (10, [-0.0, 1.0]), (11, [0.0, 1.0]), (12, [7.0])]
+    got = sorted([tuple(r) for r in embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()], key=str)
+    want = [(1, 2, 1, True), (2, 2, 1, False), (None, 2, None, False), (3, 1, 3, True), (8, 1, 3, False), (4, 3, 4, True), (5, 3, 4, False), (6, 3, 4, False), (7, 3, 4, False), (9, 0, 9, True), (2, 0, 2, True), (10, 1, 10, True), (11, 1, 10, False), (12, 0, 12, True)]
+    assert got == sorted(want, key=str)
+    floats = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "vec_id bigint, embedding array<float>")
+    assert {r.n_links for r in embedding_join.near_vectors(floats).collect()} == {1}
 
 
 def test_mix_meets_targets(spark):
