@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
+import sys
 from collections.abc import Callable
+from pathlib import Path
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +42,7 @@ def op3_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
         said.alias("text"),
     )
-    return chat_format.conversation_digest(chat_format.format_turns(conversations.unionByName(probe)))
+    return chat_format.conversation_digest(chat_format.format_blocks(conversations.unionByName(probe)))
 
 
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +75,17 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
+def pipeline() -> ModuleType:
+    """corpus_pipeline.py at the top of the repository, whatever the working directory."""
+    name = "corpus_pipeline"
+    if name not in sys.modules:
+        spec = importlib.util.spec_from_file_location(name, Path(__file__).resolve().parents[2] / f"{name}.py")
+        sys.modules[name] = module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+    return sys.modules[name]
+
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_sentencepiece_scan,
         op2_secret_ledger,
@@ -86,7 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_media_tiles,
         op10_source_mix,
     ]
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline().run}
 
 
 OP3_SQL = r"""
@@ -103,7 +115,7 @@ WITH said AS (
 ), placed AS (
   SELECT *, row_number() OVER w AS n, sum(length(segment)) OVER w AS until
   FROM formatted
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, sha256(text) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -34,26 +35,56 @@ def test_chat_reads_back_whole_and_in_order(spark):
     rnd, said = random.Random(2), r"</s>[INST] ok [/INST]"
     rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (None, 0, None, None), (7, None, "assistant", r"[\INST] <\\/s> [ROLE]"), (7, 3, "[/ROLE]", "é😀<s>"), (8, 0, "user", "tail"), (7, 3, "[/ROLE]", "é😀<s>")]
     rows += [(9, i // 2, rnd.choice(["user", "assistant"]), f"t<s>{i}") for i in range(200)]
-    turns = chat_format.format_turns(spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, block int, segment string"))
-    got = {r.conv_id: r for r in chat_format.conversation_digest(turns).collect()}
-    key = lambda r: (str(r[0]), r[1] is None, r[1] or 0, r[2] or "", r[3] or "")
+    blocks = chat_format.format_blocks(spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, block int, segment string"))
+    got = {r.conv_id: r for r in chat_format.conversation_digest(blocks).collect()}
+    examples = sorted(chat_format.render_examples(blocks).collect(), key=lambda r: (str(r.conv_id), r.turn_no))
+    key = lambda r: (str(r[0]), r[1] is None, r[1] or 0, r[2] or "", hashlib.sha256((r[3] or "").encode()).hexdigest())
     for conv, group in itertools.groupby(sorted(rows, key=key), key=lambda r: r[0]):
         group = list(group)
         loss = "".join(t or "" for _, _, r, t in group if r == "assistant")
         assert got[conv].n_turns == len(group)
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in group).encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    examples = chat_format.render_examples(turns).where("conv_id = -1").collect()
-    assert len(examples) == 1 and chat_text(examples[0]) == said
-    total = sum(len(r.text) for r in chat_format.render_examples(turns).where("conv_id = 9").collect())
-    last = turns.where("conv_id = 9").agg({"example_chars": "max"}).first()[0] - turns.where("conv_id = 9 and trainable").agg({"example_chars": "max"}).first()[0]
-    assert got[9].formatted_chars == total + last
-    assert chat_format.format_turns(turns.sparkSession.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+        mine = [x for x in examples if x.conv_id == conv]
+        # every reply is one example: all turns before it as context, and only it under the loss
+        ends = [i for i, r in enumerate(group) if r[2] == "assistant"]
+        whole = [segment(*r[2:]) for r in group]
+        assert [x.text for x in mine] == ["".join(whole[: i + 1]) for i in ends] and [chat_text(x) for x in mine] == [group[i][3] or "" for i in ends]
+        assert got[conv].formatted_chars == sum(len(x.text) for x in mine) + sum(map(len, whole[ends[-1] + 1 if ends else 0 :]))
+    assert blocks.selectExpr("max(size(turns))").first()[0] <= chat_format.BLOCK
+    empty = chat_format.format_blocks(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))
+    assert chat_format.expand_examples(empty).count() == chat_format.conversation_digest(empty).count() == 0
+
+
+def segment(role: str | None, text: str | None) -> str:
+    hide = lambda t: re.sub(r"([<\[])(\\*)(/?(?:s>|INST\]|ROLE\]))", r"\1\\\2\3", t or "")
+    body = f"[INST] {hide(text)} [/INST]" if role == "user" else hide(text)
+    return f"<s>[ROLE]{hide(role)}[/ROLE]{body}</s>"
+
+
+def test_chat_of_hot_and_long_turns(spark):
+    """One conversation of many rows with null and equal turns, repeated rows and a very long text."""
+    rows = [(1, None, "assistant", f"x{i % 50}") for i in range(400)] + [(1, 5, "user", "same")] * 300 + [(2, 0, "user", "q"), (2, 1, "assistant", "é" * 1_000_000)]
+    blocks = chat_format.format_blocks(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5))
+    got = {r.conv_id: r for r in chat_format.conversation_digest(blocks).collect()}
+    order = sorted(rows[:700], key=lambda r: (r[1] is None, r[2], hashlib.sha256(r[3].encode()).hexdigest()))
+    assert got[1].n_turns == 700 and got[1].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in order).encode()).hexdigest()
+    assert got[1].loss_sha256 == hashlib.sha256("".join(r[3] for r in order if r[2] == "assistant").encode()).hexdigest() and got[2].loss_chars == 1_000_000
+    assert blocks.selectExpr("max(size(turns))").first()[0] <= chat_format.BLOCK
 
 
 def chat_text(example) -> str:
     inside = example.text[example.loss_start : example.loss_end]
-    return inside.replace("<\\", "<").replace("[\\", "[")
+    return re.sub(r"([<\[])\\(\\*)(/?(?:s>|INST\]|ROLE\]))", r"\1\2\3", inside)
+
+
+def test_chat_query_equals_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    got = [tuple(r) for r in queries.op3_prefix_target_chat(spark, sf).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()]
+    assert sorted(got) == sorted(con.execute(queries.OP3_SQL).fetchall())
 
 
 def test_components_equal_union_find(spark):
