@@ -54,8 +54,10 @@ class Rule:
 BASE_KINDS = ("assign", "access", "hex")
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII, 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 0, 24),
+    # `[A-Z0-9]+` runs to the end of the run, so a match of under 20 characters never hides
+    # a longer one and the pattern may ask for the length itself; the same holds for hex runs
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
     # up to the matching end, or as far as lines of base64 go
     Rule(
         "private_key",
