@@ -19,6 +19,32 @@ def bounds(df: DataFrame, column: str, count: int = RANGES) -> list[float]:
     return sorted(set(found.stat.approxQuantile("v", [i / count for i in range(1, count)], 0.25 / count)))
 
 
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """The median of a numeric column (the mean of the middle two), null and NaN left out.
+
+    Values are counted by range first; only those of the one or two middle ranges are ordered.
+    """
+    values = df.select(F.col(f"`{column}`").cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
+    limits = bounds(values, "v")
+    rows = values.withColumn("r", range_of(F.col("v"), limits))
+    # one row a range
+    sums = sorted((x["r"], x["n"]) for x in rows.groupBy("r").agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in sums)
+    if not total:
+        return None
+    found = []
+    for rank in {(total - 1) // 2, total // 2}:
+        ahead = 0
+        for r, n in sums:
+            if rank < ahead + n:
+                break
+            ahead += n
+        upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        inside = rows.where(F.col("r") == r).withColumn("upto", F.sum("n").over(upto))
+        found.append(inside.where(F.col("upto") > rank - ahead).agg(F.min("v").alias("v")).first()["v"])
+    return sum(found) / len(found)
+
+
 def range_of(c: Column, limits: list[float]) -> Column:
     """How many bounds are at most c: found through the sorted bounds, in the JVM."""
     if not limits:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..functions.keys import as_key, key_columns, rate
 from ..functions.ranges import before, bounds, range_of
+from ..sources.shared import durable
 
-#: Reference rows to a block of the nearest-neighbour search.
-BLOCK = 4096
+#: Ranges of a nearest-neighbour search, and rows whose distances are held at one time.
+RANGES, STRIP = 256, 256
 
 
 def band(auc: Column) -> Column:
@@ -79,114 +82,171 @@ def longitudinal_linkage(earlier: DataFrame, later: DataFrame, quasi: list[str],
     return linkage_result(rows.join(alone, quasi).select((F.col(entity) == F.col("__e")).alias("correct")), rows)
 
 
+def matches_of(a: pa.Table, b: pa.Table, tolerances: list[float]) -> pa.Table:
+    """row, n (matches in this block, counted to two), entity (of a single match) of the rows of one block."""
+    rows, entities = a.column("row"), b.column("entity").to_pylist()
+    x, y = matrix(a.column("v")), matrix(b.column("v"))
+    n, one = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for at in range(0, len(x) if len(y) else 0, STRIP):
+        close = np.ones((len(x[at : at + STRIP]), len(y)), bool)
+        for i, t in enumerate(tolerances):
+            close &= np.abs(x[at : at + STRIP, i, None] - y[None, :, i]) <= t
+        n[at : at + STRIP], one[at : at + STRIP] = close.sum(axis=1), close.argmax(axis=1)
+    single = [entities[i] if k == 1 else None for i, k in zip(one, n, strict=True)]
+    return pa.table({"row": rows, "n": np.minimum(n, 2), "entity": pa.array(single, pa.string())})
+
+
 def fuzzy_longitudinal_linkage(earlier: DataFrame, later: DataFrame, categorical: list[str], tolerances: dict[str, float], entity: str) -> DataFrame:
     """As above with equality on categories and inclusive tolerances on numbers; nulls in numbers never match.
 
     A band join: the first positive tolerance sets bins, an earlier row meets the bins
-    beside its own; tolerance 0 is equality.
+    beside its own; tolerance 0 is equality. Bins are searched in blocks, the first block
+    of a bin first: rows with two matches need no more, so crowded bins make no pairs.
     """
     if not tolerances or any(t < 0 for t in tolerances.values()):
         raise ValueError("tolerances are 0 or more, for at least one column")
     binned = next((c for c, t in tolerances.items() if t > 0), None)
     number = lambda c: F.col(f"`{c}`").cast("double")
 
-    def side(df: DataFrame, tag: str) -> DataFrame:
+    def side(df: DataFrame) -> DataFrame:
         keys = [as_key(c).alias(f"k{i}") for i, c in enumerate(categorical)]
-        exact = [number(c).alias(f"x{i}") for i, (c, t) in enumerate(tolerances.items()) if t == 0]
-        values = [number(c).alias(f"{tag}{i}") for i, c in enumerate(tolerances)]
-        return df.select(*keys, *exact, *values, as_key(entity).alias(f"{tag}_entity"))
-
-    left = side(earlier, "a").withColumn("row", F.monotonically_increasing_id())
-    right = side(later, "b")
-    on = [*[f"k{i}" for i in range(len(categorical))], *[f"x{i}" for i, t in enumerate(tolerances.values()) if t == 0]]
-    if binned is not None:
-        i, t = list(tolerances).index(binned), tolerances[binned]
-        right = right.withColumn("bin", F.floor(F.col(f"b{i}") / t))
-        middle = F.floor(F.col(f"a{i}") / t)
-        left = left.withColumn("bin", F.explode(F.array(middle - 1, middle, middle + 1)))
-        on.append("bin")
-    close = F.lit(True)
-    for i, t in enumerate(tolerances.values()):
-        close = close & (F.abs(F.col(f"a{i}") - F.col(f"b{i}")) <= t)
-    pairs = left.join(right, on).where(close)
-    single = pairs.groupBy("row").agg(F.count("*").alias("n"), F.min((F.col("a_entity") == F.col("b_entity")).cast("int")).alias("c")).where("n = 1")
-    return linkage_result(single.select((F.col("c") == 1).alias("correct")), earlier)
-
-
-def nearest_distance(candidates: DataFrame, reference: DataFrame, columns: list[str], id_col: str) -> DataFrame:
-    """id, distance: Euclidean, from each candidate to its nearest reference row. Exact.
-
-    Reference rows are dealt over ranges of the first column and blocks of bounded size.
-    A candidate first searches one block of its own range; what it finds bounds which
-    other ranges can hold something nearer, and only those are searched.
+        exact = [(number(c) + 0.0).alias(f"x{i}") for i, (c, t) in enumerate(tolerances.items()) if t == 0]
+        sound = reduce(lambda a, b: a & b, [number(c).isNotNull() & ~F.isnan(number(c)) for c in tolerances])
+        middle = F.floor(number(binned) / tolerances[binned]) if binned is not None else F.lit(0).cast("bigint")
+        return df.where(sound).select(*keys, *exact, F.array(*map(number, tolerances)).alias("v"), as_key(entity).alias("entity"), middle.alias("bin"))
+
+    # a row's number must not change when a task is run again
+    left = durable(side(earlier).withColumn("row", F.monotonically_increasing_id()))
+    right = side(later)
+    on = [*[c for c in left.columns if c[0] in "kx"], "bin"]
+    beside = left.withColumn("bin", F.explode(F.array(*[F.col("bin") + i for i in ((-1, 0, 1) if binned is not None else (0,))])))
+    test = lambda a, b: matches_of(a, b, list(tolerances.values()))
+    fields = "row bigint, n bigint, entity string"
+    asked = beside.select(*on, "row", "v")
+    first = durable(blocks.meet(asked, right, on, test, fields, part="first"))
+    few = first.groupBy("row").agg(F.sum("n").alias("n")).where("n < 2").select("row")
+    rest = blocks.meet(asked.join(few, "row", "left_semi"), right, on, test, fields, part="rest")
+    found = first.unionByName(rest).groupBy("row").agg(F.sum("n").alias("n"), F.min("entity").alias("found")).where("n = 1")
+    single = found.join(left.select("row", "entity"), "row")
+    return linkage_result(single.select((F.col("entity") == F.col("found")).alias("correct")), earlier)
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    one = column.combine_chunks()
+    return one.flatten().to_numpy(zero_copy_only=False).reshape(len(one), -1) if len(one) else np.zeros((0, 1))
+
+
+def nearest_in(a: pa.Table, b: pa.Table) -> pa.Table:
+    """tag, v, d: for every asked vector the distance to its nearest in the other block, or what is known already."""
+    x, y = matrix(a.column("v")), matrix(b.column("v"))
+    d = a.column("u").to_numpy().copy()
+    for at in range(0, len(x) if len(y) else 0, STRIP):
+        apart = np.zeros((len(x[at : at + STRIP]), len(y)))
+        for i in range(x.shape[1]):
+            apart += (x[at : at + STRIP, i, None] - y[None, :, i]) ** 2
+        d[at : at + STRIP] = np.minimum(d[at : at + STRIP], np.sqrt(apart.min(axis=1)))
+    return pa.table({"tag": a.column("tag"), "v": a.column("v"), "d": d})
+
+
+def nearest_vectors(asked: DataFrame, reference: DataFrame) -> DataFrame:
+    """tag, v, d for the distinct `asked` (tag, p, v): the Euclidean distance to the nearest `reference` (tag, p, v) of the tag. Exact.
+
+    p, a component of v, orders the vectors of a tag in ranges. A vector first searches one
+    block of the range nearest to its own; what it finds bounds which ranges can hold something
+    nearer, and only those are searched. Both sides are dealt over blocks.
     """
-    limits = bounds(reference, columns[0])
-    vector = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
-    ref = reference.select(vector.alias("v")).distinct().withColumn("r", range_of(F.col("v")[0], limits))
-    # one row a range, at most 64: the blocks of each range
-    sizes = {x["r"]: 1 + x["n"] // BLOCK for x in ref.groupBy("r").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return candidates.select(id_col, F.lit(None).cast("double").alias("distance"))
-    blocks = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("r"))
-    ref = ref.withColumn("b", F.pmod(F.xxhash64("v"), blocks).cast("int"))
-    cand = candidates.select(F.col(id_col).alias("id"), vector.alias("v"))
-    here = range_of(F.col("v")[0], limits)
-    nearest_filled = F.element_at(F.create_map(*[F.lit(x) for i in range(len(limits) + 1) for x in (i, min(sizes, key=lambda r: (abs(r - i), r)))]), here)
-    first = cand.withColumn("r", nearest_filled).withColumn("b", F.lit(0)).withColumn("u", F.lit(float("inf")))
-
-    def search(asked: DataFrame) -> DataFrame:
-        both = asked.select("r", "b", "id", "v", "u").unionByName(ref.select("r", "b", F.lit(None).cast(asked.schema["id"].dataType).alias("id"), "v", F.lit(-1.0).alias("u")))
-
-        def nearest(group: pd.DataFrame) -> pd.DataFrame:
-            is_ref = (group["u"] < 0).to_numpy()
-            ask = group[~is_ref]
-            if not len(ask) or not is_ref.any():
-                return pd.DataFrame({"id": ask["id"], "v": ask["v"], "d": ask["u"]})
-            refs = np.stack(group["v"][is_ref].to_numpy())
-            found = [min(u, float(np.sqrt(((refs - np.asarray(v)) ** 2).sum(axis=1)).min())) for v, u in zip(ask["v"], ask["u"], strict=True)]
-            return pd.DataFrame({"id": ask["id"], "v": ask["v"], "d": found})
-
-        kind = asked.schema["id"].dataType.simpleString()
-        return both.groupBy("r", "b").applyInPandas(nearest, f"id {kind}, v array<double>, d double")
-
-    bounded = search(first)
-    edges = [float("-inf"), *limits, float("inf")]
-    spans = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(edges[r]).alias("lo"), F.lit(edges[r + 1]).alias("hi"), F.lit(n).alias("n")) for r, n in sorted(sizes.items())])
-    x = F.col("v")[0]
-    reach = F.filter(spans, lambda s: (s["lo"] <= x + F.col("d")) & (s["hi"] >= x - F.col("d")))
-    more = bounded.select("id", "v", F.col("d").alias("u"), F.explode(reach).alias("s")).select("id", "v", "u", F.col("s.r").alias("r"), F.explode(F.sequence(F.lit(0), F.col("s.n") - 1)).alias("b"))
-    found = search(more.where((F.col("b") > 0) | (F.col("r") != nearest_filled)))
-    return bounded.select("id", "d").unionByName(found.select("id", "d")).groupBy("id").agg(F.min("d").alias("distance")).withColumnRenamed("id", id_col)
-
-
-def pairwise_auc(scores: DataFrame, score_col: str, member_col: str) -> DataFrame:
-    """auc: P(member above holdout) + half P(tie), from counts by score and running sums over score ranges."""
-    counts = scores.where(F.col(score_col).isNotNull()).groupBy(F.col(score_col).cast("double").alias("s")).agg(F.count_if(F.col(member_col)).alias("m"), F.count_if(~F.col(member_col)).alias("h"))
+    ref = durable(reference.distinct())
+    # a list of at most RANGES numbers for each tag
+    per = F.least(F.lit(RANGES), 1 + F.floor(F.count("*") / blocks.BLOCK)).cast("int")
+    cuts = F.percentile_approx("p", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10_000))
+    tags = ref.groupBy("tag").agg(cuts.alias("cuts"), per.alias("n"))
+    thin = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.element_at("cuts", F.floor(i * RANGES / F.col("n")).cast("int"))))
+    tags = durable(tags.select("tag", F.when(F.col("n") > 1, thin).otherwise(F.array().cast("array<double>")).alias("limits")))
+    at = lambda df: df.join(F.broadcast(tags), "tag").withColumn("r", F.size(F.filter("limits", lambda b: b <= F.col("p"))))
+    held = at(ref).select("tag", "r", "v")
+    # one row a range: which there are, and where they begin and end
+    there = held.groupBy("tag").agg(F.array_sort(F.collect_set("r")).alias("there"))
+    ranges = durable(tags.join(there, "tag"))
+    mine = lambda df: df.join(F.broadcast(ranges), "tag").withColumn("own", F.size(F.filter("limits", lambda b: b <= F.col("p"))))
+    near = F.element_at(F.array_sort(F.transform("there", lambda r: F.struct(F.abs(r - F.col("own")).alias("o"), r.alias("r")))), 1)["r"]
+    first = mine(asked.distinct()).select("tag", near.alias("r"), "v", "p", F.lit(float("inf")).alias("u"))
+    fields = "tag int, v array<double>, d double"
+    told = durable(blocks.meet(first.select("tag", "r", "v", "u"), held, ["tag", "r"], nearest_in, fields, part="first"))
+    same = durable(blocks.meet(first.join(told.withColumnRenamed("d", "bound"), ["tag", "v"]).select("tag", "r", "v", F.col("bound").alias("u")), held, ["tag", "r"], nearest_in, fields, part="rest"))
+    best = told.unionByName(same).groupBy("tag", "v").agg(F.min("d").alias("u"))
+    open_ = mine(first.select("tag", "v", "p", F.col("r").alias("searched")).join(best, ["tag", "v"]))
+    low = lambda r: F.when(r == 0, F.lit(float("-inf"))).otherwise(F.try_element_at("limits", r))
+    high = lambda r: F.coalesce(F.try_element_at("limits", r + 1), F.lit(float("inf")))
+    reach = F.filter("there", lambda r: (r != F.col("searched")) & (low(r) <= F.col("p") + F.col("u")) & (high(r) >= F.col("p") - F.col("u")))
+    more = open_.select("tag", F.explode(reach).alias("r"), "v", "u")
+    found = blocks.meet(more, held, ["tag", "r"], nearest_in, fields)
+    return best.withColumnRenamed("u", "d").unionByName(found).groupBy("tag", "v").agg(F.min("d").alias("d"))
+
+
+def nearest_distance(candidates: DataFrame, reference: DataFrame, columns: list[str], id_col: str, approximate: float | None = None) -> DataFrame:
+    """id, distance: Euclidean, from each candidate to its nearest reference row; null if there is none.
+
+    Exact, unless `approximate`, a share of the reference rows (drawn by their digests), is
+    given: then distances are to the nearest of these.
+    """
+    vector = F.array(*[F.col(f"`{c}`").cast("double") + 0.0 for c in columns])
+    rows = candidates.select(F.col(id_col).alias("id"), F.lit(0).alias("tag"), vector.alias("v"))
+    held = reference.select(F.lit(0).alias("tag"), vector.alias("v"))
+    if approximate is not None:
+        held = held.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(approximate * 1_000_000))
+    with_p = lambda df: df.select("tag", F.col("v")[0].alias("p"), "v")
+    found = nearest_vectors(with_p(rows), with_p(held))
+    return rows.join(found, ["tag", "v"], "left").select(F.col("id").alias(id_col), F.col("d").alias("distance"))
+
+
+def pairwise_auc(scores: DataFrame, score_col: str, member_col: str, *by: str) -> DataFrame:
+    """auc (by the columns of `by`): P(member above holdout) + half P(tie), from counts by score and running sums over score ranges."""
+    counts = scores.where(F.col(score_col).isNotNull()).groupBy(*by, F.col(score_col).cast("double").alias("s")).agg(F.count_if(F.col(member_col)).alias("m"), F.count_if(~F.col(member_col)).alias("h"))
+    counts = durable(counts)
     rows = counts.withColumn("r", range_of(F.col("s"), bounds(counts, "s")))
-    ahead = before(rows, "r", F.sum("h"), "ahead")
-    inside = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = rows.withColumn("in", F.coalesce(F.sum("h").over(inside), F.lit(0))).join(ahead, "r")
-    out = below.agg(F.sum(F.col("m").cast("double") * (F.col("ahead") + F.col("in") + F.col("h") / 2)).alias("wins"), F.sum("m").alias("m"), F.sum("h").alias("h"))
-    return out.select(F.round(F.try_divide(F.col("wins"), F.col("m").cast("double") * F.col("h")), 6).alias("auc"))
+    ahead = before(rows, "r", F.sum("h"), "ahead", *by)
+    inside = Window.partitionBy(*by, "r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = rows.withColumn("in", F.coalesce(F.sum("h").over(inside), F.lit(0))).join(ahead, [*by, "r"])
+    out = below.groupBy(*by).agg(F.sum(F.col("m").cast("double") * (F.col("ahead") + F.col("in") + F.col("h") / 2)).alias("wins"), F.sum("m").alias("m"), F.sum("h").alias("h"))
+    return out.select(*by, F.round(F.try_divide(F.col("wins"), F.col("m").cast("double") * F.col("h")), 6).alias("auc"))
 
 
 def standardised(members: DataFrame, holdout: DataFrame, synthetic: DataFrame, columns: list[str], id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates (id, member, z...) and synthetic rows (z...): mean and population deviation of members and holdout, gaps filled by means."""
+    """Candidates (id, member, z) and synthetic rows (z): mean and population deviation of members and holdout, gaps filled by means."""
     number = lambda c: F.col(f"`{c}`").cast("double")
     both = members.select(id_col, *columns).withColumn("member", F.lit(True)).unionByName(holdout.select(id_col, *columns).withColumn("member", F.lit(False)))
     stats = both.agg(*[x for i, c in enumerate(columns) for x in (F.avg(number(c)).alias(f"m{i}"), F.stddev_pop(number(c)).alias(f"s{i}"))]).first()
-    z = [((F.coalesce(number(c), F.lit(stats[f"m{i}"])) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(columns)]
-    return both.select(F.struct(id_col, "member").alias("id"), "member", *z), synthetic.select(*z)
+    z = F.array(*[(F.coalesce(number(c), F.lit(stats[f"m{i}"])) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0) + 0.0 for i, c in enumerate(columns)]).alias("z")
+    return both.select(F.col(id_col).alias("id"), "member", z), synthetic.select(z)
+
+
+def ensemble_membership(members: DataFrame, holdout: DataFrame, synthetic: DataFrame, columns: list[str], id_col: str, largest: int = 2, most: int = 32) -> DataFrame:
+    """attack_no, columns, auc, interpretation for every subset, all in one search; `ensemble_summary` gives the largest and the median.
+
+    Each attack is a tag; the components that it leaves out are 0 on both sides.
+    """
+    names = list(dict.fromkeys(columns))
+    subsets = attack_subsets(names, largest, most)
+    rows, made = standardised(members, holdout, synthetic, names, id_col)
+    rows = durable(rows)
+    views = []
+    for i, subset in enumerate(subsets):
+        used = [names.index(c) for c in subset]
+        v = F.array(*[F.col("z")[k] if k in used else F.lit(0.0) for k in range(len(names))])
+        views.append(F.struct(F.lit(i).alias("tag"), F.col("z")[used[0]].alias("p"), v.alias("v")))
+    tagged = lambda df, *keep: df.select(*keep, F.explode(F.array(*views)).alias("t")).select(*keep, "t.*")
+    found = nearest_vectors(tagged(rows), tagged(made))
+    # nine places, so that equal distances tie whatever the last bits of a sum
+    scores = tagged(rows, "member").join(found, ["tag", "v"]).select("tag", (-F.round("d", 9)).alias("score"), "member")
+    labels = rows.sparkSession.createDataFrame([(i, ",".join(s)) for i, s in enumerate(subsets)], "tag int, columns string")
+    out = labels.join(pairwise_auc(scores, "score", "member", "tag"), "tag", "left")
+    return out.select(F.col("tag").alias("attack_no"), "columns", "auc", band(F.col("auc")).alias("interpretation"))
 
 
 def membership_auc(members: DataFrame, holdout: DataFrame, synthetic: DataFrame, columns: list[str], id_col: str) -> DataFrame:
     """auc, interpretation: whether members lie nearer to synthetic rows than holdout rows do."""
-    rows, made = standardised(members, holdout, synthetic, columns, id_col)
-    key = F.to_json(F.col("id"))
-    found = nearest_distance(rows.withColumn("key", F.concat(key, F.lit(""))), made, [f"z{i}" for i in range(len(columns))], "key")
-    # nine places, so that equal distances tie whatever the last bits of a sum
-    scores = found.select((-F.round("distance", 9)).alias("score"), F.get_json_object("key", "$.member").cast("boolean").alias("member"))
-    return pairwise_auc(scores, "score", "member").withColumn("interpretation", band(F.col("auc")))
+    return ensemble_membership(members, holdout, synthetic, columns, id_col, most=1).select("auc", "interpretation")
 
 
 def attack_subsets(columns: list[str], largest: int = 2, most: int = 32) -> list[list[str]]:
@@ -196,18 +256,7 @@ def attack_subsets(columns: list[str], largest: int = 2, most: int = 32) -> list
     return [*found[: most - 1], columns]
 
 
-def ensemble_membership(members: DataFrame, holdout: DataFrame, synthetic: DataFrame, columns: list[str], id_col: str, largest: int = 2, most: int = 32) -> DataFrame:
-    """attack_no, columns, auc, interpretation for every subset; `ensemble_summary` gives the largest and the median."""
-    out = None
-    for i, subset in enumerate(attack_subsets(columns, largest, most)):
-        one = membership_auc(members, holdout, synthetic, subset, id_col).select(F.lit(i).alias("attack_no"), F.lit(",".join(subset)).alias("columns"), "auc", "interpretation")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def ensemble_summary(attacks: DataFrame) -> DataFrame:
     """attacks, max_auc, median_auc, best_columns (the first of the largest)."""
     out = attacks.agg(F.count("*").alias("attacks"), F.max("auc").alias("max_auc"), F.round(F.median("auc"), 6).alias("median_auc"), F.max_by("columns", F.struct("auc", (-F.col("attack_no")).alias("o"))).alias("best_columns"))
     return out.withColumn("interpretation", band(F.col("max_auc")))
-
-

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..functions.keys import key_columns
+from ..functions.ranges import exact_median
+from ..sources.shared import durable
 from .profile import PROFILES, PrivacyProfile, free_text_columns, numeric_columns, role_of
 
+#: Rows whose distances are held at one time.
+STRIP = 256
 #: Codes of an audit, in their order.
 CODES = ("backend_not_approved", "profile_disallows_row_level", "exact_row_overlap", "identifier_overlap", "rare_quasi_overlap", "free_text_present", "near_copy_rate")
 
@@ -59,39 +66,59 @@ def rare_quasi_overlap(raw: DataFrame, syn: DataFrame, k: int, quasi: list[str]
     return counted(rare.join(key_columns(syn, shared).distinct(), shared, "left_semi"), "rare_quasi_overlap")
 
 
+def is_near(a: pa.Table, b: pa.Table, limit: float) -> pa.Table:
+    """id, near: for every row of a block whether one of the other block's is nearer than the limit."""
+    x, y = (np.stack(t.column("z").to_pylist()) if t.num_rows else np.zeros((0, 1)) for t in (a, b))
+    near = np.zeros(len(x), bool)
+    for at in range(0, len(x) if len(y) else 0, STRIP):
+        apart = np.zeros((len(x[at : at + STRIP]), len(y)))
+        for i in range(x.shape[1]):
+            apart += (x[at : at + STRIP, i, None] - y[None, :, i]) ** 2
+        near[at : at + STRIP] = (np.sqrt(apart) < limit).any(axis=1)
+    return pa.table({"id": a.column("id"), "near": near})
+
+
 def near_copy_rate(raw: DataFrame, syn: DataFrame, columns: list[str] | None = None, roles: dict[str, str] | None = None, sample: float | None = None, seed: int = 0) -> DataFrame:
     """near_copy_rate: the share of synthetic rows nearer to a source row than the threshold; null without columns.
 
     Exact: rows are binned by the threshold in up to three of the dimensions (those with
     most distinct values) and each synthetic row meets the source rows of its own and the
-    neighbouring bins only. Equal rows are joined once. `sample` takes a seeded share of
-    either side.
+    neighbouring bins only, in blocks: the first block of a bin first, others only for rows
+    that have no hit yet. Equal rows meet once. `sample` takes a seeded share of either side.
     """
     roles = roles or {}
     cols = columns or [c for c in numeric_columns(raw) if c in numeric_columns(syn) and roles.get(c, role_of(c)) != "identifier"]
     if not cols:
         return raw.sparkSession.range(1).select(F.lit(None).cast("double").alias("near_copy_rate"))
     number = lambda c: F.col(f"`{c}`").cast("double")
-    middle = raw.agg(*[F.percentile(number(c), 0.5).alias(str(i)) for i, c in enumerate(cols)], *[F.approx_count_distinct(number(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    filled = lambda c, i: F.coalesce(number(c), F.lit(middle[str(i)]))
+    gaps = lambda df: df.agg(*[F.count_if(number(c).isNull()).alias(str(i)) for i, c in enumerate(cols)]).first()
+    counts = raw.agg(*[F.approx_count_distinct(number(c)).alias(str(i)) for i, c in enumerate(cols)]).first()
+    lacking = [a or b for a, b in zip(gaps(raw), gaps(syn), strict=True)]
+    # medians only fill gaps
+    middle = [exact_median(raw, c) if n else None for c, n in zip(cols, lacking, strict=True)]
+    filled = lambda c, i: F.coalesce(number(c), F.lit(middle[i])) if lacking[i] else number(c)
     stats = raw.agg(*[x for i, c in enumerate(cols) for x in (F.avg(filled(c, i)).alias(f"m{i}"), F.stddev_pop(filled(c, i)).alias(f"s{i}"))]).first()
-    scaled = lambda df: df.select(*[((filled(c, i) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(cols)])
-    real, made = scaled(raw), scaled(syn)
+    z = F.array(*[(filled(c, i) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0) + 0.0 for i, c in enumerate(cols)]).alias("z")
+    real, made = raw.select(z), syn.select(z)
     if sample is not None:
-        pick = lambda df: df.where(F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1_000_000)) < int(sample * 1_000_000))
+        pick = lambda df: df.where(F.pmod(F.xxhash64(F.lit(seed), "z"), F.lit(1_000_000)) < int(sample * 1_000_000))
         real, made = pick(real), pick(made)
     limit = max(0.05 * math.sqrt(len(cols)), 0.05)
-    binned = sorted(range(len(cols)), key=lambda i: -middle[f"d{i}"])[:3]
-    bin_of = lambda i: F.floor(F.col(f"z{i}") / limit)
-    real = real.distinct().select(F.array(*[f"z{i}" for i in range(len(cols))]).alias("r"), *[bin_of(i).alias(f"b{i}") for i in binned])
-    made = made.groupBy(*made.columns).agg(F.count("*").alias("n")).withColumn("id", F.xxhash64(*made.columns))
-    near = made.select("n", "id", F.array(*[f"z{i}" for i in range(len(cols))]).alias("m"), *[bin_of(i).alias(f"c{i}") for i in binned])
+    binned = sorted(range(len(cols)), key=lambda i: -counts[str(i)])[:3]
+    bins = [f"b{i}" for i in binned]
+    real = real.distinct().withColumns({f"b{i}": F.floor(F.col("z")[i] / limit) for i in binned})
+    made = durable(made.groupBy("z").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    beside = made.select("id", "z")
     for i in binned:
-        near = near.withColumn(f"b{i}", F.explode(F.array(F.col(f"c{i}") - 1, F.col(f"c{i}"), F.col(f"c{i}") + 1)))
-    apart = F.aggregate(F.zip_with("m", "r", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    hits = near.join(real, [f"b{i}" for i in binned]).where(F.sqrt(apart) < limit).select("m", "n").distinct()
-    total = made.agg(F.sum("n").alias("all"))
-    return hits.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("near")).crossJoin(total).select(F.when(F.col("all") > 0, F.round(F.col("near") / F.col("all"), 6)).alias("near_copy_rate"))
+        bin_ = F.floor(F.col("z")[i] / limit)
+        beside = beside.withColumn(f"b{i}", F.explode(F.array(bin_ - 1, bin_, bin_ + 1)))
+    test = lambda a, b: is_near(a, b, limit)
+    first = durable(blocks.meet(beside.select(*bins, "id", "z"), real, bins, test, "id bigint, near boolean", part="first"))
+    todo = first.groupBy("id").agg(F.bool_or("near").alias("near")).where("not near").select("id")
+    rest = blocks.meet(beside.join(todo, "id", "left_semi").select(*bins, "id", "z"), real, bins, test, "id bigint, near boolean", part="rest")
+    near = first.unionByName(rest).where("near").select("id").distinct()
+    out = made.join(near.withColumn("hit", F.lit(1)), "id", "left").agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).alias("near"))
+    return out.select(F.when(F.col("all") > 0, F.round(F.col("near") / F.col("all"), 6)).alias("near_copy_rate"))
 
 
 def audit_release(raw: DataFrame, syn: DataFrame, approved: bool = False, profile: PrivacyProfile = PROFILES["research"], quasi: list[str] | None = None, roles: dict[str, str] | None = None) -> DataFrame:
@@ -108,5 +135,3 @@ def audit_release(raw: DataFrame, syn: DataFrame, approved: bool = False, profil
     flags = (F.lit(not approved), F.lit(not profile.row_level_allowed), F.col("exact_row_overlap") > 0, F.col("identifier_overlap") > 0, F.col("rare_quasi_overlap") > 0, F.size("free_text_columns") > 0, F.coalesce(F.col("near_copy_rate") > profile.max_near_copy, F.lit(False)))
     codes = F.array_compact(F.array(*[F.when(f, F.lit(c)) for f, c in zip(flags, CODES, strict=True)]))
     return one.withColumn("backend_approved", F.lit(approved)).withColumn("reason_codes", codes).withColumn("passed", F.size("reason_codes") == 0)
-
-

@@ -43,19 +43,47 @@ def describe_numeric(df: DataFrame, profile: PrivacyProfile = RESEARCH, roles: d
 
 
 def correlation_matrix(df: DataFrame, profile: PrivacyProfile = RESEARCH, roles: dict[str, str] | None = None) -> DataFrame:
-    """a, b, correlation (pairwise complete, rounded to 6, null if undefined) for all pairs a <= b, from one aggregate."""
+    """a, b, correlation (pairwise complete, rounded to 6, null if undefined) for all pairs a <= b.
+
+    One pass takes means and extrema, a second sums of products of centred values. Only
+    pairs with a column that has gaps sum over the rows that both have.
+    """
     columns = safe_columns(df, roles)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]] if len(columns) > 1 else []
-
-    def corr(a: str, b: str):
-        x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        sd = lambda v: F.stddev_pop(F.when(both, v))
-        return F.try_divide(F.covar_pop(x, y), sd(x) * sd(y))
-
-    row = df.agg(F.count("*").alias("n"), *[corr(a, b).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
-    guarded(df, row["n"], profile.min_dataset)
-    found = [(a, b, None if row[str(i)] is None else round(row[str(i)], 6)) for i, (a, b) in enumerate(pairs)]
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    at = {c: i for i, c in enumerate(columns)}
+    first = df.agg(F.count("*").alias("n"), *[x for c, i in at.items() for x in (F.count(value(c)).alias(f"n{i}"), F.avg(value(c)).alias(f"m{i}"), F.min(value(c)).alias(f"lo{i}"), F.max(value(c)).alias(f"hi{i}"))]).first()
+    n = first["n"]
+    guarded(df, n, profile.min_dataset)
+    whole = {c: first[f"n{i}"] == n for c, i in at.items()}
+    constant = {c: first[f"lo{i}"] == first[f"hi{i}"] for c, i in at.items()}
+    centred = {c: value(c) - F.lit(first[f"m{i}"]) for c, i in at.items()}
+    sums = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = centred[a], centred[b]
+        if whole[a] and whole[b]:
+            sums.append(F.sum(x * y).alias(f"xy{i}"))
+        elif not constant[a] and not constant[b]:
+            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+            of = {"xy": F.sum(x * y), "x": F.sum(x), "y": F.sum(y), "xx": F.sum(x * x), "yy": F.sum(y * y), "n": F.count(x), "dx": F.max(x) - F.min(x), "dy": F.max(y) - F.min(y)}
+            sums += [v.alias(f"{k}{i}") for k, v in of.items()]
+    row = df.agg(F.lit(0), *sums).first()
+    own = {pair: i for i, pair in enumerate(pairs)}
+
+    def corr(i: int, a: str, b: str) -> float | None:
+        if constant[a] or constant[b]:
+            return None
+        if whole[a] and whole[b]:
+            xy, xx, yy = row[f"xy{i}"], row[f"xy{own[a, a]}"], row[f"xy{own[b, b]}"]
+        else:
+            of = {k: row[f"{k}{i}"] for k in ("xy", "x", "y", "xx", "yy", "n", "dx", "dy")}
+            if not of["n"] or not of["dx"] or not of["dy"]:
+                return None
+            xy, xx, yy = of["xy"] - of["x"] * of["y"] / of["n"], of["xx"] - of["x"] ** 2 / of["n"], of["yy"] - of["y"] ** 2 / of["n"]
+        # a square may vanish beside the spread of other columns
+        return round(xy / math.sqrt(xx * yy), 6) if xx > 0 and yy > 0 else None
+
+    found = [(a, b, corr(i, a, b)) for i, (a, b) in enumerate(pairs)]
     return df.sparkSession.createDataFrame(found, "a string, b string, correlation double")
 
 

@@ -8,6 +8,7 @@ from itertools import product
 
 import pytest
 
+from cloakframe.functions import blocks
 from cloakframe.operators import attacks, audit, experiments, synth
 from cloakframe.operators.profile import PrivacyProfile
 
@@ -107,7 +108,7 @@ def test_fuzzy_linkage_is_a_band_join(spark):
 
 @pytest.mark.parametrize("columns", [["a"], ["a", "b"], ["b", "a", "c"]])
 def test_nearest_distance_by_brute_force(spark, columns, monkeypatch):
-    monkeypatch.setattr(attacks, "BLOCK", 7)
+    monkeypatch.setattr(blocks, "BLOCK", 7)
     rnd = random.Random(2)
     made = lambda n, at: [(i, rnd.gauss(at, 3), float(rnd.randrange(3)), rnd.random()) for i in range(n)]
     left, right = made(60, 0), made(90, 1)

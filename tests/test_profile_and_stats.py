@@ -50,6 +50,27 @@ def test_correlation_of_a_constant_is_null(spark):
     assert got[("a", "b")] == 1.0 and got[("a", "c")] is None and len(got) == 6
 
 
+def test_correlations_with_gaps_equal_numpy(spark):
+    rnd = random.Random(2)
+    rows = [tuple(None if rnd.random() < g else rnd.gauss(1e6, 1) + i * 0.01 for g in (0, 0, 0.2, 0.3)) + (None,) for i in range(200)]
+    got = {(r.a, r.b): r.correlation for r in stats.correlation_matrix(spark.createDataFrame(rows, "a double, b double, c double, d double, e double")).collect()}
+    v = np.array([r[:4] for r in rows], float)
+    for i, j in ((0, 1), (0, 2), (2, 3), (2, 2), (0, 0)):
+        both = ~np.isnan(v[:, i]) & ~np.isnan(v[:, j])
+        assert abs(got[("abcd"[i], "abcd"[j])] - np.corrcoef(v[both, i], v[both, j])[0, 1]) < 1e-5
+    assert got[("a", "e")] is None and got[("e", "e")] is None
+
+
+def test_medians(spark):
+    from cloakframe.functions import ranges
+
+    rnd = random.Random(3)
+    for n in (1, 2, 7, 300, 301):
+        values = [float(rnd.randrange(n)) for _ in range(n)]
+        assert ranges.exact_median(spark.createDataFrame([(v,) for v in [*values, None]], "x double"), "x") == np.median(values)
+    assert ranges.exact_median(spark.createDataFrame([(None,)], "x double"), "x") is None
+
+
 def test_small_groups_are_left_out(spark):
     df = spark.createDataFrame([("A", i) for i in range(4)] + [("B", i) for i in range(6)], "group string, score int")
     assert [(r.group, r.n) for r in stats.group_summary(df, "group", "score").collect()] == [("B", 6)]
