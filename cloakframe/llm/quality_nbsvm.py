@@ -36,6 +36,8 @@ from .common import Remembered, map_texts
 #: Hashed features, and the bound on labelled rows that the fit uses.
 BUCKETS = 1 << 18
 SAMPLE = 8000
+#: Bytes of words, and of runs of shapes, that a task remembers.
+WORDS = 32 << 20
 FOLDS, HELD_OUT = 3, 1
 SMOOTHING, COST, EPOCHS, STEEPNESS = 1.0, 1.0, 12, 4.0
 RUNS = re.compile(r"[^\W\d_]+|\d+")
@@ -49,22 +51,24 @@ def held_out(id_col: str):
 def shape(word: str) -> str:
     """Letters and digits by runs: X for capitals, Xx for a capital first, x, 0; punctuation stays."""
 
-    def mark(m: re.Match) -> str:
-        run = m[0]
-        if run[0].isdigit():
-            return "0"
-        if len(run) > 1 and run.isupper():
-            return "X"
-        return "Xx" if run[0].isupper() else "x"
+    if word.isalpha():
+        return run_mark(word)
+    return RUNS.sub(lambda m: run_mark(m[0]), word)
 
-    return RUNS.sub(mark, word)
+
+def run_mark(run: str) -> str:
+    if run[0].isdigit():
+        return "0"
+    if len(run) > 1 and run.isupper():
+        return "X"
+    return "Xx" if run[0].isupper() else "x"
 
 
 class Features:
     """The hashed indicators of a text; the memory of words seen is bounded by their bytes."""
 
     def __init__(self) -> None:
-        self.words, self.grams = Remembered(16 << 20), Remembered(16 << 20)
+        self.words, self.grams = Remembered(WORDS), Remembered(WORDS)
 
     def word(self, w: str) -> tuple[int, str]:
         marks = shape(w)
