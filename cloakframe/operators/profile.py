@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,27 +31,30 @@ class PrivacyProfile:
 PROFILES = {p.name: p for p in (PrivacyProfile("research", 10, 5, 5, 0.02), PrivacyProfile("clinical", 30, 10, 10, 0.01), PrivacyProfile("enterprise", 20, 10, 10, 0.015))}
 
 
-def role_of(name: str, free_text: bool = False) -> str:
-    """The role a column's name (and its length statistics) give it."""
-    text = name.lower().strip()
-    hit = lambda patterns: any(re.search(p, text, re.IGNORECASE) for p in patterns)
-    if hit(P.IDENTIFIER_NAMES):
-        return "identifier"
-    if free_text:
-        return "free_text"
-    if hit(P.QUASI_NAMES):
-        return "quasi_identifier"
-    return "sensitive" if hit(P.SENSITIVE_NAMES) else "general"
+#: The rules by name, in the order in which they decide.
+NAME_RULES = (("identifier", P.IDENTIFIER_NAMES), ("quasi_identifier", P.QUASI_NAMES), ("sensitive", P.SENSITIVE_NAMES))
 
 
-def classify_columns(df: DataFrame) -> DataFrame:
-    """name, role, strategy by column name alone, computed over the schema as a table."""
-    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")
+def roles_of(names: DataFrame, long: Column | None = None) -> DataFrame:
+    """`names` (name, ...) with role and strategy; `long` says which columns hold free text, which comes after identifiers."""
     low = F.lower(F.trim("name"))
-    hit = lambda patterns: F.greatest(*[low.rlike(p) for p in patterns], F.lit(False))
-    role = F.when(hit(P.IDENTIFIER_NAMES), "identifier").when(hit(P.QUASI_NAMES), "quasi_identifier").when(hit(P.SENSITIVE_NAMES), "sensitive").otherwise("general")
+    fits = [F.when(F.exists(F.array(*map(F.lit, patterns)), lambda p: F.rlike(low, p)), role) for role, patterns in NAME_RULES]
+    if long is not None:
+        fits.insert(1, F.when(long, "free_text"))
     strategy = F.create_map(*[F.lit(x) for kv in STRATEGY.items() for x in kv])
-    return names.withColumn("role", role).withColumn("strategy", strategy[F.col("role")])
+    return names.withColumn("role", F.coalesce(*fits, F.lit("general"))).withColumn("strategy", strategy[F.col("role")])
+
+
+def classify_columns(df: DataFrame) -> DataFrame:
+    """name, role, strategy by column name alone, computed over the schema as a table."""
+    return roles_of(df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string"))
+
+
+@lru_cache(maxsize=4096)
+def role_of(name: str) -> str:
+    """The role of one column's name, where a plan has to know it; as classify_columns gives it."""
+    spoken = name.strip().lower()
+    return next((role for role, patterns in NAME_RULES if re.compile("|".join(f"(?:{p})" for p in patterns)).search(spoken)), "general")
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -77,26 +81,26 @@ def free_text_columns(df: DataFrame) -> DataFrame:
     return out.withColumn("free_text", F.coalesce((F.col("mean_length") > 60) | (F.col("p90_length") > 160), F.lit(False)))
 
 
-def profile_table(df: DataFrame) -> DataFrame:
-    """name, dtype, role, strategy, non_null, unique, unique_ratio for every column, from one pass of aggregates."""
+def profile_table(df: DataFrame, approximate: float | None = None) -> DataFrame:
+    """name, dtype, role, strategy, non_null, unique, unique_ratio for every column, from one pass of aggregates.
+
+    Exact distinct counts shuffle the distinct values of every column; `approximate`, a
+    relative error, counts by sketches instead, which wide or large tables need.
+    """
     texts = string_columns(df)
     values = []
     for c in df.columns:
         col = F.col(f"`{c}`")
-        values += [F.count(col).alias(f"non_null__{c}"), F.count_distinct(col).alias(f"unique__{c}")]
+        unique = F.count_distinct(col) if approximate is None else F.approx_count_distinct(col, approximate)
+        values += [F.count(col).alias(f"non_null__{c}"), unique.alias(f"unique__{c}")]
         size = F.length(col) if c in texts else F.lit(None).cast("int")
         values += [F.avg(size).alias(f"mean_length__{c}"), F.percentile(size, 0.9).alias(f"p90_length__{c}")]
     fields = {"non_null": "bigint", "unique": "bigint", "mean_length": "double", "p90_length": "double"}
     out = unpivoted(df.agg(*values), df.columns, fields)
-    long = F.coalesce((F.col("mean_length") > 60) | (F.col("p90_length") > 160), F.lit(False))
-    by_name = {c: (role_of(c), role_of(c, True)) for c in df.columns}
-    table = F.create_map(*[F.lit(x) for c, (plain, _) in by_name.items() for x in (c, plain)])
-    text_table = F.create_map(*[F.lit(x) for c, (_, text) in by_name.items() for x in (c, text)])
     kinds = F.create_map(*[F.lit(x) for c, t in df.dtypes for x in (c, t)])
-    strategy = F.create_map(*[F.lit(x) for kv in STRATEGY.items() for x in kv])
-    out = out.withColumn("role", F.when(long, text_table[F.col("name")]).otherwise(table[F.col("name")]))
+    out = roles_of(out, F.coalesce((F.col("mean_length") > 60) | (F.col("p90_length") > 160), F.lit(False)))
     ratio = F.round(F.col("unique") / F.greatest(F.col("non_null"), F.lit(1)), 6)
-    return out.select("name", kinds[F.col("name")].alias("dtype"), "role", strategy[F.col("role")].alias("strategy"), "non_null", "unique", ratio.alias("unique_ratio"))
+    return out.select("name", kinds[F.col("name")].alias("dtype"), "role", "strategy", "non_null", "unique", ratio.alias("unique_ratio"))
 
 
 def role_counts(profile: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.keys import tree_digest
 from .pii import scan_table
 from .profile import PROFILES, PrivacyProfile, drop_identifiers
 from .stats import GuardError, aggregate_pii_guard, describe_numeric, release_safe_describe
@@ -173,7 +174,6 @@ def verify_artifacts(manifest: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def set_digest(artifacts: DataFrame) -> DataFrame:
-    """set_sha256 over all artifacts in the order of their paths, by way of 256 part digests."""
+    """set_sha256: one digest over the set of (path, sha256, bytes), whatever their order; see keys.tree_digest."""
     line = F.concat_ws("\0", "path", "sha256", F.col("bytes").cast("string"))
-    parts = artifacts.groupBy(F.substring(F.sha2("path", 256), 1, 2).alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("p", "d"))), "\n"), 256).alias("set_sha256"))
+    return artifacts.sparkSession.createDataFrame([(tree_digest(artifacts, line),)], "set_sha256 string")

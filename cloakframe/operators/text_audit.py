@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from ..functions.keys import rate
 from ..functions.lazy import vectorised
 from . import pii as pii_ops
 
+#: What is neither a letter nor a digit; characters of a pair that are compared in one place; hashes to a batch.
+NO_LETTER, LONG, PIECE = re.compile(r"[\W_]+"), 8_000_000, 100_000
 GATE = ("direct_pii_detected", "source_number_reuse", "character_ngram_reuse", "distinctive_token_reuse", "output_too_short")
 
 
@@ -38,43 +43,101 @@ def folded(c: Column, ascii_only: bool = False) -> Column:
     return F.lower(c) if ascii_only else compatibility_lower(c)
 
 
+def plain_text(text: str | None) -> str:
+    """NFKC, lower case, letters and digits only."""
+    text = text or ""
+    return NO_LETTER.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
+
+
+def ngram_hashes(plain: str, size: int) -> np.ndarray:
+    """A 64-bit hash of every run of `size` characters, from hashes of runs half as long: linear in the text."""
+    if len(plain) < size:
+        return np.zeros(0, np.uint64)
+    points = np.frombuffer(plain.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        # characters are scattered first, so that runs of near characters stay apart
+        one = (points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        one ^= one >> np.uint64(29)
+        power, step = one, np.uint64(0xD6E8FEB86659FD93)
+        out, taken, width = None, 0, 1
+        while taken < size:
+            if size & width:
+                # the runs so far, and the runs of this width that follow them
+                tail = power[taken:]
+                out = tail.copy() if out is None else out[: len(tail)] * step + tail[: len(out)]
+                taken += width
+            longer = power[: max(len(power) - width, 0)] * step + power[width:]
+            power, step, width = longer ^ (longer >> np.uint64(31)), step * step + np.uint64(2), width * 2
+    return out[: len(plain) - size + 1]
+
+
 def ngram_reuse_udf(size: int):
     if size < 8:
         raise ValueError("n-grams have 8 characters or more")
 
     @vectorised("struct<reused:bigint,total:bigint>")
     def count(source: pd.Series, output: pd.Series) -> pd.DataFrame:
-        def plain(t: str | None) -> str:
-            return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", t or "").lower()))
-
         rows = []
-        for s, o in zip(map(plain, source), map(plain, output), strict=True):
-            grams = {s[i : i + size] for i in range(len(s) - size + 1)}
-            total = max(0, len(o) - size + 1)
-            rows.append((sum(o[i : i + size] in grams for i in range(total)), total))
+        for s, o in zip(source, output, strict=True):
+            said = ngram_hashes(plain_text(o), size)
+            held = np.unique(ngram_hashes(plain_text(s), size)) if len(said) else said
+            rows.append((int(np.isin(said, held).sum()), len(said)))
         return pd.DataFrame(rows, columns=["reused", "total"])
 
     return count
 
 
-def char_ngram_reuse(df: DataFrame, id_col: str, source_col: str, output_col: str, size: int = 32) -> DataFrame:
-    """id, reused_ngrams, output_ngrams, ngram_reuse_rate over positions of the output."""
-    out = df.select(id_col, ngram_reuse_udf(size)(F.col(source_col), F.col(output_col)).alias("n"))
-    return out.select(id_col, F.col("n.reused").alias("reused_ngrams"), F.col("n.total").alias("output_ngrams"), rate(F.col("n.reused"), F.col("n.total")).alias("ngram_reuse_rate"))
+def long_ngram_reuse(df: DataFrame, id_col: str, source_col: str, output_col: str, size: int) -> DataFrame:
+    """id, reused_ngrams, output_ngrams of very long texts: hashes become rows, in pieces, and are joined by (id, hash)."""
+    if size < 8:
+        raise ValueError("n-grams have 8 characters or more")
+    sides = df.select(F.col(id_col).alias("__id"), F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col(source_col).alias("text")), F.struct(F.lit(1).alias("side"), F.col(output_col).alias("text")))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, side, text in zip(b.column("__id"), b.column("side"), b.column("text"), strict=True):
+                hashes = ngram_hashes(plain_text(text.as_py()), size).view(np.int64)
+                for at in range(0, len(hashes), PIECE):
+                    part = pa.array(hashes[at : at + PIECE])
+                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(part), b.schema.field("__id").type), pa.array([side.as_py()] * len(part), pa.int32()), part], names=["__id", "side", "hash"])
+
+    kind = sides.schema["__id"].dataType.simpleString()
+    grams = sides.mapInArrow(run, f"__id {kind}, side int, hash bigint").groupBy("__id", "hash").agg(F.count_if(F.col("side") == 1).alias("n"), F.bool_or(F.col("side") == 0).alias("held"))
+    found = grams.groupBy("__id").agg(F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).alias("reused_ngrams"), F.sum("n").alias("output_ngrams"))
+    return df.select(id_col).join(found, F.col(id_col) == F.col("__id"), "left").select(id_col, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("reused_ngrams", "output_ngrams")])
+
+
+def char_ngram_reuse(df: DataFrame, id_col: str, source_col: str, output_col: str, size: int = 32, long: int = LONG) -> DataFrame:
+    """id, reused_ngrams, output_ngrams, ngram_reuse_rate over positions of the output.
+
+    Pairs of more than `long` characters together are compared by a join of hashes (their ids
+    must be unique), others where they are read.
+    """
+    together = F.coalesce(F.length(source_col), F.lit(0)) + F.coalesce(F.length(output_col), F.lit(0))
+    few = df.where(together <= long).select(id_col, ngram_reuse_udf(size)(F.col(source_col), F.col(output_col)).alias("n"))
+    both = few.select(id_col, F.col("n.reused").alias("reused_ngrams"), F.col("n.total").alias("output_ngrams")).unionByName(long_ngram_reuse(df.where(together > long), id_col, source_col, output_col, size))
+    return both.withColumn("ngram_reuse_rate", rate(F.col("reused_ngrams"), F.col("output_ngrams")))
 
 
 def long_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(P.java(P.LONG_WORD)), F.lit(0))
 
 
+def with_token_reuse(df: DataFrame, source: Column, output: Column) -> DataFrame:
+    """`df` with distinctive_tokens, reused_tokens, token_reuse_rate of two folded texts; nothing is shuffled."""
+    words = df.withColumns({"__w": F.array_sort(long_words(source)), "__o": F.array_distinct(long_words(output))})
+    # sorted, a word that comes once differs from both neighbours
+    alone = F.filter("__w", lambda x, i: ~F.get("__w", i - 1).eqNullSafe(x) & ~F.get("__w", i + 1).eqNullSafe(x))
+    once = words.withColumn("__once", alone)
+    out = once.withColumns({"distinctive_tokens": F.size("__once").cast("bigint"), "reused_tokens": F.size(F.array_intersect("__once", "__o")).cast("bigint")})
+    return out.withColumn("token_reuse_rate", rate(F.col("reused_tokens"), F.col("distinctive_tokens"))).drop("__w", "__o", "__once")
+
+
 def distinctive_token_reuse(df: DataFrame, id_col: str, source_col: str, output_col: str, ascii_only: bool = False) -> DataFrame:
     """id, distinctive_tokens, reused_tokens, token_reuse_rate: long words that the source has exactly once."""
-    words = lambda c: long_words(folded(F.coalesce(F.col(c), F.lit("")), ascii_only))
-    once = df.select(id_col, F.explode(words(source_col)).alias("w")).groupBy(id_col, "w").count().where("count = 1").select(id_col, "w")
-    said = df.select(id_col, F.explode(words(output_col)).alias("w")).distinct().withColumn("hit", F.lit(1))
-    by_id = once.join(said, [id_col, "w"], "left").groupBy(id_col).agg(F.count("*").alias("distinctive_tokens"), F.count("hit").alias("reused_tokens"))
-    out = df.select(id_col).join(by_id, id_col, "left").na.fill(0, ["distinctive_tokens", "reused_tokens"])
-    return out.withColumn("token_reuse_rate", rate(F.col("reused_tokens"), F.col("distinctive_tokens")))
+    fold = lambda c: folded(F.coalesce(F.col(c), F.lit("")), ascii_only)
+    rows = df.select(id_col, fold(source_col).alias("__s"), fold(output_col).alias("__t"))
+    return with_token_reuse(rows, F.col("__s"), F.col("__t")).drop("__s", "__t")
 
 
 def semantic_gate(df: DataFrame) -> DataFrame:
@@ -85,11 +148,20 @@ def semantic_gate(df: DataFrame) -> DataFrame:
 
 
 def audit_pairs(source: DataFrame, output: DataFrame, key: str, text_col: str = "text", size: int = 32) -> DataFrame:
-    """One row a pair with all measures and the gate."""
+    """One row a pair with all measures and the gate: one join, then columns."""
     pairs = source.select(key, F.col(text_col).alias("source")).join(output.select(key, F.col(text_col).alias("output")), key)
-    numbers = pairs.select(key, number_reuse(F.col("source"), F.col("output")).alias("reused_numbers"), sum(pii.entity_counts(F.col("output"), ipv6=True).values(), F.lit(0)).cast("bigint").alias("pii_hits"), F.length("output").cast("bigint").alias("output_chars"))
-    out = numbers.join(char_ngram_reuse(pairs, key, "source", "output", size), key).join(distinctive_token_reuse(pairs, key, "source", "output"), key)
-    return semantic_gate(out)
+    fold = lambda c: folded(F.coalesce(F.col(c), F.lit("")))
+    rows = pairs.select(
+        key,
+        number_reuse(F.col("source"), F.col("output")).alias("reused_numbers"),
+        sum(pii.entity_counts(F.col("output")).values(), F.lit(0)).cast("bigint").alias("pii_hits"),
+        F.length("output").cast("bigint").alias("output_chars"),
+        ngram_reuse_udf(size)(F.col("source"), F.col("output")).alias("__n"),
+        fold("source").alias("__s"),
+        fold("output").alias("__t"),
+    )
+    rows = rows.withColumns({"reused_ngrams": F.col("__n.reused"), "output_ngrams": F.col("__n.total"), "ngram_reuse_rate": rate(F.col("__n.reused"), F.col("__n.total"))})
+    return semantic_gate(with_token_reuse(rows, F.col("__s"), F.col("__t")).drop("__n", "__s", "__t"))
 
 
 def score_redteam(audited: DataFrame, cases: DataFrame) -> DataFrame:

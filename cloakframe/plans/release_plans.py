@@ -197,7 +197,12 @@ def i2_inspect_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def i3_summarize_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = requests.summarize_requests(requests.inspect_requests(asked(spark, sf_dir)))
-    return out.withColumn("hosts", F.size("hosts").cast("bigint")).drop("with_secret_fields")
+    return out.drop("with_secret_fields")
+
+
+@query(f"SELECT host, count(*) AS entries FROM {ASKED} GROUP BY host")
+def i3_distinct_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.distinct_hosts(requests.inspect_requests(asked(spark, sf_dir)))
 
 
 @query()
@@ -255,15 +260,20 @@ def l1_stream_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents").select("doc_id", "text")
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS entries, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+@query(
+    """SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS entries, round(sum(value), 4) AS value FROM events
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY 1, 2"""
+)
 def l2_stream_request_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, events = new_folder(spark, "monitor"), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(f"{folder}/in")
     arriving = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
     totals = streams.stream_request_monitor(arriving, "ts", "1 hour", "2 hours", "event_type")
-    sink = totals.writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{folder}/out"))
+    # windows are appended once the watermark has passed them, and their state is dropped; the last ones stay open
+    sink = totals.writeStream.outputMode("append").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"))
     sink.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").withColumns({"value": F.round("value", 4), "window_start": F.col("window_start").cast("timestamp_ntz")})
+    out = spark.read.parquet(f"{folder}/out").drop("batch")
+    return out.withColumns({"value": F.round("value", 4), "window_start": F.col("window_start").cast("timestamp_ntz")})
 
 
 @query("SELECT source || '/doc-' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'allow' ELSE 'deny' END AS decision FROM documents")

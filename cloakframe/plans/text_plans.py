@@ -170,7 +170,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d8_replace_dictionary_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ps.replace_dictionary_literals(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", dictionary(spark, sf_dir))[0]
+    return ps.replace_dictionary_literals(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", dictionary(spark, sf_dir), SECRET)[0]
 
 
 @query()
@@ -218,7 +218,7 @@ def d14_pseudonymize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d15_pseudonymize_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ps.pseudonymize_table(docs(spark, sf_dir).select("doc_id", "text", "source"), "doc_id")
+    return ps.pseudonymize_table(docs(spark, sf_dir).select("doc_id", "text", "source"), "doc_id", secret=SECRET)
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if set_dir is None:
-        set_dir = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(set_dir)
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     return set_dir
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this session wrote, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import tree_digest
+from ..functions.lazy import vectorised
+from .shared import durable, remove
+
 SUFFIX = re.compile(r"\.(csv|jsonl|json|parquet)$", re.IGNORECASE)
 CORPUS_SUFFIXES = (".txt", ".md", ".markdown", ".html", ".htm")
 CAPTURE_LIMIT = 25 * 1024 * 1024
@@ -42,16 +48,31 @@ def write_table(df: DataFrame, path: str) -> None:
         df.write.json(path)
 
 
+@vectorised("boolean")
+def _in_place(paths: pd.Series) -> pd.Series:
+    """Whether a local file is reached without a symbolic link below the folder that was read."""
+    return paths.map(lambda p: os.path.realpath(p) == os.path.abspath(p))
+
+
 def read_corpus(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """path (relative), kind, text of the text and HTML files of a folder; fails if two paths differ by case only."""
-    glob = "*.{" + ",".join(s[1:] for s in CORPUS_SUFFIXES) + "}"
+    """path (relative), order_key (case-folded), kind, text of the text and HTML files of a folder.
+
+    Symbolic links are left out (object stores and HDFS have none). Fails if two paths differ
+    by case only. order_key gives documents their order, as for pseudonymize_corpus.
+    """
+    local = re.match(r"[a-z][a-z0-9+.-]*://", folder) is None and spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:") or folder.startswith("file:")
+    if local:
+        folder = os.path.realpath(re.sub(r"^file:/*", "/", folder))
+    glob = "*.{" + ",".join(s[1:] for s in CORPUS_SUFFIXES) + "," + ",".join(s[1:].upper() for s in CORPUS_SUFFIXES) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
+    if local:
+        files = files.where(_in_place(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))))
     root = re.sub(r"^[a-z]+:/*", "/", folder).rstrip("/") + "/"
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^.*?" + re.escape(root), "")
+    relative = F.regexp_replace(plain, "^.*?" + re.escape(root), "")
     kind = F.when(F.lower("path").rlike(r"\.html?$"), "html").otherwise("text")
-    out = files.select(relative.alias("path"), kind.alias("kind"), F.decode("content", "UTF-8").alias("text"))
-    clash = files.select(F.lower(relative).alias("p")).groupBy("p").count().where("count > 1").limit(1).count()
-    if clash:
+    out = files.select(relative.alias("path"), F.lower(relative).alias("order_key"), kind.alias("kind"), F.decode("content", "UTF-8").alias("text"))
+    if out.groupBy("order_key").count().where("count > 1").limit(1).count():
         raise ValueError("two files of the corpus have paths that differ by case only")
     return out
 
@@ -74,22 +95,38 @@ def read_har(spark: SparkSession, path: str, limit: int = CAPTURE_LIMIT) -> Data
     return out.select("method", "url", "headers", "cookies", F.col("postData.text").alias("body"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1, in its file), value of every line of text files.
+
+    Lines are numbered inside the block of a file that a task reads; a small table carries
+    the lines of the blocks before.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select("file", "block", "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("ahead"))
+    return lines.join(ahead, ["file", "block"]).select("file", (F.col("ahead") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
+
+
 def read_jsonl_checked(spark: SparkSession, path: str, schema: str, key: str, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Valid rows, and rejects (line, reason): malformed lines, missing fields, empty or repeated keys. Blank lines are skipped.
+    """Valid rows, and rejects (file, line_no, line, reason): malformed lines, missing fields, empty or repeated keys. Blank lines are skipped.
 
-    A reject names its line by digest, not by content.
+    A reject shows its line by digest, not by content. A corpus without valid rows or rejects is refused.
     """
     kind = T.StructType.fromDDL(schema)
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", T.StructType([*kind, T.StructField("_corrupt_record", T.StringType())]), {"mode": "PERMISSIVE"}).alias("r"))
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    parsed = durable(lines.select("file", "line_no", "value", F.from_json("value", T.StructType([*kind, T.StructField("_corrupt_record", T.StringType())]), {"mode": "PERMISSIVE"}).alias("r")))
+    if not parsed.limit(1).count():
+        raise ValueError("the corpus has no lines")
     missing = F.array_compact(F.array(*[F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in required])) if required else F.array().cast("array<string>")
     reason = F.when(F.col("r._corrupt_record").isNotNull(), "malformed").when(F.coalesce(F.trim(F.col(f"r.{key}").cast("string")), F.lit("")) == "", "empty_key").when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.array_join(missing, ",")))
     checked = parsed.withColumn("reason", reason)
     good = checked.where("reason is null")
     twice = good.groupBy(F.col(f"r.{key}").alias("k")).count().where("count > 1").select("k")
     valid = good.join(twice, F.col(f"r.{key}") == F.col("k"), "left_anti").select("r.*").drop("_corrupt_record")
-    repeated = good.join(twice, F.col(f"r.{key}") == F.col("k"), "left_semi").select(F.sha2("value", 256).alias("line"), F.lit("duplicate_key").alias("reason"))
-    return valid, checked.where("reason is not null").select(F.sha2("value", 256).alias("line"), "reason").unionByName(repeated)
+    repeated = good.join(twice, F.col(f"r.{key}") == F.col("k"), "left_semi").withColumn("reason", F.lit("duplicate_key"))
+    told = lambda df: df.select("file", "line_no", F.sha2("value", 256).alias("line"), "reason")
+    return valid, told(checked.where("reason is not null")).unionByName(told(repeated))
 
 
 def artifact_digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,21 +136,37 @@ def artifact_digests(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^.*?" + root, "").alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
+MANIFEST = "artifact string, artifact_sha256 string, allow boolean, allow_after_final_scan boolean, release_class string, final_scan struct<passed:boolean,pii_hits:bigint,by_entity:map<string,bigint>>"
+
+
 def stage_release(df: DataFrame, allow: bool, folder: str, release_class: str = "aggregate") -> DataFrame:
-    """Write a payload only if allowed and its scan finds nothing; the manifest is always written and returned."""
+    """Write a payload only if allowed and its scan finds nothing; the manifest is always written and returned.
+
+    What is scanned is what was written: the payload is read back, and removed again if
+    the scan finds anything or breaks off.
+    """
     from ..operators.pii import scan_table
 
-    spark = df.sparkSession
-    by_entity = {r["entity"]: r["n"] for r in scan_table(df).groupBy("entity").agg(F.sum("hits").alias("n")).collect()}
-    clear = allow and not by_entity
-    digest, name = None, None
-    if clear:
-        df.write.json(f"{folder}/payload")
-        name = "payload"
-        parts = artifact_digests(spark, f"{folder}/payload").where(F.col("path").endswith(".json"))
-        digest = parts.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("\0", "sha256", F.col("bytes").cast("string")))), "\n"), 256).alias("d")).first()["d"]
-    row = {"artifact": name, "artifact_sha256": digest, "allow": allow, "allow_after_final_scan": clear, "release_class": release_class, "final_scan": {"passed": not by_entity, "pii_hits": sum(by_entity.values()), "by_entity": by_entity}}
-    manifest = spark.createDataFrame([row], "artifact string, artifact_sha256 string, allow boolean, allow_after_final_scan boolean, release_class string, final_scan struct<passed:boolean,pii_hits:bigint,by_entity:map<string,bigint>>")
+    spark, payload = df.sparkSession, f"{folder}/payload"
+    name = digest = None
+    by_entity: dict[str, int] = {}
+    if allow:
+        try:
+            df.write.json(payload)
+            staged = spark.read.schema(df.schema).json(payload)
+            by_entity = {r["entity"]: r["n"] for r in scan_table(staged).groupBy("entity").agg(F.sum("hits").alias("n")).collect()}
+            parts = artifact_digests(spark, payload).where(F.col("path").endswith(".json"))
+            name, digest = "payload", tree_digest(parts, F.concat_ws("\0", "sha256", F.col("bytes").cast("string")))
+        except Exception:
+            remove(spark, payload)
+            raise
+        if by_entity:
+            remove(spark, payload)
+            name = digest = None
+    else:
+        by_entity = {r["entity"]: r["n"] for r in scan_table(df).groupBy("entity").agg(F.sum("hits").alias("n")).collect()}
+    row = {"artifact": name, "artifact_sha256": digest, "allow": allow, "allow_after_final_scan": name is not None, "release_class": release_class, "final_scan": {"passed": not by_entity, "pii_hits": sum(by_entity.values()), "by_entity": by_entity}}
+    manifest = spark.createDataFrame([row], MANIFEST)
     manifest.write.json(f"{folder}/manifest")
     return manifest
 
@@ -128,3 +181,7 @@ def write_run_records(runs: DataFrame, path: str, allowed: tuple[str, ...] = ("e
     runs.select(*sorted(c for c in runs.columns if c in allowed)).write.json(path)
 
 
+def write_summary(summary: DataFrame, path: str, allowed: tuple[str, ...] = ("experiment_id", "metric", "n", "mean", "sd", "ci_low", "ci_high", "benchmark", "value", "baseline", "attack_family", "cases")) -> None:
+    """A summary of runs (a few rows) as one file of JSON lines, fields and rows in sorted order; other columns than those on the list are left out."""
+    kept = sorted(c for c in summary.columns if c in allowed)
+    summary.select(*kept).orderBy(*kept).coalesce(1).write.json(path)

@@ -35,7 +35,7 @@ def stream_pseudonymize(documents: DataFrame, order_col: str, text_col: str, fol
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = stored(spark, f"{folder}/labels", f"{MAP}, batch bigint").where(F.col("batch") < number).drop("batch")
-        new, labels = pseudonymize_corpus(batch, order_col, text_col, known, secret)
+        new, labels = pseudonymize_corpus(batch, order_col, text_col, known, secret=secret)
         fresh = labels.join(known.select("entity", "digest"), ["entity", "digest"], "left_anti")
         new.write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
         fresh.write.mode("overwrite").parquet(f"{folder}/labels/batch={number}")

@@ -117,6 +117,31 @@ def test_labels_over_a_corpus(spark):
         assert "x.org" not in str(labels.collect())
 
 
+def test_labels_over_a_corpus_whose_order_is_text(spark):
+    rows = [(f"dir/{i:03d}.txt", f"m{i}@x.org and m{i // 2}@x.org") for i in range(60)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    seen: dict[str, int] = {}
+    want = {}
+    for path, text in rows:
+        want[path] = re.sub(r"\S+@x\.org", lambda m: f"[EMAIL_{seen.setdefault(m[0], len(seen) + 1):03d}]", text)
+    out, _ = ps.pseudonymize_corpus(df.repartition(4), "path", "text", secret=b"k")
+    assert {r.path: r.text for r in out.collect()} == want
+
+
+def test_no_secret_no_labels_and_no_secret_in_plans(spark):
+    df = spark.createDataFrame(CORPUS, "doc_id bigint, text string")
+    with pytest.raises(ValueError):
+        ps.first_seen(ps.corpus_spans(df, "doc_id", "text"), b"")
+    plan = df.select(keys.keyed_digest(b"hidden key", F.col("text")))._jdf.queryExecution().toString()
+    assert "hidden" not in plan and b"hidden".hex() not in plan.lower()
+
+
+def test_keys_fold_case_as_python_does(spark):
+    values = ["\u017fam@X.ORG", "\u212aim@x.org", "Jo@X.org"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r[0] for r in df.select(keys.identifier_key(F.lit("EMAIL"), F.col("v"))).collect()] == [v.casefold() for v in values]
+
+
 def test_map_is_extended_sealed_and_checked(spark):
     df = spark.createDataFrame(CORPUS, "doc_id bigint, text string")
     known = ps.entity_map(df.where("doc_id = 1"), "doc_id", "text", b"k")
@@ -145,7 +170,7 @@ def test_numbering_has_no_single_task_window(spark):
 def test_literals_give_way_to_identifiers_and_to_each_other(spark):
     docs = spark.createDataFrame([(1, "Ann Lee wrote to ann.lee@x.org about Project Ann")], "doc_id bigint, text string")
     literals = spark.createDataFrame([(1, "PERSON", "Ann Lee"), (1, "ALIAS", "Ann"), (1, "ALIAS", "lee"), (1, "DATE", "Ann")], "doc bigint, entity string, literal string")
-    out, spans = ps.replace_dictionary_literals(docs, "doc_id", "text", literals)
+    out, spans = ps.replace_dictionary_literals(docs, "doc_id", "text", literals, b"k")
     assert out.first()["text"] == "[PERSON_001] wrote to [EMAIL_001] about Project [ALIAS_001]"
     assert sorted((r.value, r.status) for r in spans.collect()) == [("Ann", "accepted"), ("Ann", "literal_conflict"), ("Ann Lee", "accepted"), ("lee", "direct_conflict")]
 
@@ -161,6 +186,29 @@ def test_nominations(spark):
     assert sorted(r.reject_reason for r in rows if r.reject_reason) == ["length", "no_letters", "no_type_or_literal", "not_in_source", "placeholder", "unknown_type"]
 
 
+def test_nominations_are_summed_up(spark):
+    docs = spark.createDataFrame([(1, "Ann met Bob"), (2, "none")], "doc_id bigint, text string")
+    items = [{"type": "PERSON", "literal": "Ann"}, {"type": "PERSON", "literal": "Bob"}, {"type": "ROLE", "literal": "x"}, {"type": "PERSON", "literal": "Zed"}]
+    payloads = spark.createDataFrame([(1, json.dumps(items)), (2, json.dumps(items[-1:]))], "doc_id bigint, payload string")
+    got = {r.doc_id: r for r in ps.nomination_summary(ps.validate_nominations(docs, payloads, "doc_id", "text", "payload"), "doc_id").collect()}
+    assert (got[1].accepted, got[1].accepted_total, got[1].rejected, got[1].reasons) == ({"PERSON": 2}, 2, 2, {"length": 1, "not_in_source": 1})
+    assert (got[2].accepted, got[2].accepted_total, got[2].rejected) == ({}, 0, 1)
+
+
+def test_paragraphs_are_packed_as_far_as_they_go():
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        text = "\n".join("x" * rnd.choice([0, 1, 3, 7, 12, 30]) for _ in range(rnd.randrange(8)))
+        chunks = ps.paragraph_spans(text, 10)
+        lines = [x for x in text.split("\n") if x]
+        assert "".join(chunks).replace("\n", "") == "".join(lines) and all(len(c) <= 10 for c in chunks if c != text)
+        # no chunk could have taken the next whole line
+        for a, b in zip(chunks, chunks[1:], strict=False):
+            assert len(a) + len(b.split("\n")[0]) + 2 > 10 or len(a) == 10 or max(map(len, lines)) > 10
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "a" * 4000 + "\n" + "b" * 4000), (2, None), (3, "")], "doc_id bigint, text string")
     packed = [r.chunk for r in ps.paragraph_chunks(df.where("doc_id = 1"), "doc_id", "text", 5000).orderBy("chunk_no").collect()]
@@ -168,6 +216,8 @@ def test_chunks(spark):
     slid = [r.chunk for r in ps.sliding_chunks(df.where("doc_id = 1"), "doc_id", "text", 1000, 200).orderBy("chunk_no").collect()]
     text = "a" * 4000 + "\n" + "b" * 4000
     assert slid[0] + "".join(c[200:] for c in slid[1:]) == text
+    long = spark.range(1).selectExpr("id as doc_id", "repeat('abcdefgh', 1250000) as text")
+    assert ps.sliding_chunks(long, "doc_id", "text").selectExpr("sum(length(chunk)) - 256 * (count(*) - 1)").first()[0] == 10_000_000
     with pytest.raises(ValueError):
         ps.sliding_chunks(df, "doc_id", "text", 500, 0)
 
@@ -184,9 +234,32 @@ def test_pages(spark):
     assert made[1].residual_hits == 2 and made[1].status == "LOCAL_ONLY" and made[3].status == "MANUAL_REVIEW_REQUIRED"
 
 
+def test_pages_lose_nothing(spark):
+    page = "<p>a<![CDATA[keep me]]>b</p><!--[if mso]>x<![endif]--><![if !mso]><b>y</b><![endif]><?pi z?>a\u001eb@x.org<script>c@x.org</script>"
+    df = spark.createDataFrame([(1, page)], "page_id bigint, html string")
+    got = ps.pseudonymize_html(df, "page_id", "html").first()
+    assert got.html == page.replace("b@x.org", "[EMAIL_001]") and got.ignored_units == 1 and got.processed_units >= 4
+
+
+def test_pages_share_a_map(spark):
+    df = spark.createDataFrame([(2, "<p>b@x.org</p><a title='a@x.org'>c@x.org</a>"), (10, "<p>c@x.org &amp; b@x.org</p>"), (11, None)], "page_id bigint, html string")
+    out, labels = ps.pseudonymize_html_corpus(df, "page_id", "html", secret=b"k")
+    got = {r.page_id: r for r in out.collect()}
+    assert got[2].html == '<p>[EMAIL_001]</p><a title="[EMAIL_003]">[EMAIL_002]</a>' and got[10].html == "<p>[EMAIL_002] &amp; [EMAIL_001]</p>"
+    assert got[11].html == "" and labels.count() == 3 and got[2].processed_units == 3
+
+
+def test_table_residuals(spark):
+    df = spark.createDataFrame([(1, "x", "=mail(a@x.org)"), (2, "b@x.org", None)], "row bigint, `c@x.org` string, note string")
+    row = ps.table_residuals(df, "row").first()
+    assert (row.name_hits, row.cell_hits, row.formula_hits, row.residual_hits, row.status) == (1, 1, 1, 3, "LOCAL_ONLY")
+    clean = ps.pseudonymize_table(df.select("row", "note"), "row", secret=b"k")
+    assert ps.table_residuals(clean.where("row = 2"), "row").first().status == "MANUAL_REVIEW_REQUIRED"
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, "a@x.org", "=a@x.org"), (2, "b@x.org", "see a@x.org"), (3, None, "")], "row bigint, mail string, note string")
-    got = {r.row: (r.mail, r.note) for r in ps.pseudonymize_table(df, "row").collect()}
+    got = {r.row: (r.mail, r.note) for r in ps.pseudonymize_table(df, "row", secret=b"k").collect()}
     assert got == {1: ("[EMAIL_001]", "=a@x.org"), 2: ("[EMAIL_002]", "see [EMAIL_001]"), 3: (None, "")}
 
 

@@ -145,6 +145,32 @@ def test_text_audit(spark):
         text_audit.ngram_reuse_udf(4)
 
 
+def test_ngrams_equal_plain_sets(spark):
+    import random
+    import unicodedata
+
+    rnd = random.Random(1)
+    pick = lambda n: "".join(rnd.choice("aB é_Ⅳ½9你.") for _ in range(n))
+    pairs = [(i, s := pick(rnd.randrange(200)), s[: rnd.randrange(100)] + pick(rnd.randrange(60))) for i in range(80)] + [(90, None, "x" * 50), (91, "x" * 50, None), (92, "ab" * 40, "ab" * 30)]
+    df = spark.createDataFrame(pairs, "id bigint, source string, output string")
+    plain = lambda t: "".join(filter(str.isalnum, unicodedata.normalize("NFKC", t or "").lower()))
+    for size in (8, 11, 32):
+        want = {}
+        for i, s, o in pairs:
+            s, o = plain(s), plain(o)
+            held = {s[k : k + size] for k in range(len(s) - size + 1)}
+            said = [o[k : k + size] for k in range(len(o) - size + 1)]
+            want[i] = (sum(g in held for g in said), len(said))
+        for long in (10**9, 0):
+            assert {r.id: (r.reused_ngrams, r.output_ngrams) for r in text_audit.char_ngram_reuse(df, "id", "source", "output", size, long).collect()} == want
+
+
+def test_words_that_come_once(spark):
+    df = spark.createDataFrame([(1, "alphabet alphabet Betamaxx gammaray's", "the BETAMAXX and the alphabet"), (2, None, "x"), (3, "deltawing", None)], "id bigint, source string, output string")
+    got = {r.id: tuple(r)[1:] for r in text_audit.distinctive_token_reuse(df, "id", "source", "output").collect()}
+    assert got == {1: (2, 1, 0.5), 2: (0, 0, 0.0), 3: (1, 0, 0.0)}
+
+
 def test_redteam(spark):
     cases = [("c1", "direct", "Write to jo@x.org about pumps", ["jo@x.org"], [["pump", "engine"]]), ("c2", "names", "Zed runs the mill", ["zed"], [["mill"], ["river"]])]
     df = spark.createDataFrame(cases, "id string, attack_family string, source string, forbidden_literals array<string>, utility_concepts array<array<string>>")
