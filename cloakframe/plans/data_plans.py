@@ -207,16 +207,37 @@ def e8_aggregate_pii_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.aggregate_pii_guard(e3_group_summary(spark, sf_dir))
 
 
-@query()
+def draw_sql(key: str, column: str, *more: str) -> str:
+    """SQL: a number in (0, 1) from the MD5 of key, column and seed 7."""
+    said = " || '|' || ".join([f"CAST({key} AS VARCHAR)", f"'{column}'", "'7'", *[f"'{m}'" for m in more]])
+    return f"((CAST(('0x' || substr(md5({said}), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+def number_sql(key: str, column: str) -> str:
+    """SQL: a column of customer drawn around its mean, from a row of statistics called s."""
+    normal = f"sqrt(-2 * ln({draw_sql(key, column, 'a')})) * cos(2 * pi() * {draw_sql(key, column, 'b')})"
+    pad = f"greatest((hi_{column} - lo_{column}) * 0.05, sd_{column} * 0.05)"
+    return f"least(greatest(mean_{column} + sd_{column} * {normal}, lo_{column} - {pad}), hi_{column} + {pad})"
+
+
+def statistics_sql(*columns: str) -> str:
+    return "SELECT " + ", ".join(f"avg({c}) AS mean_{c}, stddev_pop({c}) AS sd_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in columns) + " FROM customer"
+
+
+SEGMENTS_SQL = """SELECT v, (upto - n - 1) / whole AS lo, upto / whole AS hi FROM (SELECT v, n, CAST(sum(n + 1) OVER (ORDER BY v) AS DOUBLE) AS upto, CAST(sum(n + 1) OVER () AS DOUBLE) AS whole
+    FROM (SELECT c_mktsegment AS v, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1))"""
+
+
+@query(f"WITH s AS ({statistics_sql('c_acctbal')}) SELECT c_custkey, round({number_sql('c_custkey', 'c_acctbal')}, 6) AS c_acctbal FROM customer, s")
 def g1_sample_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "customer")
-    return synth.sample_numeric(source.select("c_custkey"), "c_custkey", source, "c_acctbal", 7)
+    return synth.sample_numeric(source.select("c_custkey"), "c_custkey", source, "c_acctbal", 7).withColumn("c_acctbal", F.round("c_acctbal", 6))
 
 
-@query()
+@query(f"WITH t AS ({SEGMENTS_SQL}) SELECT c_custkey, v AS c_mktsegment FROM (SELECT c_custkey, {draw_sql('c_custkey', 'c_mktsegment')} AS u FROM customer) JOIN t ON u >= lo AND u < hi")
 def g2_sample_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "customer")
-    return synth.sample_categorical(source.select("c_custkey"), "c_custkey", source, "c_mktsegment", 7).drop("__u", "__slice")
+    return synth.sample_categorical(source.select("c_custkey"), "c_custkey", source, "c_mktsegment", 7)
 
 
 @query(
@@ -229,9 +250,17 @@ def g3_regenerate_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", *[synth.regenerate_identifier(n, i, 7).alias(c) for c, n in made.items()])
 
 
-@query()
+NAME_SQL = "({})[CAST(({}) % {} AS INTEGER) + 1]"
+GIVEN_SQL, FAMILY_SQL = NAME_SQL.format(list(synth.GIVEN), "i + 7", len(synth.GIVEN)), NAME_SQL.format(list(synth.FAMILY), f"i // {len(synth.GIVEN)} + 7", len(synth.FAMILY))
+
+
+@query(
+    f"""WITH s AS ({statistics_sql('c_custkey', 'c_nationkey', 'c_acctbal')}), t AS ({SEGMENTS_SQL}), r AS (SELECT unnest(range((SELECT count(*) FROM customer))) AS i)
+    SELECT CAST(round_even({number_sql('i', 'c_custkey')}, 0) AS BIGINT) AS c_custkey, {GIVEN_SQL} || ' ' || {FAMILY_SQL} AS c_name, CAST(round_even({number_sql('i', 'c_nationkey')}, 0) AS INTEGER) AS c_nationkey,
+    round({number_sql('i', 'c_acctbal')}, 6) AS c_acctbal, v AS c_mktsegment FROM r, s JOIN t ON {draw_sql('i', 'c_mktsegment')} >= lo AND {draw_sql('i', 'c_mktsegment')} < hi"""
+)
 def g4_synthesize_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.synthesize_table(table(spark, sf_dir, "customer"), 7)
+    return synth.synthesize_table(table(spark, sf_dir, "customer"), 7).withColumn("c_acctbal", F.round("c_acctbal", 6))
 
 
 @query()

@@ -9,7 +9,8 @@ from ..functions import patterns as P
 from ..operators import experiments, release, requests
 from ..sources.shared import new_folder
 from ..streaming import streams
-from .base import query, table
+from . import attack_plans
+from .base import SQL, query, table
 from .text_plans import COUNTS_SQL, ENTITIES, SECRET, docs
 
 
@@ -102,6 +103,54 @@ def h7_validate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.validate_evidence(rows.select("doc_id", text.alias("json")), "json").select("doc_id", "reject_reason")
 
 
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of evidence, as the audits and attacks measure it on the splits of customer and part."""
+    one = attack_plans.f1_exact_row_overlap(spark, sf_dir)
+    for part in (
+        attack_plans.f2_identifier_overlap(spark, sf_dir),
+        attack_plans.f4_rare_quasi_overlap(spark, sf_dir),
+        attack_plans.f5_near_copy_rate(spark, sf_dir),
+        attack_plans.f7_membership_auc(spark, sf_dir).withColumnRenamed("auc", "membership_max_auc"),
+        attack_plans.f13_attribute_inference(spark, sf_dir).select(F.col("uplift").alias("attribute_inference_uplift")),
+        attack_plans.f14_longitudinal_linkage(spark, sf_dir).select(F.col("linkage_rate").alias("longitudinal_linkage_rate")),
+        release.final_scan_gate(table(spark, sf_dir, "customer"), True).select(F.col("pii_hits").alias("direct_pii_hits")),
+    ):
+        # every side has one row
+        one = one.crossJoin(F.broadcast(part))
+    return one.withColumns({f: F.lit(f != "policy_reviewed") for f in release.FLAGS})
+
+
+def one_of(name: str, column: str, alias: str) -> str:
+    return f"(SELECT {column} AS {alias} FROM ({SQL[name]}))"
+
+
+MEASURED = " CROSS JOIN ".join(
+    one_of(*x)
+    for x in (
+        ("f1_exact_row_overlap", "exact_row_overlap", "exact_rows"),
+        ("f2_identifier_overlap", "identifier_overlap", "identifiers"),
+        ("f4_rare_quasi_overlap", "rare_quasi_overlap", "rare"),
+        ("f5_near_copy_rate", "near_copy_rate", "near"),
+        ("f7_membership_auc", "auc", "auc"),
+        ("f13_attribute_inference", "uplift", "uplift"),
+        ("f14_longitudinal_linkage", "linkage_rate", "linkage"),
+    )
+)
+MEASURED_FAILED = f"""array_to_string(list_filter([CASE WHEN exact_rows <> 0 THEN 'exact_row_overlap' END, CASE WHEN identifiers <> 0 THEN 'identifier_overlap' END, CASE WHEN rare <> 0 THEN 'rare_quasi_overlap' END,
+    CASE WHEN near IS NULL THEN 'near_copy_evidence_missing' WHEN near > {P.MAX_NEAR_COPY} THEN 'near_copy_rate' END, CASE WHEN auc IS NULL THEN 'membership_evidence_missing' WHEN auc > {P.MAX_AUC} THEN 'membership_attack_signal' END,
+    CASE WHEN uplift IS NULL THEN 'attribute_inference_evidence_missing' WHEN uplift > {P.MAX_UPLIFT} THEN 'attribute_inference_signal' END,
+    CASE WHEN linkage IS NULL THEN 'longitudinal_evidence_missing' WHEN linkage > {P.MAX_LINKAGE} THEN 'longitudinal_linkage_signal' END, 'policy_not_reviewed'], lambda x: x IS NOT NULL), ',')"""
+
+
+@query(f"SELECT {MEASURED_FAILED} AS failed, false AS criteria_satisfied, CAST(NULL AS VARCHAR) AS reject_reason, auc AS membership_max_auc, near AS near_copy_rate FROM {MEASURED}")
+def h6_evaluate_measured_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What F1 to F14 measure, validated as JSON (H7) and evaluated (H6)."""
+    row = measured(spark, sf_dir)
+    fields = [*release.FLAGS, *release.COUNTS, *release.RATES]
+    told = release.validate_evidence(row.withColumn("json", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})), "json")
+    return release.evaluate_row_release(told).select(F.array_join("failed_conditions", ",").alias("failed"), "criteria_satisfied", "reject_reason", "membership_max_auc", "near_copy_rate")
+
+
 @query("SELECT true AS allow, CAST(0 AS BIGINT) AS pii_hits, count(*) > 0 AS passed FROM customer")
 def h8_final_scan_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.final_scan_gate(table(spark, sf_dir, "customer"), True)
@@ -205,6 +254,21 @@ def i3_distinct_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.distinct_hosts(requests.inspect_requests(asked(spark, sf_dir)))
 
 
+@query(
+    """WITH r AS (SELECT source, doc_id % 3 = 0 AS approved FROM documents), d AS (SELECT source, bool_or(approved) AS open FROM r GROUP BY source),
+    c AS (SELECT 'ledger' AS baseline, approved AS wanted, approved AS given FROM r UNION ALL SELECT 'directory', approved, open FROM r JOIN d USING (source))
+    SELECT baseline, count(*) AS cases, round(count(*) FILTER (NOT wanted AND given) / CAST(nullif(count(*) FILTER (NOT wanted), 0) AS DOUBLE), 6) AS attack_success_rate,
+    round(count(*) FILTER (wanted AND given) / CAST(nullif(count(*) FILTER (wanted), 0) AS DOUBLE), 6) AS authorised_success_rate, round(avg(CASE WHEN wanted = given THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM c GROUP BY baseline"""
+)
+def k4_boundary_of_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of H10 against which files were approved, beside a baseline that opens every directory with an approved file."""
+    files = artifacts(spark, sf_dir).select("path", "dir", F.when(F.col("doc_id") % 3 == 0, "allow").otherwise("deny").alias("expected"))
+    decided = files.join(h10_match_approvals(spark, sf_dir), "path")
+    opened = decided.groupBy("dir").agg(F.max(F.col("decision") == "allow").alias("open"))
+    by_folder = decided.join(opened, "dir").select(F.lit("directory").alias("baseline"), "expected", F.when(F.col("open"), "allow").otherwise("deny").alias("observed"))
+    return experiments.boundary_summary(decided.select(F.lit("ledger").alias("baseline"), "expected", F.col("decision").alias("observed")).unionByName(by_folder))
+
+
 @query()
 def k1_run_seed_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").drop("c_name", "c_custkey")

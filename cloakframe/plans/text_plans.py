@@ -10,7 +10,7 @@ from ..operators import pii as scans
 from ..operators import pseudonymize as ps
 from ..operators import release, text_audit
 from ..sources.shared import durable
-from .base import query, table
+from .base import SQL, query, table
 
 SECRET = b"a key that only the driver holds"
 
@@ -80,12 +80,30 @@ def c9_identifier_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.explode(scans.identifier_spans(F.col("text"))).alias("s")).select("doc_id", "s.start", "s.end", "s.entity")
 
 
-@query()
+TAG_SQL = (
+    (r"(?i)(^|[^\p{L}\p{N}_.+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", r"\1[EMAIL]"),
+    (r"(^|[^\p{Nd}])\+?\d[\d ()-]{7,}\d", r"\1[PHONE]"),
+    (r"(^|[^\d])\d{17}[\dXx]([^\d]|$)", r"\1[NATIONAL_ID]\2"),
+    (r"(?i)(^|[^\p{L}\p{N}_])(?:GIR ?0AA|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2})([^\p{L}\p{N}_]|$)", r"\1[POSTCODE]\2"),
+)
+LOOSE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+LOOSE_SQL = (rf"(^|[^\d]){LOOSE}(?:\.{LOOSE}){{3}}([^\d]|$)", r"\1[IP_ADDRESS]\2")
+TOKEN_SQL = (r"(^|[^\p{L}\p{N}_:.])(\.*)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.*)([^\p{L}\p{N}_:.]|$)", r"\1\2[IP_ADDRESS]\3\4")
+
+
+def tagged_sql(text: str, *last: tuple[str, str]) -> str:
+    """Tags instead of identifiers, kind by kind, in SQL without look-around: boundaries are kept by groups."""
+    for pattern, tag in (*TAG_SQL, *last):
+        text = f"regexp_replace({text}, '{pattern}', '{tag}', 'g')"
+    return text
+
+
+@query(f"SELECT doc_id, {tagged_sql('text', LOOSE_SQL)} AS text FROM documents")
 def c10_redact_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", pii.redact_preview(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, {tagged_sql('text', TOKEN_SQL)} AS text FROM documents")
 def c11_redact_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", scans.redact_baseline(F.col("text")).alias("text"))
 
@@ -173,12 +191,22 @@ def d8_replace_dictionary_literals(spark: SparkSession, sf_dir: str) -> DataFram
     return ps.replace_dictionary_literals(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", dictionary(spark, sf_dir), SECRET)[0]
 
 
-@query()
+NOMINATED = r"""(WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\p{L}{4,}') AS w FROM documents),
+    n AS (SELECT doc_id, text, 'PERSON' AS type, w[1] AS literal FROM w UNION ALL SELECT doc_id, text, 'PROJECT', list_filter(w, lambda x: x <> w[1])[1] FROM w)
+    SELECT doc_id, type, literal, CASE WHEN length(literal) > 160 THEN 'length' WHEN (length(text) - length(replace(text, literal, ''))) / length(literal) > 50 THEN 'too_frequent' END AS reject_reason FROM n WHERE literal IS NOT NULL)"""
+
+
+@query(f"SELECT doc_id, type, literal, reject_reason FROM {NOMINATED}")
 def d9_validate_nominations(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_doc = dictionary(spark, sf_dir).groupBy(F.col("doc").alias("doc_id")).agg(F.to_json(F.collect_list(F.struct(F.col("entity").alias("type"), "literal"))).alias("payload"))
     return ps.validate_nominations(docs(spark, sf_dir), by_doc, "doc_id", "text", "payload")
 
 
+@query(f"SELECT doc_id, count(*) FILTER (reject_reason IS NULL) AS accepted_total, count(*) FILTER (reject_reason IS NOT NULL) AS rejected FROM {NOMINATED} GROUP BY doc_id")
+def d9_nomination_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ps.nomination_summary(d9_validate_nominations(spark, sf_dir), "doc_id").select("doc_id", "accepted_total", "rejected")
+
+
 @query(
     """SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, substr(text, CAST(i * 744 + 1 AS BIGINT), 1000) AS chunk FROM (
     SELECT doc_id, text, unnest(range(0, CAST(greatest(0, ceil((length(text) - 1000) / 744.0)) AS BIGINT) + 1)) AS i FROM documents WHERE text IS NOT NULL)"""
@@ -216,6 +244,16 @@ def d14_pseudonymize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ps.pseudonymize_html(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+@query()
+def d14_pseudonymize_html_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ps.pseudonymize_html_corpus(table(spark, sf_dir, "pages"), "page_id", "html", secret=SECRET)[0]
+
+
+@query(f"SELECT CAST(0 AS BIGINT) AS name_hits, CAST(sum({' + '.join(ENTITIES)}) AS BIGINT) AS cell_hits, CAST(0 AS BIGINT) AS formula_hits FROM (SELECT doc_id, text, {COUNTS_SQL} FROM documents WHERE NOT starts_with(text, '='))")
+def d15_table_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ps.table_residuals(docs(spark, sf_dir).select("doc_id", "text"), "doc_id").select("name_hits", "cell_hits", "formula_hits")
+
+
 @query()
 def d15_pseudonymize_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ps.pseudonymize_table(docs(spark, sf_dir).select("doc_id", "text", "source"), "doc_id", secret=SECRET)
@@ -265,6 +303,20 @@ def j4_semantic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_audit.semantic_gate(rows).select("doc_id", F.array_join("failed_conditions", ",").alias("failed"), "eligible_for_manual_review")
 
 
+AUDITED = f"""(SELECT doc_id, pii_hits, reused_numbers, 0.0 AS ngram_reuse_rate, token_reuse_rate, length(output) AS output_chars
+    FROM {PAIR_SQL} JOIN (SELECT doc_id, {' + '.join(ENTITIES)} AS pii_hits FROM (SELECT doc_id, {COUNTS_SQL} FROM (SELECT doc_id, output AS text FROM {PAIR_SQL}))) USING (doc_id)
+    JOIN ({SQL['j1_number_reuse']}) USING (doc_id) JOIN ({SQL['j3_distinctive_token_reuse']}) USING (doc_id))"""
+
+
+@query(f"SELECT doc_id, {GATE_SQL} AS failed, {GATE_SQL} = '' AS eligible_for_manual_review FROM {AUDITED}")
+def j4_gate_of_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over what J1, J3 and the scan measure on pairs; J2's rate, which SQL cannot give, is set to 0."""
+    pairs = redacted(spark, sf_dir)
+    scanned = scans.scan_text_column(pairs, "doc_id", "output").select("doc_id", F.col("total").alias("pii_hits"))
+    rows = pairs.select("doc_id", F.length("output").alias("output_chars"), F.lit(0.0).alias("ngram_reuse_rate")).join(scanned, "doc_id").join(j1_number_reuse(spark, sf_dir), "doc_id").join(j3_distinctive_token_reuse(spark, sf_dir), "doc_id")
+    return text_audit.semantic_gate(rows).select("doc_id", F.array_join("failed_conditions", ",").alias("failed"), "eligible_for_manual_review")
+
+
 @query()
 def j5_audit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = redacted(spark, sf_dir)
@@ -288,6 +340,29 @@ def j6_score_redteam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_audit.score_redteam(audited, rows).select("id", "attack_family", "forbidden_reuse", "utility_retention", "attack_success")
 
 
+def measured_sql(baseline: str, output: str) -> str:
+    """SQL: what the matrix measures under one baseline, but for the two rates of J2 and J3."""
+    has = lambda x: f"contains(lower(output), lower({x}))"
+    return f"""SELECT '{baseline}' AS baseline, lang AS attack_family, pii_hits, reused_numbers, len(list_filter(forbidden, lambda x: {has('x')})) AS forbidden_reuse,
+      CASE WHEN len(kept) = 0 OR {has('kept[1]')} THEN 1.0 ELSE 0.0 END AS utility_retention
+      FROM (SELECT doc_id, lang, text AS source, {output} AS output, regexp_extract_all(text, '\\p{{L}}{{8,}}')[1:2] AS forbidden, regexp_extract_all(text, '\\p{{L}}+')[1:1] AS kept FROM documents)
+      JOIN (SELECT doc_id, {' + '.join(ENTITIES)} AS pii_hits FROM (SELECT doc_id, {COUNTS_SQL} FROM (SELECT doc_id, {output} AS text FROM documents))) USING (doc_id)
+      JOIN (SELECT doc_id, CAST(len(list_intersect({NUMBERS_SQL.format('source')}, {NUMBERS_SQL.format('output')})) AS BIGINT) AS reused_numbers FROM (SELECT doc_id, text AS source, {output} AS output FROM documents)) USING (doc_id)"""
+
+
+MEANS = ("attack_success", "pii_hits", "reused_numbers", "forbidden_reuse", "utility_retention")
+
+
+@query(
+    f"""WITH m AS ({measured_sql('identity', 'text')} UNION ALL {measured_sql('regex', tagged_sql('text', TOKEN_SQL))}),
+    s AS (SELECT *, CASE WHEN pii_hits > 0 OR reused_numbers > 0 OR forbidden_reuse > 0 THEN 1 ELSE 0 END AS attack_success FROM m)
+    SELECT baseline, attack_family, count(*) AS cases, {', '.join(f'round(avg({c}), 6) AS {c}' for c in MEANS)} FROM s GROUP BY GROUPING SETS ((baseline), (baseline, attack_family))"""
+)
+def j7_redteam_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix's summary without the rates of J2 and J3."""
+    return text_audit.summarize_redteam(text_audit.redteam_matrix(cases(spark, sf_dir))).select("baseline", "attack_family", "cases", *MEANS)
+
+
 @query()
 def j7_redteam_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_audit.summarize_redteam(text_audit.redteam_matrix(cases(spark, sf_dir)))
