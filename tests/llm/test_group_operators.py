@@ -319,26 +319,3 @@ def test_nb_ratios_and_descent():
     assert ratio[1] > 0 > ratio[4] and abs(ratio[2]) < 1e-9
     model = quality_nbsvm.Model(ratio, *quality_nbsvm.dual_descent(docs, good, ratio))
     assert [model.score(d) >= 0.5 for d in docs] == [True, True, False, False]
-
-
-def test_pipeline_stages(spark, sf, tmp_path):
-    docs = queries.table(spark, sf, "documents")
-    columns, sizes = docs.columns, [docs.count()]
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs
-        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{i}")
-        docs = spark.read.parquet(f"{tmp_path}/{i}")
-        sizes.append(docs.count())
-        if i < 4:
-            assert docs.columns == columns
-        if i == 0:
-            labels = queries.table(spark, sf, "labels")
-            good = before.join(labels.where("quality = 1"), "doc_id").count()
-            assert docs.join(labels.where("quality = 1"), "doc_id").count() >= 0.97 * good
-        if i == 1:
-            again = simhash_ring.near_duplicates(docs)
-            assert again.where("doc_id <> component_id").count() == 0
-        if i == 2:
-            assert docs.count() == before.count() and docs.where("text rlike 'AKIA[A-Z0-9]{16}'").count() == 0
-    assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and docs.where("n_tokens > 0").count() > 0
-    assert corpus_pipeline.run(spark, sf).count() == sizes[-1]
