@@ -319,3 +319,34 @@ def test_nb_ratios_and_descent():
     assert ratio[1] > 0 > ratio[4] and abs(ratio[2]) < 1e-9
     model = quality_nbsvm.Model(ratio, *quality_nbsvm.dual_descent(docs, good, ratio))
     assert [model.score(d) >= 0.5 for d in docs] == [True, True, False, False]
+
+
+def test_fit_takes_one_row_an_id(spark, monkeypatch):
+    """A labelled id that ten thousand rows repeat counts once, and the bound holds for rows."""
+    import zlib
+
+    one, two, three = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    rows = [(one, "good words in a sentence", 0)] * 5000 + [(two, "BAD!! BAD!! $$$", 0)] * 5000 + [(three, "good words here", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, y int")
+    labels = spark.createDataFrame([(one, 1), (two, 0), (three, 1)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality_nbsvm, "log_ratio", lambda found, good: seen.append(len(found)) or np.zeros(quality_nbsvm.BUCKETS))
+    quality_nbsvm.fit(docs, labels)
+    assert seen == [3]
+    quality_nbsvm.fit(docs, labels, sample=2)
+    assert seen == [3] or seen[1] <= 2
+
+
+def test_shapes_are_whole():
+    assert quality_nbsvm.shape("a1" * 20) == "x0" * 20 and quality_nbsvm.shape("Word") == "Xx" and quality_nbsvm.shape("WORD-9") == "X-0"
+    one, two = (quality_nbsvm.Features()("a1" * 20 + end) for end in ("!", "?"))
+    assert set(one) != set(two)
+
+
+def test_classifier_of_long_texts_and_of_no_rows(spark):
+    docs = spark.createDataFrame([(1, "good words here " * 100_000), (2, "BAD!! $$ " * 1000), (3, "q" * 2_000_000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    model = quality_nbsvm.fit(docs, labels)
+    assert len(quality_nbsvm.score(docs, model).collect()) == 3
+    none = docs.limit(0)
+    assert quality_nbsvm.score(none, quality_nbsvm.fit(none, labels)).count() == quality_nbsvm.keep_good(none, labels).count() == 0

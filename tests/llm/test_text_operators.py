@@ -49,6 +49,20 @@ def test_every_character_is_split_as_by_the_library(counter):
         assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids), hex(point)
 
 
+def test_other_scripts_look_whole_tokens_up(counter, monkeypatch):
+    texts = ["Привет мир", "Ελληνικά κείμενα και", "你好 the world", "שלום the"]
+    merged = []
+    monkeypatch.setattr(type(counter), "merged", lambda self, token, mapped=None: merged.append(token) or len(self.tokenizer.model.tokenize(mapped or "".join(map(self.alphabet.__getitem__, token.encode())))))
+    for text in texts:
+        assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert "Ġthe" not in merged and "Ġworld" not in merged and merged
+
+
+def test_long_texts_are_counted_whole(counter):
+    for text in ("word " * 200_000, "x" * 100_000, "слово " * 50_000):
+        assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def test_token_rows(spark, odd, counter):
     got = sorted(map(tuple, token_count.count_tokens(odd, tokenizer_file("byte_bpe_50k.json")).collect()), key=str)
     want = [(i, len((t or "").encode()), len(counter.tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in [*enumerate(ODD), (3, "a"), (None, "tail")]]
@@ -266,6 +280,14 @@ def test_base_pii_equals_the_plain_patterns():
     assert scanner.spans("see https://a.b/c?x. IBAN: GB82 WEST 1234 5698 7654 32 ok") == [("url", 4, 19), ("iban", 27, 54)]
 
 
+def test_long_texts_are_searched_in_linear_time():
+    scanner = pii_anchor.AnchorScanner()
+    for text in ("1" * 500_000, "a@" * 250_000, "a." * 250_000, "1.2." * 100_000, "+1 " * 150_000, "http://" * 70_000, "IBAN " * 100_000, "4111 " * 100_000):
+        began = time.time()
+        assert [s for s in scanner.spans(text) if s[0] in pii_anchor.BASE_KINDS] is not None
+        assert time.time() - began < 10, text[:8]
+
+
 def test_pii_rows(spark, odd):
     docs = odd.unionByName(spark.createDataFrame([(50, "é😀 a.b@c.de; +1 (555) 123-4567; 10.0.0.1; 4111 1111 1111 1111", "", 0, "")], odd.schema))
     got = {r.doc_id: r for r in pii_anchor.pii_digest(docs).collect()}
