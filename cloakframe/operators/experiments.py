@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,16 +20,49 @@ PRIMARY = {
 }
 
 
+#: The least rows of an experiment's table.
+LEAST_ROWS = 20
+
+
+def suite_problems(suite: str, seeds: list, experiments: list[dict]) -> list[str]:
+    """What is wrong with a suite's settings, as codes: name, seeds, and each experiment's id, kind and rows."""
+    whole = lambda x: type(x) is int
+    times = Counter(e.get("id") for e in experiments)
+    found = {
+        "no_suite_name": not (isinstance(suite, str) and suite.strip()),
+        "no_seeds": not seeds,
+        "seed_not_whole": any(not whole(s) for s in seeds),
+        "seed_repeated": len({str(s) for s in seeds}) < len(seeds),
+        "no_experiments": not experiments,
+        "experiment_without_id": any(not isinstance(i, str) or not i for i in times),
+        "experiment_id_repeated": any(n > 1 for n in times.values()),
+        "unknown_kind": any(e.get("kind", "audit") != "audit" for e in experiments),
+        "too_few_rows": any(not whole(e.get("rows", LEAST_ROWS)) or e.get("rows", LEAST_ROWS) < LEAST_ROWS for e in experiments),
+    }
+    return [code for code, wrong in found.items() if wrong]
+
+
+def run_suite(tables: dict[str, DataFrame], suite: str, seeds: list[int], experiments: list[dict]) -> DataFrame:
+    """The records of every experiment (id, table, roles) under every seed; refused if the settings are wrong."""
+    if problems := suite_problems(suite, seeds, experiments):
+        raise ValueError(", ".join(problems))
+    out = None
+    for e in experiments:
+        one = run_seed_suite(tables[e["table"]], e["id"], seeds, roles=e.get("roles"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("suite", F.lit(suite))
+
+
 def run_seed_suite(df: DataFrame, experiment: str, seeds: list[int], backend: str = "demo", roles: dict[str, str] | None = None) -> DataFrame:
     """experiment_id, seed, metrics (a map) for every seed: synthesis, then the audit of its result."""
     if len(set(seeds)) != len(seeds) or not all(isinstance(s, int) and not isinstance(s, bool) for s in seeds) or not seeds:
         raise ValueError("seeds are distinct whole numbers")
-    if df.limit(20).count() < 20:
+    if df.limit(LEAST_ROWS).count() < LEAST_ROWS:
         raise ValueError("an experiment needs 20 rows at least")
     out, names = None, ("exact_row_overlap", "identifier_overlap", "quasi_combo_overlap", "rare_quasi_overlap", "near_copy_rate")
     for seed in seeds:
         audit = audit_release(df, synthesize(df, backend, seed, roles), roles=roles)
-        metrics = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))])
+        metrics = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))], F.lit("audit_passed"), F.col("passed").cast("double"))
         one = audit.select(F.lit(experiment).alias("experiment_id"), F.lit(seed).alias("seed"), F.map_filter(metrics, lambda k, v: v.isNotNull()).alias("metrics"))
         out = one if out is None else out.unionByName(one)
     return out

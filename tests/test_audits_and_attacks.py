@@ -173,3 +173,8 @@ def test_experiments(spark):
     assert [r.seed for r in experiments.run_seed_suite(table, "demo", [7, 17]).collect()] == [7, 17]
     with pytest.raises(ValueError):
         experiments.run_seed_suite(table, "demo", [7, 7])
+    assert experiments.suite_problems("s", [1, 2], [{"id": "a"}, {"id": "b", "rows": 30}]) == []
+    assert experiments.suite_problems(" ", [True, 1.5], [{"id": "a"}, {"id": "a", "kind": "x", "rows": 3}, {}]) == ["no_suite_name", "seed_not_whole", "experiment_without_id", "experiment_id_repeated", "unknown_kind", "too_few_rows"]
+    assert experiments.run_suite({"t": table}, "s", [7], [{"id": "a", "table": "t"}]).first()["metrics"]["audit_passed"] == 0.0
+    with pytest.raises(ValueError):
+        experiments.run_suite({"t": table}, "s", [], [{"id": "a", "table": "t"}])

@@ -220,13 +220,49 @@ def test_corpus_and_lines(spark, tmp_path):
     (tmp_path / "lines.txt").write_text('{"id": "a", "x": 1}\n\n{"id": "b"}\n{"id": "a", "x": 2}\nbroken\n{"id": " ", "x": 1}\n{"id": "c", "x": 3}\n')
     valid, rejects = tables.read_jsonl_checked(spark, f"{tmp_path}/lines.txt", "id string, x int", "id", ("x",))
     assert [r.id for r in valid.collect()] == ["c"]
-    assert sorted(r.reason for r in rejects.collect()) == ["duplicate_key", "duplicate_key", "empty_key", "malformed", "missing:x"]
+    assert sorted((r.reason, r.line_no) for r in rejects.collect()) == [("duplicate_key", 1), ("duplicate_key", 4), ("empty_key", 6), ("malformed", 5), ("missing:x", 3)]
+    (tmp_path / "none.txt").write_text("\n \n")
+    with pytest.raises(ValueError):
+        tables.read_jsonl_checked(spark, f"{tmp_path}/none.txt", "id string", "id")
+
+
+def test_links_are_left_out_and_order_folds_case(spark, tmp_path):
+    (tmp_path / "c" / "sub").mkdir(parents=True)
+    (tmp_path / "away").mkdir()
+    for place, text in (("c/b 1+.txt", "b"), ("c/A.md", "a"), ("away/x.txt", "x")):
+        (tmp_path / place).write_text(text)
+    (tmp_path / "c" / "link.txt").symlink_to(tmp_path / "away" / "x.txt")
+    (tmp_path / "c" / "far").symlink_to(tmp_path / "away")
+    rows = tables.read_corpus(spark, f"{tmp_path}/c").orderBy("order_key").collect()
+    assert [r.text for r in rows] == ["a", "b"] and rows[0].order_key == "a.md"
+
+
+def test_line_numbers_over_many_blocks(spark, tmp_path):
+    lines = [f"line {i}" if i % 3 else "" for i in range(2000)]
+    (tmp_path / "long.txt").write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {r.line_no: r.value for r in tables.numbered_lines(spark, f"{tmp_path}/long.txt").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == dict(enumerate(lines, 1))
+
+
+def test_summaries_are_sorted_and_hold_no_text(spark, tmp_path):
+    df = spark.createDataFrame([("e2", "m", 1.0, "secret"), ("e1", "m", 2.0, "secret")], "experiment_id string, metric string, mean double, text string")
+    tables.write_summary(df, f"{tmp_path}/s")
+    said = [x for f in (tmp_path / "s").glob("*.json") for x in f.read_text().splitlines()]
+    assert [json.loads(x)["experiment_id"] for x in said] == ["e1", "e2"] and "secret" not in "".join(said) and list(json.loads(said[0])) == ["experiment_id", "mean", "metric"]
 
 
 def test_staging_needs_permission_and_a_clean_scan(spark, tmp_path):
     clean, dirty = spark.createDataFrame([("A", 1)], "g string, n int"), spark.createDataFrame([("a@x.org", 1)], "g string, n int")
     assert tables.stage_release(clean, True, f"{tmp_path}/a").first()["allow_after_final_scan"]
     assert not tables.stage_release(clean, False, f"{tmp_path}/b").first()["allow_after_final_scan"]
+    with pytest.raises(Exception):  # noqa: B017
+        tables.stage_release(clean.selectExpr("g", "raise_error('broken') as n"), True, f"{tmp_path}/e")
+    assert not (tmp_path / "e" / "payload").exists()
     row = tables.stage_release(dirty, True, f"{tmp_path}/c").first()
     assert not row["allow_after_final_scan"] and row["final_scan"]["by_entity"] == {"email": 1}
     assert (tmp_path / "a" / "payload").exists() and not (tmp_path / "b" / "payload").exists() and not (tmp_path / "c" / "payload").exists() and (tmp_path / "c" / "manifest").exists()
