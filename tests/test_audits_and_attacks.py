@@ -120,6 +120,32 @@ def test_nearest_distance_by_brute_force(spark, columns, monkeypatch):
         assert math.isclose(got[r[0]], min(math.dist(pick(r), pick(s)) for s in right), abs_tol=1e-12)
 
 
+def test_crowded_bins_by_brute_force(spark, monkeypatch):
+    """A third of all rows share one value: they meet in blocks, and no join makes their pairs."""
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    rnd = random.Random(5)
+    value = lambda: 5.0 if rnd.random() < 0.4 else round(rnd.uniform(0, 40), 1)
+    made = lambda n: [(i, "AB"[i % 2], value(), None if i == 3 else value()) for i in range(n)]
+    early, late = made(90), made(80)
+    schema = "person bigint, city string, x double, y double"
+    out = attacks.fuzzy_longitudinal_linkage(spark.createDataFrame(early, schema), spark.createDataFrame(late, schema), ["city"], {"x": 1.5, "y": 4.0}, "person")
+    assert "NestedLoop" not in plan_of(out).replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+    unique = correct = 0
+    for p, c, x, y in early:
+        hits = [q for q, d, u, v in late if c == d and None not in (y, v) and abs(x - u) <= 1.5 and abs(y - v) <= 4.0]
+        unique += len(hits) == 1
+        correct += hits == [p]
+    got = out.first()
+    assert (got["unique_matches"], got["correct_matches"]) == (unique, correct)
+    raw, syn = [(x, y or 0.0) for _, _, x, y in early], [(x, y or 0.0) for _, _, x, y in late]
+    import numpy as np
+
+    r, s = np.array(raw), np.array(syn)
+    z = lambda v: (v - r.mean(axis=0)) / r.std(axis=0)
+    near = np.linalg.norm(z(s)[:, None] - z(r)[None], axis=2).min(axis=1) < 0.05 * math.sqrt(2)
+    assert audit.near_copy_rate(spark.createDataFrame(raw, "x double, y double"), spark.createDataFrame(syn, "x double, y double"), ["x", "y"]).first()[0] == round(near.mean(), 6)
+
+
 def test_auc_with_ties(spark):
     rnd = random.Random(3)
     rows = [(float(rnd.randrange(12)), rnd.random() < 0.4) for _ in range(200)]
