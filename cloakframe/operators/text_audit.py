@@ -80,8 +80,10 @@ def ngram_reuse_udf(size: int):
         rows = []
         for s, o in zip(source, output, strict=True):
             said = ngram_hashes(plain_text(o), size)
-            held = np.unique(ngram_hashes(plain_text(s), size)) if len(said) else said
-            rows.append((int(np.isin(said, held).sum()), len(said)))
+            held = np.sort(ngram_hashes(plain_text(s), size)) if len(said) else said
+            place = np.searchsorted(held, said)
+            place[place == len(held)] = 0
+            rows.append((int((held[place] == said).sum()) if len(held) else 0, len(said)))
         return pd.DataFrame(rows, columns=["reused", "total"])
 
     return count
