@@ -37,7 +37,7 @@ from .common import Remembered, map_texts
 BUCKETS = 1 << 18
 SAMPLE = 8000
 #: Bytes of words, and of runs of shapes, that a task remembers.
-WORDS = 32 << 20
+WORDS = 16 << 20
 FOLDS, HELD_OUT = 3, 1
 SMOOTHING, COST, EPOCHS, STEEPNESS = 1.0, 1.0, 12, 4.0
 RUNS = re.compile(r"[^\W\d_]+|\d+")

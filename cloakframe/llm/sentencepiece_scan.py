@@ -67,7 +67,7 @@ class Pieces:
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         of_byte = {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.raw = [of_byte.get(i, self.model.id_to_piece(i).replace(MARK, " ").encode("utf-8")) for i in range(size)]
-        self.words, self.alone, self.agree, self.cuts = Remembered(), Remembered(), Remembered(), Remembered()
+        self.words, self.alone, self.agree, self.cuts = Remembered(24 << 20), Remembered(4 << 20), Remembered(8 << 20), Remembered(8 << 20)
         # the last chunk without a free place: runs of one character repeat theirs
         self.unbroken: tuple = (None, None)
 
