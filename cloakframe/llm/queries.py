@@ -11,7 +11,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_join, media_tiles, pii_anchor, quality_nbsvm, secret_ledger, sentencepiece_scan, simhash_ring, source_mix, token_count
+from . import chat_format, conversation_repair, embedding_join, media_tiles, pii_anchor, quality_nbsvm, secret_ledger, sentencepiece_scan, simhash_ring, source_mix, token_count
 from .common import table
 
 
@@ -75,6 +75,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digest(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def pipeline() -> ModuleType:
     """corpus_pipeline.py at the top of the repository, whatever the working directory."""
     name = "corpus_pipeline"
@@ -97,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash_ring,
         op9_media_tiles,
         op10_source_mix,
+        op11_conversation_repair,
     ]
     return {f.__name__: f for f in found} | {"pipeline": pipeline().run}
 
@@ -174,6 +179,82 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(top.b, vec_id
 FROM embeddings LEFT JOIN top ON vec_id = top.a LEFT JOIN n ON vec_id = n.a
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+        string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+        lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END
+    ), 4294967295) % 20 AS code
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) FROM said WHERE code <> 0)
+), placed AS (
+  SELECT *, left(role, 1) AS initial,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n
+  FROM damaged
+), timed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS time FROM placed
+), faulty AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair,
+    CASE WHEN body = '' THEN 'b' WHEN time > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM timed
+), counted AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS rows
+  FROM faulty GROUP BY conv_id
+), -- a way to a state: six digits of cost, then the initials of its edits
+search AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, '000000' AS e, CAST(NULL AS VARCHAR) AS s, '000003I' AS u, '000006II' AS a FROM faulty
+  UNION ALL
+  SELECT conv_id, n, e, s, u, least(a, printf('%06d', CAST(left(u, 6) AS INT) + 3) || substr(u, 7) || 'I')
+  FROM (
+    SELECT conv_id, n, e, s, a, least(u, printf('%06d', CAST(left(least(e, s, a), 6) AS INT) + 3) || substr(least(e, s, a), 7) || 'I') AS u
+    FROM (
+      SELECT x.conv_id, f.n,
+        printf('%06d', CAST(left(e, 6) AS INT) + 4) || substr(e, 7) || 'D' AS e,
+        least(printf('%06d', CAST(left(s, 6) AS INT) + 4) || substr(s, 7) || 'D',
+          CASE WHEN fault IN ('', 't') AND initial = 's' THEN printf('%06d', CAST(left(e, 6) AS INT) + CASE fault WHEN 't' THEN 3 ELSE 0 END) || substr(e, 7) || 'K' END) AS s,
+        least(printf('%06d', CAST(left(u, 6) AS INT) + 4) || substr(u, 7) || 'D',
+          CASE WHEN fault IN ('', 't') THEN printf('%06d', CAST(left(least(e, s, a), 6) AS INT) + CASE fault WHEN 't' THEN 3 ELSE 0 END
+            + CASE initial WHEN 'u' THEN 0 ELSE 3 END) || substr(least(e, s, a), 7) || CASE initial WHEN 'u' THEN 'K' ELSE 'R' END END) AS u,
+        least(printf('%06d', CAST(left(a, 6) AS INT) + 4) || substr(a, 7) || 'D',
+          CASE WHEN fault IN ('', 't') THEN printf('%06d', CAST(left(u, 6) AS INT) + CASE fault WHEN 't' THEN 3 ELSE 0 END
+            + CASE initial WHEN 'a' THEN 0 ELSE 3 END) || substr(u, 7) || CASE initial WHEN 'a' THEN 'K' ELSE 'R' END END) AS a
+      FROM search x JOIN faulty f ON x.conv_id IS NOT DISTINCT FROM f.conv_id AND f.n = x.n + 1
+    )
+  )
+), best AS (
+  SELECT c.*, CAST(left(least(e, a), 6) AS BIGINT) AS cost, substr(least(e, a), 7) AS audit
+  FROM counted c JOIN search x ON c.conv_id IS NOT DISTINCT FROM x.conv_id AND c.rows = x.n
+), steps AS (
+  SELECT conv_id, i, substr(audit, i, 1) AS edit,
+    sum(CASE WHEN substr(audit, i, 1) IN ('K', 'R', 'D') THEN 1 ELSE 0 END) OVER w AS n,
+    sum(CASE WHEN substr(audit, i, 1) IN ('K', 'R', 'I') THEN 1 ELSE 0 END) OVER w AS place
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM best)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), matched AS (
+  SELECT s.conv_id, s.i, s.edit, s.place, CASE WHEN s.edit = 'I' THEN '' ELSE f.text END AS text, f.role,
+    max(CASE WHEN s.edit = 'K' AND s.place = 1 AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id) AS lead
+  FROM steps s LEFT JOIN faulty f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND s.n = f.n
+  WHERE s.edit <> 'D'
+), repaired AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i)) AS digest
+  FROM matched GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id
+LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_prefix_target_chat": OP3_SQL, "op5_metric_range_join": OP5_SQL, "op10_source_mix": OP10_SQL}
+    return {"op3_prefix_target_chat": OP3_SQL, "op5_metric_range_join": OP5_SQL, "op10_source_mix": OP10_SQL, "op11_conversation_repair": OP11_SQL}
