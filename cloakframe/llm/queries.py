@@ -11,7 +11,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, conversation_repair, embedding_join, media_tiles, pii_anchor, quality_nbsvm, secret_ledger, sentencepiece_scan, simhash_ring, source_mix, token_count
+from . import block_topk, chat_format, conversation_repair, embedding_join, media_tiles, pii_anchor, quality_nbsvm, secret_ledger, sentencepiece_scan, simhash_ring, source_mix, token_count
 from .common import table
 
 
@@ -79,6 +79,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digest(conversation_repair.damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline() -> ModuleType:
     """corpus_pipeline.py at the top of the repository, whatever the working directory."""
     name = "corpus_pipeline"
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_media_tiles,
         op10_source_mix,
         op11_conversation_repair,
+        op12_block_topk,
     ]
     return {f.__name__: f for f in found} | {"pipeline": pipeline().run}
 
@@ -255,6 +260,20 @@ LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id
 LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
 """
 
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, q.place, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.place <> c.place WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_prefix_target_chat": OP3_SQL, "op5_metric_range_join": OP5_SQL, "op10_source_mix": OP10_SQL, "op11_conversation_repair": OP11_SQL}
+    return {"op3_prefix_target_chat": OP3_SQL, "op5_metric_range_join": OP5_SQL, "op10_source_mix": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op12_block_topk": OP12_SQL}
