@@ -11,7 +11,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_topk, chat_format, conversation_repair, embedding_join, media_tiles, pii_anchor, quality_nbsvm, secret_ledger, sentencepiece_scan, simhash_ring, source_mix, token_count
+from . import block_topk, chat_format, conversation_repair, embedding_join, gkl_whitening, media_tiles, pii_anchor, quality_nbsvm, secret_ledger, sentencepiece_scan, simhash_ring, source_mix, token_count
 from .common import table
 
 
@@ -83,6 +83,10 @@ def op12_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_gkl_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gkl_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline() -> ModuleType:
     """corpus_pipeline.py at the top of the repository, whatever the working directory."""
     name = "corpus_pipeline"
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_source_mix,
         op11_conversation_repair,
         op12_block_topk,
+        op13_gkl_whitening,
     ]
     return {f.__name__: f for f in found} | {"pipeline": pipeline().run}
 
