@@ -1,24 +1,41 @@
-"""Column expressions that count direct identifiers in a text; all run in the JVM but one.
+"""Column expressions that count direct identifiers in a text; all run in the JVM.
 
-IPv4 addresses are counted by expressions; IPv6 tokens, which need a full grammar,
-by a pandas function that only runs on texts holding one (a token with two colons).
+IP addresses are tokens that match a full grammar, IPv4 or IPv6, as Python's `ipaddress` reads them.
+Costly patterns run on texts that hold what every match of theirs must hold.
 """
 
 from __future__ import annotations
 
 import ipaddress
-import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .lazy import vectorised
+
+#: What every match of a pattern holds: a postcode its last three characters, an address its dots or colons.
+POSTCODE_END, IP_PART = r"\d[A-Za-z\u017F\u212A]{2}", r"[0-9]\.[0-9]|:[0-9A-Fa-f]{0,4}:"
+#: As Python reads word characters: letters and numbers of any script, and the underscore.
+IP_TOKEN = P.IP_TOKEN.replace(r"\w", r"\p{L}\p{N}_")
+
+
+def ipv6_pattern() -> str:
+    """The grammar of IPv6 addresses: eight groups, the last two perhaps as IPv4, or fewer around one double colon."""
+    group = "[0-9A-Fa-f]{1,4}"
+    forms = [f"(?:{group}:){{6}}(?:{group}:{group}|{P.IPV4})"]
+    for before in range(8):
+        after = 7 - before
+        head = f"{group}(?::{group}){{{before - 1}}}" if before else ""
+        tails = [f"(?:{group}:){{0,{after - 1}}}{group}"] * (after > 0) + [f"(?:{group}:){{0,{after - 2}}}{P.IPV4}"] * (after > 1)
+        forms.append(f"{head}::" + (f"(?:{'|'.join(tails)})?" if tails else ""))
+    return "|".join(forms)
+
+
+IPV6 = ipv6_pattern()
 
 
 def email_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(P.java(P.EMAIL)))
+    return F.when(c.contains("@"), F.regexp_count(c, F.lit(P.java(P.EMAIL)))).when(c.isNotNull(), 0)
 
 
 def phone_count(c: Column) -> Column:
@@ -33,7 +50,7 @@ def national_id_count(c: Column) -> Column:
 
 
 def postcode_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(P.java(P.POSTCODE)))
+    return F.when(c.rlike(P.java(POSTCODE_END)), F.regexp_count(c, F.lit(P.java(P.POSTCODE)))).when(c.isNotNull(), 0)
 
 
 def is_ip(token: str) -> bool:
@@ -44,23 +61,16 @@ def is_ip(token: str) -> bool:
     return True
 
 
-@vectorised("int")
-def _ipv6_count(texts: pd.Series) -> pd.Series:
-    token = re.compile(P.IP_TOKEN)
-    return texts.map(lambda t: sum(":" in x and is_ip(x.strip(P.IP_TRIM)) for x in token.findall(t)) if t else 0).astype("int32")
-
-
-def ipv4_count(c: Column) -> Column:
-    tokens = F.regexp_extract_all(c, F.lit(P.java(P.IP_TOKEN)), F.lit(0))
+def ip_tokens(c: Column, ipv6: bool = True) -> Column:
+    """The valid addresses of a text, in order."""
+    tokens = F.regexp_extract_all(c, F.lit(P.java(IP_TOKEN)), F.lit(0))
     # tokens hold hex digits, colons and dots only, so dots are all there is to trim
-    return F.size(F.filter(tokens, lambda x: F.trim(x, F.lit(".")).rlike(f"^{P.IPV4}$")))
+    bare = F.transform(tokens, lambda x: F.trim(x, F.lit(".")))
+    return F.filter(bare, lambda x: x.rlike(f"^(?:{P.IPV4}|{IPV6})$" if ipv6 else f"^{P.IPV4}$"))
 
 
 def ip_count(c: Column, ipv6: bool = True) -> Column:
-    if not ipv6:
-        return ipv4_count(c)
-    candidate = F.when(c.rlike(r"[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*:"), c)
-    return ipv4_count(c) + F.coalesce(_ipv6_count(F.coalesce(candidate, F.lit(""))), F.lit(0))
+    return F.when(c.rlike(IP_PART), F.size(ip_tokens(c, ipv6))).when(c.isNotNull(), 0)
 
 
 def entity_counts(c: Column, ipv6: bool = True) -> dict[str, Column]:

@@ -26,6 +26,24 @@ def key_bounds(df: DataFrame, column: str, count: int) -> list:
     return sorted({values[len(values) * i // count] for i in range(1, count)}) if values else []
 
 
+def order_bounds(df: DataFrame, columns: list[str], count: int) -> list[Column]:
+    """Cuts of the order of several columns, nulls first, as structs: from a sample of 64 rows a range, drawn by digests."""
+    if count < 2:
+        return []
+    rows = df.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(64 * count).orderBy(*columns).collect()
+    picked = dict.fromkeys(tuple(rows[len(rows) * i // count]) for i in range(1, count)) if rows else {}
+    kinds = {c: df.schema[c].dataType for c in columns}
+    return [F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(columns, cut, strict=True)]) for cut in picked]
+
+
+def order_range(columns: list[str], limits: list[Column]) -> Column:
+    """How many cuts of `order_bounds` are at most a row."""
+    if not limits:
+        return F.lit(0)
+    own = F.struct(*columns)
+    return F.size(F.filter(F.array(*limits), lambda b: b <= own))
+
+
 def exact_median(df: DataFrame, column: str) -> float | None:
     """The median of a numeric column (the mean of the middle two), null and NaN left out.
 

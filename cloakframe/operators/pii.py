@@ -92,17 +92,21 @@ class SpanFinder:
     def __init__(self) -> None:
         self.plain = (("NATIONAL_ID", P.python(P.NATIONAL_ID)), ("EMAIL", P.python(P.EMAIL)), ("POSTCODE", P.python(P.POSTCODE)))
         self.phone, self.ip = P.python(P.PHONE), P.python(P.IP_TOKEN)
+        self.needs = {"EMAIL": re.compile("@"), "POSTCODE": re.compile(pii.POSTCODE_END), "IP_ADDRESS": re.compile(pii.IP_PART)}
         self.date, self.rank = re.compile(P.WHOLE_DATE), {e: i for i, e in enumerate(P.SPAN_PRIORITY)}
 
     def candidates(self, text: str) -> Iterator[tuple[int, int, str]]:
+        holds = {entity for entity, part in self.needs.items() if part.search(text)}
         for entity, pattern in self.plain:
+            if entity in self.needs and entity not in holds:
+                continue
             for m in pattern.finditer(text):
                 yield m.start(), m.end(), entity
         for m in self.phone.finditer(text):
             said = m[0].strip()
             if not self.date.fullmatch(said) and sum(ch.isdigit() for ch in said) >= P.PHONE_DIGITS:
                 yield m.start(), m.end(), "PHONE"
-        for m in self.ip.finditer(text):
+        for m in self.ip.finditer(text) if "IP_ADDRESS" in holds else ():
             bare = m[0].lstrip(P.IP_TRIM)
             start = m.end() - len(bare)
             bare = bare.rstrip(P.IP_TRIM)
@@ -132,13 +136,13 @@ def identifier_spans(c: Column) -> Column:
 
 @vectorised("string")
 def _mask_ips(texts: pd.Series) -> pd.Series:
-    token = P.python(P.IP_TOKEN)
+    token, part = P.python(P.IP_TOKEN), re.compile(pii.IP_PART)
 
     def one(m: re.Match) -> str:
         bare = m[0].strip(P.IP_TRIM)
         return m[0].replace(bare, "[IP_ADDRESS]", 1) if bare and pii.is_ip(bare) else m[0]
 
-    return texts.map(lambda t: token.sub(one, t) if t else t)
+    return texts.map(lambda t: token.sub(one, t) if t and part.search(t) else t)
 
 
 def redact_baseline(c: Column) -> Column:
