@@ -1,7 +1,9 @@
-"""Two tables that meet by key, in pairs of blocks of bounded size, for tests that are no equality.
+"""Two tables that meet by key, for tests that are no equality: small keys by lists, crowded ones in pairs of blocks.
 
-A key that a third of all rows share is dealt over many blocks on either side; each pair
-of blocks is one group of a task, so no task holds a key, and no row is made for a pair.
+The right side's rows are counted by key. Keys of up to SMALL rows become one list each, which every row of the
+left meets by a plain join and tests by array functions: all in the JVM, a row out for a row in. A
+key with more is dealt over blocks of bounded size on either side; each pair of blocks is one
+group of a task, so no task holds a key that a third of all rows share, and no row is made for a pair.
 """
 
 from __future__ import annotations
@@ -12,12 +14,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows to a block.
-BLOCK = 4096
+from ..sources.shared import durable
+
+#: Rows to a block; rows of a key that are tested as a list; crowded keys that are broadcast.
+BLOCK, SMALL, FEW = 4096, 256, 50_000
+
+
+def crowded(right: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys with more than SMALL rows, at most rows / SMALL of them; None if there are none."""
+    many = durable(right.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select(*keys))
+    n = many.count()
+    return None if not n else F.broadcast(many) if n <= FEW else many
+
+
+def with_lists(left: DataFrame, right: DataFrame, keys: list[str], many: DataFrame | None) -> DataFrame:
+    """Rows of `left` with keys that are not crowded, and `near`, the rows of `right` with that key (an array of structs, empty if none)."""
+    values = F.struct(*[c for c in right.columns if c not in keys])
+    if many is not None:
+        left, right = left.join(many, keys, "left_anti"), right.join(many, keys, "left_anti")
+    lists = right.groupBy(*keys).agg(F.collect_list(values).alias("near"))
+    joined = left.join(lists, keys, "left")
+    return joined.withColumn("near", F.coalesce("near", F.array().cast(lists.schema["near"].dataType)))
 
 
 def meet(left: DataFrame, right: DataFrame, keys: list[str], test: Callable[[pa.Table, pa.Table], pa.Table], fields: str, size: int | None = None, part: str = "all") -> DataFrame:
-    """What `test` makes of every pair of blocks of `left` and `right` rows with equal keys.
+    """What `test` makes of every pair of blocks of `left` and `right` rows with equal keys. The rows of either side are distinct.
 
     part: "all" blocks of `right`, only its "first" block of every key, or the "rest". Rows
     of `left` whose key `right` lacks reach the test with an empty table of `right` in part first or all.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks
-from ..functions.keys import as_key, key_columns, rate
+from ..functions.keys import as_key, rate
 from ..functions.ranges import before, bounds, range_of
 from ..sources.shared import durable
 
@@ -24,11 +24,17 @@ def band(auc: Column) -> Column:
     return F.when(auc >= 0.7, "elevated").when(auc >= 0.6, "above_chance").otherwise("near_chance")
 
 
+def renamed_keys(df: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
+    """Only `columns`, as keys under names of our own, which none of theirs can clash with."""
+    return df.select(*[as_key(F.col(f"`{c}`")).alias(n) for c, n in zip(columns, names, strict=True)])
+
+
 def k_anonymity(df: DataFrame, quasi: list[str], k: int = 5) -> DataFrame:
     """rows, min_class, unique_rows, unique_rate, rows_below_k, below_k_rate, classes; an empty table gives zeros."""
     if k < 2 or not quasi:
         raise ValueError("k is 2 or more, with at least one column")
-    classes = key_columns(df, quasi).groupBy(*quasi).agg(F.count("*").alias("n"))
+    keys = [f"k{i}" for i in range(len(quasi))]
+    classes = renamed_keys(df, quasi, keys).groupBy(*keys).agg(F.count("*").alias("n"))
     out = classes.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.min("n"), F.lit(0)).alias("min_class"),
@@ -41,8 +47,9 @@ def k_anonymity(df: DataFrame, quasi: list[str], k: int = 5) -> DataFrame:
 
 def unique_linkage(target: DataFrame, auxiliary: DataFrame, quasi: list[str]) -> DataFrame:
     """target_rows, unique_matches, linkage_rate: target rows whose key the auxiliary table has exactly once."""
-    alone = key_columns(auxiliary, quasi).groupBy(*quasi).count().where("count = 1").select(*quasi, F.lit(1).alias("__m"))
-    out = key_columns(target, quasi).join(alone, quasi, "left").agg(F.count("*").alias("target_rows"), F.count("__m").alias("unique_matches"))
+    keys = [f"k{i}" for i in range(len(quasi))]
+    alone = renamed_keys(auxiliary, quasi, keys).groupBy(*keys).agg(F.count("*").alias("n")).where("n = 1")
+    out = renamed_keys(target, quasi, keys).join(alone, keys, "left").agg(F.count("*").alias("target_rows"), F.count("n").alias("unique_matches"))
     return out.withColumn("linkage_rate", rate(F.col("unique_matches"), F.col("target_rows")))
 
 
@@ -51,12 +58,15 @@ def attribute_inference(synthetic: DataFrame, target: DataFrame, quasi: list[str
 
     Ties go to the value that sorts first. Accuracy is null if nothing is covered.
     """
-    counts = key_columns(synthetic, [*quasi, sensitive]).groupBy(*quasi, sensitive).agg(F.count("*").alias("n"))
-    guess = counts.groupBy(*quasi).agg(F.min(F.struct((-F.col("n")).alias("o"), F.col(sensitive).alias("v")))["v"].alias("__guess"))
-    usual = counts.groupBy(sensitive).agg(F.sum("n").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("o"), F.col(sensitive).alias("v")))["v"].alias("__usual"))
-    rows = key_columns(target, [*quasi, sensitive]).join(guess, quasi, "left").crossJoin(F.broadcast(usual))
-    right, base = F.col(sensitive) == F.col("__guess"), F.col(sensitive) == F.col("__usual")
-    out = rows.agg(F.count("*").alias("target_rows"), F.count("__guess").alias("covered"), F.count_if(right).alias("right"), F.count_if(base).alias("base"))
+    keys = [f"k{i}" for i in range(len(quasi))]
+    side = lambda df: renamed_keys(df, [*quasi, sensitive], [*keys, "v"])
+    most = lambda name: F.min(F.struct((-F.col("n")).alias("o"), F.col("v").alias("v")))["v"].alias(name)
+    counts = side(synthetic).groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    guess = counts.groupBy(*keys).agg(most("guess"))
+    usual = counts.groupBy("v").agg(F.sum("n").alias("n")).agg(most("usual"))
+    rows = side(target).join(guess, keys, "left").crossJoin(F.broadcast(usual))
+    right, base = F.col("v") == F.col("guess"), F.col("v") == F.col("usual")
+    out = rows.agg(F.count("*").alias("target_rows"), F.count("guess").alias("covered"), F.count_if(right).alias("right"), F.count_if(base).alias("base"))
     out = out.select(
         "target_rows",
         "covered",
@@ -69,39 +79,66 @@ def attribute_inference(synthetic: DataFrame, target: DataFrame, quasi: list[str
 
 
 def linkage_result(matches: DataFrame, rows: DataFrame) -> DataFrame:
-    """earlier_rows, unique_matches, correct_matches, linkage_rate, precision, elevated from rows (correct) and all rows."""
-    out = matches.agg(F.count("*").alias("unique_matches"), F.count_if("correct").alias("correct_matches")).crossJoin(rows.agg(F.count("*").alias("earlier_rows")))
-    out = out.select("earlier_rows", "unique_matches", "correct_matches", rate(F.col("unique_matches"), F.col("earlier_rows")).alias("linkage_rate"), F.round(F.try_divide(F.col("correct_matches"), F.col("unique_matches")), 6).alias("precision"))
+    """earlier_rows, unique_matches, correct_matches, linkage_rate, precision, elevated from single matches (rows that stand behind each, correct) and all rows."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    found = matches.agg(total("rows").alias("unique_matches"), total(F.when(F.col("correct"), F.col("rows"))).alias("correct_matches"))
+    out = found.crossJoin(rows.agg(F.count("*").alias("earlier_rows"))).select(
+        "earlier_rows",
+        "unique_matches",
+        "correct_matches",
+        rate(F.col("unique_matches"), F.col("earlier_rows")).alias("linkage_rate"),
+        F.round(F.try_divide(F.col("correct_matches"), F.col("unique_matches")), 6).alias("precision"),
+    )
     return out.withColumn("elevated", F.coalesce((F.col("precision") >= 0.8) & (F.col("linkage_rate") >= 0.2), F.lit(False)))
 
 
 def longitudinal_linkage(earlier: DataFrame, later: DataFrame, quasi: list[str], entity: str) -> DataFrame:
     """How many earlier rows match exactly one later row on the quasi key, and how many of these are the same entity."""
-    alone = key_columns(later, [*quasi, entity]).groupBy(*quasi).agg(F.count("*").alias("n"), F.min(entity).alias("__e")).where("n = 1").drop("n")
-    rows = key_columns(earlier, [*quasi, entity])
-    return linkage_result(rows.join(alone, quasi).select((F.col(entity) == F.col("__e")).alias("correct")), rows)
+    keys = [f"k{i}" for i in range(len(quasi))]
+    side = lambda df: df.select(*[as_key(F.col(f"`{c}`")).alias(k) for c, k in zip(quasi, keys, strict=True)], as_key(F.col(f"`{entity}`")).alias("entity"))
+    alone = side(later).groupBy(*keys).agg(F.count("*").alias("n"), F.min("entity").alias("found")).where("n = 1").drop("n")
+    return linkage_result(side(earlier).join(alone, keys).select((F.col("entity") == F.col("found")).alias("correct"), F.lit(1).alias("rows")), earlier)
 
 
 def matches_of(a: pa.Table, b: pa.Table, tolerances: list[float]) -> pa.Table:
-    """row, n (matches in this block, counted to two), entity (of a single match) of the rows of one block."""
+    """row, n (rows behind the matches in this block, counted to two), entity (of a single match) of the rows of one block."""
     rows, entities = a.column("row"), b.column("entity").to_pylist()
-    x, y = matrix(a.column("v")), matrix(b.column("v"))
+    x, y, weight = matrix(a.column("v")), matrix(b.column("v")), b.column("rows").to_numpy()
     n, one = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
     for at in range(0, len(x) if len(y) else 0, STRIP):
         close = np.ones((len(x[at : at + STRIP]), len(y)), bool)
         for i, t in enumerate(tolerances):
             close &= np.abs(x[at : at + STRIP, i, None] - y[None, :, i]) <= t
-        n[at : at + STRIP], one[at : at + STRIP] = close.sum(axis=1), close.argmax(axis=1)
+        n[at : at + STRIP], one[at : at + STRIP] = close @ weight, close.argmax(axis=1)
     single = [entities[i] if k == 1 else None for i, k in zip(one, n, strict=True)]
     return pa.table({"row": rows, "n": np.minimum(n, 2), "entity": pa.array(single, pa.string())})
 
 
+def crowded_matches(left: DataFrame, right: DataFrame, on: list[str], tolerances: list[float]) -> DataFrame:
+    """entity, found, rows of left rows with exactly one match in bins that are searched in blocks.
+
+    Equal rows of either side count as one with a number. The first block of a bin comes
+    first: rows with two matches need no more, so crowded bins make no pairs.
+    """
+    once = lambda df: df.groupBy(*df.columns).agg(F.count("*").alias("rows"))
+    # a row's number must not change when a task is run again
+    left = durable(once(left).withColumn("row", F.monotonically_increasing_id()))
+    right, asked = once(right), left.select(*on, "row", "v")
+    test = lambda a, b: matches_of(a, b, tolerances)
+    fields = "row bigint, n bigint, entity string"
+    first = durable(blocks.meet(asked, right, on, test, fields, part="first"))
+    few = first.groupBy("row").agg(F.sum("n").alias("n")).where("n < 2").select("row")
+    rest = blocks.meet(asked.join(few, "row", "left_semi"), right, on, test, fields, part="rest")
+    found = first.unionByName(rest).groupBy("row").agg(F.sum("n").alias("n"), F.min("entity").alias("found")).where("n = 1")
+    return found.join(left.select("row", "entity", "rows"), "row").select("entity", "found", "rows")
+
+
 def fuzzy_longitudinal_linkage(earlier: DataFrame, later: DataFrame, categorical: list[str], tolerances: dict[str, float], entity: str) -> DataFrame:
     """As above with equality on categories and inclusive tolerances on numbers; nulls in numbers never match.
 
-    A band join: the first positive tolerance sets bins, an earlier row meets the bins
-    beside its own; tolerance 0 is equality. Bins are searched in blocks, the first block
-    of a bin first: rows with two matches need no more, so crowded bins make no pairs.
+    A band join: the first positive tolerance sets bins, a later row stands in its own bin
+    and those beside it, and an earlier row asks its own bin only; tolerance 0 is equality.
+    Small bins are lists, crowded ones are searched in blocks.
     """
     if not tolerances or any(t < 0 for t in tolerances.values()):
         raise ValueError("tolerances are 0 or more, for at least one column")
@@ -109,26 +146,23 @@ def fuzzy_longitudinal_linkage(earlier: DataFrame, later: DataFrame, categorical
     number = lambda c: F.col(f"`{c}`").cast("double")
 
     def side(df: DataFrame) -> DataFrame:
-        keys = [as_key(c).alias(f"k{i}") for i, c in enumerate(categorical)]
+        keys = [as_key(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(categorical)]
         exact = [(number(c) + 0.0).alias(f"x{i}") for i, (c, t) in enumerate(tolerances.items()) if t == 0]
         sound = reduce(lambda a, b: a & b, [number(c).isNotNull() & ~F.isnan(number(c)) for c in tolerances])
         middle = F.floor(number(binned) / tolerances[binned]) if binned is not None else F.lit(0).cast("bigint")
-        return df.where(sound).select(*keys, *exact, F.array(*map(number, tolerances)).alias("v"), as_key(entity).alias("entity"), middle.alias("bin"))
-
-    # a row's number must not change when a task is run again
-    left = durable(side(earlier).withColumn("row", F.monotonically_increasing_id()))
-    right = side(later)
-    on = [*[c for c in left.columns if c[0] in "kx"], "bin"]
-    beside = left.withColumn("bin", F.explode(F.array(*[F.col("bin") + i for i in ((-1, 0, 1) if binned is not None else (0,))])))
-    test = lambda a, b: matches_of(a, b, list(tolerances.values()))
-    fields = "row bigint, n bigint, entity string"
-    asked = beside.select(*on, "row", "v")
-    first = durable(blocks.meet(asked, right, on, test, fields, part="first"))
-    few = first.groupBy("row").agg(F.sum("n").alias("n")).where("n < 2").select("row")
-    rest = blocks.meet(asked.join(few, "row", "left_semi"), right, on, test, fields, part="rest")
-    found = first.unionByName(rest).groupBy("row").agg(F.sum("n").alias("n"), F.min("entity").alias("found")).where("n = 1")
-    single = found.join(left.select("row", "entity"), "row")
-    return linkage_result(single.select((F.col("entity") == F.col("found")).alias("correct")), earlier)
+        return df.where(sound).select(*keys, *exact, F.array(*map(number, tolerances)).alias("v"), as_key(F.col(f"`{entity}`")).alias("entity"), middle.alias("bin"))
+
+    left, right = side(earlier), side(later)
+    if binned is not None:
+        right = right.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    on, limits = [*[c for c in left.columns if c[0] in "kx"], "bin"], list(tolerances.values())
+    many = blocks.crowded(right, on)
+    apart = lambda y: reduce(lambda a, b: a & b, [F.abs(F.col("v")[i] - y["v"][i]) <= t for i, t in enumerate(limits)])
+    asked = blocks.with_lists(left, right, on, many).select("entity", F.filter("near", apart).alias("hits"))
+    single = asked.where(F.size("hits") == 1).select("entity", F.col("hits")[0]["entity"].alias("found"), F.lit(1).cast("bigint").alias("rows"))
+    if many is not None:
+        single = single.unionByName(crowded_matches(left.join(many, on, "left_semi"), right.join(many, on, "left_semi"), on, limits))
+    return linkage_result(single.select((F.col("entity") == F.col("found")).alias("correct"), "rows"), earlier)
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:

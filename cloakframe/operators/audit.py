@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,9 @@ def rare_quasi_overlap(raw: DataFrame, syn: DataFrame, k: int, quasi: list[str]
     shared = quasi_columns(raw, syn, quasi, roles)
     if not shared:
         return raw.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("rare_quasi_overlap"))
-    rare = key_columns(raw, shared).groupBy(*shared).count().where(F.col("count") < k)
-    return counted(rare.join(key_columns(syn, shared).distinct(), shared, "left_semi"), "rare_quasi_overlap")
+    keys = [f"k{i}" for i in range(len(shared))]
+    rare = key_columns(raw, shared).toDF(*keys).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") < k)
+    return counted(rare.join(key_columns(syn, shared).toDF(*keys).distinct(), keys, "left_semi"), "rare_quasi_overlap")
 
 
 def is_near(a: pa.Table, b: pa.Table, limit: float) -> pa.Table:
@@ -78,13 +80,24 @@ def is_near(a: pa.Table, b: pa.Table, limit: float) -> pa.Table:
     return pa.table({"id": a.column("id"), "near": near})
 
 
+def crowded_copies(made: DataFrame, real: DataFrame, bins: list[str], limit: float) -> DataFrame:
+    """n, near of distinct synthetic rows in crowded bins: the first block of a bin first, others only for rows without a hit."""
+    made = durable(made.withColumn("id", F.monotonically_increasing_id()))
+    test = lambda a, b: is_near(a, b, limit)
+    asked, fields = made.select(*bins, "id", "z"), "id bigint, near boolean"
+    first = durable(blocks.meet(asked, real, bins, test, fields, part="first"))
+    todo = first.groupBy("id").agg(F.bool_or("near").alias("near")).where("not near").select("id")
+    rest = blocks.meet(asked.join(todo, "id", "left_semi"), real, bins, test, fields, part="rest")
+    hits = first.unionByName(rest).groupBy("id").agg(F.bool_or("near").alias("near"))
+    return made.join(hits, "id").select("n", "near")
+
+
 def near_copy_rate(raw: DataFrame, syn: DataFrame, columns: list[str] | None = None, roles: dict[str, str] | None = None, sample: float | None = None, seed: int = 0) -> DataFrame:
     """near_copy_rate: the share of synthetic rows nearer to a source row than the threshold; null without columns.
 
     Exact: rows are binned by the threshold in up to three of the dimensions (those with
     most distinct values) and each synthetic row meets the source rows of its own and the
-    neighbouring bins only, in blocks: the first block of a bin first, others only for rows
-    that have no hit yet. Equal rows meet once. `sample` takes a seeded share of either side.
+    neighbouring bins only: as a list where they are few, else in blocks. Equal rows meet once. `sample` takes a seeded share of either side.
     """
     roles = roles or {}
     cols = columns or [c for c in numeric_columns(raw) if c in numeric_columns(syn) and roles.get(c, role_of(c)) != "identifier"]
@@ -106,18 +119,18 @@ def near_copy_rate(raw: DataFrame, syn: DataFrame, columns: list[str] | None = N
     limit = max(0.05 * math.sqrt(len(cols)), 0.05)
     binned = sorted(range(len(cols)), key=lambda i: -counts[str(i)])[:3]
     bins = [f"b{i}" for i in binned]
-    real = real.distinct().withColumns({f"b{i}": F.floor(F.col("z")[i] / limit) for i in binned})
-    made = durable(made.groupBy("z").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    beside = made.select("id", "z")
+    bin_ = lambda i: F.floor(F.col("z")[i] / limit)
+    # a source row stands in its own bin and those beside it; a synthetic row asks its own bin only
+    real = real.distinct()
     for i in binned:
-        bin_ = F.floor(F.col("z")[i] / limit)
-        beside = beside.withColumn(f"b{i}", F.explode(F.array(bin_ - 1, bin_, bin_ + 1)))
-    test = lambda a, b: is_near(a, b, limit)
-    first = durable(blocks.meet(beside.select(*bins, "id", "z"), real, bins, test, "id bigint, near boolean", part="first"))
-    todo = first.groupBy("id").agg(F.bool_or("near").alias("near")).where("not near").select("id")
-    rest = blocks.meet(beside.join(todo, "id", "left_semi").select(*bins, "id", "z"), real, bins, test, "id bigint, near boolean", part="rest")
-    near = first.unionByName(rest).where("near").select("id").distinct()
-    out = made.join(near.withColumn("hit", F.lit(1)), "id", "left").agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).alias("near"))
+        real = real.withColumn(f"b{i}", F.explode(F.array(bin_(i) - 1, bin_(i), bin_(i) + 1)))
+    made = made.groupBy("z").agg(F.count("*").alias("n")).withColumns({f"b{i}": bin_(i) for i in binned})
+    many = blocks.crowded(real, bins)
+    apart = lambda y: F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col("z")[i] - y["z"][i], 2) for i in range(len(cols))]))
+    told = blocks.with_lists(made, real, bins, many).select("n", F.exists("near", lambda y: apart(y) < limit).alias("near"))
+    if many is not None:
+        told = told.unionByName(crowded_copies(made.join(many, bins, "left_semi"), real.join(many, bins, "left_semi"), bins, limit))
+    out = told.agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("near"), F.col("n"))), F.lit(0)).alias("near"))
     return out.select(F.when(F.col("all") > 0, F.round(F.col("near") / F.col("all"), 6)).alias("near_copy_rate"))
 
 

@@ -7,6 +7,7 @@ import random
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.functions import blocks
 from cloakframe.operators import attacks, audit, experiments, synth
@@ -120,9 +121,11 @@ def test_nearest_distance_by_brute_force(spark, columns, monkeypatch):
         assert math.isclose(got[r[0]], min(math.dist(pick(r), pick(s)) for s in right), abs_tol=1e-12)
 
 
-def test_crowded_bins_by_brute_force(spark, monkeypatch):
-    """A third of all rows share one value: they meet in blocks, and no join makes their pairs."""
+@pytest.mark.parametrize("small", [0, 6, 256])
+def test_crowded_bins_by_brute_force(spark, monkeypatch, small):
+    """A third of all rows share one value: they meet in blocks, and no join makes their pairs; small bins are lists."""
     monkeypatch.setattr(blocks, "BLOCK", 7)
+    monkeypatch.setattr(blocks, "SMALL", small)
     rnd = random.Random(5)
     value = lambda: 5.0 if rnd.random() < 0.4 else round(rnd.uniform(0, 40), 1)
     made = lambda n: [(i, "AB"[i % 2], value(), None if i == 3 else value()) for i in range(n)]
@@ -146,6 +149,38 @@ def test_crowded_bins_by_brute_force(spark, monkeypatch):
     assert audit.near_copy_rate(spark.createDataFrame(raw, "x double, y double"), spark.createDataFrame(syn, "x double, y double"), ["x", "y"]).first()[0] == round(near.mean(), 6)
 
 
+def test_equal_rows_of_a_bin_are_counted_not_gathered(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(blocks, "meet", lambda left, right, *a, f=blocks.meet, **k: (seen.append((left.count(), right.count())), f(left, right, *a, **k))[1])
+    late = spark.range(20_000).select(F.lit("p").alias("person"), F.lit("A").alias("city"), F.lit(5.0).alias("x"))
+    early = late.limit(300).unionByName(spark.createDataFrame([("q", "A", 8.0), ("r", "B", 5.0)], late.schema))
+    more = late.unionByName(spark.createDataFrame([("q", "A", 9.5), ("z", "C", 5.0)], late.schema))
+    got = attacks.fuzzy_longitudinal_linkage(early, more, ["city"], {"x": 2.0}, "person").first()
+    assert (got["earlier_rows"], got["unique_matches"], got["correct_matches"]) == (302, 1, 1)
+    # the bins of 5.0 are crowded: one row stands for the 20,000, and one for the 300
+    assert seen and all(left <= 6 and right <= 6 for left, right in seen)
+
+
+def test_small_bins_make_no_python_groups_and_no_pairs(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    out = attacks.fuzzy_longitudinal_linkage(c, c, ["c_nationkey"], {"c_acctbal": 20.0}, "c_custkey")
+    plan = plan_of(out)
+    assert "Arrow" not in plan and "NestedLoopJoin BuildRight, Inner" not in plan
+
+
+def test_no_column_name_clashes(spark):
+    names = ["n", "count", "k0", "v", "rows", "correct", "entity", "found", "bin", "near", "hits"]
+    rows = [tuple(str(i * (k + 1) % 7) for k in range(len(names))) for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+    classes = {r[:3]: sum(x[:3] == r[:3] for x in rows) for r in rows}
+    assert attacks.k_anonymity(df, names[:3]).first()["classes"] == len(classes)
+    assert attacks.unique_linkage(df, df.limit(3), names).first()["target_rows"] == 40
+    assert attacks.attribute_inference(df, df, names[:5], "rows").first()["accuracy"] == 1.0
+    assert attacks.longitudinal_linkage(df, df.dropDuplicates(), names[:4], "entity").first()["precision"] == 1.0
+    assert attacks.fuzzy_longitudinal_linkage(df, df.dropDuplicates(), ["n", "near"], {"bin": 0.0}, "entity").first()["precision"] == 1.0
+    assert audit.rare_quasi_overlap(df, df, 1000, names).first()[0] == len(set(rows))
+
+
 def test_auc_with_ties(spark):
     rnd = random.Random(3)
     rows = [(float(rnd.randrange(12)), rnd.random() < 0.4) for _ in range(200)]
