@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +18,8 @@ from ..functions.keys import rate
 from ..functions.lazy import vectorised
 from . import pii as pii_ops
 
-#: What is neither a letter nor a digit; characters of a pair that are compared in one place; hashes to a batch.
-NO_LETTER, LONG, PIECE = re.compile(r"[\W_]+"), 8_000_000, 100_000
+#: What is neither a letter nor a digit; hashes of a source that are held at one time; n-grams compared at one time.
+NO_LETTER, HELD, STRIP = re.compile(r"[\W_]+"), 4_000_000, 65_536
 GATE = ("direct_pii_detected", "source_number_reuse", "character_ngram_reuse", "distinctive_token_reuse", "output_too_short")
 
 
@@ -49,11 +49,15 @@ def plain_text(text: str | None) -> str:
     return NO_LETTER.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
 
 
-def ngram_hashes(plain: str, size: int) -> np.ndarray:
-    """A 64-bit hash of every run of `size` characters, from hashes of runs half as long: linear in the text."""
-    if len(plain) < size:
+def code_points(plain: str) -> np.ndarray:
+    return np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def ngram_hashes(points: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every run of `size` code points, from hashes of runs half as long: linear in the text."""
+    if len(points) < size:
         return np.zeros(0, np.uint64)
-    points = np.frombuffer(plain.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    points = points.astype(np.uint64)
     with np.errstate(over="ignore"):
         # characters are scattered first, so that runs of near characters stay apart
         one = (points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -68,57 +72,70 @@ def ngram_hashes(plain: str, size: int) -> np.ndarray:
                 taken += width
             longer = power[: max(len(power) - width, 0)] * step + power[width:]
             power, step, width = longer ^ (longer >> np.uint64(31)), step * step + np.uint64(2), width * 2
-    return out[: len(plain) - size + 1]
+    return out[: len(points) - size + 1]
 
 
-def ngram_reuse_udf(size: int):
-    if size < 8:
-        raise ValueError("n-grams have 8 characters or more")
+def pieces_of(points: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the first, hashes) of a text's n-grams, some at a time."""
+    for at in range(0, max(len(points) - size + 1, 0), HELD):
+        yield at, ngram_hashes(points[at : at + HELD + size - 1], size)
 
-    @vectorised("struct<reused:bigint,total:bigint>")
-    def count(source: pd.Series, output: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s, o in zip(source, output, strict=True):
-            said = ngram_hashes(plain_text(o), size)
-            held = np.sort(ngram_hashes(plain_text(s), size)) if len(said) else said
-            place = np.searchsorted(held, said)
-            place[place == len(held)] = 0
-            rows.append((int((held[place] == said).sum()) if len(held) else 0, len(said)))
-        return pd.DataFrame(rows, columns=["reused", "total"])
 
-    return count
+def reused_ngrams(source: str, output: str, size: int) -> tuple[int, int]:
+    """(n-grams of the output, by place, that the source holds; n-grams of the output) of two plain texts.
+
+    Equal hashes only propose a place; the characters decide. Of a source longer than HELD the hashes are
+    taken in shares of the hash values, one share at a time, so memory is bounded and the result is the same.
+    """
+    held, said = code_points(source), code_points(output)
+    total = max(len(said) - size + 1, 0)
+    if not total or len(held) < size:
+        return 0, total
+    windows, own = (np.lib.stride_tricks.sliding_window_view(x, size) for x in (held, said))
+    shares, found = np.uint64(1 + (len(held) - size) // HELD), 0
+    for share in range(int(shares)):
+        mine = lambda hashes: np.flatnonzero(hashes % shares == share) if shares > 1 else np.arange(len(hashes))
+        parts = [(at + (keep := mine(hashes)), hashes[keep]) for at, hashes in pieces_of(held, size)]
+        places, hashes = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.argsort(hashes, kind="stable")
+        places, hashes = places[order], hashes[order]
+        for at, asked in pieces_of(said, size):
+            first = np.searchsorted(hashes, asked)
+            known = np.flatnonzero((first < len(hashes)) & (hashes[np.minimum(first, len(hashes) - 1)] == asked)) if len(hashes) else np.zeros(0, np.int64)
+            for i in range(0, len(known), STRIP):
+                hit = known[i : i + STRIP]
+                k, j = at + hit, places[first[hit]]
+                # what follows an equal n-gram on either side is equal if its last character is
+                follows = np.zeros(len(hit), bool)
+                follows[1:] = (np.diff(k) == 1) & (np.diff(j) == 1)
+                if (said[k + size - 1] == held[j + size - 1]).all() and (own[k[~follows]] == windows[j[~follows]]).all():
+                    found += len(hit)
+                    continue
+                same = (own[k] == windows[j]).all(axis=1)
+                found += int(same.sum())
+                # another n-gram has this hash: whether one of the others is ours
+                for k in hit[~same]:
+                    others = places[first[k] : np.searchsorted(hashes, asked[k], "right")]
+                    found += bool((windows[others] == own[at + k]).all(axis=1).any())
+    return found, total
 
 
-def long_ngram_reuse(df: DataFrame, id_col: str, source_col: str, output_col: str, size: int) -> DataFrame:
-    """id, reused_ngrams, output_ngrams of very long texts: hashes become rows, in pieces, and are joined by (id, hash)."""
+def ngram_reuse_udf(size: int):
     if size < 8:
         raise ValueError("n-grams have 8 characters or more")
-    sides = df.select(F.col(id_col).alias("__id"), F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col(source_col).alias("text")), F.struct(F.lit(1).alias("side"), F.col(output_col).alias("text")))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, side, text in zip(b.column("__id"), b.column("side"), b.column("text"), strict=True):
-                hashes = ngram_hashes(plain_text(text.as_py()), size).view(np.int64)
-                for at in range(0, len(hashes), PIECE):
-                    part = pa.array(hashes[at : at + PIECE])
-                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(part), b.schema.field("__id").type), pa.array([side.as_py()] * len(part), pa.int32()), part], names=["__id", "side", "hash"])
 
-    kind = sides.schema["__id"].dataType.simpleString()
-    grams = sides.mapInArrow(run, f"__id {kind}, side int, hash bigint").groupBy("__id", "hash").agg(F.count_if(F.col("side") == 1).alias("n"), F.bool_or(F.col("side") == 0).alias("held"))
-    found = grams.groupBy("__id").agg(F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).alias("reused_ngrams"), F.sum("n").alias("output_ngrams"))
-    return df.select(id_col).join(found, F.col(id_col) == F.col("__id"), "left").select(id_col, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("reused_ngrams", "output_ngrams")])
+    @vectorised("struct<reused:bigint,total:bigint>")
+    def count(source: pd.Series, output: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([reused_ngrams(plain_text(s), plain_text(o), size) for s, o in zip(source, output, strict=True)], columns=["reused", "total"])
 
+    return count
 
-def char_ngram_reuse(df: DataFrame, id_col: str, source_col: str, output_col: str, size: int = 32, long: int = LONG) -> DataFrame:
-    """id, reused_ngrams, output_ngrams, ngram_reuse_rate over positions of the output.
 
-    Pairs of more than `long` characters together are compared by a join of hashes (their ids
-    must be unique), others where they are read.
-    """
-    together = F.coalesce(F.length(source_col), F.lit(0)) + F.coalesce(F.length(output_col), F.lit(0))
-    few = df.where(together <= long).select(id_col, ngram_reuse_udf(size)(F.col(source_col), F.col(output_col)).alias("n"))
-    both = few.select(id_col, F.col("n.reused").alias("reused_ngrams"), F.col("n.total").alias("output_ngrams")).unionByName(long_ngram_reuse(df.where(together > long), id_col, source_col, output_col, size))
-    return both.withColumn("ngram_reuse_rate", rate(F.col("reused_ngrams"), F.col("output_ngrams")))
+def char_ngram_reuse(df: DataFrame, id_col: str, source_col: str, output_col: str, size: int = 32) -> DataFrame:
+    """id, reused_ngrams, output_ngrams, ngram_reuse_rate over positions of the output: a row out for a row in, whatever its id and length."""
+    rows = df.select(id_col, ngram_reuse_udf(size)(F.col(source_col), F.col(output_col)).alias("n"))
+    out = rows.select(id_col, F.col("n.reused").alias("reused_ngrams"), F.col("n.total").alias("output_ngrams"))
+    return out.withColumn("ngram_reuse_rate", rate(F.col("reused_ngrams"), F.col("output_ngrams")))
 
 
 def long_words(c: Column) -> Column:
@@ -149,21 +166,42 @@ def semantic_gate(df: DataFrame) -> DataFrame:
     return out.withColumn("eligible_for_manual_review", F.size("failed_conditions") == 0).withColumn("release_allowed", F.lit(False))
 
 
+def token_reuse(source: str, output: str) -> tuple[int, int]:
+    """(distinctive tokens, those that the output has): long words that the folded source has exactly once."""
+    word = P.python(P.LONG_WORD)
+    once = {w for w, n in Counter(word.findall(source)).items() if n == 1}
+    return len(once), len(once.intersection(word.findall(output)))
+
+
+def pair_measures(size: int):
+    """What needs folded texts, of a pair: both are folded once."""
+    if size < 8:
+        raise ValueError("n-grams have 8 characters or more")
+
+    @vectorised("struct<reused_ngrams:bigint,output_ngrams:bigint,distinctive_tokens:bigint,reused_tokens:bigint>")
+    def measure(source: pd.Series, output: pd.Series) -> pd.DataFrame:
+        rows = []
+        for pair in zip(source, output, strict=True):
+            s, o = (unicodedata.normalize("NFKC", t or "").lower() for t in pair)
+            rows.append((*reused_ngrams(NO_LETTER.sub("", s), NO_LETTER.sub("", o), size), *token_reuse(s, o)))
+        return pd.DataFrame(rows, columns=["reused_ngrams", "output_ngrams", "distinctive_tokens", "reused_tokens"])
+
+    return measure
+
+
 def audit_pairs(source: DataFrame, output: DataFrame, key: str, text_col: str = "text", size: int = 32) -> DataFrame:
-    """One row a pair with all measures and the gate: one join, then columns."""
+    """One row a pair with all measures and the gate: one join, one function over the folded texts, then columns."""
     pairs = source.select(key, F.col(text_col).alias("source")).join(output.select(key, F.col(text_col).alias("output")), key)
-    fold = lambda c: folded(F.coalesce(F.col(c), F.lit("")))
     rows = pairs.select(
         key,
         number_reuse(F.col("source"), F.col("output")).alias("reused_numbers"),
         sum(pii.entity_counts(F.col("output")).values(), F.lit(0)).cast("bigint").alias("pii_hits"),
         F.length("output").cast("bigint").alias("output_chars"),
-        ngram_reuse_udf(size)(F.col("source"), F.col("output")).alias("__n"),
-        fold("source").alias("__s"),
-        fold("output").alias("__t"),
+        pair_measures(size)(F.col("source"), F.col("output")).alias("__m"),
     )
-    rows = rows.withColumns({"reused_ngrams": F.col("__n.reused"), "output_ngrams": F.col("__n.total"), "ngram_reuse_rate": rate(F.col("__n.reused"), F.col("__n.total"))})
-    return semantic_gate(with_token_reuse(rows, F.col("__s"), F.col("__t")).drop("__n", "__s", "__t"))
+    rows = rows.select("*", "__m.*").drop("__m")
+    shares = {"ngram_reuse_rate": rate(F.col("reused_ngrams"), F.col("output_ngrams")), "token_reuse_rate": rate(F.col("reused_tokens"), F.col("distinctive_tokens"))}
+    return semantic_gate(rows.withColumns(shares))
 
 
 def score_redteam(audited: DataFrame, cases: DataFrame) -> DataFrame:

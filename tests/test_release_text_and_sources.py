@@ -161,8 +161,35 @@ def test_ngrams_equal_plain_sets(spark):
             held = {s[k : k + size] for k in range(len(s) - size + 1)}
             said = [o[k : k + size] for k in range(len(o) - size + 1)]
             want[i] = (sum(g in held for g in said), len(said))
-        for long in (10**9, 0):
-            assert {r.id: (r.reused_ngrams, r.output_ngrams) for r in text_audit.char_ngram_reuse(df, "id", "source", "output", size, long).collect()} == want
+        assert {r.id: (r.reused_ngrams, r.output_ngrams) for r in text_audit.char_ngram_reuse(df, "id", "source", "output", size).collect()} == want
+
+
+def test_ngrams_of_null_and_repeated_ids(spark):
+    pairs = [(1, "a" * 300, "b" * 200), (1, (t := "".join(map(str, range(200)))), t), (None, t, t), (None, None, t)]
+    df = spark.createDataFrame(pairs, "id bigint, source string, output string")
+    got = sorted((str(r.id), r.reused_ngrams, r.output_ngrams) for r in text_audit.char_ngram_reuse(df, "id", "source", "output").collect())
+    n = len(t) - 31
+    assert got == sorted([("1", 0, 169), ("1", n, n), ("None", n, n), ("None", 0, n)])
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_ngram_shares_and_collisions_change_nothing(monkeypatch, weak):
+    """Hashes in shares give what they give at once, and equal hashes of different n-grams count for nothing."""
+    import random
+
+    rnd = random.Random(9)
+    cases = []
+    for _ in range(60):
+        s = "".join(rnd.choice("abc") for _ in range(rnd.randrange(120)))
+        o = s[rnd.randrange(60) :][: rnd.randrange(80)] + "".join(rnd.choice("abc") for _ in range(rnd.randrange(60)))
+        held = {s[k : k + 8] for k in range(len(s) - 7)}
+        cases.append((s, o, (sum(o[k : k + 8] in held for k in range(len(o) - 7)), max(len(o) - 7, 0))))
+    if weak:
+        strong = text_audit.ngram_hashes
+        monkeypatch.setattr(text_audit, "ngram_hashes", lambda points, size: strong(points, size) % 7)
+    for held in (4_000_000, 50, 9):
+        monkeypatch.setattr(text_audit, "HELD", held)
+        assert [text_audit.reused_ngrams(s, o, 8) for s, o, _ in cases] == [want for _, _, want in cases]
 
 
 def test_words_that_come_once(spark):
