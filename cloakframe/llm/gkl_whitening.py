@@ -85,16 +85,16 @@ def encoded(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def fit_blocks(rows: DataFrame) -> DataFrame:
-    """n, width, codes, sums: the distinct x in blocks, with their sums per dimension; stored."""
+    """n, width, kind, data, sums: the distinct x in blocks of one matrix each, with their sums per dimension; stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, widest = [], 1
 
         def block() -> pa.RecordBatch:
-            matrix = padded(held, widest)
+            matrix, kind = padded(held, widest), f"<i{max(code[0] for code in held)}"
             return pa.RecordBatch.from_arrays(
-                [pa.array([len(held)], pa.int64()), pa.array([widest], pa.int32()), pa.array([held], pa.list_(pa.binary())), pa.array([matrix.sum(axis=0).tolist()], pa.list_(pa.int64()))],
-                names=["n", "width", "codes", "sums"],
+                [pa.array([len(held)], pa.int64()), pa.array([widest], pa.int32()), pa.array([kind]), pa.array([matrix.astype(kind).tobytes()], pa.binary()), pa.array([matrix.sum(axis=0).tolist()], pa.list_(pa.int64()))],
+                names=["n", "width", "kind", "data", "sums"],
             )
 
         for b in batches:
@@ -108,7 +108,7 @@ def fit_blocks(rows: DataFrame) -> DataFrame:
         if held:
             yield block()
 
-    return durable(rows.select("x").distinct().mapInArrow(run, "n bigint, width int, codes array<binary>, sums array<bigint>"))
+    return durable(rows.select("x").distinct().mapInArrow(run, "n bigint, width int, kind string, data binary, sums array<bigint>"))
 
 
 @dataclass
@@ -131,8 +131,10 @@ class Fit:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = np.zeros(size)
             for b in batches:
-                for codes in b.column("codes"):
-                    whole += part(padded(codes.as_py(), len(mean)) - mean)
+                for r in b.to_pylist():
+                    rows = np.zeros((r["n"], len(mean)))
+                    rows[:, : r["width"]] = np.frombuffer(r["data"], dtype=r["kind"]).reshape(r["n"], r["width"])
+                    whole += part(rows - mean)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(whole)], names=["at", "value"])
 
         sums = self.blocks.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
@@ -162,7 +164,7 @@ def fit(rows: DataFrame) -> Fit | None:
     for r in blocks.select(F.posexplode("sums")).groupBy("pos").agg(F.sum(F.col("col").cast("decimal(38,0)")).alias("s")).collect():
         sums[r["pos"]] = int(r["s"])
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size["blocks"] // PER_TASK))
-    return Fit(blocks.select("codes").coalesce(tasks), size["n"], sums)
+    return Fit(blocks.drop("sums").coalesce(tasks), size["n"], sums)
 
 
 def without(v: np.ndarray, basis: list[np.ndarray]) -> np.ndarray:
