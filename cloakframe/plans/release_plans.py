@@ -325,19 +325,21 @@ def l1_stream_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS entries, round(sum(value), 4) AS value FROM events
-    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY 1, 2"""
+    f"""WITH r AS (SELECT TIMESTAMP '2024-03-01 00:00:00' + INTERVAL 7 MINUTE * page_id AS ts, * FROM {ASKED})
+    SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, 'CUSTOM_OR_UNKNOWN_ENDPOINT' AS classification, count(*) AS entries, CAST(sum(body_bytes) AS BIGINT) AS body_bytes, CAST(sum(pii_hits) AS BIGINT) AS pii_hits,
+    count(*) FILTER (sensitive_headers <> '') AS with_sensitive_headers, count(*) FILTER (sensitive_query <> '') AS with_sensitive_query
+    FROM r WHERE host IS NOT NULL AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM r) GROUP BY 1, 2"""
 )
 def l2_stream_request_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, events = new_folder(spark, "monitor"), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.write.parquet(f"{folder}/in")
-    arriving = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
-    totals = streams.stream_request_monitor(arriving, "ts", "1 hour", "2 hours", "event_type")
-    # windows are appended once the watermark has passed them, and their state is dropped; the last ones stay open
-    sink = totals.writeStream.outputMode("append").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"))
-    sink.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{folder}/out").drop("batch")
-    return out.withColumns({"value": F.round("value", 4), "window_start": F.col("window_start").cast("timestamp_ntz")})
+    """Captures arrive with a time each; every fifth is captured twice."""
+    folder, rows = new_folder(spark, "monitor"), asked(spark, sf_dir)
+    timed = rows.withColumn("ts", F.timestamp_add("MINUTE", F.col("page_id") * 7, F.lit("2024-03-01 00:00:00").cast("timestamp")))
+    timed.unionByName(timed.where("page_id % 5 = 0")).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    streams.stream_request_monitor(arriving, "ts", "page_id", "1 hour", "2 hours", folder).awaitTermination()
+    # the last windows stay open
+    out = spark.read.parquet(f"{folder}/totals").drop("batch", "with_secret_fields")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT source || '/doc-' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'allow' ELSE 'deny' END AS decision FROM documents")

@@ -297,16 +297,79 @@ def test_staging_needs_permission_and_a_clean_scan(spark, tmp_path):
     assert digests and all(len(r.sha256) == 64 for r in digests)
 
 
+def arrives(spark, folder: str, rows: list, schema: str):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
 def test_streamed_labels_agree_with_earlier_batches(spark, tmp_path):
     folder, schema = str(tmp_path), "doc_id bigint, text string"
-    drops = [[(1, "a@x.org b@x.org")], [(2, "b@x.org c@x.org")], [(3, "d@x.org a@x.org")]]
+    drops = [[(1, "a@x.org b@x.org")], [(2, "b@x.org c@x.org"), (None, "a@x.org"), (2, "none")], [(3, "d@x.org a@x.org"), (3, "d@x.org"), (4, None)]]
     for drop in drops:
-        spark.createDataFrame(drop, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        arriving = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        streams.stream_pseudonymize(arriving, "doc_id", "text", folder, b"k").awaitTermination()
-    got = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents").collect()}
-    assert got == {1: "[EMAIL_001] [EMAIL_002]", 2: "[EMAIL_002] [EMAIL_003]", 3: "[EMAIL_004] [EMAIL_001]"}
-    assert "x.org" not in str(spark.read.parquet(f"{folder}/labels").collect())
+        arriving = arrives(spark, folder, drop, schema)
+        streams.stream_pseudonymize(arriving, "doc_id", "text", folder, b"k", shards=1).awaitTermination()
+    got = sorted((str(r.doc_id), r.text or "") for r in spark.read.parquet(f"{folder}/documents").collect())
+    want = [("1", "[EMAIL_001] [EMAIL_002]"), ("2", "[EMAIL_002] [EMAIL_003]"), ("2", "none"), ("3", "[EMAIL_004]"), ("3", "[EMAIL_004] [EMAIL_001]"), ("4", ""), ("None", "[EMAIL_001]")]
+    assert got == want
+    labels = spark.read.parquet(f"{folder}/labels").collect()
+    assert "x.org" not in str(labels) and sorted(r.label for r in labels) == [f"[EMAIL_{i:03d}]" for i in (1, 2, 3, 4)]
+
+
+def test_a_stream_that_fails_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    schema = "doc_id bigint, text string"
+    drops = [[(10 * b + i, f"m{(i * (b + 1)) % 17}@x.org and m{i}@x.org") for i in range(9)] for b in range(4)]
+    results = {}
+    for kind in ("whole", "broken"):
+        folder = f"{tmp_path}/{kind}"
+        for drop in drops:
+            arriving = arrives(spark, folder, drop, schema)
+        start = lambda: streams.stream_pseudonymize(arriving, "doc_id", "text", folder, b"k", shards=3)  # noqa: E731, B023
+        if kind == "broken":
+            # the third batch stops after its documents, before its labels
+            real = streams.rebuild
+
+            def failing(docs, *rest, real=real):
+                if docs.where("doc_id >= 20 and doc_id < 30").count():
+                    raise RuntimeError("lost")
+                return real(docs, *rest)
+
+            monkeypatch.setattr(streams, "rebuild", failing)
+            with pytest.raises(Exception, match="lost"):
+                start().awaitTermination()
+            monkeypatch.setattr(streams, "rebuild", real)
+            assert spark.read.parquet(f"{folder}/documents").count() == 18
+        start().awaitTermination()
+        labels = spark.read.parquet(f"{folder}/labels").collect()
+        assert len({r.label for r in labels}) == len({r.digest for r in labels}) == len(labels)
+        by_value = {}
+        for r in spark.read.parquet(f"{folder}/documents").collect():
+            original = next(t for drop in drops for i, t in drop if i == r.doc_id)
+            for value, label in zip(original.split(" and "), r.text.split(" and "), strict=True):
+                assert by_value.setdefault(value, label) == label
+        results[kind] = (len(by_value), len(labels), spark.read.parquet(f"{folder}/documents").count())
+    values = len({v for drop in drops for _, t in drop for v in t.split(" and ")})
+    assert results["whole"] == results["broken"] == (values, values, 36)
+
+
+def test_monitored_requests(spark, tmp_path):
+    import datetime as dt
+
+    folder, schema = str(tmp_path), "id bigint, ts timestamp, method string, url string, headers array<struct<name:string,value:string>>, cookies array<struct<name:string,value:string>>, body string"
+    at = lambda minute: dt.datetime(2024, 5, 1) + dt.timedelta(minutes=minute)
+    row = lambda i, minute, url, body="": (i, at(minute), "get", url, [], [], body)
+    ai, other = "https://api.openai.com/v1", "https://x.example/?token=1&password=2"
+    first = [row(1, 0, ai, "a@x.org"), row(2, 20, other), row(2, 20, other), row(3, 65, ai), row(4, 10, "no host")]
+    second = [row(1, 0, ai, "a@x.org"), row(5, 400, other)]
+    third = [row(6, 5, ai), row(7, 410, other)]
+    for i, drop in enumerate((first, second, third)):
+        arriving = arrives(spark, folder, drop, schema)
+        query = streams.stream_request_monitor(arriving, "ts", "id", "1 hour", "2 hours", folder)
+        query.awaitTermination()
+        # the third drop brings a row whose window is closed
+        assert streams.late_rows(query) == (i == 2)
+    got = {(r.window_start, r.classification): (r.entries, r.pii_hits, r.with_sensitive_query) for r in spark.read.parquet(f"{folder}/totals").collect()}
+    official, custom = "OFFICIAL_PROVIDER_ENDPOINT", "CUSTOM_OR_UNKNOWN_ENDPOINT"
+    assert got == {(at(0), official): (1, 1, 0), (at(0), custom): (1, 0, 1), (at(60), official): (1, 0, 0)}
 
 
 def test_registry_and_entry(spark):
