@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import gram
 from . import pii
 from .profile import PrivacyProfile, numeric_columns, role_of, unpivoted
 
@@ -45,46 +47,19 @@ def describe_numeric(df: DataFrame, profile: PrivacyProfile = RESEARCH, roles: d
 def correlation_matrix(df: DataFrame, profile: PrivacyProfile = RESEARCH, roles: dict[str, str] | None = None) -> DataFrame:
     """a, b, correlation (pairwise complete, rounded to 6, null if undefined) for all pairs a <= b.
 
-    One pass takes means and extrema, a second sums of products of centred values. Only
-    pairs with a column that has gaps sum over the rows that both have.
+    One pass takes means and extrema, a second products of centred values, as matrices; NaN counts as missing.
     """
     columns = safe_columns(df, roles)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]] if len(columns) > 1 else []
-    value = lambda c: F.col(f"`{c}`").cast("double")
-    at = {c: i for i, c in enumerate(columns)}
-    first = df.agg(F.count("*").alias("n"), *[x for c, i in at.items() for x in (F.count(value(c)).alias(f"n{i}"), F.avg(value(c)).alias(f"m{i}"), F.min(value(c)).alias(f"lo{i}"), F.max(value(c)).alias(f"hi{i}"))]).first()
-    n = first["n"]
-    guarded(df, n, profile.min_dataset)
-    whole = {c: first[f"n{i}"] == n for c, i in at.items()}
-    constant = {c: first[f"lo{i}"] == first[f"hi{i}"] for c, i in at.items()}
-    centred = {c: value(c) - F.lit(first[f"m{i}"]) for c, i in at.items()}
-    sums = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = centred[a], centred[b]
-        if whole[a] and whole[b]:
-            sums.append(F.sum(x * y).alias(f"xy{i}"))
-        elif not constant[a] and not constant[b]:
-            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            of = {"xy": F.sum(x * y), "x": F.sum(x), "y": F.sum(y), "xx": F.sum(x * x), "yy": F.sum(y * y), "n": F.count(x), "dx": F.max(x) - F.min(x), "dy": F.max(y) - F.min(y)}
-            sums += [v.alias(f"{k}{i}") for k, v in of.items()]
-    row = df.agg(F.lit(0), *sums).first()
-    own = {pair: i for i, pair in enumerate(pairs)}
-
-    def corr(i: int, a: str, b: str) -> float | None:
-        if constant[a] or constant[b]:
-            return None
-        if whole[a] and whole[b]:
-            xy, xx, yy = row[f"xy{i}"], row[f"xy{own[a, a]}"], row[f"xy{own[b, b]}"]
-        else:
-            of = {k: row[f"{k}{i}"] for k in ("xy", "x", "y", "xx", "yy", "n", "dx", "dy")}
-            if not of["n"] or not of["dx"] or not of["dy"]:
-                return None
-            xy, xx, yy = of["xy"] - of["x"] * of["y"] / of["n"], of["xx"] - of["x"] ** 2 / of["n"], of["yy"] - of["y"] ** 2 / of["n"]
-        # a square may vanish beside the spread of other columns
-        return round(xy / math.sqrt(xx * yy), 6) if xx > 0 and yy > 0 else None
-
-    found = [(a, b, corr(i, a, b)) for i, (a, b) in enumerate(pairs)]
-    return df.sparkSession.createDataFrame(found, "a string, b string, correlation double")
+    values = [F.col(f"`{c}`").cast("double") for c in columns]
+    first = gram.columns_summary(df, values) if len(columns) > 1 else None
+    guarded(df, df.count() if first is None else first["n"], profile.min_dataset)
+    schema = "a string, b string, correlation double"
+    if first is None:
+        return df.sparkSession.createDataFrame([], schema)
+    gaps = [i for i, n in enumerate(first["count"]) if n < first["n"]]
+    found = gram.pairwise_correlation(df, values, first["mean"], gaps)
+    rows = [(a, b, None if math.isnan(found[i, j]) else round(float(found[i, j]), 6)) for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def group_summary(df: DataFrame, group_by: str, value: str, profile: PrivacyProfile = RESEARCH, roles: dict[str, str] | None = None) -> DataFrame:
@@ -149,11 +124,9 @@ def ols(df: DataFrame, outcome: str, predictors: list[str], profile: PrivacyProf
     """term, coef, se, statistic, p, ci_low, ci_high, nobs, r2, adj_r2 on complete cases.
 
     Text predictors become indicators of their levels (first of the sorted left out);
-    the guard on rare levels applies. Sums of products come from one aggregate of
-    (predictors + 1)^2 numbers, and the normal equations are solved from those.
+    the guard on rare levels applies. Sums of products are one matrix of (terms + 1)^2
+    numbers, reduced by BLAS in every task, and the normal equations are solved from those.
     """
-    import numpy as np
-
     roles, numeric = roles or {}, numeric_columns(df)
     for c in (outcome, *predictors):
         if roles.get(c, role_of(c)) == "identifier":
@@ -164,7 +137,7 @@ def ols(df: DataFrame, outcome: str, predictors: list[str], profile: PrivacyProf
     for c in predictors:
         if c in numeric:
             terms.append(c)
-            columns.append(F.col(c).cast("double"))
+            columns.append(F.col(f"`{c}`").cast("double"))
             continue
         if not rare_level_guard(df, c, profile).first()["allowed"]:
             raise GuardError(f"{c} has too many or too rare levels")
@@ -173,28 +146,26 @@ def ols(df: DataFrame, outcome: str, predictors: list[str], profile: PrivacyProf
         for level in levels[1:]:
             terms.append(f"{c}[{level}]")
             columns.append(F.when(F.col(c) == level, 1.0).otherwise(0.0))
-    complete = df.dropna(subset=[outcome, *predictors])
-    y, k = F.col(outcome).cast("double"), len(terms)
+    complete, k = df.dropna(subset=[outcome, *predictors]), len(terms)
+    every = [*columns, F.col(f"`{outcome}`").cast("double")]
     # centred on the means of one earlier pass, for sums that keep their digits
-    means = complete.agg(F.count("*").alias("n"), F.avg(y).alias("y"), *[F.avg(x).alias(f"x{i}") for i, x in enumerate(columns)]).first()
-    guarded(df, means["n"], max(profile.min_dataset, k + 1))
-    xs = [columns[0], *[x - F.lit(means[f"x{i}"]) for i, x in enumerate(columns) if i]]
-    dy = y - F.lit(means["y"])
-    sums = [F.sum(xs[i] * xs[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = complete.agg(*sums, *[F.sum(x * dy).alias(f"t{i}") for i, x in enumerate(xs)], F.sum(dy * dy).alias("yy")).first()
-    gram = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    right = np.array([row[f"t{i}"] for i in range(k)])
-    inverse = np.linalg.inv(gram)
+    means = gram.columns_summary(complete, every)
+    n = means["n"] if means else 0
+    guarded(df, n, max(profile.min_dataset, k + 1))
+    centre = np.where(np.arange(k + 1) == 0, 0.0, means["mean"])
+    products = gram.reduce_rows(complete, every, [("sum", lambda x: (x - centre).T @ (x - centre))])[0].reshape(k + 1, k + 1)
+    right, yy = products[:k, k], products[k, k]
+    inverse = np.linalg.inv(products[:k, :k])
     beta = inverse @ right
-    n, rest = means["n"], means["n"] - k
-    residual = max(row["yy"] - beta @ right, 0.0)
+    rest = n - k
+    residual = max(yy - beta @ right, 0.0)
     # back from centred predictors to the intercept of the plain ones
     shift = np.eye(k)
-    shift[0, 1:] = [-means[f"x{i}"] for i in range(1, k)]
+    shift[0, 1:] = -centre[1:k]
     beta, cov = shift @ beta, shift @ inverse @ shift.T * residual / rest
-    beta[0] += means["y"]
+    beta[0] += centre[k]
     se = np.sqrt(np.maximum(np.diag(cov), 0))
-    r2 = 1 - residual / row["yy"] if row["yy"] else float("nan")
+    r2 = 1 - residual / yy if yy else float("nan")
     wide = t_quantile(0.975, rest)
     rows = []
     for i, term in enumerate(terms):

@@ -184,6 +184,20 @@ def e4_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("term", F.round("coef", 4).alias("coef"), F.round("se", 4).alias("se"), "nobs", F.round("r2", 4).alias("r2"))
 
 
+@query(
+    """WITH g AS (SELECT c_mktsegment AS level, avg(c_nationkey) AS mx, avg(c_acctbal) AS my, count(*) AS n FROM customer GROUP BY 1),
+    b AS (SELECT sum((c_nationkey - mx) * (c_acctbal - my)) / sum((c_nationkey - mx) ** 2) AS slope FROM customer JOIN g ON level = c_mktsegment),
+    base AS (SELECT my - slope * mx AS const FROM g, b ORDER BY level LIMIT 1)
+    SELECT 'const' AS term, round(const, 4) AS coef, (SELECT count(*) FROM customer) AS nobs FROM base
+    UNION ALL SELECT 'c_nationkey', round(slope, 4), (SELECT count(*) FROM customer) FROM b
+    UNION ALL SELECT 'c_mktsegment[' || level || ']', round(my - slope * mx - const, 4), (SELECT count(*) FROM customer) FROM g, b, base WHERE level > (SELECT min(level) FROM g)"""
+)
+def e4_ols_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number and the levels of a text together: slopes within groups, by SQL."""
+    out = stats.ols(table(spark, sf_dir, "customer"), "c_acctbal", ["c_nationkey", "c_mktsegment"])
+    return out.select("term", F.round("coef", 4).alias("coef"), "nobs")
+
+
 @query("SELECT 'c_mktsegment' AS \"column\", count(*) AS levels, min(n) AS smallest, count(*) <= 50 AND min(n) >= 5 AS allowed FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)")
 def e5_rare_level_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.rare_level_guard(table(spark, sf_dir, "customer"), "c_mktsegment")
