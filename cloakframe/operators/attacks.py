@@ -218,22 +218,71 @@ def nearest_vectors(asked: DataFrame, reference: DataFrame) -> DataFrame:
     return best.withColumnRenamed("u", "d").unionByName(found).groupBy("tag", "v").agg(F.min("d").alias("d"))
 
 
-def nearest_distance(candidates: DataFrame, reference: DataFrame, columns: list[str], id_col: str, approximate: float | None = None) -> DataFrame:
+def vector_of(columns: list[str]) -> Column:
+    return F.array(*[F.col(f"`{c}`").cast("double") + 0.0 for c in columns])
+
+
+def nearest_distance(candidates: DataFrame, reference: DataFrame, columns: list[str], id_col: str, approximate: bool = False) -> DataFrame:
     """id, distance: Euclidean, from each candidate to its nearest reference row; null if there is none.
 
-    Exact, unless `approximate`, a share of the reference rows (drawn by their digests), is
-    given: then distances are to the nearest of these.
+    Exact, unless `approximate`: then by `hashed_nearest`, which never gives less than the exact distance.
     """
-    vector = F.array(*[F.col(f"`{c}`").cast("double") + 0.0 for c in columns])
-    rows = candidates.select(F.col(id_col).alias("id"), F.lit(0).alias("tag"), vector.alias("v"))
-    held = reference.select(F.lit(0).alias("tag"), vector.alias("v"))
-    if approximate is not None:
-        held = held.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(approximate * 1_000_000))
+    rows = candidates.select(F.col(f"`{id_col}`").alias("id"), F.lit(0).alias("tag"), vector_of(columns).alias("v"))
+    held = reference.select(F.lit(0).alias("tag"), vector_of(columns).alias("v"))
+    if approximate:
+        found = hashed_nearest(rows.select("v"), held.select("v"), len(columns))
+        return rows.join(found, "v", "left").select(F.col("id").alias(id_col), F.col("d").alias("distance"))
     with_p = lambda df: df.select("tag", F.col("v")[0].alias("p"), "v")
     found = nearest_vectors(with_p(rows), with_p(held))
     return rows.join(found, ["tag", "v"], "left").select(F.col("id").alias(id_col), F.col("d").alias("distance"))
 
 
+#: Tables of an index, projections to a table, rows by which it is scaled, and how many times their nearest distance a bucket is wide.
+TABLES, PROJECTIONS, SCALE_BY, WIDE = 8, 2, 256, 4.0
+
+
+def buckets(size: int, width: float, seed: int = 11) -> Column:
+    """Of a vector `v`: (table, bucket) for every table, by shifted random projections."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for t in range(TABLES):
+        places = []
+        for _ in range(PROJECTIONS):
+            direction, shift = rng.standard_normal(size), rng.uniform()
+            along = reduce(lambda a, b: a + b, [F.col("v")[i] * float(x) for i, x in enumerate(direction)])
+            places.append(F.floor(along / width + float(shift)))
+        out.append(F.struct(F.lit(t).alias("t"), *[p.alias(f"b{i}") for i, p in enumerate(places)]))
+    return F.array(*out)
+
+
+def hashed_nearest(asked: DataFrame, reference: DataFrame, size: int) -> DataFrame:
+    """v, d for the distinct `asked` (v): the distance to the nearest `reference` (v) that shares a bucket of random projections.
+
+    Buckets are WIDE times as wide as nearest distances usually are, measured on SCALE_BY vectors drawn by digests.
+    Small buckets are lists, crowded ones are searched in blocks. Vectors alone in all their buckets are searched exactly, so every one has an answer.
+    """
+    usable = lambda df: df.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))).distinct()
+    asked, reference = durable(usable(asked)), durable(usable(reference))
+    exactly = lambda df: nearest_vectors(df.select(F.lit(0).alias("tag"), F.col("v")[0].alias("p"), "v"), reference.select(F.lit(0).alias("tag"), F.col("v")[0].alias("p"), "v")).select("v", "d")
+    scale = exactly(asked.orderBy(F.xxhash64("v"), "v").limit(SCALE_BY)).agg(F.percentile("d", 0.9).alias("d")).first()["d"]
+    if scale is None or scale == float("inf"):
+        return exactly(asked)
+    width = WIDE * (scale or 1e-9)
+    on = ["t", *[f"b{i}" for i in range(PROJECTIONS)]]
+    dealt = lambda df: df.select(F.explode(buckets(size, width)).alias("b"), "v").select("b.*", "v")
+    left, right = dealt(asked), dealt(reference)
+    many = blocks.crowded(right, on)
+    apart = lambda y: F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col("v")[i] - y["v"][i], 2) for i in range(size)]))
+    told = blocks.with_lists(left, right, on, many).where(F.size("near") > 0).select("v", F.array_min(F.transform("near", apart)).alias("d"))
+    if many is not None:
+        inside = lambda df: df.join(many, on, "left_semi")
+        whole = inside(left).select(*on, F.lit(0).alias("tag"), "v", F.lit(float("inf")).alias("u"))
+        told = told.unionByName(blocks.meet(whole, inside(right), on, nearest_in, "tag int, v array<double>, d double").select("v", "d"))
+    best = durable(told.groupBy("v").agg(F.min("d").alias("d")))
+    alone = durable(asked.join(best, "v", "left_anti"))
+    return best.unionByName(exactly(alone)) if alone.limit(1).count() else best
+
+
 def pairwise_auc(scores: DataFrame, score_col: str, member_col: str, *by: str) -> DataFrame:
     """auc (by the columns of `by`): P(member above holdout) + half P(tie), from counts by score and running sums over score ranges."""
     counts = scores.where(F.col(score_col).isNotNull()).groupBy(*by, F.col(score_col).cast("double").alias("s")).agg(F.count_if(F.col(member_col)).alias("m"), F.count_if(~F.col(member_col)).alias("h"))

@@ -102,6 +102,17 @@ def f8_nearest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attacks.nearest_distance(members, made, ["c_acctbal", "c_nationkey"], "c_custkey").withColumn("distance", F.round("distance", 6))
 
 
+@query(f"SELECT count(*) AS candidates, true AS recall_reached, true AS never_nearer FROM customer WHERE {MEMBERS}")
+def f8_hashed_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index against the exact search: a recall of 0.9 or more, and no distance below the exact one."""
+    members, _, made = split(spark, sf_dir)
+    columns = ["c_acctbal", "c_nationkey"]
+    found = attacks.nearest_distance(members, made, columns, "c_custkey", approximate=True).withColumnRenamed("distance", "found")
+    both = attacks.nearest_distance(members, made, columns, "c_custkey").join(found, "c_custkey")
+    close = F.col("found") <= F.col("distance") * (1 + 1e-9)
+    return both.agg(F.count("*").alias("candidates"), (F.avg(close.cast("int")) >= 0.9).alias("recall_reached"), F.bool_and(F.col("found") >= F.col("distance") * (1 - 1e-9)).alias("never_nearer"))
+
+
 @query(
     """SELECT round(sum(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END) / count(*), 6) AS auc
     FROM (SELECT floor(c_acctbal / 100) AS score FROM customer WHERE c_custkey % 3 = 0) x, (SELECT floor(c_acctbal / 100) AS score FROM customer WHERE c_custkey % 3 <> 0) y"""

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators import copula, profile, stats, synth
+from ..operators import copula, profile, sketches, stats, synth
 from ..sources import tables
-from ..sources.shared import new_folder
+from ..sources.shared import durable, new_folder
 from .base import query, table
 
 
@@ -133,6 +133,16 @@ def b3_profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile_table(table(spark, sf_dir, "customer"))
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count({c}) AS non_null, true AS unique_close, CAST(count(DISTINCT year(l_shipdate)) AS BIGINT) AS parts FROM lineitem" for c in LINEITEM))
+def b3_sketched_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by year of shipment, merged: counts, and whether distinct counts are within 3 % of the exact ones."""
+    rows = table(spark, sf_dir, "lineitem")
+    stored = durable(sketches.column_sketches(rows, F.year("l_shipdate")))
+    found = sketches.estimates(sketches.merged(stored)).join(stored.groupBy("name").agg(F.count("*").alias("parts")), "name")
+    exact = profile.profile_table(rows).select("name", F.col("unique").alias("exact"))
+    return found.join(exact, "name").select("name", "n", "non_null", (F.abs(F.col("unique") - F.col("exact")) <= 0.03 * F.col("exact")).alias("unique_close"), "parts")
+
+
 @query(f"SELECT role, CAST(count(name) AS BIGINT) AS columns FROM (SELECT unnest({list(profile.ROLES)}) AS role) d LEFT JOIN ({profile_sql('documents', DOCUMENTS, ('text', 'lang', 'source'))}) p USING (role) GROUP BY role")
 def b3_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.role_counts(profile.profile_table(table(spark, sf_dir, "documents")))
