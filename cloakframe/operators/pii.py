@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import patterns as P
 from ..functions import pii
 from ..functions.lazy import vectorised
+from ..sources.shared import durable
 
 SPAN = "array<struct<start:int,end:int,entity:string,value:string>>"
 
@@ -51,26 +51,24 @@ def leaves(c: Column, kind: T.DataType) -> Column:
     return none
 
 
-def json_leaves(texts: pd.Series) -> pd.Series:
-    def walk(x: object, out: list[str]) -> list[str]:
-        if isinstance(x, str):
-            out.append(x)
-        elif isinstance(x, dict):
-            for k, v in x.items():
-                out.append(k)
-                walk(v, out)
-        elif isinstance(x, list):
-            for v in x:
-                walk(v, out)
-        return out
+def json_texts(df: DataFrame, column: str) -> DataFrame:
+    """text: all string keys and string values of a column of JSON texts, level by level; a text that is no JSON is one of them.
 
-    def one(t: str | None) -> list[str]:
-        try:
-            return walk(json.loads(t), []) if t else []
-        except ValueError:
-            return [t or ""]
-
-    return texts.map(one)
+    Texts are parsed once, as variants, and opened a level at a time in the JVM: a job a level of nesting, not a row. Repeated keys
+    count as no JSON.
+    """
+    text, tvf = F.col(f"`{column}`").cast("string"), df.sparkSession.tvf
+    parsed = durable(df.where(text != "").select(text.alias("text"), F.try_parse_json(text).alias("value")))
+    out, level = parsed.where("value is null").select("text"), parsed.where("value is not null").select("value")
+    while True:
+        shown = level.withColumn("json", F.to_json("value"))
+        out = out.unionByName(shown.where(F.startswith("json", F.lit('"'))).select(F.variant_get("value", "$", "string").alias("text")))
+        nested = shown.where(F.substring("json", 1, 1).isin("{", "[")).select(F.col("value").alias("whole"))
+        parts = durable(nested.lateralJoin(tvf.variant_explode(F.col("whole").outer())).select("key", "value"))
+        if not parts.limit(1).count():
+            return out
+        out = out.unionByName(parts.where("key is not null").select(F.col("key").alias("text")))
+        level = parts.where("value is not null").select("value")
 
 
 def scan_structured(df: DataFrame, json_columns: tuple[str, ...] = ()) -> DataFrame:
@@ -78,11 +76,13 @@ def scan_structured(df: DataFrame, json_columns: tuple[str, ...] = ()) -> DataFr
 
     Field and column names are scanned once, not once a row.
     """
-    as_leaves = F.pandas_udf(json_leaves, "array<string>")
-    parts = [as_leaves(F.col(c)) if c in json_columns else leaves(F.col(c), df.schema[c].dataType) for c in df.columns]
-    texts = df.select(F.explode(F.concat(*parts)).alias("text")) if parts else df.sparkSession.createDataFrame([], "text string")
-    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "text string")
-    found = scan_table(texts.unionByName(names), ["text"], ipv6=True)
+    parts = [leaves(F.col(f"`{c}`"), df.schema[c].dataType) for c in df.columns if c not in json_columns]
+    texts = df.sparkSession.createDataFrame([(c,) for c in df.columns], "text string")
+    if parts:
+        texts = texts.unionByName(df.select(F.explode(F.concat(*parts)).alias("text")))
+    for c in json_columns:
+        texts = texts.unionByName(json_texts(df, c))
+    found = scan_table(texts, ["text"], ipv6=True)
     return found.groupBy("entity").agg(F.sum("hits").alias("hits"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.keys import tree_digest
+from ..sources.tables import stage_release
 from .pii import scan_table
 from .profile import PROFILES, PrivacyProfile, drop_identifiers
 from .stats import GuardError, aggregate_pii_guard, describe_numeric, release_safe_describe
@@ -118,15 +119,23 @@ def final_scan_gate(df: DataFrame, allow: bool, roles: dict[str, str] | None = N
     return hits.select(F.lit(allow).alias("allow"), "pii_hits", (F.lit(allow) & (F.col("pii_hits") == 0)).alias("passed"))
 
 
-def resolve_release(df: DataFrame, staged: bool, profile: PrivacyProfile = PROFILES["research"], decimals: int = 2) -> DataFrame:
-    """name, ..., status, reason: row-level if staged, else the aggregate fallback, else LOCAL_ONLY with what stopped it."""
+LOCAL = "status string, release_class string, reason string"
+
+
+def resolve_release(df: DataFrame, staged: bool, profile: PrivacyProfile = PROFILES["research"], decimals: int = 2, folder: str | None = None) -> DataFrame:
+    """name, ..., status, reason: row-level if staged, else the aggregate fallback, else LOCAL_ONLY with what stopped it.
+
+    With a folder, the fallback is staged there: a payload that its final scan clears, and the manifest.
+    """
     spark = df.sparkSession
     if staged:
-        return spark.createDataFrame([("READY", "row_level", None)], "status string, release_class string, reason string")
+        return spark.createDataFrame([("READY", "row_level", None)], LOCAL)
     try:
         out = aggregate_pii_guard(release_safe_describe(describe_numeric(df, profile), profile.min_group, profile.min_group, decimals))
     except GuardError as e:
-        return spark.createDataFrame([("LOCAL_ONLY", None, str(e))], "status string, release_class string, reason string")
+        return spark.createDataFrame([("LOCAL_ONLY", None, str(e))], LOCAL)
+    if folder is not None and not stage_release(out, True, folder).first()["allow_after_final_scan"]:
+        return spark.createDataFrame([("LOCAL_ONLY", None, "the final scan found direct identifiers")], LOCAL)
     return out.withColumn("status", F.lit("READY")).withColumn("release_class", F.lit("aggregate")).withColumn("reason", F.lit(None).cast("string"))
 
 
@@ -159,8 +168,12 @@ def access_events(matched: DataFrame, at: str) -> DataFrame:
     return matched.select(F.lit(at).cast("timestamp").alias("at"), "path", "purpose", "decision", "reason", "approval_id")
 
 
-def verify_artifacts(manifest: DataFrame, actual: DataFrame) -> DataFrame:
-    """path, problem (null if sound) for every manifest row, against actual (path, sha256, bytes)."""
+def verify_artifacts(manifest: DataFrame, actual: DataFrame, set_sha256: str | None = None) -> DataFrame:
+    """path, problem (null if sound) for every manifest row, against actual (path, sha256, bytes).
+
+    With the digest of the whole set, a last row without a path tells whether the manifest is that set: rows
+    taken out or added show there.
+    """
     p = F.col("path")
     outside = p.startswith("/") | p.rlike(r"(^|/)\.\.(/|$)") | p.rlike(r"^[A-Za-z]:")
     joined = manifest.join(actual.select("path", F.col("sha256").alias("__sha"), F.col("bytes").alias("__bytes")), "path", "left")
@@ -170,7 +183,11 @@ def verify_artifacts(manifest: DataFrame, actual: DataFrame) -> DataFrame:
         .when(F.col("__sha").isNull(), "missing")
         .when((F.col("__sha") != F.col("sha256")) | (F.col("__bytes") != F.col("bytes")), "sha256_mismatch")
     )
-    return joined.select("path", problem.alias("problem"))
+    out = joined.select("path", problem.alias("problem"))
+    if set_sha256 is None:
+        return out
+    same = set_digest(manifest).first()["set_sha256"] == set_sha256
+    return out.unionByName(manifest.sparkSession.createDataFrame([(None, None if same else "set_mismatch")], "path string, problem string"))
 
 
 def set_digest(artifacts: DataFrame) -> DataFrame:

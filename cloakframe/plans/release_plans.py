@@ -46,10 +46,14 @@ def h3_route_purpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.route_purpose(rows, "purpose").select("doc_id", "mode")
 
 
-@query("SELECT 'c_acctbal' AS name, round(avg(c_acctbal), 2) AS mean, round(stddev_samp(c_acctbal), 2) AS std, 'READY' AS status, 'aggregate' AS release_class FROM customer")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, round(avg({c}), 2) AS mean, round(stddev_samp({c}), 2) AS std, 'READY' AS status, 'aggregate' AS release_class, true AS staged FROM customer" for c in ("c_custkey", "c_nationkey", "c_acctbal")))
 def h4_resolve_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = release.resolve_release(table(spark, sf_dir, "customer").select("c_acctbal", "c_mktsegment"), staged=False)
-    return out.select("name", "mean", "std", "status", "release_class")
+    """The aggregate fallback over the whole table, staged with its manifest."""
+    folder = new_folder(spark, "fallback")
+    out = release.resolve_release(table(spark, sf_dir, "customer"), staged=False, folder=folder)
+    manifest = spark.read.json(f"{folder}/manifest").select(F.col("allow_after_final_scan").alias("staged"))
+    payload = spark.read.json(f"{folder}/payload").select("name")
+    return out.join(payload, "name").crossJoin(F.broadcast(manifest)).select("name", "mean", "std", "status", "release_class", "staged")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +214,19 @@ def h13_verify_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.verify_artifacts(manifest, files.where("doc_id % 3 <> 0").select("path", "sha256", "bytes"))
 
 
+@query(
+    """SELECT problem, count(*) AS n FROM (SELECT CAST(NULL AS VARCHAR) AS problem FROM documents UNION ALL SELECT NULL
+    UNION ALL SELECT NULL FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'set_mismatch') GROUP BY problem"""
+)
+def h13_verify_whole_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest that is whole, and one that lost every seventh row: each row is sound, the set is not."""
+    files = artifacts(spark, sf_dir).select("doc_id", "path", "sha256", "bytes")
+    whole = files.drop("doc_id")
+    digest = release.set_digest(whole).first()["set_sha256"]
+    both = release.verify_artifacts(whole, whole, digest).unionByName(release.verify_artifacts(files.where("doc_id % 7 <> 0").drop("doc_id"), whole, digest))
+    return both.groupBy("problem").agg(F.count("*").alias("n"))
+
+
 HOST_SQL = r"nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '.'), '')"
 
 

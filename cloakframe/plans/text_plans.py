@@ -67,7 +67,12 @@ def c7_scan_text_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.scan_text_column(docs(spark, sf_dir), "doc_id", "text")
 
 
-@query()
+LEAVES_SQL = """(SELECT text FROM documents UNION ALL SELECT source FROM documents
+    UNION ALL SELECT atom ->> '$' FROM events, LATERAL (SELECT atom, type FROM json_tree(props)) WHERE type = 'VARCHAR'
+    UNION ALL SELECT key FROM events, LATERAL (SELECT key, fullkey FROM json_tree(props)) WHERE key IS NOT NULL AND NOT ends_with(fullkey, ']'))"""
+
+
+@query("SELECT entity, hits FROM (" + " UNION ALL ".join(f"SELECT '{e}' AS entity, CAST(sum({e}) AS BIGINT) AS hits FROM (SELECT {COUNTS_SQL} FROM {LEAVES_SQL})" for e in ENTITIES) + ") WHERE hits > 0")
 def c8_scan_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = docs(spark, sf_dir).select(F.struct("text", F.map_from_arrays(F.array(F.lit("source")), F.array("source")).alias("about")).alias("payload"))
     props = table(spark, sf_dir, "events").select("props")
@@ -113,9 +118,32 @@ def c12_inspect_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.inspect_texts(docs(spark, sf_dir), "doc_id", "text")
 
 
-@query("SELECT 'text' AS \"column\", 'at_sign' AS entity, CAST(sum(length(text) - length(replace(text, '@', ''))) AS BIGINT) AS hits FROM documents")
+def card_numbers():
+    """A detector: whole runs of digits, perhaps with single blanks or hyphens between, 13 to 19 of them with the right check digit."""
+    import re
+
+    run = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}")
+
+    def checked(digits: str) -> bool:
+        doubled = [int(d) * (2 if i % 2 else 1) for i, d in enumerate(reversed(digits))]
+        return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+
+    def detect(text: str) -> dict[str, int]:
+        runs = (re.sub("[ -]", "", m[0]) for m in run.finditer(text))
+        n = sum(len(digits) < 20 and checked(digits) for digits in runs)
+        return {"card_number": n} if n else {}
+
+    return detect
+
+
+CARD_SQL = r"""SELECT sum(n) AS hits FROM (SELECT len(list_filter(list_transform(regexp_extract_all(text, '(?:^|[^0-9])([0-9](?:[ -]?[0-9]){12,})', 1), lambda x: regexp_replace(x, '[ -]', '', 'g')),
+    lambda d: length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[length(d) - i + 1] AS INTEGER)
+      WHEN CAST(d[length(d) - i + 1] AS INTEGER) > 4 THEN CAST(d[length(d) - i + 1] AS INTEGER) * 2 - 9 ELSE CAST(d[length(d) - i + 1] AS INTEGER) * 2 END)) % 10 = 0)) AS n FROM documents)"""
+
+
+@query(f"SELECT 'text' AS \"column\", 'card_number' AS entity, CAST(hits AS BIGINT) AS hits FROM ({CARD_SQL}) WHERE hits > 0")
 def c13_scan_with_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.scan_with_detector(docs(spark, sf_dir), lambda: lambda text: {"at_sign": text.count("@")} if "@" in text else {}, ["text"])
+    return scans.scan_with_detector(docs(spark, sf_dir), card_numbers, ["text"])
 
 
 def rule_sql(name: str, pattern: str) -> str:
@@ -137,13 +165,22 @@ def d2_pseudonymize_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ps.pseudonymize_corpus(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", secret=SECRET)[0]
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(upper(source)) ELSE upper(source) END AS key FROM documents")
+@query(
+    r"""SELECT doc_id, 'EMAIL' AS entity, lower(v) AS key FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^\p{L}\p{N}_.+-])([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})', 1)) AS v FROM documents)"""
+)
 def d3_identifier_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entity = F.when(F.col("doc_id") % 2 == 0, "EMAIL").otherwise("PHONE")
-    return docs(spark, sf_dir).select("doc_id", keys.identifier_key(entity, F.upper("source")).alias("key"))
+    """The addresses found in the texts, as labels compare them."""
+    spans = docs(spark, sf_dir).select("doc_id", F.explode(scans.identifier_spans(F.upper("text"))).alias("s")).select("doc_id", "s.*").where("entity = 'EMAIL'")
+    return spans.select("doc_id", "entity", keys.identifier_key(F.col("entity"), F.col("value")).alias("key"))
 
 
-@query()
+def hmac_sql(secret: bytes, message: str) -> str:
+    """HMAC-SHA256 in SQL, for a key of up to 64 bytes."""
+    pad = lambda x: "".join(f"\\x{b ^ x:02X}" for b in secret.ljust(64, bytes(1)))
+    return f"sha256('{pad(0x5C)}'::BLOB || unhex(sha256('{pad(0x36)}'::BLOB || encode({message}))))"
+
+
+@query(f"SELECT doc_id, {hmac_sql(SECRET, "'SOURCE' || chr(0) || source")} AS digest FROM documents")
 def d4_keyed_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", keys.keyed_digest(SECRET, F.concat_ws("\0", F.lit("SOURCE"), "source")).alias("digest"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +105,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     the lines of the blocks before.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    # stored, because both the counts and the lines need the same numbers
+    lines = durable(lines)
     counts = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select("file", "block", "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("ahead"))
@@ -129,11 +134,52 @@ def read_jsonl_checked(spark: SparkSession, path: str, schema: str, key: str, re
     return valid, told(checked.where("reason is not null")).unionByName(told(repeated))
 
 
+#: Bytes of a file that are held at one time.
+WINDOW = 4 << 20
+
+
 def artifact_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """path (relative), sha256, bytes of every file below a folder."""
+    """path (relative), sha256, bytes of every file below a folder.
+
+    Files are listed first; then each is read in a task through a window of bounded size, the largest first,
+    so a file of any size takes no more memory than a small one. What only Spark's own file systems can open is read whole,
+    and there files without bytes, which Spark's listing leaves out, have no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = re.escape(re.sub(r"^[a-z]+:/*", "/", folder).rstrip("/") + "/")
-    return files.select(F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^.*?" + root, "").alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    relative = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[a-z]+:/*", "/"), "^.*?" + root, "")
+    local = F.col("path").startswith("file:/")
+    elsewhere = files.where(~local).select(relative("path").alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place, path in zip(b.column("place").to_pylist(), b.column("path").to_pylist(), strict=True):
+                digest, size = hashlib.sha256(), 0
+                with open(re.sub("^file:/+", "/", place), "rb", buffering=0) as f:
+                    while part := f.read(WINDOW):
+                        digest.update(part)
+                        size += len(part)
+                yield pa.RecordBatch.from_pylist([{"path": path, "sha256": digest.hexdigest(), "bytes": size}])
+
+    # the listing holds no contents; files are dealt one by one over tasks
+    listed = files.where(local).select(F.col("path").alias("place"), relative("path").alias("path"), "length")
+    dealt = listed.repartition(4 * spark.sparkContext.defaultParallelism).sortWithinPartitions(F.col("length").desc()).select("place", "path")
+    return dealt.unionByName(empty_files(spark, folder, root, dealt)).mapInArrow(run, "path string, sha256 string, bytes bigint").unionByName(elsewhere)
+
+
+def empty_files(spark: SparkSession, folder: str, root: str, like: DataFrame) -> DataFrame:
+    """place, path of the files without bytes below a mounted folder: a walk in one task that gives out these only."""
+    top = re.sub("^file:/+", "/", folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place, _, names in os.walk(top) if b.num_rows else ():
+                if found := [p for p in (os.path.join(place, n) for n in names) if not os.path.getsize(p)]:
+                    yield pa.RecordBatch.from_pydict({"place": found, "path": [re.sub("^.*?" + root, "", p, count=1) for p in found]})
+
+    if re.match("^(?!file:)[a-z]+:", folder):
+        return like.limit(0)
+    return spark.range(1).mapInArrow(run, "place string, path string").where(~F.col("path").rlike(r"(^|/)[._]"))
 
 
 MANIFEST = "artifact string, artifact_sha256 string, allow boolean, allow_after_final_scan boolean, release_class string, final_scan struct<passed:boolean,pii_hits:bigint,by_entity:map<string,bigint>>"

@@ -59,3 +59,66 @@ def test_hashed_nearest_has_high_recall(spark, monkeypatch, small):
     assert math.isclose(got[900], exact[900])
     assert attacks.nearest_distance(one.limit(0), two, ["a"], "id", approximate=True).count() == 0
     assert attacks.nearest_distance(one.limit(2), two.limit(0), ["a"], "id", approximate=True).where("distance is not null and distance < double('inf')").count() == 0
+
+
+def test_json_is_opened_level_by_level(spark):
+    import json
+
+    from cloakframe.operators import pii as scans
+
+    rnd = random.Random(4)
+
+    def value(depth: int):
+        kind = rnd.randrange(6 if depth else 3)
+        if kind < 2:
+            return rnd.choice(["a@x.org", "é\"q", "", "t\n"])
+        if kind == 2:
+            return rnd.choice([1, 2.5, None, True, 123456789012])
+        if kind < 5:
+            return {f"k{i}": value(depth - 1) for i in range(rnd.randrange(3))}
+        return [value(depth - 1) for _ in range(rnd.randrange(3))]
+
+    def walk(x) -> list[str]:
+        if isinstance(x, str):
+            return [x]
+        if isinstance(x, dict):
+            return [t for k, v in x.items() for t in [k, *walk(v)]]
+        return [t for v in x for t in walk(v)] if isinstance(x, list) else []
+
+    made = [value(6) for _ in range(150)]
+    texts = [json.dumps(m) for m in made] + ["not json a@x.org", "{broken", "", None, '"alone"', "12"]
+    want = sorted([t for m in made for t in walk(m)] + ["not json a@x.org", "{broken", "alone"])
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    assert sorted(r.text for r in scans.json_texts(df, "value").collect()) == want
+    assert "Python" not in scans.json_texts(df, "value")._jdf.queryExecution().executedPlan().toString()
+    assert scans.json_texts(df.limit(0), "value").count() == 0
+
+
+def test_files_are_digested_through_a_window(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from cloakframe.sources import tables
+
+    rnd, want = random.Random(5), {}
+    for i, size in enumerate((0, 1, 1000, 9 << 20)):
+        path = tmp_path / "in" / f"d {i}#%41" / f"f{i}.bin"
+        path.parent.mkdir(parents=True)
+        content = rnd.randbytes(size)
+        path.write_bytes(content)
+        want[f"d {i}#%41/f{i}.bin"] = (hashlib.sha256(content).hexdigest(), size)
+    got = {r.path: (r.sha256, r.bytes) for r in tables.artifact_digests(spark, f"{tmp_path}/in").collect()}
+    assert got == want
+
+
+def test_fallback_is_staged_and_sets_are_whole(spark, tmp_path):
+    from cloakframe.operators import release
+
+    df = spark.createDataFrame([(float(i), f"g{i % 3}") for i in range(40)], "score double, arm string")
+    out = release.resolve_release(df, False, folder=f"{tmp_path}/r").collect()
+    assert [r.status for r in out] == ["READY"] and spark.read.json(f"{tmp_path}/r/payload").count() == 1
+    manifest = spark.read.json(f"{tmp_path}/r/manifest").first()
+    assert manifest.allow_after_final_scan and manifest.release_class == "aggregate"
+    files = spark.createDataFrame([(f"f{i}", "ab" * 32, i) for i in range(5)], "path string, sha256 string, bytes bigint")
+    whole = release.set_digest(files).first()["set_sha256"]
+    problems = lambda m: sorted((r.path or "", r.problem) for r in release.verify_artifacts(m, files, whole).collect())
+    assert problems(files)[0] == ("", None) and problems(files.where("bytes > 0"))[0] == ("", "set_mismatch")
