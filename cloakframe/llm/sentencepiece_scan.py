@@ -497,9 +497,9 @@ def digests(pieces: Pieces, p: Part | None, entry: int = 0, exit_: int = 0) -> t
 def piece_digest(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", part: int = PART, chunk: int = CHUNK) -> DataFrame:
     """id, parts, chunks, n_tokens, ids_sha256, decoded_sha256, round_trip for every row.
 
-    ids_sha256 is over the ids as int32, little-endian, and decoded_sha256 over the decoded text;
-    of a row in several parts, they are the digests of its parts' digests in order (hexadecimal,
-    comma-joined), so that no task holds a giant text's pieces.
+    ids_sha256 and decoded_sha256 are digests of the digests of the row's parts in order (hexadecimal,
+    comma-joined), so that no task holds a giant text's pieces; a part's are over its ids as int32,
+    little-endian, and over its decoded text. A row of one part has a digest of one digest.
     round_trip says whether the decoded text is the text (U+2581 read as a space).
     """
     small, giant = sides(df, id_col, text_col, part, chunk, model_path)
@@ -510,7 +510,8 @@ def piece_digest(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
         def one(t: str) -> tuple:
             p = whole(pieces, t, chunk)
-            return (len(p.chunks) if p else 0, *digests(pieces, p))
+            n, ids, decoded, same = digests(pieces, p)
+            return (len(p.chunks) if p else 0, n, *(hashlib.sha256(d.encode()).hexdigest() for d in (ids, decoded)), same)
 
         return one
 

@@ -160,7 +160,9 @@ def test_piece_rows(spark, odd, pieces):
             assert np.frombuffer(b"".join(ids), "<i4").tolist() == pieces.model.encode(t or ""), (i, part)
             assert b"".join(raw[i][k] for k in sorted(raw[i])).decode() == (t or "")
             digests = [hashlib.sha256(x).hexdigest() for x in ids]
-            assert got[i].ids_sha256 == (digests[0] if len(ids) == 1 else hashlib.sha256(",".join(digests).encode()).hexdigest())
+            assert got[i].ids_sha256 == hashlib.sha256(",".join(digests).encode()).hexdigest()
+            decoded = [hashlib.sha256(raw[i][k]).hexdigest() for k in sorted(raw[i])]
+            assert got[i].decoded_sha256 == hashlib.sha256(",".join(decoded).encode()).hexdigest()
             assert got[i].parts == len(ids) == max(1, -(-(len(t or "") + 1) // part)) and got[i].n_tokens == len(b"".join(ids)) // 4 and got[i].round_trip
     assert sentencepiece_scan.piece_digest(odd.limit(0), path).count() == 0
 
