@@ -273,6 +273,14 @@ def test_ties_at_the_edge_take_as_many_as_fit(spark, doc_id):
     assert source_mix.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_key_ranges_are_small_whatever_the_weights(spark):
+    """A source of texts that are marks only, another of plain words, and one of both: no range holds a hundredth of a source."""
+    rows = [(i, ("#$%&*" * 52)[: 250 + i % 20] if i % 3 == 0 or (i % 3 == 2 and i % 2) else "plain words here", "abc"[i % 3]) for i in range(24_000)]
+    sized = source_mix.sized(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source", "s")
+    held = sized.groupBy("source", "key_range").count().groupBy("source").agg({"count": "max"}).collect()
+    assert len(held) == 3 and max(r[1] for r in held) < 80
+
+
 def test_rows_without_ids_are_drawn_apart(spark):
     docs = spark.createDataFrame([(None, f"w{i} " * (1 + i % 5), "a") for i in range(300)], "doc_id bigint, text string, source string")
     rows = source_mix.sized(docs, "doc_id", "text", "source", "s").collect()
@@ -321,6 +329,52 @@ def test_nb_ratios_and_descent():
     assert [model.score(d) >= 0.5 for d in docs] == [True, True, False, False]
 
 
+def solved_apart(rows: np.ndarray, sign: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
+    """The weights of the hinge loss with a constant column, and the dual's value, by accelerated projected gradients on the whole dual."""
+    q = (rows * sign[:, None]) @ (rows * sign[:, None]).T
+    step = 1 / np.linalg.eigvalsh(q)[-1]
+    alpha = ahead = np.zeros(len(rows))
+    t = 1.0
+    for _ in range(20_000):
+        new = np.clip(ahead - step * (q @ ahead - 1), 0, cost)
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead, alpha = new + (before - 1) / t * (new - alpha), new
+    return (alpha * sign) @ rows, float(alpha.sum() - alpha @ q @ alpha / 2)
+
+
+def test_descent_equals_an_independent_solver(spark, sf, monkeypatch):
+    """The fit on given documents, against a dense version that shares no more than the indicators."""
+    joined = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").orderBy("doc_id").select("text", "quality").limit(200).collect()
+    features = quality_nbsvm.Features()
+    found, good = [features(r.text or "") for r in joined], np.array([r.quality == 1 for r in joined])
+    used = sorted({int(i) for f in found for i in f})
+    column = {b: i for i, b in enumerate(used)}
+    counts = [[quality_nbsvm.SMOOTHING] * len(used) for _ in range(2)]
+    for f, y in zip(found, good, strict=True):
+        for b in f:
+            counts[int(y)][column[int(b)]] += 1
+    # indicators that nobody has count in the totals
+    unused = (quality_nbsvm.BUCKETS - len(used)) * quality_nbsvm.SMOOTHING
+    share = [np.array(c) / (sum(c) + unused) for c in counts]
+    dense = np.zeros((len(found), len(used) + 1))
+    for i, f in enumerate(found):
+        at = [column[int(b)] for b in f]
+        dense[i, at] = np.log(share[1] / share[0])[at]
+        dense[i] /= np.linalg.norm(dense[i]) or 1.0
+    dense[:, -1] = 1.0
+    weights, dual = solved_apart(dense, np.where(good, 1.0, -1.0), quality_nbsvm.COST)
+    ratio = quality_nbsvm.log_ratio(found, good)
+    # as the query descends, and further: the gap closes, and the margins meet
+    for epochs, gap, apart in ((quality_nbsvm.EPOCHS, 0.05, 0.1), (600, 1e-3, 5e-3)):
+        monkeypatch.setattr(quality_nbsvm, "EPOCHS", epochs)
+        model = quality_nbsvm.Model(ratio, *quality_nbsvm.dual_descent(found, good, ratio))
+        own = np.append(model.weight[used], model.bias)
+        primal = own @ own / 2 + quality_nbsvm.COST * np.maximum(0, 1 - np.where(good, 1, -1) * (dense @ own)).sum()
+        assert -1e-9 <= primal - dual <= gap * dual
+        margins = np.array([model.margin(f) for f in found])
+        assert np.abs(margins - dense @ weights).max() < apart and ((margins > 0) == (dense @ weights > 0)).mean() > 0.99
+
+
 def test_fit_takes_one_row_an_id(spark, monkeypatch):
     """A labelled id that ten thousand rows repeat counts once, and the bound holds for rows."""
     import zlib
@@ -334,7 +388,8 @@ def test_fit_takes_one_row_an_id(spark, monkeypatch):
     quality_nbsvm.fit(docs, labels)
     assert seen == [3]
     quality_nbsvm.fit(docs, labels, sample=2)
-    assert seen == [3] or seen[1] <= 2
+    # two rows at most; rows of one class need no ratios
+    assert seen in ([3], [3, 2])
 
 
 def test_shapes_are_whole():
