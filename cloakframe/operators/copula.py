@@ -112,40 +112,54 @@ def fit(df: DataFrame, columns: list[str]) -> Copula:
     return Copula(columns, marginals, found, np.linalg.cholesky(lifted / np.outer(scale, scale)))
 
 
-def draw(rows: DataFrame, key: str, model: Copula, seed: int) -> DataFrame:
-    """key and the model's columns, as doubles: one draw a row of `rows`."""
+def draw(rows: DataFrame, key: str, model: Copula, seed: synth.Seed) -> DataFrame:
+    """`rows` and the model's columns as v0, v1, ..., doubles: one draw a row."""
     k = len(model.columns)
     hashed = [synth.normal(F.col(key), f"copula {c}", seed).alias(f"e{i}") for i, c in enumerate(model.columns)]
     lacking = [(synth.uniform(F.col(key), F.lit(f"gap {c}"), F.lit(seed)) < m.nulls).alias(f"g{i}") for i, (c, m) in enumerate(zip(model.columns, model.marginals, strict=True))]
 
+    own, names = len(rows.columns), [*rows.columns, *[f"v{i}" for i in range(k)]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns[own:]]
             z = np.column_stack(columns[:k]) @ model.factor.T if b.num_rows else np.zeros((0, k))
             made = [pa.array(m.value_of(z[:, i]), mask=columns[k + i].astype(bool)) for i, m in enumerate(model.marginals)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=[key, *[f"v{i}" for i in range(k)]])
+            yield pa.RecordBatch.from_arrays([*b.columns[:own], *made], names=names)
 
-    kinds = T.StructType([T.StructField(key, rows.schema[key].dataType), *[T.StructField(f"v{i}", T.DoubleType()) for i in range(k)]])
-    return rows.select(key, *hashed, *lacking).mapInArrow(run, kinds)
+    kinds = T.StructType([*rows.schema, *[T.StructField(f"v{i}", T.DoubleType()) for i in range(k)]])
+    return rows.select("*", *hashed, *lacking).mapInArrow(run, kinds)
 
 
-def synthesize_copula(df: DataFrame, seed: int = 7, roles: dict[str, str] | None = None) -> DataFrame:
-    """As many rows and the same columns; numbers keep their distributions, gaps and rank correlations."""
+def draw_columns(rows: DataFrame, df: DataFrame, seed: synth.Seed, roles: dict[str, str] | None) -> DataFrame:
+    """`rows` (with __row) and the columns of `df`; numbers from a copula."""
     roles = roles or {}
     numbers = [c for c in numeric_columns(df) if roles.get(c, role_of(c)) != "identifier"]
-    rows = df.sparkSession.range(df.count()).withColumnRenamed("id", "__row")
     if numbers:
         rows = draw(rows, "__row", fit(df, numbers), seed)
     for i, c in enumerate(numbers):
         kind, v = df.schema[c].dataType, F.when(~F.isnan(f"v{i}"), F.col(f"v{i}"))
-        rows = rows.withColumn(c, F.rint(v).cast(kind) if isinstance(kind, T.IntegralType) else v.cast(kind)).drop(f"v{i}")
+        made = F.rint(v).cast(kind) if isinstance(kind, T.IntegralType) else v.cast(kind)
+        rows = rows.withColumn(f"v{i}", made).withColumnRenamed(f"v{i}", f"__copula_{i}")
     for f in df.schema:
         if roles.get(f.name, role_of(f.name)) == "identifier":
             rows = rows.withColumn(f.name, synth.regenerate_identifier(f.name, F.col("__row"), seed))
         elif f.name not in numbers:
             rows = synth.sample_categorical(rows, "__row", df, f.name, seed)
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
+    return rows.withColumnsRenamed({f"__copula_{i}": c for i, c in enumerate(numbers)})
+
+
+def synthesize_copula(df: DataFrame, seed: int = 7, roles: dict[str, str] | None = None) -> DataFrame:
+    """As many rows and the same columns; numbers keep their distributions, gaps and rank correlations."""
+    rows = df.sparkSession.range(df.count()).withColumnRenamed("id", "__row")
+    return draw_columns(rows, df, seed, roles).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def synthesize_copula_seeds(df: DataFrame, seeds: list[int], roles: dict[str, str] | None = None) -> DataFrame:
+    """The tables of several seeds, told apart by __seed: one fit for all."""
+    rows = draw_columns(synth.seeded_rows(df, seeds), df, F.col(synth.SEED), roles)
+    return rows.select(synth.SEED, *[F.col(f"`{c}`") for c in df.columns])
 
 
 NAME = "copula"
-synth.register_synthesizer(synth.Synthesizer(NAME, synthesize_copula))
+synth.register_synthesizer(synth.Synthesizer(NAME, synthesize_copula, generate_seeds=synthesize_copula_seeds))

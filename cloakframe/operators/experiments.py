@@ -7,8 +7,9 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .audit import audit_release
-from .synth import synthesize
+from ..sources.shared import durable
+from .audit import audit_tagged
+from .synth import SEED, synthesize_seeds
 
 # The metrics of each benchmark that a comparison shows.
 PRIMARY = {
@@ -54,18 +55,17 @@ def run_suite(tables: dict[str, DataFrame], suite: str, seeds: list[int], experi
 
 
 def run_seed_suite(df: DataFrame, experiment: str, seeds: list[int], backend: str = "demo", roles: dict[str, str] | None = None) -> DataFrame:
-    """experiment_id, seed, metrics (a map) for every seed: synthesis, then the audit of its result."""
+    """experiment_id, seed, metrics (a map) for every seed: synthesis and the audit of its result, all seeds in the same jobs."""
     if len(set(seeds)) != len(seeds) or not all(isinstance(s, int) and not isinstance(s, bool) for s in seeds) or not seeds:
         raise ValueError("seeds are distinct whole numbers")
     if df.limit(LEAST_ROWS).count() < LEAST_ROWS:
         raise ValueError("an experiment needs 20 rows at least")
-    out, names = None, ("exact_row_overlap", "identifier_overlap", "quasi_combo_overlap", "rare_quasi_overlap", "near_copy_rate")
-    for seed in seeds:
-        audit = audit_release(df, synthesize(df, backend, seed, roles), roles=roles)
-        metrics = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))], F.lit("audit_passed"), F.col("passed").cast("double"))
-        one = audit.select(F.lit(experiment).alias("experiment_id"), F.lit(seed).alias("seed"), F.map_filter(metrics, lambda k, v: v.isNotNull()).alias("metrics"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    names = ("exact_row_overlap", "identifier_overlap", "quasi_combo_overlap", "rare_quasi_overlap", "near_copy_rate")
+    # stored, because every measure reads it
+    made = durable(synthesize_seeds(df, backend, seeds, roles))
+    audits = audit_tagged(df, made, SEED, roles=roles)
+    metrics = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))], F.lit("audit_passed"), F.col("passed").cast("double"))
+    return audits.select(F.lit(experiment).alias("experiment_id"), F.col(SEED).cast("int").alias("seed"), F.map_filter(metrics, lambda k, v: v.isNotNull()).alias("metrics")).orderBy(F.array_position(F.array(*map(F.lit, seeds)), F.col("seed")))
 
 
 def aggregate_runs(runs: DataFrame) -> DataFrame:

@@ -288,8 +288,8 @@ def k4_boundary_of_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def k1_run_seed_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = table(spark, sf_dir, "customer").drop("c_name", "c_custkey")
-    return experiments.run_seed_suite(people, "demo", [7, 17], roles={"c_mktsegment": "quasi_identifier", "c_nationkey": "quasi_identifier"})
+    people = table(spark, sf_dir, "customer")
+    return experiments.run_seed_suite(people, "demo", [7, 17], roles={"c_mktsegment": "quasi_identifier", "c_nationkey": "quasi_identifier", "c_custkey": "identifier"})
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
