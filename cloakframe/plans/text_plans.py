@@ -233,6 +233,21 @@ NOMINATED = r"""(WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\p{L}
     SELECT doc_id, type, literal, CASE WHEN length(literal) > 160 THEN 'length' WHEN (length(text) - length(replace(text, literal, ''))) / length(literal) > 50 THEN 'too_frequent' END AS reject_reason FROM n WHERE literal IS NOT NULL)"""
 
 
+PLACES_SQL = "(length(text) - length(replace(text, literal, ''))) // length(literal)"
+
+
+@query(f"SELECT doc_id AS doc, CAST(sum({PLACES_SQL}) AS BIGINT) AS places FROM (SELECT n.doc_id, n.literal, d.text FROM {NOMINATED} n JOIN documents d USING (doc_id)) GROUP BY doc_id")
+def d8_literal_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the literals of each document stand in it, accepted or in conflict."""
+    spans = ps.literal_spans(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", dictionary(spark, sf_dir))
+    return ps.conflict_counts(spans).select("doc", (F.col("accepted") + F.col("direct_conflicts") + F.col("literal_conflicts")).alias("places"))
+
+
+@query()
+def d8_literal_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ps.conflict_counts(ps.literal_spans(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", dictionary(spark, sf_dir)))
+
+
 @query(f"SELECT doc_id, type, literal, reject_reason FROM {NOMINATED}")
 def d9_validate_nominations(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_doc = dictionary(spark, sf_dir).groupBy(F.col("doc").alias("doc_id")).agg(F.to_json(F.collect_list(F.struct(F.col("entity").alias("type"), "literal"))).alias("payload"))
