@@ -35,24 +35,49 @@ def is_set(bits: Column, at: Column) -> Column:
     return F.coalesce(F.try_mod(F.floor(value / F.pow(F.lit(2), position % 8)), F.lit(2)) == 1, F.lit(False))
 
 
+def bits_for(keys: int) -> int:
+    """The size of a bitmap for so many keys."""
+    bits = ROW_BITS
+    while bits < MOST_BITS and bits < BITS * keys:
+        bits *= 2
+    return bits
+
+
+def marked(rows: DataFrame, side: DataFrame, key: str, keys: int) -> tuple[DataFrame, Column]:
+    """`rows` with a column __bits, and whether a row's key may be among the `keys` keys of `side`."""
+    bits = bits_for(keys)
+    map_ = F.broadcast(bitmap(side, key, bits).withColumnsRenamed({"bucket": "__bucket", "bits": "__bits"}))
+    at = place(F.col(key), bits)
+    out = rows.join(map_, F.bitmap_bucket_number(at) == F.col("__bucket"), "left").drop("__bucket")
+    return out, is_set(F.col("__bits"), at) & F.col(key).isNotNull()
+
+
+def of_kind(side: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """`side` with its key in the kind that `rows` has: hashes depend on it."""
+    return side.withColumn(key, F.col(key).try_cast(rows.schema[key].dataType))
+
+
+def may_hold(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """The rows whose key `side` (one row a key) has, and perhaps a small share of others; no row moves."""
+    side = of_kind(side.select(key), key, rows)
+    n = side.count()
+    if n <= FEW:
+        return rows.join(F.broadcast(side), key, "left_semi")
+    out, may = marked(rows, side, key, n)
+    return out.where(may).drop("__bits")
+
+
 def left_join(rows: DataFrame, side: DataFrame, key: str, weight: Column) -> DataFrame:
     """`rows` with the columns of `side`, which has one row a key; null keys have no partner.
 
     weight: about how many bytes a row of `side` takes.
     """
-    # hashes depend on the kind of a value, so either side has the same
-    side = side.withColumn(key, F.col(key).try_cast(rows.schema[key].dataType))
+    side = of_kind(side, key, rows)
     size = side.agg(F.count("*").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("bytes")).first()
     if size["n"] <= FEW and size["bytes"] <= FEW_BYTES:
         return rows.join(F.broadcast(side), key, "left")
-    bits = ROW_BITS
-    while bits < MOST_BITS and bits < BITS * size["n"]:
-        bits *= 2
-    map_ = F.broadcast(bitmap(side, key, bits).withColumnsRenamed({"bucket": "__bucket", "bits": "__bits"}))
-    at = place(F.col(key), bits)
-    marked = rows.join(map_, F.bitmap_bucket_number(at) == F.col("__bucket"), "left")
-    may = is_set(F.col("__bits"), at) & F.col(key).isNotNull()
-    moved = marked.where(may).drop("__bucket", "__bits").join(side, key, "left")
+    both, may = marked(rows, side, key, size["n"])
+    moved = both.where(may).drop("__bits").join(side, key, "left")
     kinds = dict(side.dtypes)
-    stay = marked.where(~may).drop("__bucket", "__bits").withColumns({c: F.lit(None).cast(kinds[c]) for c in side.columns if c != key})
+    stay = both.where(~may).drop("__bits").withColumns({c: F.lit(None).cast(kinds[c]) for c in side.columns if c != key})
     return moved.unionByName(stay)

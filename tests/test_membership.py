@@ -36,6 +36,14 @@ def test_left_join_equals_a_plain_one(spark, either_way):
     assert membership.left_join(rows.limit(0), side, "k", F.lit(20)).count() == 0
 
 
+def test_rows_that_may_hold_a_key(spark, either_way):
+    rows = spark.range(20_000).select((F.col("id") % 10_000).alias("k"), "id").unionByName(spark.createDataFrame([(None, -1)], "k bigint, id bigint"))
+    side = spark.range(0, 10_000, 25).select(F.col("id").cast("int").alias("k"))
+    kept = membership.may_hold(rows, side, "k")
+    assert kept.where("k % 25 = 0").count() == 800 and kept.count() < 800 + 1000 and kept.columns == ["k", "id"]
+    assert "hashpartitioning(k" not in plan_of(kept) and membership.may_hold(rows, side.limit(0), "k").count() == 0
+
+
 def test_bitmaps_hold_all_keys_and_few_others(spark):
     side = spark.range(0, 100_000, 50).select(F.col("id").alias("k"))
     bits = membership.ROW_BITS * 2
