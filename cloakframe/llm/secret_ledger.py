@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions import membership
 from .common import by_size, durable, text_or_empty
 
 
@@ -91,17 +92,20 @@ def versions(rules: tuple[Rule, ...]):
 def scan_unseen(df: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Ledger rows (blob, rules, findings) for the pairs of blob and rule version that `ledger` lacks.
 
+    Addresses ask the ledger first; texts that it knows whole stay where they are read.
     Copies meet by address: each task keeps one text per address before anything is
     shuffled, so a blob that a third of all rows carry still arrives as one row a task.
     """
     text = text_or_empty(text_col)
-    blobs = df.select(F.sha2(text, 256).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    rows, one = df.select(F.sha2(text, 256).alias("blob"), text.alias("text")), F.first("text").alias("text")
     if ledger is None:
-        todo = blobs.withColumn("rules", versions(rules))
+        todo = rows.groupBy("blob").agg(one).withColumn("rules", versions(rules))
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
         none = F.array().cast("array<string>")
-        todo = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(versions(rules), F.coalesce("seen", none))).where(F.size("rules") > 0)
+        lacking = rows.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(versions(rules), F.coalesce("seen", none)).alias("rules"))
+        lacking = durable(lacking.where(F.size("rules") > 0))
+        todo = membership.may_hold(rows, lacking, "blob").groupBy("blob").agg(one).join(lacking, "blob")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = {r.version: (rank, r) for rank, r in enumerate(rules)}
