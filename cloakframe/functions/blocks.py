@@ -37,7 +37,15 @@ def with_lists(left: DataFrame, right: DataFrame, keys: list[str], many: DataFra
     return joined.withColumn("near", F.coalesce("near", F.array().cast(lists.schema["near"].dataType)))
 
 
-def meet(left: DataFrame, right: DataFrame, keys: list[str], test: Callable[[pa.Table, pa.Table], pa.Table], fields: str, size: int | None = None, part: str = "all") -> DataFrame:
+def meet(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    test: Callable[[pa.Table, pa.Table], pa.Table],
+    fields: str,
+    size: int | None = None,
+    part: str = "all",
+) -> DataFrame:
     """What `test` makes of every pair of blocks of `left` and `right` rows with equal keys. The rows of either side are distinct.
 
     part: "all" blocks of `right`, only its "first" block of every key, or the "rest". Rows
@@ -47,7 +55,11 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], test: Callable[[pa.
     sizes = lambda df, name: df.groupBy(*keys).agg((1 + F.floor(F.count("*") / size)).cast("int").alias(name))
     plan = sizes(left, "__l").join(sizes(right, "__r"), keys, "left").withColumn("__r", F.coalesce("__r", F.lit(1)))
     rows = lambda df, n: df.join(plan, keys).withColumn("__d", F.pmod(F.xxhash64(F.struct(*df.columns)), F.col(n)).cast("int"))
-    wanted = {"all": F.sequence(F.lit(0), F.col("__r") - 1), "first": F.array(F.lit(0)), "rest": F.when(F.col("__r") > 1, F.sequence(F.lit(1), F.col("__r") - 1))}[part]
+    wanted = {
+        "all": F.sequence(F.lit(0), F.col("__r") - 1),
+        "first": F.array(F.lit(0)),
+        "rest": F.when(F.col("__r") > 1, F.sequence(F.lit(1), F.col("__r") - 1)),
+    }[part]
     one = rows(left, "__l").withColumn("__i", F.col("__d")).withColumn("__j", F.explode(wanted))
     two = rows(right, "__r").withColumn("__j", F.col("__d")).where({"all": F.lit(True), "first": F.col("__j") == 0, "rest": F.col("__j") > 0}[part])
     two = two.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__l") - 1)))

@@ -33,7 +33,10 @@ def reduce_rows(df: DataFrame, columns: list[Column], parts: list[Part]) -> list
         return two if one is None else [JOIN[k](a, b) for k, a, b in zip(kinds, one, two, strict=True)]
 
     def as_batch(i: int, found: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([[x.astype(np.float64).tobytes() for x in found]], pa.list_(pa.binary()))], names=["id", "parts"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([i], pa.int64()), pa.array([[x.astype(np.float64).tobytes() for x in found]], pa.list_(pa.binary()))],
+            names=["id", "parts"],
+        )
 
     def as_arrays(stored: list[bytes]) -> list[np.ndarray]:
         return [np.frombuffer(x) for x in stored]
@@ -84,7 +87,13 @@ def columns_summary(df: DataFrame, columns: list[Column]) -> dict[str, np.ndarra
     return {"n": int(n[0]), "count": count, "mean": np.divide(total, count, out=np.zeros_like(total), where=count > 0), "low": low, "high": high}
 
 
-def pairwise_correlation(df: DataFrame, columns: list[Column], centre: np.ndarray, gaps: list[int], score: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+def pairwise_correlation(
+    df: DataFrame,
+    columns: list[Column],
+    centre: np.ndarray,
+    gaps: list[int],
+    score: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> np.ndarray:
     """Correlations of every two columns over the rows that have both; NaN where one is constant there.
 
     `centre` lies near the means, `gaps` are the columns that lack values, `score` is put before all sums.

@@ -82,6 +82,12 @@ def entity_counts(c: Column, ipv6: bool = True) -> dict[str, Column]:
 
 def redact_preview(c: Column) -> Column:
     """Tags instead of identifiers, one kind after the other; phones here include dates and short numbers."""
-    for pattern, tag in ((P.EMAIL, "EMAIL"), (P.PHONE, "PHONE"), (P.NATIONAL_ID, "NATIONAL_ID"), (P.POSTCODE, "POSTCODE"), (P.LOOSE_IPV4, "IP_ADDRESS")):
+    for pattern, tag in (
+        (P.EMAIL, "EMAIL"),
+        (P.PHONE, "PHONE"),
+        (P.NATIONAL_ID, "NATIONAL_ID"),
+        (P.POSTCODE, "POSTCODE"),
+        (P.LOOSE_IPV4, "IP_ADDRESS"),
+    ):
         c = F.regexp_replace(c, P.java(pattern), f"[{tag}]")
     return c

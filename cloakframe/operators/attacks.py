@@ -42,7 +42,15 @@ def k_anonymity(df: DataFrame, quasi: list[str], k: int = 5) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("n") < k, F.col("n"))), F.lit(0)).alias("rows_below_k"),
         F.count("*").alias("classes"),
     )
-    return out.select("rows", "min_class", "unique_rows", rate(F.col("unique_rows"), F.col("rows")).alias("unique_rate"), "rows_below_k", rate(F.col("rows_below_k"), F.col("rows")).alias("below_k_rate"), "classes")
+    return out.select(
+        "rows",
+        "min_class",
+        "unique_rows",
+        rate(F.col("unique_rows"), F.col("rows")).alias("unique_rate"),
+        "rows_below_k",
+        rate(F.col("rows_below_k"), F.col("rows")).alias("below_k_rate"),
+        "classes",
+    )
 
 
 def unique_linkage(target: DataFrame, auxiliary: DataFrame, quasi: list[str]) -> DataFrame:
@@ -66,7 +74,12 @@ def attribute_inference(synthetic: DataFrame, target: DataFrame, quasi: list[str
     usual = counts.groupBy("v").agg(F.sum("n").alias("n")).agg(most("usual"))
     rows = side(target).join(guess, keys, "left").crossJoin(F.broadcast(usual))
     right, base = F.col("v") == F.col("guess"), F.col("v") == F.col("usual")
-    out = rows.agg(F.count("*").alias("target_rows"), F.count("guess").alias("covered"), F.count_if(right).alias("right"), F.count_if(base).alias("base"))
+    out = rows.agg(
+        F.count("*").alias("target_rows"),
+        F.count("guess").alias("covered"),
+        F.count_if(right).alias("right"),
+        F.count_if(base).alias("base"),
+    )
     out = out.select(
         "target_rows",
         "covered",
@@ -97,7 +110,10 @@ def longitudinal_linkage(earlier: DataFrame, later: DataFrame, quasi: list[str],
     keys = [f"k{i}" for i in range(len(quasi))]
     side = lambda df: df.select(*[as_key(F.col(f"`{c}`")).alias(k) for c, k in zip(quasi, keys, strict=True)], as_key(F.col(f"`{entity}`")).alias("entity"))
     alone = side(later).groupBy(*keys).agg(F.count("*").alias("n"), F.min("entity").alias("found")).where("n = 1").drop("n")
-    return linkage_result(side(earlier).join(alone, keys).select((F.col("entity") == F.col("found")).alias("correct"), F.lit(1).alias("rows")), earlier)
+    return linkage_result(
+        side(earlier).join(alone, keys).select((F.col("entity") == F.col("found")).alias("correct"), F.lit(1).alias("rows")),
+        earlier,
+    )
 
 
 def matches_of(a: pa.Table, b: pa.Table, tolerances: list[float]) -> pa.Table:
@@ -150,7 +166,13 @@ def fuzzy_longitudinal_linkage(earlier: DataFrame, later: DataFrame, categorical
         exact = [(number(c) + 0.0).alias(f"x{i}") for i, (c, t) in enumerate(tolerances.items()) if t == 0]
         sound = reduce(lambda a, b: a & b, [number(c).isNotNull() & ~F.isnan(number(c)) for c in tolerances])
         middle = F.floor(number(binned) / tolerances[binned]) if binned is not None else F.lit(0).cast("bigint")
-        return df.where(sound).select(*keys, *exact, F.array(*map(number, tolerances)).alias("v"), as_key(F.col(f"`{entity}`")).alias("entity"), middle.alias("bin"))
+        return df.where(sound).select(
+            *keys,
+            *exact,
+            F.array(*map(number, tolerances)).alias("v"),
+            as_key(F.col(f"`{entity}`")).alias("entity"),
+            middle.alias("bin"),
+        )
 
     left, right = side(earlier), side(later)
     if binned is not None:
@@ -195,7 +217,9 @@ def nearest_vectors(asked: DataFrame, reference: DataFrame) -> DataFrame:
     per = F.least(F.lit(RANGES), 1 + F.floor(F.count("*") / blocks.BLOCK)).cast("int")
     cuts = F.percentile_approx("p", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10_000))
     tags = ref.groupBy("tag").agg(cuts.alias("cuts"), per.alias("n"))
-    thin = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.element_at("cuts", F.floor(i * RANGES / F.col("n")).cast("int"))))
+    thin = F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.element_at("cuts", F.floor(i * RANGES / F.col("n")).cast("int")))
+    )
     tags = durable(tags.select("tag", F.when(F.col("n") > 1, thin).otherwise(F.array().cast("array<double>")).alias("limits")))
     at = lambda df: df.join(F.broadcast(tags), "tag").withColumn("r", F.size(F.filter("limits", lambda b: b <= F.col("p"))))
     held = at(ref).select("tag", "r", "v")
@@ -207,7 +231,16 @@ def nearest_vectors(asked: DataFrame, reference: DataFrame) -> DataFrame:
     first = mine(asked.distinct()).select("tag", near.alias("r"), "v", "p", F.lit(float("inf")).alias("u"))
     fields = "tag int, v array<double>, d double"
     told = durable(blocks.meet(first.select("tag", "r", "v", "u"), held, ["tag", "r"], nearest_in, fields, part="first"))
-    same = durable(blocks.meet(first.join(told.withColumnRenamed("d", "bound"), ["tag", "v"]).select("tag", "r", "v", F.col("bound").alias("u")), held, ["tag", "r"], nearest_in, fields, part="rest"))
+    same = durable(
+        blocks.meet(
+            first.join(told.withColumnRenamed("d", "bound"), ["tag", "v"]).select("tag", "r", "v", F.col("bound").alias("u")),
+            held,
+            ["tag", "r"],
+            nearest_in,
+            fields,
+            part="rest",
+        )
+    )
     best = told.unionByName(same).groupBy("tag", "v").agg(F.min("d").alias("u"))
     open_ = mine(first.select("tag", "v", "p", F.col("r").alias("searched")).join(best, ["tag", "v"]))
     low = lambda r: F.when(r == 0, F.lit(float("-inf"))).otherwise(F.try_element_at("limits", r))
@@ -285,26 +318,45 @@ def hashed_nearest(asked: DataFrame, reference: DataFrame, size: int) -> DataFra
 
 def pairwise_auc(scores: DataFrame, score_col: str, member_col: str, *by: str) -> DataFrame:
     """auc (by the columns of `by`): P(member above holdout) + half P(tie), from counts by score and running sums over score ranges."""
-    counts = scores.where(F.col(score_col).isNotNull()).groupBy(*by, F.col(score_col).cast("double").alias("s")).agg(F.count_if(F.col(member_col)).alias("m"), F.count_if(~F.col(member_col)).alias("h"))
+    counts = scores.where(F.col(score_col).isNotNull()).groupBy(*by, F.col(score_col).cast("double").alias("s")).agg(
+        F.count_if(F.col(member_col)).alias("m"),
+        F.count_if(~F.col(member_col)).alias("h"),
+    )
     counts = durable(counts)
     rows = counts.withColumn("r", range_of(F.col("s"), bounds(counts, "s")))
     ahead = before(rows, "r", F.sum("h"), "ahead", *by)
     inside = Window.partitionBy(*by, "r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     below = rows.withColumn("in", F.coalesce(F.sum("h").over(inside), F.lit(0))).join(ahead, [*by, "r"])
-    out = below.groupBy(*by).agg(F.sum(F.col("m").cast("double") * (F.col("ahead") + F.col("in") + F.col("h") / 2)).alias("wins"), F.sum("m").alias("m"), F.sum("h").alias("h"))
+    out = below.groupBy(*by).agg(
+        F.sum(F.col("m").cast("double") * (F.col("ahead") + F.col("in") + F.col("h") / 2)).alias("wins"),
+        F.sum("m").alias("m"),
+        F.sum("h").alias("h"),
+    )
     return out.select(*by, F.round(F.try_divide(F.col("wins"), F.col("m").cast("double") * F.col("h")), 6).alias("auc"))
 
 
 def standardised(members: DataFrame, holdout: DataFrame, synthetic: DataFrame, columns: list[str], id_col: str) -> tuple[DataFrame, DataFrame]:
     """Candidates (id, member, z) and synthetic rows (z): mean and population deviation of members and holdout, gaps filled by means."""
     number = lambda c: F.col(f"`{c}`").cast("double")
-    both = members.select(id_col, *columns).withColumn("member", F.lit(True)).unionByName(holdout.select(id_col, *columns).withColumn("member", F.lit(False)))
+    both = members.select(id_col, *columns).withColumn("member", F.lit(True)).unionByName(
+        holdout.select(id_col, *columns).withColumn("member", F.lit(False))
+    )
     stats = both.agg(*[x for i, c in enumerate(columns) for x in (F.avg(number(c)).alias(f"m{i}"), F.stddev_pop(number(c)).alias(f"s{i}"))]).first()
-    z = F.array(*[(F.coalesce(number(c), F.lit(stats[f"m{i}"])) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0) + 0.0 for i, c in enumerate(columns)]).alias("z")
+    z = F.array(
+        *[(F.coalesce(number(c), F.lit(stats[f"m{i}"])) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0) + 0.0 for i, c in enumerate(columns)]
+    ).alias("z")
     return both.select(F.col(id_col).alias("id"), "member", z), synthetic.select(z)
 
 
-def ensemble_membership(members: DataFrame, holdout: DataFrame, synthetic: DataFrame, columns: list[str], id_col: str, largest: int = 2, most: int = 32) -> DataFrame:
+def ensemble_membership(
+    members: DataFrame,
+    holdout: DataFrame,
+    synthetic: DataFrame,
+    columns: list[str],
+    id_col: str,
+    largest: int = 2,
+    most: int = 32,
+) -> DataFrame:
     """attack_no, columns, auc, interpretation for every subset, all in one search; `ensemble_summary` gives the largest and the median.
 
     Each attack is a tag; the components that it leaves out are 0 on both sides.
@@ -341,5 +393,10 @@ def attack_subsets(columns: list[str], largest: int = 2, most: int = 32) -> list
 
 def ensemble_summary(attacks: DataFrame) -> DataFrame:
     """attacks, max_auc, median_auc, best_columns (the first of the largest)."""
-    out = attacks.agg(F.count("*").alias("attacks"), F.max("auc").alias("max_auc"), F.round(F.median("auc"), 6).alias("median_auc"), F.max_by("columns", F.struct("auc", (-F.col("attack_no")).alias("o"))).alias("best_columns"))
+    out = attacks.agg(
+        F.count("*").alias("attacks"),
+        F.max("auc").alias("max_auc"),
+        F.round(F.median("auc"), 6).alias("median_auc"),
+        F.max_by("columns", F.struct("auc", (-F.col("attack_no")).alias("o"))).alias("best_columns"),
+    )
     return out.withColumn("interpretation", band(F.col("max_auc")))

@@ -19,7 +19,15 @@ from .profile import PROFILES, PrivacyProfile, free_text_columns, numeric_column
 #: Rows whose distances are held at one time.
 STRIP = 256
 #: Codes of an audit, in their order.
-CODES = ("backend_not_approved", "profile_disallows_row_level", "exact_row_overlap", "identifier_overlap", "rare_quasi_overlap", "free_text_present", "near_copy_rate")
+CODES = (
+    "backend_not_approved",
+    "profile_disallows_row_level",
+    "exact_row_overlap",
+    "identifier_overlap",
+    "rare_quasi_overlap",
+    "free_text_present",
+    "near_copy_rate",
+)
 
 
 def columns_of(df: DataFrame, role: str, roles: dict[str, str] | None = None) -> list[str]:
@@ -92,7 +100,15 @@ def crowded_copies(made: DataFrame, real: DataFrame, bins: list[str], limit: flo
     return made.join(hits, "id").drop("id", "z", *bins)
 
 
-def near_copy_rate(raw: DataFrame, syn: DataFrame, columns: list[str] | None = None, roles: dict[str, str] | None = None, sample: float | None = None, seed: int = 0, tag: str | None = None) -> DataFrame:
+def near_copy_rate(
+    raw: DataFrame,
+    syn: DataFrame,
+    columns: list[str] | None = None,
+    roles: dict[str, str] | None = None,
+    sample: float | None = None,
+    seed: int = 0,
+    tag: str | None = None,
+) -> DataFrame:
     """near_copy_rate (by `tag`, a column of `syn`): the share of synthetic rows nearer to a source row than the threshold; null without columns.
 
     Exact: rows are binned by the threshold in up to three of the dimensions (those with
@@ -135,7 +151,10 @@ def near_copy_rate(raw: DataFrame, syn: DataFrame, columns: list[str] | None = N
     if many is not None:
         told = told.unionByName(crowded_copies(made.join(many, bins, "left_semi"), real.join(many, bins, "left_semi"), bins, limit))
     out = told.groupBy(*tags).agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("near"), F.col("n"))), F.lit(0)).alias("near"))
-    return out.select(*[F.col(t).alias(tag) for t in tags], F.when(F.col("all") > 0, F.round(F.col("near") / F.col("all"), 6)).alias("near_copy_rate"))
+    return out.select(
+        *[F.col(t).alias(tag) for t in tags],
+        F.when(F.col("all") > 0, F.round(F.col("near") / F.col("all"), 6)).alias("near_copy_rate"),
+    )
 
 
 def shared_by_tag(raw: DataFrame, syn: DataFrame, tag: str, name: str) -> DataFrame:
@@ -146,7 +165,14 @@ def shared_by_tag(raw: DataFrame, syn: DataFrame, tag: str, name: str) -> DataFr
     return hits.groupBy(tag).agg(F.count("*").alias(name))
 
 
-def audit_tagged(raw: DataFrame, syn: DataFrame, tag: str, approved: bool = False, profile: PrivacyProfile = PROFILES["research"], roles: dict[str, str] | None = None) -> DataFrame:
+def audit_tagged(
+    raw: DataFrame,
+    syn: DataFrame,
+    tag: str,
+    approved: bool = False,
+    profile: PrivacyProfile = PROFILES["research"],
+    roles: dict[str, str] | None = None,
+) -> DataFrame:
     """tag, the measures of `audit_release` and passed, for every synthetic table in `syn`, which `tag` tells apart: all in the same joins."""
     roles = roles or {}
     made = syn.drop(tag)
@@ -174,7 +200,10 @@ def audit_tagged(raw: DataFrame, syn: DataFrame, tag: str, approved: bool = Fals
     texts = free_text_names(raw, roles)
     none = [F.col(c) == 0 for c in ("exact_row_overlap", "identifier_overlap", "rare_quasi_overlap")]
     near = ~F.coalesce(F.col("near_copy_rate") > profile.max_near_copy, F.lit(False))
-    return out.crossJoin(F.broadcast(texts)).withColumn("passed", reduce(lambda a, b: a & b, [F.lit(approved), F.lit(profile.row_level_allowed), *none, near, F.size("free_text_columns") == 0]))
+    return out.crossJoin(F.broadcast(texts)).withColumn(
+        "passed",
+        reduce(lambda a, b: a & b, [F.lit(approved), F.lit(profile.row_level_allowed), *none, near, F.size("free_text_columns") == 0]),
+    )
 
 
 def free_text_names(raw: DataFrame, roles: dict[str, str]) -> DataFrame:
@@ -182,16 +211,41 @@ def free_text_names(raw: DataFrame, roles: dict[str, str]) -> DataFrame:
     named = [c for c in raw.columns if roles.get(c) == "free_text"]
     found = free_text_columns(raw).where("free_text").agg(F.sort_array(F.collect_list("name")).alias("n"))
     plain = [c for c in raw.columns if role_of(c) != "identifier" and c not in roles]
-    texts = F.array_sort(F.array_union(F.filter("n", lambda x: x.isin(plain)) if plain else F.array().cast("array<string>"), F.array(*map(F.lit, named)).cast("array<string>")))
+    texts = F.array_sort(
+        F.array_union(
+            F.filter("n", lambda x: x.isin(plain)) if plain else F.array().cast("array<string>"),
+            F.array(*map(F.lit, named)).cast("array<string>"),
+        )
+    )
     return found.select(texts.alias("free_text_columns"))
 
 
-def audit_release(raw: DataFrame, syn: DataFrame, approved: bool = False, profile: PrivacyProfile = PROFILES["research"], quasi: list[str] | None = None, roles: dict[str, str] | None = None) -> DataFrame:
+def audit_release(
+    raw: DataFrame,
+    syn: DataFrame,
+    approved: bool = False,
+    profile: PrivacyProfile = PROFILES["research"],
+    quasi: list[str] | None = None,
+    roles: dict[str, str] | None = None,
+) -> DataFrame:
     """One row: all measures, free_text_columns, reason_codes and passed."""
     one = exact_row_overlap(raw, syn)
-    for part in (identifier_overlap(raw, syn, roles), quasi_combo_overlap(raw, syn, quasi, roles), rare_quasi_overlap(raw, syn, profile.rare_k, quasi, roles), near_copy_rate(raw, syn, roles=roles)):
+    for part in (
+        identifier_overlap(raw, syn, roles),
+        quasi_combo_overlap(raw, syn, quasi, roles),
+        rare_quasi_overlap(raw, syn, profile.rare_k, quasi, roles),
+        near_copy_rate(raw, syn, roles=roles),
+    ):
         one = one.crossJoin(part)
     one = one.crossJoin(free_text_names(raw, roles or {}))
-    flags = (F.lit(not approved), F.lit(not profile.row_level_allowed), F.col("exact_row_overlap") > 0, F.col("identifier_overlap") > 0, F.col("rare_quasi_overlap") > 0, F.size("free_text_columns") > 0, F.coalesce(F.col("near_copy_rate") > profile.max_near_copy, F.lit(False)))
+    flags = (
+        F.lit(not approved),
+        F.lit(not profile.row_level_allowed),
+        F.col("exact_row_overlap") > 0,
+        F.col("identifier_overlap") > 0,
+        F.col("rare_quasi_overlap") > 0,
+        F.size("free_text_columns") > 0,
+        F.coalesce(F.col("near_copy_rate") > profile.max_near_copy, F.lit(False)),
+    )
     codes = F.array_compact(F.array(*[F.when(f, F.lit(c)) for f, c in zip(flags, CODES, strict=True)]))
     return one.withColumn("backend_approved", F.lit(approved)).withColumn("reason_codes", codes).withColumn("passed", F.size("reason_codes") == 0)

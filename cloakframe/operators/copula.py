@@ -71,7 +71,11 @@ def marginal(df: DataFrame, column: str) -> Marginal:
     there = counts.where("v is not null")
     rows = there.withColumn("r", range_of(F.col("v"), bounds(there, "v")))
     inside = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn("in", F.sum("n").over(inside)).join(before(rows, "r", F.sum("n"), "ahead"), "r").select("v", "n", (F.col("ahead") + F.col("in")).alias("upto"))
+    summed = rows.withColumn("in", F.sum("n").over(inside)).join(before(rows, "r", F.sum("n"), "ahead"), "r").select(
+        "v",
+        "n",
+        (F.col("ahead") + F.col("in")).alias("upto"),
+    )
     whole = size["k"] <= KNOTS
     if not whole:
         step = lambda c: F.floor(c * (KNOTS - 2) / size["n"])

@@ -65,16 +65,32 @@ def run_seed_suite(df: DataFrame, experiment: str, seeds: list[int], backend: st
     made = durable(synthesize_seeds(df, backend, seeds, roles))
     audits = audit_tagged(df, made, SEED, roles=roles)
     metrics = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))], F.lit("audit_passed"), F.col("passed").cast("double"))
-    return audits.select(F.lit(experiment).alias("experiment_id"), F.col(SEED).cast("int").alias("seed"), F.map_filter(metrics, lambda k, v: v.isNotNull()).alias("metrics")).orderBy(F.array_position(F.array(*map(F.lit, seeds)), F.col("seed")))
+    return audits.select(
+        F.lit(experiment).alias("experiment_id"),
+        F.col(SEED).cast("int").alias("seed"),
+        F.map_filter(metrics, lambda k, v: v.isNotNull()).alias("metrics"),
+    ).orderBy(F.array_position(F.array(*map(F.lit, seeds)), F.col("seed")))
 
 
 def aggregate_runs(runs: DataFrame) -> DataFrame:
     """experiment_id, metric, n, mean, sd (0 for one run), ci_low, ci_high; the duration counts as a metric."""
     duration = F.create_map(F.lit("duration_seconds"), F.col("duration_seconds").cast("double"))
     values = runs.select("experiment_id", F.explode(F.map_concat("metrics", duration)).alias("metric", "v")).where("v is not null")
-    out = values.groupBy("experiment_id", "metric").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("s"))
+    out = values.groupBy("experiment_id", "metric").agg(
+        F.count("*").alias("n"),
+        F.avg("v").alias("m"),
+        F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("s"),
+    )
     half = 1.96 * F.col("s") / F.sqrt("n")
-    return out.select("experiment_id", "metric", "n", F.round("m", 8).alias("mean"), F.round("s", 8).alias("sd"), F.round(F.col("m") - half, 8).alias("ci_low"), F.round(F.col("m") + half, 8).alias("ci_high"))
+    return out.select(
+        "experiment_id",
+        "metric",
+        "n",
+        F.round("m", 8).alias("mean"),
+        F.round("s", 8).alias("sd"),
+        F.round(F.col("m") - half, 8).alias("ci_low"),
+        F.round(F.col("m") + half, 8).alias("ci_high"),
+    )
 
 
 def comparison_table(results: DataFrame) -> DataFrame:

@@ -157,13 +157,21 @@ def inspect_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     hits = sum(pii.entity_counts(text).values(), F.lit(0))
-    return df.select(id_col, F.length(text).cast("bigint").alias("characters"), lines.cast("bigint").alias("lines"), hits.cast("bigint").alias("pii_hits"), F.lit(False).alias("release_allowed"))
+    return df.select(
+        id_col,
+        F.length(text).cast("bigint").alias("characters"),
+        lines.cast("bigint").alias("lines"),
+        hits.cast("bigint").alias("pii_hits"),
+        F.lit(False).alias("release_allowed"),
+    )
 
 
 def scan_with_detector(df: DataFrame, make: Callable[[], Callable[[str], dict[str, int]]], columns: list[str] | None = None) -> DataFrame:
     """column, entity, hits by a pluggable detector: `make` builds it once a task; only counts leave."""
     columns = columns or df.columns
-    texts = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("text")) for c in columns]))).where("text is not null and text <> ''")
+    texts = df.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("text")) for c in columns]))
+    ).where("text is not null and text <> ''")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detect = make()

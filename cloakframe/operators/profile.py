@@ -13,7 +13,13 @@ from pyspark.sql import types as T
 from ..functions import patterns as P
 
 ROLES = ("identifier", "quasi_identifier", "sensitive", "general", "free_text")
-STRATEGY = {"identifier": "regenerate", "free_text": "block_v0_1", "quasi_identifier": "joint_synthesis", "sensitive": "joint_synthesis", "general": "joint_synthesis"}
+STRATEGY = {
+    "identifier": "regenerate",
+    "free_text": "block_v0_1",
+    "quasi_identifier": "joint_synthesis",
+    "sensitive": "joint_synthesis",
+    "general": "joint_synthesis",
+}
 
 
 @dataclass(frozen=True)
@@ -28,7 +34,13 @@ class PrivacyProfile:
     row_level_allowed: bool = False
 
 
-PROFILES = {p.name: p for p in (PrivacyProfile("research", 10, 5, 5, 0.02), PrivacyProfile("clinical", 30, 10, 10, 0.01), PrivacyProfile("enterprise", 20, 10, 10, 0.015))}
+PROFILES = {
+    p.name: p for p in (
+        PrivacyProfile("research", 10, 5, 5, 0.02),
+        PrivacyProfile("clinical", 30, 10, 10, 0.01),
+        PrivacyProfile("enterprise", 20, 10, 10, 0.015),
+    )
+}
 
 
 #: The rules by name, in the order in which they decide.
@@ -69,14 +81,20 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def unpivoted(row: DataFrame, columns: list[str], fields: dict[str, str], name: str = "name") -> DataFrame:
     """One row a column from one wide row whose columns are called field__column."""
     each = [F.struct(F.lit(c).alias(name), *[F.col(f"`{f}__{c}`").cast(kind).alias(f) for f, kind in fields.items()]) for c in columns]
-    return row.select(F.inline(F.array(*each))) if each else row.sparkSession.createDataFrame([], f"{name} string, " + ", ".join(f"{f} {k}" for f, k in fields.items()))
+    return row.select(F.inline(F.array(*each))) if each else row.sparkSession.createDataFrame(
+        [],
+        f"{name} string, " + ", ".join(f"{f} {k}" for f, k in fields.items()),
+    )
 
 
 def free_text_columns(df: DataFrame) -> DataFrame:
     """name, mean_length, p90_length, free_text of every string column, from one aggregate."""
     columns = string_columns(df)
     size = lambda c: F.length(F.col(f"`{c}`"))
-    wide = df.agg(F.lit(1), *[x for c in columns for x in (F.avg(size(c)).alias(f"mean_length__{c}"), F.percentile(size(c), 0.9).alias(f"p90_length__{c}"))])
+    wide = df.agg(
+        F.lit(1),
+        *[x for c in columns for x in (F.avg(size(c)).alias(f"mean_length__{c}"), F.percentile(size(c), 0.9).alias(f"p90_length__{c}"))],
+    )
     out = unpivoted(wide, columns, {"mean_length": "double", "p90_length": "double"})
     return out.withColumn("free_text", F.coalesce((F.col("mean_length") > 60) | (F.col("p90_length") > 160), F.lit(False)))
 
@@ -106,7 +124,11 @@ def profile_table(df: DataFrame, approximate: float | None = None) -> DataFrame:
 def role_counts(profile: DataFrame) -> DataFrame:
     """role, columns for every role; roles without columns have 0."""
     domain = profile.sparkSession.createDataFrame([(r,) for r in ROLES], "role string")
-    return domain.join(profile.groupBy("role").agg(F.count("*").alias("columns")), "role", "left").select("role", F.coalesce("columns", F.lit(0)).cast("bigint").alias("columns"))
+    return domain.join(
+        profile.groupBy("role").agg(F.count("*").alias("columns")),
+        "role",
+        "left",
+    ).select("role", F.coalesce("columns", F.lit(0)).cast("bigint").alias("columns"))
 
 
 def drop_identifiers(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:

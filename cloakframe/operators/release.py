@@ -56,7 +56,11 @@ def route_purpose(df: DataFrame, purpose_col: str) -> DataFrame:
     """`df` with the normalised purpose and its mode; unknown purposes are blocked."""
     table = df.sparkSession.createDataFrame([(p, m) for m, each in PURPOSES.items() for p in each], "__p string, mode string")
     named = df.withColumn("purpose_key", F.regexp_replace(F.lower(F.trim(purpose_col)), "[- ]", "_"))
-    return named.join(F.broadcast(table), F.col("purpose_key") == F.col("__p"), "left").drop("__p").withColumn("mode", F.coalesce("mode", F.lit("block")))
+    return named.join(
+        F.broadcast(table),
+        F.col("purpose_key") == F.col("__p"),
+        "left",
+    ).drop("__p").withColumn("mode", F.coalesce("mode", F.lit("block")))
 
 
 def next_actions(df: DataFrame, id_col: str, codes_col: str) -> DataFrame:
@@ -64,10 +68,19 @@ def next_actions(df: DataFrame, id_col: str, codes_col: str) -> DataFrame:
     table = df.sparkSession.createDataFrame([(c, i, a) for i, (c, a) in enumerate(ACTIONS)], "code string, rank int, action string")
     told = df.select(id_col, F.explode(F.array_distinct(codes_col)).alias("code")).join(F.broadcast(table), "code")
     lists = told.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "action"))), lambda x: x["action"]).alias("a"))
-    return df.select(id_col).join(lists, id_col, "left").select(id_col, F.concat(F.coalesce("a", F.array().cast("array<string>")), F.array(F.lit(LAST_ACTION))).alias("actions"))
+    return df.select(id_col).join(lists, id_col, "left").select(
+        id_col,
+        F.concat(F.coalesce("a", F.array().cast("array<string>")), F.array(F.lit(LAST_ACTION))).alias("actions"),
+    )
 
 
-def evaluate_row_release(evidence: DataFrame, near: float = P.MAX_NEAR_COPY, auc: float = P.MAX_AUC, uplift: float = P.MAX_UPLIFT, linkage: float = P.MAX_LINKAGE) -> DataFrame:
+def evaluate_row_release(
+    evidence: DataFrame,
+    near: float = P.MAX_NEAR_COPY,
+    auc: float = P.MAX_AUC,
+    uplift: float = P.MAX_UPLIFT,
+    linkage: float = P.MAX_LINKAGE,
+) -> DataFrame:
     """`evidence` with failed_conditions, criteria_satisfied and release_allowed, which is always false."""
     if not all(0 <= x <= 1 for x in (near, auc, uplift, linkage)):
         raise ValueError("thresholds lie between 0 and 1")
@@ -102,14 +115,20 @@ def validate_evidence(lines: DataFrame, json_col: str) -> DataFrame:
     keys = F.json_object_keys(obj)
     # what a field's JSON type is shows in how it is written
     written = lambda f: F.regexp_extract(obj, rf'"{f}"\s*:\s*("[^"]*"|[^,}}\s]+)', 1)
-    reason = F.when(keys.isNull(), "malformed").when(F.size(F.array_except(F.array(*map(F.lit, fields)), keys)) > 0, "missing_field").when(F.size(F.array_except(keys, F.array(*map(F.lit, fields)))) > 0, "unknown_field")
+    reason = F.when(keys.isNull(), "malformed").when(
+        F.size(F.array_except(F.array(*map(F.lit, fields)), keys)) > 0,
+        "missing_field",
+    ).when(F.size(F.array_except(keys, F.array(*map(F.lit, fields)))) > 0, "unknown_field")
     for f in FLAGS:
         reason = reason.when(~written(f).isin("true", "false"), f"{f}_not_boolean")
     for f in COUNTS:
         reason = reason.when(~written(f).rlike(r"^[0-9]+$"), f"{f}_not_a_count")
     for f, least in RATES.items():
         value = written(f).try_cast("double")
-        reason = reason.when((written(f) != "null") & (~written(f).rlike(r"^-?[0-9.]+([eE][-+]?[0-9]+)?$") | value.isNull() | (value < least) | (value > 1)), f"{f}_out_of_range")
+        reason = reason.when(
+            (written(f) != "null") & (~written(f).rlike(r"^-?[0-9.]+([eE][-+]?[0-9]+)?$") | value.isNull() | (value < least) | (value > 1)),
+            f"{f}_out_of_range",
+        )
     return lines.withColumn("reject_reason", reason)
 
 
@@ -122,7 +141,13 @@ def final_scan_gate(df: DataFrame, allow: bool, roles: dict[str, str] | None = N
 LOCAL = "status string, release_class string, reason string"
 
 
-def resolve_release(df: DataFrame, staged: bool, profile: PrivacyProfile = PROFILES["research"], decimals: int = 2, folder: str | None = None) -> DataFrame:
+def resolve_release(
+    df: DataFrame,
+    staged: bool,
+    profile: PrivacyProfile = PROFILES["research"],
+    decimals: int = 2,
+    folder: str | None = None,
+) -> DataFrame:
     """name, ..., status, reason: row-level if staged, else the aggregate fallback, else LOCAL_ONLY with what stopped it.
 
     With a folder, the fallback is staged there: a payload that its final scan clears, and the manifest.
@@ -154,7 +179,10 @@ def match_approvals(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     latest = ledger.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("path", "sha256", "purpose", "approval_id")
     out = requests.join(latest, ["path", "sha256", "purpose"], "left")
     found = F.col("approval_id").isNotNull()
-    return out.withColumn("decision", F.when(found, "allow").otherwise("deny")).withColumn("reason", F.when(found, "approved").otherwise("no_matching_approval"))
+    return out.withColumn("decision", F.when(found, "allow").otherwise("deny")).withColumn(
+        "reason",
+        F.when(found, "approved").otherwise("no_matching_approval"),
+    )
 
 
 def list_approved(ledger: DataFrame, current: DataFrame, purpose: str) -> DataFrame:

@@ -18,7 +18,9 @@ def host_of(url: Column) -> Column:
 
 def classified(df: DataFrame, host_col: str) -> DataFrame:
     """`df` with classification, provider_hint, relay_possible by exact host, then suffix."""
-    table = [(h, "OFFICIAL_PROVIDER_ENDPOINT", p, False) for h, p in P.OFFICIAL_HOSTS.items()] + [(h, "KNOWN_ROUTER_OR_AGGREGATOR", p, True) for h, p in P.ROUTER_HOSTS.items()]
+    table = [
+        (h, "OFFICIAL_PROVIDER_ENDPOINT", p, False) for h, p in P.OFFICIAL_HOSTS.items()
+    ] + [(h, "KNOWN_ROUTER_OR_AGGREGATOR", p, True) for h, p in P.ROUTER_HOSTS.items()]
     known = df.sparkSession.createDataFrame(table, "__h string, classification string, provider_hint string, relay_possible boolean")
     out = df.join(F.broadcast(known), F.col(host_col) == F.col("__h"), "left").drop("__h")
     managed, hint = F.lit(False), F.lit(None).cast("string")
@@ -26,7 +28,13 @@ def classified(df: DataFrame, host_col: str) -> DataFrame:
         hint = F.when(F.col(host_col).endswith(suffix), provider).otherwise(hint)
         managed = managed | F.col(host_col).endswith(suffix)
     fallback = F.when(managed, "MANAGED_CLOUD_ENDPOINT").otherwise("CUSTOM_OR_UNKNOWN_ENDPOINT")
-    return out.withColumns({"classification": F.coalesce("classification", fallback), "provider_hint": F.coalesce("provider_hint", hint), "relay_possible": F.coalesce("relay_possible", ~managed)})
+    return out.withColumns(
+        {
+            "classification": F.coalesce("classification", fallback),
+            "provider_hint": F.coalesce("provider_hint", hint),
+            "relay_possible": F.coalesce("relay_possible", ~managed),
+        }
+    )
 
 
 def classify_endpoints(df: DataFrame, url_col: str) -> DataFrame:
@@ -34,9 +42,23 @@ def classify_endpoints(df: DataFrame, url_col: str) -> DataFrame:
     scheme = F.lower(F.regexp_extract(url_col, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     web = scheme.isin("http", "https")
     port = F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*?:([0-9]+)(?:[/?#]|$)", 1).try_cast("int")
-    out = df.withColumns({"scheme": F.when(web, scheme), "host": F.when(web, host_of(F.col(url_col))), "port": F.when(web, F.coalesce(port, F.when(scheme == "https", 443).otherwise(80)))})
+    out = df.withColumns(
+        {
+            "scheme": F.when(web, scheme),
+            "host": F.when(web, host_of(F.col(url_col))),
+            "port": F.when(web, F.coalesce(port, F.when(scheme == "https", 443).otherwise(80))),
+        }
+    )
     out = classified(out, "host")
-    endpoint = F.concat(F.col("scheme"), F.lit("://"), F.col("host"), F.when(F.col("port") != F.when(F.col("scheme") == "https", 443).otherwise(80), F.concat(F.lit(":"), F.col("port").cast("string"))).otherwise(""))
+    endpoint = F.concat(
+        F.col("scheme"),
+        F.lit("://"),
+        F.col("host"),
+        F.when(
+            F.col("port") != F.when(F.col("scheme") == "https", 443).otherwise(80),
+            F.concat(F.lit(":"), F.col("port").cast("string")),
+        ).otherwise(""),
+    )
     return out.withColumn("endpoint", endpoint)
 
 

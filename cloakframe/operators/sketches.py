@@ -40,7 +40,14 @@ def column_sketches(df: DataFrame, *by: Column) -> DataFrame:
         ]
     wide = df.groupBy(part.alias("part")).agg(*values)
     each = [
-        F.struct(F.lit(c).alias("name"), F.lit(t).alias("dtype"), "n", F.col(f"c{i}").alias("non_null"), F.col(f"h{i}").alias("distinct_sketch"), F.col(f"k{i}").alias("rank_sketch"))
+        F.struct(
+            F.lit(c).alias("name"),
+            F.lit(t).alias("dtype"),
+            "n",
+            F.col(f"c{i}").alias("non_null"),
+            F.col(f"h{i}").alias("distinct_sketch"),
+            F.col(f"k{i}").alias("rank_sketch"),
+        )
         for i, (c, t) in enumerate(df.dtypes)
     ]
     return wide.select("part", F.inline(F.array(*each)))

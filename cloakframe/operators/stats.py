@@ -36,11 +36,21 @@ def describe_numeric(df: DataFrame, profile: PrivacyProfile = RESEARCH, roles: d
     values = [F.count("*").alias("n_rows")]
     for c in columns:
         col = F.col(f"`{c}`").cast("double")
-        values += [F.count(col).alias(f"n__{c}"), F.avg(col).alias(f"mean__{c}"), F.stddev_samp(col).alias(f"std__{c}"), F.min(col).alias(f"min__{c}"), F.max(col).alias(f"max__{c}")]
+        values += [
+            F.count(col).alias(f"n__{c}"),
+            F.avg(col).alias(f"mean__{c}"),
+            F.stddev_samp(col).alias(f"std__{c}"),
+            F.min(col).alias(f"min__{c}"),
+            F.max(col).alias(f"max__{c}"),
+        ]
     row = df.agg(*values).first()
     guarded(df, row["n_rows"], profile.min_dataset)
     one = df.sparkSession.createDataFrame([row.asDict()], df.limit(0).agg(*values).schema)
-    out = unpivoted(one.withColumns({f"n_rows__{c}": F.col("n_rows") for c in columns}), columns, {"n_rows": "bigint", "n": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double"})
+    out = unpivoted(
+        one.withColumns({f"n_rows__{c}": F.col("n_rows") for c in columns}),
+        columns,
+        {"n_rows": "bigint", "n": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double"},
+    )
     return out
 
 
@@ -79,7 +89,12 @@ def rare_level_guard(df: DataFrame, column: str, profile: PrivacyProfile = RESEA
     """column, levels, smallest, allowed: too many levels or one below the least group size (null is a level) forbid a predictor."""
     sizes = df.groupBy(column).count()
     out = sizes.agg(F.count("*").alias("levels"), F.coalesce(F.min("count"), F.lit(0)).alias("smallest"))
-    return out.select(F.lit(column).alias("column"), "levels", "smallest", ((F.col("levels") <= most) & (F.col("smallest") >= profile.min_group)).alias("allowed"))
+    return out.select(
+        F.lit(column).alias("column"),
+        "levels",
+        "smallest",
+        ((F.col("levels") <= most) & (F.col("smallest") >= profile.min_group)).alias("allowed"),
+    )
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -170,7 +185,20 @@ def ols(df: DataFrame, outcome: str, predictors: list[str], profile: PrivacyProf
     rows = []
     for i, term in enumerate(terms):
         t = beta[i] / se[i] if se[i] else float("nan")
-        rows.append((term, float(beta[i]), float(se[i]), float(t), float(t_two_sided(t, rest)) if se[i] else None, float(beta[i] - wide * se[i]), float(beta[i] + wide * se[i]), n, float(r2), float(1 - (1 - r2) * (n - 1) / rest)))
+        rows.append(
+            (
+                term,
+                float(beta[i]),
+                float(se[i]),
+                float(t),
+                float(t_two_sided(t, rest)) if se[i] else None,
+                float(beta[i] - wide * se[i]),
+                float(beta[i] + wide * se[i]),
+                n,
+                float(r2),
+                float(1 - (1 - r2) * (n - 1) / rest),
+            )
+        )
     schema = "term string, coef double, se double, statistic double, p double, ci_low double, ci_high double, nobs bigint, r2 double, adj_r2 double"
     return df.sparkSession.createDataFrame(rows, schema)
 
@@ -184,7 +212,13 @@ def release_safe_describe(described: DataFrame, least: int, bucket: int, decimal
     ranged = lambda c: F.concat_ws("-", lower(c).cast("string"), (lower(c) + step - 1).cast("string"))
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     out = described.where((F.col("n") >= least) & (F.col("n_rows") >= least) & finite("mean") & finite("std"))
-    out = out.select("name", ranged("n_rows").alias("n_rows_bucket"), ranged("n").alias("n_bucket"), F.round("mean", decimals).alias("mean"), F.round("std", decimals).alias("std"))
+    out = out.select(
+        "name",
+        ranged("n_rows").alias("n_rows_bucket"),
+        ranged("n").alias("n_bucket"),
+        F.round("mean", decimals).alias("mean"),
+        F.round("std", decimals).alias("std"),
+    )
     if not out.limit(1).count():
         raise GuardError("no column has enough values for a release")
     return out

@@ -101,7 +101,9 @@ def reused_ngrams(source: str, output: str, size: int) -> tuple[int, int]:
         places, hashes = places[order], hashes[order]
         for at, asked in pieces_of(said, size):
             first = np.searchsorted(hashes, asked)
-            known = np.flatnonzero((first < len(hashes)) & (hashes[np.minimum(first, len(hashes) - 1)] == asked)) if len(hashes) else np.zeros(0, np.int64)
+            known = np.flatnonzero(
+                (first < len(hashes)) & (hashes[np.minimum(first, len(hashes) - 1)] == asked)
+            ) if len(hashes) else np.zeros(0, np.int64)
             for i in range(0, len(known), STRIP):
                 hit = known[i : i + STRIP]
                 k, j = at + hit, places[first[hit]]
@@ -126,7 +128,10 @@ def ngram_reuse_udf(size: int):
 
     @vectorised("struct<reused:bigint,total:bigint>")
     def count(source: pd.Series, output: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([reused_ngrams(plain_text(s), plain_text(o), size) for s, o in zip(source, output, strict=True)], columns=["reused", "total"])
+        return pd.DataFrame(
+            [reused_ngrams(plain_text(s), plain_text(o), size) for s, o in zip(source, output, strict=True)],
+            columns=["reused", "total"],
+        )
 
     return count
 
@@ -148,7 +153,9 @@ def with_token_reuse(df: DataFrame, source: Column, output: Column) -> DataFrame
     # sorted, a word that comes once differs from both neighbours
     alone = F.filter("__w", lambda x, i: ~F.get("__w", i - 1).eqNullSafe(x) & ~F.get("__w", i + 1).eqNullSafe(x))
     once = words.withColumn("__once", alone)
-    out = once.withColumns({"distinctive_tokens": F.size("__once").cast("bigint"), "reused_tokens": F.size(F.array_intersect("__once", "__o")).cast("bigint")})
+    out = once.withColumns(
+        {"distinctive_tokens": F.size("__once").cast("bigint"), "reused_tokens": F.size(F.array_intersect("__once", "__o")).cast("bigint")}
+    )
     return out.withColumn("token_reuse_rate", rate(F.col("reused_tokens"), F.col("distinctive_tokens"))).drop("__w", "__o", "__once")
 
 
@@ -161,7 +168,13 @@ def distinctive_token_reuse(df: DataFrame, id_col: str, source_col: str, output_
 
 def semantic_gate(df: DataFrame) -> DataFrame:
     """`df` with failed_conditions and eligible_for_manual_review, by pii_hits, reused_numbers, the two rates and output_chars."""
-    flags = (F.col("pii_hits") > 0, F.col("reused_numbers") > 0, F.col("ngram_reuse_rate") > P.MAX_NGRAM_REUSE, F.col("token_reuse_rate") > P.MAX_TOKEN_REUSE, F.col("output_chars") < P.MIN_OUTPUT_CHARS)
+    flags = (
+        F.col("pii_hits") > 0,
+        F.col("reused_numbers") > 0,
+        F.col("ngram_reuse_rate") > P.MAX_NGRAM_REUSE,
+        F.col("token_reuse_rate") > P.MAX_TOKEN_REUSE,
+        F.col("output_chars") < P.MIN_OUTPUT_CHARS,
+    )
     out = df.withColumn("failed_conditions", F.array_compact(F.array(*[F.when(f, F.lit(c)) for f, c in zip(flags, GATE, strict=True)])))
     return out.withColumn("eligible_for_manual_review", F.size("failed_conditions") == 0).withColumn("release_allowed", F.lit(False))
 
@@ -200,7 +213,10 @@ def audit_pairs(source: DataFrame, output: DataFrame, key: str, text_col: str =
         pair_measures(size)(F.col("source"), F.col("output")).alias("__m"),
     )
     rows = rows.select("*", "__m.*").drop("__m")
-    shares = {"ngram_reuse_rate": rate(F.col("reused_ngrams"), F.col("output_ngrams")), "token_reuse_rate": rate(F.col("reused_tokens"), F.col("distinctive_tokens"))}
+    shares = {
+        "ngram_reuse_rate": rate(F.col("reused_ngrams"), F.col("output_ngrams")),
+        "token_reuse_rate": rate(F.col("reused_tokens"), F.col("distinctive_tokens")),
+    }
     return semantic_gate(rows.withColumns(shares))
 
 
@@ -211,7 +227,10 @@ def score_redteam(audited: DataFrame, cases: DataFrame) -> DataFrame:
     reuse = F.size(F.filter("forbidden_literals", lambda x: said.contains(F.lower(x)))).cast("bigint")
     kept = F.size(F.filter("utility_concepts", lambda g: F.exists(g, lambda t: said.contains(F.lower(t)))))
     out = joined.withColumn("forbidden_reuse", reuse)
-    out = out.withColumn("utility_retention", F.when(F.size("utility_concepts") > 0, F.round(kept / F.size("utility_concepts"), 6)).otherwise(F.lit(1.0)))
+    out = out.withColumn(
+        "utility_retention",
+        F.when(F.size("utility_concepts") > 0, F.round(kept / F.size("utility_concepts"), 6)).otherwise(F.lit(1.0)),
+    )
     success = (F.col("pii_hits") > 0) | (F.col("reused_numbers") > 0) | (F.col("forbidden_reuse") > 0)
     return out.withColumn("attack_success", success.cast("int")).drop("forbidden_literals", "utility_concepts")
 
@@ -225,7 +244,11 @@ def redteam_matrix(cases: DataFrame, baselines: dict[str, Callable[[Column], Col
     out = None
     for name, transform in baselines.items():
         made = cases.select("id", transform(F.col("source")).alias("text"))
-        audited = audit_pairs(cases.select("id", F.col("source").alias("text")), made, "id").join(made.select("id", F.col("text").alias("output")), "id")
+        audited = audit_pairs(
+            cases.select("id", F.col("source").alias("text")),
+            made,
+            "id",
+        ).join(made.select("id", F.col("text").alias("output")), "id")
         one = score_redteam(audited, cases).withColumn("baseline", F.lit(name)).drop("output")
         out = one if out is None else out.unionByName(one)
     return out
@@ -236,10 +259,19 @@ def summarize_redteam(matrix: DataFrame) -> DataFrame:
     sets = [["baseline"], ["baseline", "attack_family"]]
     grouped = matrix.groupingSets([[F.col(c) for c in s] for s in sets], "baseline", "attack_family")
     mean = lambda c: F.round(F.avg(c), 6).alias(c)
-    return grouped.agg(F.count("*").alias("cases"), *[mean(c) for c in ("attack_success", "pii_hits", "reused_numbers", "forbidden_reuse", "ngram_reuse_rate", "token_reuse_rate", "utility_retention")])
+    return grouped.agg(
+        F.count("*").alias("cases"),
+        *[mean(c) for c in ("attack_success", "pii_hits", "reused_numbers", "forbidden_reuse", "ngram_reuse_rate", "token_reuse_rate", "utility_retention")],
+    )
 
 
-def remediate(df: DataFrame, key: str, text_col: str, transform: Callable[[DataFrame, int], DataFrame], max_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def remediate(
+    df: DataFrame,
+    key: str,
+    text_col: str,
+    transform: Callable[[DataFrame, int], DataFrame],
+    max_rounds: int = 2,
+) -> tuple[DataFrame, DataFrame]:
     """Final rows (key, text, status) and the log of attempts.
 
     Texts are pre-redacted, transformed and audited against the original; only rows that

@@ -75,7 +75,12 @@ def f5_near_copy_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f6_audit_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _, made = split(spark, sf_dir)
     roles = {"c_nationkey": "quasi_identifier", "c_mktsegment": "quasi_identifier"}
-    return audit.audit_release(coarse(members), coarse(made), quasi=QUASI, roles=roles).select("exact_row_overlap", "quasi_combo_overlap", "rare_quasi_overlap", "passed")
+    return audit.audit_release(coarse(members), coarse(made), quasi=QUASI, roles=roles).select(
+        "exact_row_overlap",
+        "quasi_combo_overlap",
+        "rare_quasi_overlap",
+        "passed",
+    )
 
 
 def distances(columns: tuple[str, ...]) -> str:
@@ -110,7 +115,11 @@ def f8_hashed_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = attacks.nearest_distance(members, made, columns, "c_custkey", approximate=True).withColumnRenamed("distance", "found")
     both = attacks.nearest_distance(members, made, columns, "c_custkey").join(found, "c_custkey")
     close = F.col("found") <= F.col("distance") * (1 + 1e-9)
-    return both.agg(F.count("*").alias("candidates"), (F.avg(close.cast("int")) >= 0.9).alias("recall_reached"), F.bool_and(F.col("found") >= F.col("distance") * (1 - 1e-9)).alias("never_nearer"))
+    return both.agg(
+        F.count("*").alias("candidates"),
+        (F.avg(close.cast("int")) >= 0.9).alias("recall_reached"),
+        F.bool_and(F.col("found") >= F.col("distance") * (1 - 1e-9)).alias("never_nearer"),
+    )
 
 
 @query(

@@ -14,7 +14,10 @@ from .base import query, table
 
 @query("SELECT l_returnflag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY l_returnflag")
 def a1_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read_table(spark, f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+    return tables.read_table(spark, f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(
+        F.count("*").alias("n"),
+        F.sum("l_linenumber").alias("lines"),
+    )
 
 
 @query("SELECT p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes FROM part GROUP BY p_brand")
@@ -36,10 +39,21 @@ def a3_read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def captures(spark: SparkSession, sf_dir: str) -> str:
     """`pages` as request captures, twenty requests to a file."""
     place = new_folder(spark, "captures")
-    head = F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html; charset=utf-8").alias("value")), F.struct(F.lit("Authorization").alias("name"), F.lit("hidden").alias("value")))
+    head = F.array(
+        F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html; charset=utf-8").alias("value")),
+        F.struct(F.lit("Authorization").alias("name"), F.lit("hidden").alias("value")),
+    )
     cookies = F.array(F.struct(F.lit("session").alias("name")))
-    request = F.struct(F.lit("post").alias("method"), "url", head.alias("headers"), cookies.alias("cookies"), F.struct(F.col("html").alias("text")).alias("postData"))
-    entries = table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 20).alias("capture")).agg(F.collect_list(F.struct(request.alias("request"))).alias("entries"))
+    request = F.struct(
+        F.lit("post").alias("method"),
+        "url",
+        head.alias("headers"),
+        cookies.alias("cookies"),
+        F.struct(F.col("html").alias("text")).alias("postData"),
+    )
+    entries = table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 20).alias("capture")).agg(
+        F.collect_list(F.struct(request.alias("request"))).alias("entries")
+    )
     entries.select("capture", F.to_json(F.struct(F.struct("entries").alias("log"))).alias("value")).write.partitionBy("capture").text(place)
     return place
 
@@ -47,7 +61,10 @@ def captures(spark: SparkSession, sf_dir: str) -> str:
 @query("SELECT regexp_extract(url, '^([a-z]+)://', 1) AS scheme, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS body_chars FROM pages GROUP BY 1")
 def a4_read_har(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.read_har(spark, captures(spark, sf_dir))
-    return rows.groupBy(F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme")).agg(F.count("*").alias("n"), F.sum(F.length("body")).cast("bigint").alias("body_chars"))
+    return rows.groupBy(F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme")).agg(
+        F.count("*").alias("n"),
+        F.sum(F.length("body")).cast("bigint").alias("body_chars"),
+    )
 
 
 @query(
@@ -57,7 +74,12 @@ def a4_read_har(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a5_read_jsonl_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = new_folder(spark, "lines")
     said = table(spark, sf_dir, "conversations")
-    rows = said.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "role", F.when(F.col("role") != "system", F.col("text")).alias("text"), "turn")
+    rows = said.select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"),
+        "role",
+        F.when(F.col("role") != "system", F.col("text")).alias("text"),
+        "turn",
+    )
     rows.unionByName(rows.where("turn = 0")).drop("turn").write.json(place)
     valid, rejects = tables.read_jsonl_checked(spark, place, "id string, role string, text string", "id", ("role", "text"))
     both = valid.select(F.lit("valid").alias("outcome")).unionByName(rejects.select(F.col("reason").alias("outcome")))
@@ -88,11 +110,23 @@ def a8_append_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source AS experiment_id, CAST(count(*) AS DOUBLE) AS documents, CAST(max(n_chars) AS DOUBLE) AS longest FROM documents GROUP BY source")
 def a9_write_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = new_folder(spark, "runs")
-    by_source = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").cast("double").alias("a"), F.max("n_chars").cast("double").alias("b"), F.min("text").alias("text"))
-    runs = by_source.select(F.col("source").alias("experiment_id"), F.create_map(F.lit("documents"), "a", F.lit("longest"), "b").alias("metrics"), "text")
+    by_source = table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count("*").cast("double").alias("a"),
+        F.max("n_chars").cast("double").alias("b"),
+        F.min("text").alias("text"),
+    )
+    runs = by_source.select(
+        F.col("source").alias("experiment_id"),
+        F.create_map(F.lit("documents"), "a", F.lit("longest"), "b").alias("metrics"),
+        "text",
+    )
     tables.write_run_records(runs, place)
     back = spark.read.schema("experiment_id string, metrics map<string,double>, text string").json(place)
-    return back.where("text is null").select("experiment_id", F.col("metrics")["documents"].alias("documents"), F.col("metrics")["longest"].alias("longest"))
+    return back.where("text is null").select(
+        "experiment_id",
+        F.col("metrics")["documents"].alias("documents"),
+        F.col("metrics")["longest"].alias("longest"),
+    )
 
 
 def name_case(name: str, text: str = "false") -> str:
@@ -102,7 +136,19 @@ def name_case(name: str, text: str = "false") -> str:
 
 
 STRATEGY_SQL = "CASE role WHEN 'identifier' THEN 'regenerate' WHEN 'free_text' THEN 'block_v0_1' ELSE 'joint_synthesis' END"
-LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+LINEITEM = (
+    "l_orderkey",
+    "l_partkey",
+    "l_suppkey",
+    "l_linenumber",
+    "l_quantity",
+    "l_extendedprice",
+    "l_discount",
+    "l_tax",
+    "l_returnflag",
+    "l_linestatus",
+    "l_shipdate",
+)
 
 
 @query(f"SELECT name, role, {STRATEGY_SQL} AS strategy FROM (SELECT name, {name_case('name')} AS role FROM (SELECT unnest({list(LINEITEM)}) AS name))")
@@ -110,7 +156,9 @@ def b1_classify_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.classify_columns(table(spark, sf_dir, "lineitem"))
 
 
-LENGTHS = " UNION ALL ".join(f"SELECT '{c}' AS name, avg(length({c})) AS m, quantile_cont(length({c}), 0.9) AS p FROM documents" for c in ("text", "lang", "source"))
+LENGTHS = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, avg(length({c})) AS m, quantile_cont(length({c}), 0.9) AS p FROM documents" for c in ("text", "lang", "source")
+)
 
 
 @query(f"SELECT name, round(m, 6) AS mean_length, CAST(p AS DOUBLE) AS p90_length, coalesce(m > 60 OR p > 160, false) AS free_text FROM ({LENGTHS})")
@@ -140,7 +188,13 @@ def b3_sketched_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = durable(sketches.column_sketches(rows, F.year("l_shipdate")))
     found = sketches.estimates(sketches.merged(stored)).join(stored.groupBy("name").agg(F.count("*").alias("parts")), "name")
     exact = profile.profile_table(rows).select("name", F.col("unique").alias("exact"))
-    return found.join(exact, "name").select("name", "n", "non_null", (F.abs(F.col("unique") - F.col("exact")) <= 0.03 * F.col("exact")).alias("unique_close"), "parts")
+    return found.join(exact, "name").select(
+        "name",
+        "n",
+        "non_null",
+        (F.abs(F.col("unique") - F.col("exact")) <= 0.03 * F.col("exact")).alias("unique_close"),
+        "parts",
+    )
 
 
 @query(f"SELECT role, CAST(count(name) AS BIGINT) AS columns FROM (SELECT unnest({list(profile.ROLES)}) AS role) d LEFT JOIN ({profile_sql('documents', DOCUMENTS, ('text', 'lang', 'source'))}) p USING (role) GROUP BY role")
@@ -245,7 +299,9 @@ def number_sql(key: str, column: str) -> str:
 
 
 def statistics_sql(*columns: str) -> str:
-    return "SELECT " + ", ".join(f"avg({c}) AS mean_{c}, stddev_pop({c}) AS sd_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in columns) + " FROM customer"
+    return "SELECT " + ", ".join(
+        f"avg({c}) AS mean_{c}, stddev_pop({c}) AS sd_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in columns
+    ) + " FROM customer"
 
 
 SEGMENTS_SQL = """SELECT v, (upto - n - 1) / whole AS lo, upto / whole AS hi FROM (SELECT v, n, CAST(sum(n + 1) OVER (ORDER BY v) AS DOUBLE) AS upto, CAST(sum(n + 1) OVER () AS DOUBLE) AS whole
@@ -275,7 +331,11 @@ def g3_regenerate_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAME_SQL = "({})[CAST(({}) % {} AS INTEGER) + 1]"
-GIVEN_SQL, FAMILY_SQL = NAME_SQL.format(list(synth.GIVEN), "i + 7", len(synth.GIVEN)), NAME_SQL.format(list(synth.FAMILY), f"i // {len(synth.GIVEN)} + 7", len(synth.FAMILY))
+GIVEN_SQL, FAMILY_SQL = NAME_SQL.format(list(synth.GIVEN), "i + 7", len(synth.GIVEN)), NAME_SQL.format(
+    list(synth.FAMILY),
+    f"i // {len(synth.GIVEN)} + 7",
+    len(synth.FAMILY),
+)
 
 
 @query(

@@ -33,7 +33,12 @@ CLASSES = ("raw", "pseudonymized", "aggregate", "synthetic", "other")
     SELECT doc_id, reason = 'aggregate_validated' AS allow, reason FROM d"""
 )
 def h2_decide_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").select("doc_id", chosen(CLASSES, F.col("doc_id")).alias("release_class"), (F.col("quality") == 1).alias("audit_passed"), (F.col("toxic") == 0).alias("aggregate_validated"))
+    rows = table(spark, sf_dir, "labels").select(
+        "doc_id",
+        chosen(CLASSES, F.col("doc_id")).alias("release_class"),
+        (F.col("quality") == 1).alias("audit_passed"),
+        (F.col("toxic") == 0).alias("aggregate_validated"),
+    )
     return release.decide_release(rows).select("doc_id", "allow", "reason")
 
 
@@ -81,14 +86,23 @@ def limited_sql(n: int, over: int, limit: float, missing: str, name: str) -> str
 
 
 FAILED = f"""array_to_string(list_filter([CASE WHEN doc_id % 2 <> 0 THEN 'backend_not_approved' END, CASE WHEN doc_id % 3 <> 0 THEN 'direct_pii_detected' END, CASE WHEN doc_id % 2 <> 0 THEN 'identifier_overlap' END,
-    {limited_sql(5, 3, P.MAX_NEAR_COPY, 'near_copy_evidence_missing', 'near_copy_rate')}, {limited_sql(7, 90, P.MAX_AUC, 'membership_evidence_missing', 'membership_attack_signal')},
-    {limited_sql(11, 20, P.MAX_UPLIFT, 'attribute_inference_evidence_missing', 'attribute_inference_signal')}, {limited_sql(13, 9, P.MAX_LINKAGE, 'longitudinal_evidence_missing', 'longitudinal_linkage_signal')},
+    {limited_sql(5, 3, P.MAX_NEAR_COPY, 'near_copy_evidence_missing', 'near_copy_rate')}, {
+        limited_sql(7, 90, P.MAX_AUC, 'membership_evidence_missing', 'membership_attack_signal')
+    },
+    {
+        limited_sql(11, 20, P.MAX_UPLIFT, 'attribute_inference_evidence_missing', 'attribute_inference_signal')
+    }, {limited_sql(13, 9, P.MAX_LINKAGE, 'longitudinal_evidence_missing', 'longitudinal_linkage_signal')},
     CASE WHEN doc_id % 5 = 0 THEN 'policy_not_reviewed' END], lambda x: x IS NOT NULL), ',')"""
 
 
 @query(f"SELECT doc_id, {FAILED} AS failed, {FAILED} = '' AS criteria_satisfied, false AS release_allowed FROM documents")
 def h6_evaluate_row_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return release.evaluate_row_release(evidence(spark, sf_dir)).select("doc_id", F.array_join("failed_conditions", ",").alias("failed"), "criteria_satisfied", "release_allowed")
+    return release.evaluate_row_release(evidence(spark, sf_dir)).select(
+        "doc_id",
+        F.array_join("failed_conditions", ",").alias("failed"),
+        "criteria_satisfied",
+        "release_allowed",
+    )
 
 
 @query(
@@ -152,7 +166,13 @@ def h6_evaluate_measured_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = measured(spark, sf_dir)
     fields = [*release.FLAGS, *release.COUNTS, *release.RATES]
     told = release.validate_evidence(row.withColumn("json", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})), "json")
-    return release.evaluate_row_release(told).select(F.array_join("failed_conditions", ",").alias("failed"), "criteria_satisfied", "reject_reason", "membership_max_auc", "near_copy_rate")
+    return release.evaluate_row_release(told).select(
+        F.array_join("failed_conditions", ",").alias("failed"),
+        "criteria_satisfied",
+        "reject_reason",
+        "membership_max_auc",
+        "near_copy_rate",
+    )
 
 
 @query("SELECT true AS allow, CAST(0 AS BIGINT) AS pii_hits, count(*) > 0 AS passed FROM customer")
@@ -163,7 +183,14 @@ def h8_final_scan_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: (dir, name, path, sha256, bytes)."""
     d = docs(spark, sf_dir)
-    return d.select("doc_id", F.col("source").alias("dir"), F.concat(F.lit("doc-"), "doc_id").alias("name"), F.concat_ws("/", "source", F.concat(F.lit("doc-"), "doc_id")).alias("path"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
+    return d.select(
+        "doc_id",
+        F.col("source").alias("dir"),
+        F.concat(F.lit("doc-"), "doc_id").alias("name"),
+        F.concat_ws("/", "source", F.concat(F.lit("doc-"), "doc_id")).alias("path"),
+        F.sha2("text", 256).alias("sha256"),
+        F.octet_length("text").cast("bigint").alias("bytes"),
+    )
 
 
 ELIGIBLE = "doc_id % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0"
@@ -174,7 +201,15 @@ def h9_issue_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, i = artifacts(spark, sf_dir), F.col("doc_id")
     sha = F.when(i % 7 == 0, F.lit("0" * 64)).otherwise(F.col("sha256"))
     scan = F.struct((i % 5 != 0).alias("passed"))
-    manifests = files.select("dir", F.col("name").alias("artifact"), sha.alias("artifact_sha256"), F.lit(True).alias("allow"), (i % 2 == 0).alias("allow_after_final_scan"), F.when(i % 3 != 0, "aggregate").otherwise("synthetic").alias("release_class"), scan.alias("final_scan"))
+    manifests = files.select(
+        "dir",
+        F.col("name").alias("artifact"),
+        sha.alias("artifact_sha256"),
+        F.lit(True).alias("allow"),
+        (i % 2 == 0).alias("allow_after_final_scan"),
+        F.when(i % 3 != 0, "aggregate").otherwise("synthetic").alias("release_class"),
+        scan.alias("final_scan"),
+    )
     return release.issue_approvals(files, manifests, " teaching ").select("name", "dir", "purpose")
 
 
@@ -182,7 +217,13 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two records for every document whose number 3 divides: the second has another digest if 2 divides it too."""
     files = artifacts(spark, sf_dir).where("doc_id % 3 = 0")
     first = files.select("doc_id", "path", "sha256", F.lit("teaching").alias("purpose"), (F.col("doc_id") * 2).alias("ledger_pos"))
-    again = first.select("doc_id", "path", F.when(F.col("doc_id") % 2 == 0, F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256"), "purpose", (F.col("ledger_pos") + 1).alias("ledger_pos"))
+    again = first.select(
+        "doc_id",
+        "path",
+        F.when(F.col("doc_id") % 2 == 0, F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256"),
+        "purpose",
+        (F.col("ledger_pos") + 1).alias("ledger_pos"),
+    )
     return first.unionByName(again).withColumn("approval_id", F.concat(F.lit("a-"), F.col("ledger_pos").cast("string")))
 
 
@@ -200,7 +241,10 @@ def h11_list_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST('2026-01-01 00:00:00' AS TIMESTAMP) AS \"at\", source || '/doc-' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'approved' ELSE 'no_matching_approval' END AS reason FROM documents")
 def h12_access_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = artifacts(spark, sf_dir).select("path", "sha256", F.lit("teaching").alias("purpose"))
-    return release.access_events(release.match_approvals(asked, ledger(spark, sf_dir)), "2026-01-01 00:00:00").select(F.col("at").cast("timestamp_ntz").alias("at"), "path", "reason")
+    return release.access_events(
+        release.match_approvals(asked, ledger(spark, sf_dir)),
+        "2026-01-01 00:00:00",
+    ).select(F.col("at").cast("timestamp_ntz").alias("at"), "path", "reason")
 
 
 @query(
@@ -209,8 +253,14 @@ def h12_access_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def h13_verify_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, i = artifacts(spark, sf_dir), F.col("doc_id")
-    manifest = files.withColumn("path", F.when(i % 5 == 0, F.concat(F.lit("../"), "path")).otherwise(F.col("path"))).withColumn("sha256", F.when(i % 2 == 0, F.md5("sha256")).otherwise(F.col("sha256")))
-    manifest = manifest.withColumn("sha256", F.when(F.length("sha256") == 32, F.concat("sha256", "sha256")).otherwise(F.col("sha256"))).select("path", "sha256", "bytes")
+    manifest = files.withColumn(
+        "path",
+        F.when(i % 5 == 0, F.concat(F.lit("../"), "path")).otherwise(F.col("path")),
+    ).withColumn("sha256", F.when(i % 2 == 0, F.md5("sha256")).otherwise(F.col("sha256")))
+    manifest = manifest.withColumn(
+        "sha256",
+        F.when(F.length("sha256") == 32, F.concat("sha256", "sha256")).otherwise(F.col("sha256")),
+    ).select("path", "sha256", "bytes")
     return release.verify_artifacts(manifest, files.where("doc_id % 3 <> 0").select("path", "sha256", "bytes"))
 
 
@@ -223,7 +273,9 @@ def h13_verify_whole_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = artifacts(spark, sf_dir).select("doc_id", "path", "sha256", "bytes")
     whole = files.drop("doc_id")
     digest = release.set_digest(whole).first()["set_sha256"]
-    both = release.verify_artifacts(whole, whole, digest).unionByName(release.verify_artifacts(files.where("doc_id % 7 <> 0").drop("doc_id"), whole, digest))
+    both = release.verify_artifacts(whole, whole, digest).unionByName(
+        release.verify_artifacts(files.where("doc_id % 7 <> 0").drop("doc_id"), whole, digest)
+    )
     return both.groupBy("problem").agg(F.count("*").alias("n"))
 
 
@@ -235,15 +287,33 @@ HOST_SQL = r"nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://
     SELECT page_id, scheme, host, CASE scheme WHEN 'https' THEN 443 ELSE 80 END AS port, 'CUSTOM_OR_UNKNOWN_ENDPOINT' AS classification, true AS relay_possible, scheme || '://' || host AS endpoint FROM h"""
 )
 def i1_classify_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.classify_endpoints(table(spark, sf_dir, "pages").select("page_id", "url"), "url").select("page_id", "scheme", "host", "port", "classification", "relay_possible", "endpoint")
+    return requests.classify_endpoints(table(spark, sf_dir, "pages").select("page_id", "url"), "url").select(
+        "page_id",
+        "scheme",
+        "host",
+        "port",
+        "classification",
+        "relay_possible",
+        "endpoint",
+    )
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`pages` as requests: the page is the body, a header and a query parameter carry a credential."""
     pair = lambda n, v: F.struct(F.lit(n).alias("name"), F.lit(v).alias("value"))
-    head = F.when(F.col("page_id") % 2 == 0, F.array(pair(" Authorization", "hidden"), pair("Content-Type", "Text/HTML; charset=utf-8"))).otherwise(F.array(pair("accept", "*/*")))
+    head = F.when(
+        F.col("page_id") % 2 == 0,
+        F.array(pair(" Authorization", "hidden"), pair("Content-Type", "Text/HTML; charset=utf-8")),
+    ).otherwise(F.array(pair("accept", "*/*")))
     url = F.concat("url", F.when(F.col("url").contains("#"), "").when(F.col("url").contains("?"), "&access_token=1").otherwise("?code=2&x=1"))
-    return table(spark, sf_dir, "pages").select("page_id", F.lit("get").alias("method"), url.alias("url"), head.alias("headers"), F.array(F.struct(F.lit("s").alias("name"))).alias("cookies"), F.col("html").alias("body"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.lit("get").alias("method"),
+        url.alias("url"),
+        head.alias("headers"),
+        F.array(F.struct(F.lit("s").alias("name"))).alias("cookies"),
+        F.col("html").alias("body"),
+    )
 
 
 ASKED = f"""(SELECT page_id, {HOST_SQL} AS host, strlen(html) AS body_bytes, {' + '.join(ENTITIES)} AS pii_hits, CASE WHEN page_id % 2 = 0 THEN 'authorization' ELSE '' END AS sensitive_headers,
@@ -254,7 +324,17 @@ ASKED = f"""(SELECT page_id, {HOST_SQL} AS host, strlen(html) AS body_bytes, {'
 @query(f"SELECT page_id, host, 'GET' AS method, content_type, body_bytes, pii_hits, sensitive_headers, sensitive_query, CAST(1 AS BIGINT) AS cookies FROM {ASKED}")
 def i2_inspect_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = requests.inspect_requests(asked(spark, sf_dir))
-    return out.select("page_id", "host", "method", "content_type", "body_bytes", "pii_hits", F.array_join("sensitive_headers", ",").alias("sensitive_headers"), F.array_join("sensitive_query", ",").alias("sensitive_query"), "cookies")
+    return out.select(
+        "page_id",
+        "host",
+        "method",
+        "content_type",
+        "body_bytes",
+        "pii_hits",
+        F.array_join("sensitive_headers", ",").alias("sensitive_headers"),
+        F.array_join("sensitive_query", ",").alias("sensitive_query"),
+        "cookies",
+    )
 
 
 @query(
@@ -282,19 +362,34 @@ def k4_boundary_of_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = artifacts(spark, sf_dir).select("path", "dir", F.when(F.col("doc_id") % 3 == 0, "allow").otherwise("deny").alias("expected"))
     decided = files.join(h10_match_approvals(spark, sf_dir), "path")
     opened = decided.groupBy("dir").agg(F.max(F.col("decision") == "allow").alias("open"))
-    by_folder = decided.join(opened, "dir").select(F.lit("directory").alias("baseline"), "expected", F.when(F.col("open"), "allow").otherwise("deny").alias("observed"))
-    return experiments.boundary_summary(decided.select(F.lit("ledger").alias("baseline"), "expected", F.col("decision").alias("observed")).unionByName(by_folder))
+    by_folder = decided.join(opened, "dir").select(
+        F.lit("directory").alias("baseline"),
+        "expected",
+        F.when(F.col("open"), "allow").otherwise("deny").alias("observed"),
+    )
+    return experiments.boundary_summary(
+        decided.select(F.lit("ledger").alias("baseline"), "expected", F.col("decision").alias("observed")).unionByName(by_folder)
+    )
 
 
 @query()
 def k1_run_seed_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer")
-    return experiments.run_seed_suite(people, "demo", [7, 17], roles={"c_mktsegment": "quasi_identifier", "c_nationkey": "quasi_identifier", "c_custkey": "identifier"})
+    return experiments.run_seed_suite(
+        people,
+        "demo",
+        [7, 17],
+        roles={"c_mktsegment": "quasi_identifier", "c_nationkey": "quasi_identifier", "c_custkey": "identifier"},
+    )
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    return d.select(F.col("source").alias("experiment_id"), (F.col("doc_id") % 100).alias("duration_seconds"), F.create_map(F.lit("auc"), F.col("n_chars") % 101 / 100, F.lit("passed"), (F.col("doc_id") % 2).cast("double")).alias("metrics"))
+    return d.select(
+        F.col("source").alias("experiment_id"),
+        (F.col("doc_id") % 100).alias("duration_seconds"),
+        F.create_map(F.lit("auc"), F.col("n_chars") % 101 / 100, F.lit("passed"), (F.col("doc_id") % 2).cast("double")).alias("metrics"),
+    )
 
 
 @query(
@@ -328,7 +423,9 @@ def k3_comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def k4_boundary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda n: F.when(F.col("doc_id") % n == 0, "allow").otherwise("deny")
-    return experiments.boundary_summary(docs(spark, sf_dir).select(F.col("source").alias("baseline"), said(2).alias("expected"), said(3).alias("observed")))
+    return experiments.boundary_summary(
+        docs(spark, sf_dir).select(F.col("source").alias("baseline"), said(2).alias("expected"), said(3).alias("observed"))
+    )
 
 
 @query()

@@ -74,7 +74,9 @@ LEAVES_SQL = """(SELECT text FROM documents UNION ALL SELECT source FROM documen
 
 @query("SELECT entity, hits FROM (" + " UNION ALL ".join(f"SELECT '{e}' AS entity, CAST(sum({e}) AS BIGINT) AS hits FROM (SELECT {COUNTS_SQL} FROM {LEAVES_SQL})" for e in ENTITIES) + ") WHERE hits > 0")
 def c8_scan_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = docs(spark, sf_dir).select(F.struct("text", F.map_from_arrays(F.array(F.lit("source")), F.array("source")).alias("about")).alias("payload"))
+    nested = docs(spark, sf_dir).select(
+        F.struct("text", F.map_from_arrays(F.array(F.lit("source")), F.array("source")).alias("about")).alias("payload")
+    )
     props = table(spark, sf_dir, "events").select("props")
     both = scans.scan_structured(nested).unionByName(scans.scan_structured(props, ("props",)))
     return both.groupBy("entity").agg(F.sum("hits").alias("hits"))
@@ -82,7 +84,10 @@ def c8_scan_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c9_identifier_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.explode(scans.identifier_spans(F.col("text"))).alias("s")).select("doc_id", "s.start", "s.end", "s.entity")
+    return docs(spark, sf_dir).select(
+        "doc_id",
+        F.explode(scans.identifier_spans(F.col("text"))).alias("s"),
+    ).select("doc_id", "s.start", "s.end", "s.entity")
 
 
 TAG_SQL = (
@@ -93,7 +98,10 @@ TAG_SQL = (
 )
 LOOSE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 LOOSE_SQL = (rf"(^|[^\d]){LOOSE}(?:\.{LOOSE}){{3}}([^\d]|$)", r"\1[IP_ADDRESS]\2")
-TOKEN_SQL = (r"(^|[^\p{L}\p{N}_:.])(\.*)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.*)([^\p{L}\p{N}_:.]|$)", r"\1\2[IP_ADDRESS]\3\4")
+TOKEN_SQL = (
+    r"(^|[^\p{L}\p{N}_:.])(\.*)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.*)([^\p{L}\p{N}_:.]|$)",
+    r"\1\2[IP_ADDRESS]\3\4",
+)
 
 
 def tagged_sql(text: str, *last: tuple[str, str]) -> str:
@@ -170,7 +178,10 @@ def d2_pseudonymize_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def d3_identifier_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The addresses found in the texts, as labels compare them."""
-    spans = docs(spark, sf_dir).select("doc_id", F.explode(scans.identifier_spans(F.upper("text"))).alias("s")).select("doc_id", "s.*").where("entity = 'EMAIL'")
+    spans = docs(spark, sf_dir).select(
+        "doc_id",
+        F.explode(scans.identifier_spans(F.upper("text"))).alias("s"),
+    ).select("doc_id", "s.*").where("entity = 'EMAIL'")
     return spans.select("doc_id", "entity", keys.identifier_key(F.col("entity"), F.col("value")).alias("key"))
 
 
@@ -206,13 +217,25 @@ def d6_seal_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     sealed, seal = ps.seal_map(ps.numbered(sources_first(spark, sf_dir)), SECRET)
     sealed = durable(sealed)
     smallest = sealed.agg(F.min("mac").alias("m")).first()["m"]
-    checks = (ps.verify_map(sealed, seal, SECRET), ps.verify_map(sealed, seal, b"other"), ps.verify_map(sealed.where(F.col("mac") != smallest), seal, SECRET))
-    return sealed.agg(F.count("*").alias("rows")).select("rows", *[F.lit(c).alias(n) for c, n in zip(checks, ("verified", "verified_by_other_key", "verified_after_removal"), strict=True)])
+    checks = (
+        ps.verify_map(sealed, seal, SECRET),
+        ps.verify_map(sealed, seal, b"other"),
+        ps.verify_map(sealed.where(F.col("mac") != smallest), seal, SECRET),
+    )
+    return sealed.agg(F.count("*").alias("rows")).select(
+        "rows",
+        *[F.lit(c).alias(n) for c, n in zip(checks, ("verified", "verified_by_other_key", "verified_after_removal"), strict=True)],
+    )
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS path_token, sha256(text) AS input_sha256 FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
 def d7_pending_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("path_token"), F.sha2("text", 256).alias("input_sha256"), F.md5("text").alias("output_sha256"))
+    rows = docs(spark, sf_dir).select(
+        "doc_id",
+        F.col("doc_id").cast("string").alias("path_token"),
+        F.sha2("text", 256).alias("input_sha256"),
+        F.md5("text").alias("output_sha256"),
+    )
     stored = rows.select("path_token", F.when(F.col("doc_id") % 2 == 0, "changed").otherwise(F.col("output_sha256")).alias("output_sha256"))
     return ps.pending_documents(rows.select("path_token", "input_sha256"), rows.where("doc_id % 3 = 0").drop("doc_id"), stored)
 
@@ -220,7 +243,11 @@ def d7_pending_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literals of each document: its first two words of four letters or more."""
     words = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{4,}"), F.lit(0))), 1, 2)
-    return docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(words).alias("i", "literal")).select("doc", F.when(F.col("i") == 0, "PERSON").otherwise("PROJECT").alias("entity"), "literal")
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(words).alias("i", "literal")).select(
+        "doc",
+        F.when(F.col("i") == 0, "PERSON").otherwise("PROJECT").alias("entity"),
+        "literal",
+    )
 
 
 @query()
@@ -250,7 +277,9 @@ def d8_literal_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, type, literal, reject_reason FROM {NOMINATED}")
 def d9_validate_nominations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_doc = dictionary(spark, sf_dir).groupBy(F.col("doc").alias("doc_id")).agg(F.to_json(F.collect_list(F.struct(F.col("entity").alias("type"), "literal"))).alias("payload"))
+    by_doc = dictionary(spark, sf_dir).groupBy(F.col("doc").alias("doc_id")).agg(
+        F.to_json(F.collect_list(F.struct(F.col("entity").alias("type"), "literal"))).alias("payload")
+    )
     return ps.validate_nominations(docs(spark, sf_dir), by_doc, "doc_id", "text", "payload")
 
 
@@ -351,7 +380,14 @@ GATE_ROWS = "(SELECT doc_id, doc_id % 3 AS pii_hits, doc_id % 2 AS reused_number
 @query(f"SELECT doc_id, {GATE_SQL} AS failed, {GATE_SQL} = '' AS eligible_for_manual_review FROM {GATE_ROWS}")
 def j4_semantic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    rows = docs(spark, sf_dir).select("doc_id", (i % 3).alias("pii_hits"), (i % 2).alias("reused_numbers"), (i % 5 / 100).alias("ngram_reuse_rate"), (i % 7 / 100).alias("token_reuse_rate"), F.col("n_chars").alias("output_chars"))
+    rows = docs(spark, sf_dir).select(
+        "doc_id",
+        (i % 3).alias("pii_hits"),
+        (i % 2).alias("reused_numbers"),
+        (i % 5 / 100).alias("ngram_reuse_rate"),
+        (i % 7 / 100).alias("token_reuse_rate"),
+        F.col("n_chars").alias("output_chars"),
+    )
     return text_audit.semantic_gate(rows).select("doc_id", F.array_join("failed_conditions", ",").alias("failed"), "eligible_for_manual_review")
 
 
@@ -365,21 +401,35 @@ def j4_gate_of_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate over what J1, J3 and the scan measure on pairs; J2's rate, which SQL cannot give, is set to 0."""
     pairs = redacted(spark, sf_dir)
     scanned = scans.scan_text_column(pairs, "doc_id", "output").select("doc_id", F.col("total").alias("pii_hits"))
-    rows = pairs.select("doc_id", F.length("output").alias("output_chars"), F.lit(0.0).alias("ngram_reuse_rate")).join(scanned, "doc_id").join(j1_number_reuse(spark, sf_dir), "doc_id").join(j3_distinctive_token_reuse(spark, sf_dir), "doc_id")
+    rows = pairs.select(
+        "doc_id",
+        F.length("output").alias("output_chars"),
+        F.lit(0.0).alias("ngram_reuse_rate"),
+    ).join(scanned, "doc_id").join(j1_number_reuse(spark, sf_dir), "doc_id").join(j3_distinctive_token_reuse(spark, sf_dir), "doc_id")
     return text_audit.semantic_gate(rows).select("doc_id", F.array_join("failed_conditions", ",").alias("failed"), "eligible_for_manual_review")
 
 
 @query()
 def j5_audit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = redacted(spark, sf_dir)
-    return text_audit.audit_pairs(pairs.select("doc_id", F.col("source").alias("text")), pairs.select("doc_id", F.col("output").alias("text")), "doc_id")
+    return text_audit.audit_pairs(
+        pairs.select("doc_id", F.col("source").alias("text")),
+        pairs.select("doc_id", F.col("output").alias("text")),
+        "doc_id",
+    )
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` as red-team cases: the first two long words are forbidden, the first word is the concept to keep."""
     words = F.regexp_extract_all("text", F.lit(r"\p{L}{8,}"), F.lit(0))
     first = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
-    return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("attack_family"), F.col("text").alias("source"), F.slice(words, 1, 2).alias("forbidden_literals"), F.array(F.slice(first, 1, 1)).alias("utility_concepts"))
+    return docs(spark, sf_dir).select(
+        F.col("doc_id").alias("id"),
+        F.col("lang").alias("attack_family"),
+        F.col("text").alias("source"),
+        F.slice(words, 1, 2).alias("forbidden_literals"),
+        F.array(F.slice(first, 1, 1)).alias("utility_concepts"),
+    )
 
 
 SCORES = r"""(SELECT doc_id, lang, lower(text) AS said, regexp_extract_all(text, '\p{L}{8,}')[1:2] AS forbidden, regexp_extract_all(text, '\p{L}+')[1:1] AS kept FROM documents)"""

@@ -104,7 +104,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     Lines are numbered inside the block of a file that a task reads; a small table carries
     the lines of the blocks before.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
     # stored, because both the counts and the lines need the same numbers
     lines = durable(lines)
     counts = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
@@ -120,11 +125,23 @@ def read_jsonl_checked(spark: SparkSession, path: str, schema: str, key: str, re
     """
     kind = T.StructType.fromDDL(schema)
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
-    parsed = durable(lines.select("file", "line_no", "value", F.from_json("value", T.StructType([*kind, T.StructField("_corrupt_record", T.StringType())]), {"mode": "PERMISSIVE"}).alias("r")))
+    parsed = durable(
+        lines.select(
+            "file",
+            "line_no",
+            "value",
+            F.from_json("value", T.StructType([*kind, T.StructField("_corrupt_record", T.StringType())]), {"mode": "PERMISSIVE"}).alias("r"),
+        )
+    )
     if not parsed.limit(1).count():
         raise ValueError("the corpus has no lines")
-    missing = F.array_compact(F.array(*[F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in required])) if required else F.array().cast("array<string>")
-    reason = F.when(F.col("r._corrupt_record").isNotNull(), "malformed").when(F.coalesce(F.trim(F.col(f"r.{key}").cast("string")), F.lit("")) == "", "empty_key").when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.array_join(missing, ",")))
+    missing = F.array_compact(
+        F.array(*[F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in required])
+    ) if required else F.array().cast("array<string>")
+    reason = F.when(F.col("r._corrupt_record").isNotNull(), "malformed").when(
+        F.coalesce(F.trim(F.col(f"r.{key}").cast("string")), F.lit("")) == "",
+        "empty_key",
+    ).when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.array_join(missing, ",")))
     checked = parsed.withColumn("reason", reason)
     good = checked.where("reason is null")
     twice = good.groupBy(F.col(f"r.{key}").alias("k")).count().where("count > 1").select("k")
@@ -211,7 +228,14 @@ def stage_release(df: DataFrame, allow: bool, folder: str, release_class: str =
             name = digest = None
     else:
         by_entity = {r["entity"]: r["n"] for r in scan_table(df).groupBy("entity").agg(F.sum("hits").alias("n")).collect()}
-    row = {"artifact": name, "artifact_sha256": digest, "allow": allow, "allow_after_final_scan": name is not None, "release_class": release_class, "final_scan": {"passed": not by_entity, "pii_hits": sum(by_entity.values()), "by_entity": by_entity}}
+    row = {
+        "artifact": name,
+        "artifact_sha256": digest,
+        "allow": allow,
+        "allow_after_final_scan": name is not None,
+        "release_class": release_class,
+        "final_scan": {"passed": not by_entity, "pii_hits": sum(by_entity.values()), "by_entity": by_entity},
+    }
     manifest = spark.createDataFrame([row], MANIFEST)
     manifest.write.json(f"{folder}/manifest")
     return manifest
@@ -222,12 +246,33 @@ def append_ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_run_records(runs: DataFrame, path: str, allowed: tuple[str, ...] = ("experiment_id", "seed", "duration_seconds", "metrics", "case_id", "baseline", "attack_family")) -> None:
+def write_run_records(
+    runs: DataFrame,
+    path: str,
+    allowed: tuple[str, ...] = ("experiment_id", "seed", "duration_seconds", "metrics", "case_id", "baseline", "attack_family"),
+) -> None:
     """Run records as JSON lines; only columns on the list are written, so no source text gets there."""
     runs.select(*sorted(c for c in runs.columns if c in allowed)).write.json(path)
 
 
-def write_summary(summary: DataFrame, path: str, allowed: tuple[str, ...] = ("experiment_id", "metric", "n", "mean", "sd", "ci_low", "ci_high", "benchmark", "value", "baseline", "attack_family", "cases")) -> None:
+def write_summary(
+    summary: DataFrame,
+    path: str,
+    allowed: tuple[str, ...] = (
+        "experiment_id",
+        "metric",
+        "n",
+        "mean",
+        "sd",
+        "ci_low",
+        "ci_high",
+        "benchmark",
+        "value",
+        "baseline",
+        "attack_family",
+        "cases",
+    ),
+) -> None:
     """A summary of runs (a few rows) as one file of JSON lines, fields and rows in sorted order; other columns than those on the list are left out."""
     kept = sorted(c for c in summary.columns if c in allowed)
     summary.select(*kept).orderBy(*kept).coalesce(1).write.json(path)

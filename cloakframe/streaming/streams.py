@@ -66,7 +66,16 @@ class Labelling(StatefulProcessor):
 def labelled_spans(documents: DataFrame, order_col: str, text_col: str, secret: bytes, shards: int) -> DataFrame:
     """The identifier spans of arriving documents with their labels, from keyed state."""
     spans = with_digests(corpus_spans(documents, order_col, text_col), secret)
-    rows = spans.select(F.col("doc").cast("string").alias("doc"), "row", "unit", "start", "end", "entity", "digest", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"))
+    rows = spans.select(
+        F.col("doc").cast("string").alias("doc"),
+        "row",
+        "unit",
+        "start",
+        "end",
+        "entity",
+        "digest",
+        F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"),
+    )
     return rows.groupBy("entity", "shard").transformWithStateInPandas(Labelling(shards), SPAN, "Append", "None")
 
 
@@ -90,7 +99,12 @@ def stream_pseudonymize(documents: DataFrame, order_col: str, text_col: str, fol
         rows = spark.read.schema(batch.schema).parquet(staged)
         docs = rows.where("before is not null").select(*[F.col("before")[c].alias(c) for c in documents.columns])
         found = rows.where("label is not null")
-        rebuild(docs, F.col(f"`{order_col}`"), [text_col], found.select("row", "unit", "start", "end", "label")).write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
+        rebuild(
+            docs,
+            F.col(f"`{order_col}`"),
+            [text_col],
+            found.select("row", "unit", "start", "end", "label"),
+        ).write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
         found.where("fresh").select("entity", "digest", "label").write.mode("overwrite").parquet(f"{folder}/labels/batch={number}")
         remove(spark, staged)
 
