@@ -185,7 +185,22 @@ def range_rows(part: int, pieces: list[tuple], every: int, k: int) -> Iterator[t
             x[start : start + BLOCK] = sorted_x
         blocks.append(block)
         kind, data = pack(block.matrix)
-        yield ("block", part, start, len(block.ids), width, kind, data, block.ids.tobytes(), block.known.tobytes(), block.high.tobytes(), block.low.tobytes(), None, None, None)
+        yield (
+            "block",
+            part,
+            start,
+            len(block.ids),
+            width,
+            kind,
+            data,
+            block.ids.tobytes(),
+            block.known.tobytes(),
+            block.high.tobytes(),
+            block.low.tobytes(),
+            None,
+            None,
+            None,
+        )
     yield ("range", part, 0, n, width, None, None, None, None, matrix.max(axis=0).tobytes(), matrix.min(axis=0).tobytes(), None, None, None)
     own = np.flatnonzero(known & (ids % every == 0))
     if len(own):
@@ -193,7 +208,22 @@ def range_rows(part: int, pieces: list[tuple], every: int, k: int) -> Iterator[t
         search(matrix[own], blocks, tops, own)
         kind, data = pack(matrix[own])
         hits = [dict(zip(("at", "query_id", "vec_id", "score"), h, strict=True)) for h in found(tops, own, ids[own])]
-        yield ("query", part, 0, len(own), width, kind, data, ids[own].tobytes(), None, None, None, tops.kth.tobytes(), own.astype(np.int32).tobytes(), hits)
+        yield (
+            "query",
+            part,
+            0,
+            len(own),
+            width,
+            kind,
+            data,
+            ids[own].tobytes(),
+            None,
+            None,
+            None,
+            tops.kth.tobytes(),
+            own.astype(np.int32).tobytes(),
+            hits,
+        )
 
 
 def arrow(ddl: str) -> pa.Schema:
@@ -286,7 +316,10 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
     index = build(df, id_col, vec_col, every, k)
     queries, ranges = index.where("kind = 'query'"), index.where("kind = 'range'")
     hits = queries.select(F.col("part").alias("home"), F.inline("found"))
-    counted = index.agg(F.count(F.when(F.col("kind") == "range", 1)).alias("ranges"), F.sum(F.when(F.col("kind") == "query", F.col("n") * F.greatest("width", F.lit(1)))).alias("cells")).first()
+    counted = index.agg(
+        F.count(F.when(F.col("kind") == "range", 1)).alias("ranges"),
+        F.sum(F.when(F.col("kind") == "query", F.col("n") * F.greatest("width", F.lit(1)))).alias("cells"),
+    ).first()
     chunks, lists = -(-(counted["cells"] or 0) // CELLS), -(-counted["ranges"] // RANGES)
     chunk = F.pmod(F.hash("home"), F.lit(max(chunks, 1)))
 
@@ -298,8 +331,24 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
     for i in range(lists if chunks else 0):
         # at most twice RANGES rows or so of a few hundred bytes
         some = ranges.where(F.pmod(F.xxhash64("part"), F.lit(lists)) == i).select("part", "high", "low").collect()
-        meet = sendings(queries.select("part", "n", "width", "cell", "data", "ids", "kth", "at"), some, False).select("part", chunk.alias("chunk")).distinct()
-        blocks = index.where("kind = 'block'").join(meet, "part").select("part", "chunk", "start", "n", "width", "cell", "data", "ids", "known", "high", "low")
+        meet = sendings(
+            queries.select("part", "n", "width", "cell", "data", "ids", "kth", "at"),
+            some,
+            False,
+        ).select("part", chunk.alias("chunk")).distinct()
+        blocks = index.where("kind = 'block'").join(meet, "part").select(
+            "part",
+            "chunk",
+            "start",
+            "n",
+            "width",
+            "cell",
+            "data",
+            "ids",
+            "known",
+            "high",
+            "low",
+        )
         sent = sendings(queries.select("part", "n", "width", "cell", "data", "ids", "kth", "at"), some, True).withColumn("chunk", chunk)
         hits = hits.unionByName(blocks.groupBy("part", "chunk").cogroup(sent.groupBy("part", "chunk")).applyInArrow(run, HIT))
     best = Window.partitionBy("home", "at").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())

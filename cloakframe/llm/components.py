@@ -53,7 +53,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         new = durable(point_to_smallest(point_to_smallest(now, True), False))
         # stars only: no id is both a centre and a leaf, and each leaf has one centre
-        if not new.groupBy("u").count().where("count > 1").limit(1).count() and not new.select("u").join(new.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
+        if not new.groupBy("u").count().where("count > 1").limit(1).count() and not new.select("u").join(
+            new.select(F.col("v").alias("u")),
+            "u",
+            "left_semi",
+        ).limit(1).count():
             break
         now = new
-    return new.select(F.col("u").alias("id"), F.col("v").alias("component")).union(new.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return new.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
+        new.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    )

@@ -85,7 +85,14 @@ def with_faults(df: DataFrame) -> DataFrame:
     Repeats within one turn are neighbours once sorted and are found there.
     """
     body = F.rtrim(F.col("text"), F.lit(SPACES))
-    said = F.concat_ws("\x00", F.col("conv_id").isNotNull().cast("string"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.length("role").cast("string"), "role", "text")
+    said = F.concat_ws(
+        "\x00",
+        F.col("conv_id").isNotNull().cast("string"),
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")),
+        F.length("role").cast("string"),
+        "role",
+        "text",
+    )
     rows = df.select(
         "conv_id",
         "turn",
@@ -96,7 +103,10 @@ def with_faults(df: DataFrame) -> DataFrame:
         (~F.substring(body, -1, 1).isin(".", "!", "?")).alias("truncated"),
         F.sha2(said, 256).alias("mark"),
     )
-    first = rows.where("not dropped and not blank").groupBy("mark").agg(F.min(order_of(F.col("turn"))).alias("first"), F.max(order_of(F.col("turn"))).alias("last"))
+    first = rows.where("not dropped and not blank").groupBy("mark").agg(
+        F.min(order_of(F.col("turn"))).alias("first"),
+        F.max(order_of(F.col("turn"))).alias("last"),
+    )
     repeats = first.where("first < last").select("mark", "first")
     found = rows.join(by_size(repeats), "mark", "left")
     return found.withColumn("repeated", F.coalesce(F.col("first") < order_of(F.col("turn")), F.lit(False))).drop("mark", "first")
@@ -324,4 +334,8 @@ def repair_digest(df: DataFrame) -> DataFrame:
 
         return give, finish
 
-    return streamed(df, begin, "gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string")
+    return streamed(
+        df,
+        begin,
+        "gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    )

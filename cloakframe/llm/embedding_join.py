@@ -197,17 +197,31 @@ def join_cells(dealt: DataFrame, threshold: float) -> DataFrame:
     home block meets itself, the home blocks after it and all visitors' blocks.
     """
     counts = dealt.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("n"))
-    plan = counts.select("cell", (1 + F.floor(F.col("homes") / BLOCK)).cast("int").alias("h"), (1 + F.floor((F.col("n") - F.col("homes")) / BLOCK)).cast("int").alias("v"))
+    plan = counts.select(
+        "cell",
+        (1 + F.floor(F.col("homes") / BLOCK)).cast("int").alias("h"),
+        (1 + F.floor((F.col("n") - F.col("homes")) / BLOCK)).cast("int").alias("v"),
+    )
     # one row a pivot, so broadcast it is bounded
     rows = dealt.join(F.broadcast(plan), "cell")
     deals = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     rows = rows.withColumn("b", F.when(F.col("home"), deals("h")).otherwise(F.col("h") + deals("v")))
     after = F.sequence(F.lit(0), F.col("h") + F.col("v") - 1)
     # as the first of a pair it meets blocks from its own on, as the second those before it
-    as_first = F.transform(F.filter(after, lambda j: F.col("home") & (j >= F.col("b"))), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    as_second = F.transform(F.filter(after, lambda i: (i < F.col("h")) & (i < F.col("b"))), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side")))
+    as_first = F.transform(
+        F.filter(after, lambda j: F.col("home") & (j >= F.col("b"))), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"), F.lit(0).alias("side"))
+    )
+    as_second = F.transform(
+        F.filter(after, lambda i: (i < F.col("h")) & (i < F.col("b"))), lambda i: F.struct(
+            i.alias("i"),
+            F.col("b").alias("j"),
+            F.lit(1).alias("side"),
+        )
+    )
     pairs = rows.select("cell", F.inline(F.concat(as_first, as_second)), "node", "copies", "vec")
-    return pairs.groupBy("cell", "i", "j").applyInArrow(lambda key, g: join_block(g, threshold, key[1] == key[2]), "node string, links bigint, other string")
+    return pairs.groupBy("cell", "i", "j").applyInArrow(
+        lambda key, g: join_block(g, threshold, key[1] == key[2]), "node string, links bigint, other string"
+    )
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -218,7 +232,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     kind = df.schema[vector_col].dataType
     if not isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
         vec = vec.cast("array<double>")
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.when(usable(vec), F.transform(vec, lambda x: x + F.lit(0).cast(x_type(kind)))).alias("vec"))
+    rows = df.select(
+        F.col(id_col).cast("bigint").alias("id"),
+        F.when(usable(vec), F.transform(vec, lambda x: x + F.lit(0).cast(x_type(kind)))).alias("vec"),
+    )
     # equal vectors are one node, named by 128 bits of digests (ids may repeat or be null)
     name = F.concat(F.lpad(F.hex(F.xxhash64("vec")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), F.col("vec"))), 16, "0"))
     rows = durable(rows.withColumn("node", F.when(F.col("vec").isNotNull(), name)))
@@ -226,7 +243,12 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     # one row a length of vectors
     sizes = {r["size"]: r["count"] for r in distinct.groupBy(F.size("vec").alias("size")).count().collect()}
     if not sizes:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+        return rows.select(
+            F.col("id").alias(id_col),
+            F.lit(0).cast("bigint").alias("n_links"),
+            F.col("id").alias("component_id"),
+            F.col("id").isNotNull().alias("kept"),
+        )
     if distinct.groupBy("node").count().where("count > 1").limit(1).count():
         raise ValueError("two vectors share all 128 bits of their digests")
     dealt = durable(deal(distinct, pivots_of(distinct, sizes), math.sqrt(2 - 2 * threshold)))
@@ -235,7 +257,13 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     tops = components(found.select("node", "other"), "node", "other").select(F.col("id").alias("node"), F.col("component").alias("top"))
     named = distinct.select("node", "copies", "smallest").join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
     best = named.groupBy("top").agg(F.min("smallest").alias("component_id"))
-    answer = durable(named.join(best, "top").join(links, "node", "left").select(F.col("node").alias("d"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+    answer = durable(
+        named.join(best, "top").join(links, "node", "left").select(
+            F.col("node").alias("d"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            "component_id",
+        )
+    )
     out = rows.join(answer, F.col("node") == F.col("d"), "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(

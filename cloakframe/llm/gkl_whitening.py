@@ -93,7 +93,13 @@ def fit_blocks(rows: DataFrame) -> DataFrame:
         def block() -> pa.RecordBatch:
             matrix, kind = padded(held, widest), f"<i{max(code[0] for code in held)}"
             return pa.RecordBatch.from_arrays(
-                [pa.array([len(held)], pa.int64()), pa.array([widest], pa.int32()), pa.array([kind]), pa.array([matrix.astype(kind).tobytes()], pa.binary()), pa.array([matrix.sum(axis=0).tolist()], pa.list_(pa.int64()))],
+                [
+                    pa.array([len(held)], pa.int64()),
+                    pa.array([widest], pa.int32()),
+                    pa.array([kind]),
+                    pa.array([matrix.astype(kind).tobytes()], pa.binary()),
+                    pa.array([matrix.sum(axis=0).tolist()], pa.list_(pa.int64())),
+                ],
                 names=["n", "width", "kind", "data", "sums"],
             )
 
@@ -250,7 +256,12 @@ def deviations(y: np.ndarray, n: int, sums: list[int]) -> list[int | None]:
 def whiten(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", wanted: int = 16) -> DataFrame:
     """id, component, n, deviation, whitened, explained, identity_error: a row for each usable row and component."""
     rows = encoded(df, id_col, vec_col)
-    kinds = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *T.StructType.fromDDL("component int, n bigint, deviation bigint, whitened double, explained double, identity_error double")])
+    kinds = T.StructType(
+        [
+            T.StructField(id_col, rows.schema["id"].dataType),
+            *T.StructType.fromDDL("component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"),
+        ]
+    )
     fitted = fit(rows)
     if fitted is None:
         return df.sparkSession.createDataFrame([], kinds)
@@ -277,7 +288,15 @@ def whiten(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", wa
             number = lambda v, kind: pa.array(np.tile(v, len(y)), type=kind)
             white = pa.array(((y - mean) @ projection).ravel())
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(repeated), number(np.arange(1, count + 1), pa.int32()), number(np.full(count, n), pa.int64()), away, white, number(explained, pa.float64()), number(np.full(count, error), pa.float64())],
+                [
+                    b.column("id").take(repeated),
+                    number(np.arange(1, count + 1), pa.int32()),
+                    number(np.full(count, n), pa.int64()),
+                    away,
+                    white,
+                    number(explained, pa.float64()),
+                    number(np.full(count, error), pa.float64()),
+                ],
                 schema=arrow,
             )
 

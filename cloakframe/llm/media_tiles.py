@@ -221,7 +221,10 @@ def media_tiles(df: DataFrame, id_col: str, content_col: str, tile: tuple[int, i
         for b in batches:
             values = [one(x.as_py()) for x in b.column("content")]
             columns = list(zip(*values, strict=True)) if values else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))], names=["id", *names])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), *(pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))],
+                names=["id", *names],
+            )
 
     added = T.StructType.fromDDL("height int, width int, channels int, tile_npy binary, dhash string, error string")
     return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), *added])).withColumnRenamed("id", id_col)

@@ -151,7 +151,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = usable.orderBy(F.xxhash64(F.col("id")), "id").limit(sample)
     # at most `sample` pairs of numbers: bounded, so every task may hold them
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    indexed = map_texts(rows.select(F.struct("id", "y").alias("key"), "text"), "key", "text", lambda: (lambda f: lambda text: (np.sort(f(text)),))(Features()), "found array<int>")
+    indexed = map_texts(
+        rows.select(F.struct("id", "y").alias("key"), "text"), "key", "text", lambda: (lambda f: lambda text: (np.sort(f(text)),))(Features()), "found array<int>"
+    )
     # one row an id, however often it repeats: the smallest by its indicators, taken before the shuffle
     got = indexed.groupBy("key").agg(F.min("found").alias("found")).select("key.id", "key.y", "found").toArrow()
     ids = got["id"].to_pylist()

@@ -281,4 +281,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_prefix_target_chat": OP3_SQL, "op5_metric_range_join": OP5_SQL, "op10_source_mix": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op12_block_topk": OP12_SQL}
+    return {
+        "op3_prefix_target_chat": OP3_SQL,
+        "op5_metric_range_join": OP5_SQL,
+        "op10_source_mix": OP10_SQL,
+        "op11_conversation_repair": OP11_SQL,
+        "op12_block_topk": OP12_SQL,
+    }

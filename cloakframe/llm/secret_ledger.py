@@ -103,7 +103,10 @@ def scan_unseen(df: DataFrame, ledger: DataFrame | None = None, text_col: str =
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
         none = F.array().cast("array<string>")
-        lacking = rows.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(versions(rules), F.coalesce("seen", none)).alias("rules"))
+        lacking = rows.select("blob").distinct().join(seen, "blob", "left").select(
+            "blob",
+            F.array_except(versions(rules), F.coalesce("seen", none)).alias("rules"),
+        )
         lacking = durable(lacking.where(F.size("rules") > 0))
         todo = membership.may_hold(rows, lacking, "blob").groupBy("blob").agg(one).join(lacking, "blob")
 
@@ -116,7 +119,10 @@ def scan_unseen(df: DataFrame, ledger: DataFrame | None = None, text_col: str =
                 for rank, r in map(ranked.__getitem__, wanted.as_py()):
                     rows += [{"start": s, "rank": rank, "kind": r.kind, "version": r.version, "end": e} for s, e in r.find(said)]
                 found.append(sorted(rows, key=lambda x: (x["start"], x["rank"])))
-            yield pa.RecordBatch.from_arrays([b.column("blob"), b.column("rules"), pa.array(found, pa.list_(ARROW_FINDING))], names=["blob", "rules", "findings"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("blob"), b.column("rules"), pa.array(found, pa.list_(ARROW_FINDING))],
+                names=["blob", "rules", "findings"],
+            )
 
     return todo.select("blob", "text", "rules").mapInArrow(run, LEDGER)
 
@@ -204,10 +210,17 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
     Texts without findings pass unchanged, byte for byte. Findings are sent to all tasks
     if the blobs that have any are few, else texts are shuffled to them.
     """
-    hits = durable(hits_by_blob(update_ledger(df, ledger, text_col), RULES)).select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
+    hits = durable(hits_by_blob(update_ledger(df, ledger, text_col), RULES)).select(
+        F.col("blob").alias("__blob"),
+        F.col("findings").alias("__findings"),
+    )
     # other columns travel in one struct, so that none can clash with a working name
     others = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in df.columns if c != text_col])
-    rows = df.select(others.alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__text"), F.sha2(text_or_empty(text_col), 256).alias("__blob"))
+    rows = df.select(
+        others.alias("__row"),
+        F.col(f"`{text_col}`").cast("string").alias("__text"),
+        F.sha2(text_or_empty(text_col), 256).alias("__blob"),
+    )
     found = rows.join(by_size(hits, F.size("__findings")), "__blob", "left").select("__row", "__text", "__findings")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -393,7 +393,15 @@ def cut_parts(giant: DataFrame, part: int, reach: int) -> DataFrame:
                     start = no * part
                     lead = min(start, reach)
                     body = said[start - lead : start + part + reach]
-                    yield pa.RecordBatch.from_pydict({"doc": [doc.as_py()], "no": pa.array([no], pa.int32()), "parts": pa.array([n], pa.int32()), "lead": pa.array([lead], pa.int32()), "body": [body]})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc": [doc.as_py()],
+                            "no": pa.array([no], pa.int32()),
+                            "parts": pa.array([n], pa.int32()),
+                            "lead": pa.array([lead], pa.int32()),
+                            "body": [body],
+                        }
+                    )
 
     return giant.mapInArrow(run, "doc string, no int, parts int, lead int, body string").dropDuplicates(["doc", "no"])
 
@@ -465,7 +473,9 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         return lambda t: (p.traced() if (p := whole(pieces, t, chunk)) else b"",)
 
     few = map_texts(small, id_col, text_col, make, "ids binary").select(id_col, F.lit(0).alias("part"), F.lit(1).alias("parts"), "ids")
-    found = traced_parts(giant.select("doc", "text"), model_path, part, chunk, lambda pieces, p, entry, exit_: (p.traced(entry, exit_),), "ids binary")
+    found = traced_parts(
+        giant.select("doc", "text"), model_path, part, chunk, lambda pieces, p, entry, exit_: (p.traced(entry, exit_),), "ids binary"
+    )
     large = giant.select("id", "doc").join(found, "doc").select(F.col("id").alias(id_col), F.col("no").alias("part"), "parts", "ids")
     return few.unionByName(large)
 
@@ -518,7 +528,13 @@ def piece_digest(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     few = map_texts(small, id_col, text_col, make, f"chunks bigint, {fields}").withColumn("parts", F.lit(1))
     found = traced_parts(giant.select("doc", "text"), model_path, part, chunk, digests, fields)
     in_order = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", F.col(c).alias("v")))), lambda x: x["v"]), ","), 256).alias(c)
-    by_doc = found.groupBy("doc").agg(F.first("parts").alias("parts"), F.sum("n_tokens").alias("n_tokens"), in_order("ids_sha256"), in_order("decoded_sha256"), F.bool_and("round_trip").alias("round_trip"))
+    by_doc = found.groupBy("doc").agg(
+        F.first("parts").alias("parts"),
+        F.sum("n_tokens").alias("n_tokens"),
+        in_order("ids_sha256"),
+        in_order("decoded_sha256"),
+        F.bool_and("round_trip").alias("round_trip"),
+    )
     rows = giant.select("id", "doc", F.ceil((F.length("text") + 1) / chunk).alias("chunks"))
     columns = [id_col, "parts", "chunks", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
     return few.select(*columns).unionByName(rows.join(by_doc, "doc").withColumnRenamed("id", id_col).select(*columns))

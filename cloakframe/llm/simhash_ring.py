@@ -129,7 +129,10 @@ def ring_links(prints: DataFrame, distance: int = 2, paired: int = PAIRED) -> Da
     near = crowded.select("fp", F.explode(ball(F.col("fp"), outer)).alias("centre"))
     near = near.withColumn("hub", F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= inner, F.col("fp")))
     # a ball holds few points, so no more fingerprints than that share a centre
-    centres = near.groupBy("centre").agg(F.min("hub").alias("a"), F.collect_set("fp").alias("all")).where(F.col("a").isNotNull() & (F.size("all") > 1))
+    centres = near.groupBy("centre").agg(
+        F.min("hub").alias("a"),
+        F.collect_set("fp").alias("all"),
+    ).where(F.col("a").isNotNull() & (F.size("all") > 1))
     stars = centres.select("a", F.explode("all").alias("b")).where("a <> b")
     return pairs.union(stars).distinct()
 
@@ -158,7 +161,11 @@ def in_components(rows: DataFrame, prints: DataFrame, links: DataFrame) -> DataF
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id (smallest id reachable) for every row."""
-    return grouped(df, id_col, text_col, width, distance).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(df, id_col, text_col, width, distance).select(
+        F.col("id").alias(id_col),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
@@ -181,7 +188,13 @@ def keep_smallest(df: DataFrame, groups: DataFrame, id_col: str, text_col: str)
     # a key that is never null: the group and the join then share one shuffle of the texts
     keep = durable(best.select(row_key(F.col("k.id"), F.col("k.sha")).alias("__key")))
     rest = [c for c in df.columns if c != text_col]
-    rows = df.select(row_key(F.col(id_col), F.sha2(text_or_empty(text_col), 256)).alias("__key"), F.col(f"`{text_col}`").alias("__text"), F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("__rest"))
+    rows = df.select(
+        row_key(F.col(id_col), F.sha2(text_or_empty(text_col), 256)).alias("__key"),
+        F.col(f"`{text_col}`").alias("__text"),
+        F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("__rest"),
+    )
     # rows equal in id and text: the one whose other columns are smallest, so that reruns agree
     once = rows.groupBy("__key").agg(F.min_by("__rest", F.to_json("__rest")).alias("__rest"), F.max("__text").alias("__text"))
-    return once.join(keep, "__key", "left_semi").select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__rest.`{c}`").alias(c) for c in df.columns])
+    return once.join(keep, "__key", "left_semi").select(
+        *[F.col("__text").alias(c) if c == text_col else F.col(f"__rest.`{c}`").alias(c) for c in df.columns]
+    )

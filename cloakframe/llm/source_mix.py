@@ -71,13 +71,20 @@ def targets(sources: DataFrame, share_percent: int, cap: int, weights: tuple[int
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("bigint")
     everything = Window.partitionBy()
     limit = F.col("source_size") * cap
-    ranked = sources.select("source", "source_size", weight.alias("weight"), F.sum("source_size").over(everything).alias("all_words")).withColumn("limit", limit)
+    ranked = sources.select(
+        "source",
+        "source_size",
+        weight.alias("weight"),
+        F.sum("source_size").over(everything).alias("all_words"),
+    ).withColumn("limit", limit)
     before = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     left = (F.col("all_words") * share_percent) / 100 - F.coalesce(F.sum("limit").over(before), F.lit(0))
     weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     level = ranked.withColumn("level", left / weight_left)
     # the first source in that order whose limit is above its share fixes the level
-    fixed = F.min(F.when(F.col("limit") > F.col("weight") * F.col("level"), F.struct((F.col("limit") / F.col("weight")).alias("o"), F.col("level").alias("v")))).over(everything)["v"]
+    fixed = F.min(
+        F.when(F.col("limit") > F.col("weight") * F.col("level"), F.struct((F.col("limit") / F.col("weight")).alias("o"), F.col("level").alias("v")))
+    ).over(everything)["v"]
     share = F.coalesce(F.col("weight") * fixed, F.col("limit").cast("double"))
     return level.select("source", "source_size", F.least(F.col("limit").cast("double"), share).alias("target"))
 
@@ -90,13 +97,29 @@ def budgets(rows: DataFrame, share_percent: int, cap: int, weights: tuple[int, .
     """
     ranges = durable(rows.groupBy("source", "key_range").agg(F.sum("size").alias("words")))
     goals = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), share_percent, cap, weights)
-    goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
+    goals = goals.withColumn(
+        "epochs",
+        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"),
+    )
     goals = goals.withColumn("budget", (F.floor(F.col("target")) - F.col("epochs") * F.col("source_size")).cast("bigint"))
     running = Window.partitionBy("source").orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranges.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    edge = sums.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).groupBy("s", "source_size", "target", "epochs", "budget")
+    edge = sums.join(
+        goals.withColumnRenamed("source", "s"),
+        F.col("source").eqNullSafe(F.col("s")),
+    ).groupBy("s", "source_size", "target", "epochs", "budget")
     edge = edge.agg(F.max(F.when(F.col("before") <= F.col("budget"), F.struct("key_range", "before"))).alias("edge"))
-    return durable(edge.select("s", "source_size", "target", "epochs", "budget", F.col("edge.key_range").alias("edge_range"), F.col("edge.before").alias("edge_before")))
+    return durable(
+        edge.select(
+            "s",
+            "source_size",
+            "target",
+            "epochs",
+            "budget",
+            F.col("edge.key_range").alias("edge_range"),
+            F.col("edge.before").alias("edge_before"),
+        )
+    )
 
 
 TIE = ("key", "digest", "size")
@@ -121,7 +144,11 @@ def split_tie(rows: DataFrame) -> DataFrame:
     keys = ("source", *TIE)
     sums = named.groupBy(*keys, "part").agg(F.count("*").alias("rows"))
     over = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"), F.coalesce(F.sum("rows").over(over), F.lit(0)).alias("rows_before"))
+    ahead = sums.select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.col("part").alias("_part"),
+        F.coalesce(F.sum("rows").over(over), F.lit(0)).alias("rows_before"),
+    )
     inside = Window.partitionBy(*keys, "part").orderBy("mark")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "part")]
     out = named.withColumn("in_part", F.row_number().over(inside) - 1).join(ahead, same)
@@ -154,7 +181,10 @@ def mix(
     at_edge = F.coalesce(inside & (here == F.col("last")), F.lit(False))
     taken = (F.col("key_range") < F.col("edge_range")) | (inside & F.coalesce(here < F.col("last"), F.lit(False)))
     whole = told.where(~at_edge).withColumn("extra", F.when(taken, F.col("size")).otherwise(none))
-    tied = split_tie(told.where(at_edge)).withColumn("extra", F.greatest(none, F.least(F.col("size"), F.col("budget") - F.col("ahead") - F.col("nth") * F.col("size"))))
+    tied = split_tie(told.where(at_edge)).withColumn(
+        "extra",
+        F.greatest(none, F.least(F.col("size"), F.col("budget") - F.col("ahead") - F.col("nth") * F.col("size"))),
+    )
     both = whole.select(*placed.columns, "extra").unionByName(tied.select(*placed.columns, "extra"))
     return both.select(
         F.col("id").alias(id_col),
@@ -189,10 +219,20 @@ def mixed_documents(
     # the c-th of a tie is taken if ahead + (c - 1/2) size is within the budget
     fit = F.least(F.col("n"), F.floor((2 * (F.col("budget") - F.col("ahead")) + F.col("size")) / (2 * F.col("size"))))
     fits = edge_ties(placed).withColumn("take", F.when(F.col("size") > 0, fit).otherwise(F.lit(0)).cast("bigint")).where("take > 0")
-    last = fits.groupBy("source").agg(F.max(F.struct(*TIE)).alias("last"), F.max_by(F.struct("take", "n"), F.struct(*TIE)).alias("cut")).withColumnRenamed("source", "t")
+    last = fits.groupBy("source").agg(
+        F.max(F.struct(*TIE)).alias("last"),
+        F.max_by(F.struct("take", "n"), F.struct(*TIE)).alias("cut"),
+    ).withColumnRenamed("source", "t")
     plan = durable(edge.join(last, F.col("s").eqNullSafe(F.col("t")), "left").select("s", "epochs", "edge_range", "last", "cut"))
     whole_row = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in df.columns]).alias("__row")
-    drawn = sized(df.select(whole_row, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(source_col).alias("__source")), "__id", "__text", "__source", seed, "__row")
+    drawn = sized(
+        df.select(whole_row, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(source_col).alias("__source")),
+        "__id",
+        "__text",
+        "__source",
+        seed,
+        "__row",
+    )
     told = drawn.join(by_size(plan), F.col("source").eqNullSafe(F.col("s")))
     here, inside = F.struct(*TIE), F.col("key_range") == F.col("edge_range")
     tie = inside & F.coalesce(here == F.col("last"), F.lit(False))
