@@ -185,6 +185,33 @@ def d3_identifier_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "entity", keys.identifier_key(F.col("entity"), F.col("value")).alias("key"))
 
 
+ADDRESSES_SQL = r"""(SELECT doc_id, lower(v) AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^\p{L}\p{N}_.+-])([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})', 1)) AS v FROM documents))"""
+COUNTED_SQL = f"SELECT 'EMAIL' AS entity, count(DISTINCT v) AS labels, count(*) AS replaced, count(DISTINCT doc_id) AS rows FROM {ADDRESSES_SQL}"
+
+
+def label_counts(texts: DataFrame) -> DataFrame:
+    """entity, labels, replaced, rows of addresses in rewritten texts."""
+    said = F.regexp_extract_all("text", F.lit(r"\[(EMAIL)_[0-9]{3,}\]"), F.lit(0))
+    each = texts.select("doc_id", F.explode(said).alias("label"))
+    return each.agg(
+        F.lit("EMAIL").alias("entity"),
+        F.count_distinct("label").alias("labels"),
+        F.count("*").alias("replaced"),
+        F.count_distinct("doc_id").alias("rows"),
+    )
+
+
+@query(COUNTED_SQL)
+def d2_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many labels as addresses, each at every place of its address."""
+    return label_counts(d2_pseudonymize_corpus(spark, sf_dir))
+
+
+@query(COUNTED_SQL)
+def d15_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_counts(d15_pseudonymize_table(spark, sf_dir))
+
+
 def hmac_sql(secret: bytes, message: str) -> str:
     """HMAC-SHA256 in SQL, for a key of up to 64 bytes."""
     pad = lambda x: "".join(f"\\x{b ^ x:02X}" for b in secret.ljust(64, bytes(1)))
