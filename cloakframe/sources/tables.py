@@ -206,9 +206,10 @@ def stage_release(df: DataFrame, allow: bool, folder: str, release_class: str =
     """Write a payload only if allowed and its scan finds nothing; the manifest is always written and returned.
 
     What is scanned is what was written: the payload is read back, and removed again if
-    the scan finds anything or breaks off.
+    the scan finds anything or breaks off. Ranges of counts are no texts.
     """
     from ..operators.pii import scan_table
+    from ..operators.stats import without_ranges
 
     spark, payload = df.sparkSession, f"{folder}/payload"
     name = digest = None
@@ -217,7 +218,7 @@ def stage_release(df: DataFrame, allow: bool, folder: str, release_class: str =
         try:
             df.write.json(payload)
             staged = spark.read.schema(df.schema).json(payload)
-            by_entity = {r["entity"]: r["n"] for r in scan_table(staged).groupBy("entity").agg(F.sum("hits").alias("n")).collect()}
+            by_entity = {r["entity"]: r["n"] for r in scan_table(without_ranges(staged)).groupBy("entity").agg(F.sum("hits").alias("n")).collect()}
             parts = artifact_digests(spark, payload).where(F.col("path").endswith(".json"))
             name, digest = "payload", tree_digest(parts, F.concat_ws("\0", "sha256", F.col("bytes").cast("string")))
         except Exception:
@@ -227,7 +228,7 @@ def stage_release(df: DataFrame, allow: bool, folder: str, release_class: str =
             remove(spark, payload)
             name = digest = None
     else:
-        by_entity = {r["entity"]: r["n"] for r in scan_table(df).groupBy("entity").agg(F.sum("hits").alias("n")).collect()}
+        by_entity = {r["entity"]: r["n"] for r in scan_table(without_ranges(df)).groupBy("entity").agg(F.sum("hits").alias("n")).collect()}
     row = {
         "artifact": name,
         "artifact_sha256": digest,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from cloakframe.operators import release, requests, text_audit
+from cloakframe.operators import release, requests, stats, text_audit
 from cloakframe.sources import tables
 from cloakframe.streaming import streams
 
@@ -377,3 +377,15 @@ def test_registry_and_entry(spark):
     assert set(sql) <= set(names) and __spark_entry__.entry(spark).columns == ["column", "entity", "hits"]
     letters = {n[0] for n in names if not n.startswith(("op", "pipeline"))}
     assert letters == set("abcdefghijkl")
+
+
+def test_fallback_of_many_rows_is_no_phone_number(spark, tmp_path):
+    """A range such as 15000-15009 is a count; a phone number in its place, or elsewhere, is still found."""
+    df = spark.range(15_000).select(F.col("id").alias("subject_id"), (F.col("id") % 90).alias("age"))
+    rows = release.resolve_release(df, False, folder=f"{tmp_path}/r").collect()
+    assert [(r.name, r.status, r.n_bucket) for r in rows] == [("age", "READY", "15000-15009")]
+    assert spark.read.json(f"{tmp_path}/r/manifest").first()["allow_after_final_scan"]
+    for name, bucket in (("a", "15000-15008"), ("a", "+44 20 7946 0958"), ("020 7946 0958", "15000-15009")):
+        bad = spark.createDataFrame([(name, bucket)], "name string, n_bucket string")
+        with pytest.raises(stats.GuardError):
+            stats.aggregate_pii_guard(bad)
