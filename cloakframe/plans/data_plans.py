@@ -27,10 +27,16 @@ def a2_write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, place).groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").cast("bigint").alias("sizes"))
 
 
+#: Documents to a file of the corpus that a3 writes and reads.
+LINES_PER_FILE = 200
+
+
 @query("SELECT 'text' AS kind, CAST(count(*) AS BIGINT) AS lines, CAST(sum(length(text)) + count(*) AS BIGINT) AS characters FROM documents")
 def a3_read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is a line; a file is a row of the corpus and is held whole, so files hold so many lines at most, whatever the table's size."""
     place = new_folder(spark, "corpus")
-    table(spark, sf_dir, "documents").select(F.translate("text", "\n\r", "  ")).write.text(place)
+    lines = table(spark, sf_dir, "documents").select(F.translate("text", "\n\r", "  "))
+    lines.write.option("maxRecordsPerFile", LINES_PER_FILE).text(place)
     files = tables.read_corpus(spark, place)
     lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     return files.groupBy("kind").agg(F.sum(lines).cast("bigint").alias("lines"), F.sum(F.length("text")).cast("bigint").alias("characters"))

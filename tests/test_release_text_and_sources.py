@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from cloakframe.operators import release, requests, stats, text_audit
+from cloakframe.plans import data_plans
 from cloakframe.sources import tables
 from cloakframe.streaming import streams
 
@@ -389,3 +390,19 @@ def test_fallback_of_many_rows_is_no_phone_number(spark, tmp_path):
         bad = spark.createDataFrame([(name, bucket)], "name string, n_bucket string")
         with pytest.raises(stats.GuardError):
             stats.aggregate_pii_guard(bad)
+
+
+def test_corpus_files_stay_small_whatever_the_table(spark, tmp_path, monkeypatch):
+    """A file is one row, held whole: more documents are more files, not longer ones."""
+    spark.range(1000).selectExpr("concat('text\\n', id) as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, read = [], tables.read_corpus
+
+    def reading(*args):
+        files = read(*args)
+        seen.extend(len(r.text.split("\n")) - 1 for r in files.collect())
+        return files
+
+    monkeypatch.setattr(tables, "read_corpus", reading)
+    row = data_plans.a3_read_corpus(spark, str(tmp_path)).first()
+    assert max(seen) <= data_plans.LINES_PER_FILE and sum(seen) == row.lines == 1000
+    assert row.characters == sum(len(f"text {i}\n") for i in range(1000))
