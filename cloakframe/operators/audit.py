@@ -39,10 +39,21 @@ def counted(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count("*").alias(name))
 
 
+def shared_rows(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct rows of `left` whose keys `right` has; null equals null.
+
+    Both sides grow with the table and compress well, so Spark would take them for small enough
+    to broadcast by their shuffled bytes, through the driver: they are merged, never broadcast.
+    """
+    same = [F.lit(True), *[F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]]
+    return left.distinct().alias("l").join(right.distinct().hint("merge").alias("r"), same, "left_semi")
+
+
 def exact_row_overlap(raw: DataFrame, syn: DataFrame) -> DataFrame:
     """exact_row_overlap: distinct rows that both tables have, on shared columns; null equals null."""
     shared = [c for c in raw.columns if c in syn.columns]
-    return counted(key_columns(raw, shared).intersect(key_columns(syn, shared)), "exact_row_overlap")
+    keys = [f"k{i}" for i in range(len(shared))]
+    return counted(shared_rows(key_columns(raw, shared).toDF(*keys), key_columns(syn, shared).toDF(*keys), keys), "exact_row_overlap")
 
 
 def identifier_overlap(raw: DataFrame, syn: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
@@ -51,7 +62,7 @@ def identifier_overlap(raw: DataFrame, syn: DataFrame, roles: dict[str, str] | N
     if not shared:
         return raw.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("identifier_overlap"))
     values = lambda df: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in shared]))).where("v is not null")
-    return counted(values(raw).intersect(values(syn)), "identifier_overlap")
+    return counted(shared_rows(values(raw), values(syn), ["c", "v"]), "identifier_overlap")
 
 
 def quasi_columns(raw: DataFrame, syn: DataFrame, quasi: list[str] | None, roles: dict[str, str] | None) -> list[str]:
@@ -63,7 +74,8 @@ def quasi_combo_overlap(raw: DataFrame, syn: DataFrame, quasi: list[str] | None
     shared = quasi_columns(raw, syn, quasi, roles)
     if not shared:
         return raw.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("quasi_combo_overlap"))
-    return counted(key_columns(raw, shared).intersect(key_columns(syn, shared)), "quasi_combo_overlap")
+    keys = [f"k{i}" for i in range(len(shared))]
+    return counted(shared_rows(key_columns(raw, shared).toDF(*keys), key_columns(syn, shared).toDF(*keys), keys), "quasi_combo_overlap")
 
 
 def rare_quasi_overlap(raw: DataFrame, syn: DataFrame, k: int, quasi: list[str] | None = None, roles: dict[str, str] | None = None) -> DataFrame:
@@ -73,7 +85,7 @@ def rare_quasi_overlap(raw: DataFrame, syn: DataFrame, k: int, quasi: list[str]
         return raw.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("rare_quasi_overlap"))
     keys = [f"k{i}" for i in range(len(shared))]
     rare = key_columns(raw, shared).toDF(*keys).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") < k)
-    return counted(rare.join(key_columns(syn, shared).toDF(*keys).distinct(), keys, "left_semi"), "rare_quasi_overlap")
+    return counted(shared_rows(rare.select(*keys), key_columns(syn, shared).toDF(*keys), keys), "rare_quasi_overlap")
 
 
 def is_near(a: pa.Table, b: pa.Table, limit: float) -> pa.Table:
@@ -159,10 +171,7 @@ def near_copy_rate(
 
 def shared_by_tag(raw: DataFrame, syn: DataFrame, tag: str, name: str) -> DataFrame:
     """tag, name: how many distinct rows of `syn` (tag, k0, k1, ...) `raw` (k0, k1, ...) has, for tags that share any."""
-    keys = raw.columns
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    hits = syn.distinct().alias("l").join(raw.distinct().alias("r"), same, "left_semi")
-    return hits.groupBy(tag).agg(F.count("*").alias(name))
+    return shared_rows(syn, raw, raw.columns).groupBy(tag).agg(F.count("*").alias(name))
 
 
 def audit_tagged(

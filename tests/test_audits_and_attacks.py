@@ -253,3 +253,18 @@ def test_fuzzy_linkage_query_equals_its_sql_without_single_matches(spark, tmp_pa
     con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
     want = con.execute(base.SQL["f15_fuzzy_longitudinal_linkage"]).fetchall()
     assert [tuple(r) for r in attack_plans.f15_fuzzy_longitudinal_linkage(spark, str(tmp_path)).collect()] == want == [(40, 0, None, 0.0, None, False)]
+
+
+def test_sides_that_grow_with_the_table_are_never_broadcast(spark):
+    """However few bytes they take shuffled: seeds' audits and single audits share the step."""
+    raw = spark.createDataFrame([(i, f"u{i}", i % 3) for i in range(60)], "user_id int, email string, age int")
+    syn = spark.createDataFrame([(1, i, f"u{i}", i % 2) for i in range(30, 90)], "seed int, user_id int, email string, age int")
+    made = syn.drop("seed")
+    tagged = audit.shared_by_tag(raw.toDF("k0", "k1", "k2"), syn.toDF("seed", "k0", "k1", "k2"), "seed", "n")
+    found = {"exact": audit.exact_row_overlap(raw, made), "identifier": audit.identifier_overlap(raw, made), "combo": audit.quasi_combo_overlap(raw, made), "tagged": tagged.select("n")}
+    same = sum(i % 3 == i % 2 for i in range(30, 60))
+    assert {k: df.first()[0] for k, df in found.items()} == {"exact": same, "identifier": 60, "combo": 2, "tagged": same}
+    for df in found.values():
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
