@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty
+from .common import by_size, durable, text_or_empty
 
 # The control strings of the template, as patterns.
 LEAD, TAIL = r"([<\[])", r"(/?(?:s>|INST\]|ROLE\]))"
@@ -36,6 +36,8 @@ TURN = r"(?s)<s>\[ROLE\](.*?)\[/ROLE\](.*?)</s>"
 ASSISTANT, USER = "assistant", "user"
 #: Turns to a block, and to a span of the numbering.
 BLOCK, SPAN = 8, 64
+#: Characters of examples that one task writes of one conversation.
+PART_CHARS = 1 << 28
 
 
 def escape(c: Column) -> Column:
@@ -120,7 +122,7 @@ def placed_turns(df: DataFrame) -> DataFrame:
 def format_blocks(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row a block: conv_id, conv_key, block, context_chars (of the blocks before), turns, text.
 
-    turns is an array of (turn_no, trainable, head_chars, chars) in order: where the segments of the text lie.
+    turns is an array of (turn_no, start, trainable, head_chars, chars) in order: where the segments lie in the whole conversation.
     """
     placed = placed_turns(df).withColumn("block", F.floor((F.col("turn_no") - 1) / block).cast("bigint"))
     turn = F.struct(
@@ -139,6 +141,7 @@ def format_blocks(df: DataFrame, block: int = BLOCK) -> DataFrame:
         F.transform(
             "t", lambda x: F.struct(
                 x["turn_no"].alias("turn_no"),
+                x["context_chars"].alias("start"),
                 x["trainable"].alias("trainable"),
                 x["head_chars"].alias("head_chars"),
                 F.length(x["segment"]).alias("chars"),
@@ -150,59 +153,63 @@ def format_blocks(df: DataFrame, block: int = BLOCK) -> DataFrame:
     return durable(out)
 
 
-def expand_examples(blocks: DataFrame) -> DataFrame:
-    """One row an example: conv_id, conv_key, turn_no (of the reply), context_blocks, context_chars, text, loss_start, loss_end.
+def whole_conversations(blocks: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """conv_id, conv_key, part, parts, text and turns of every conversation, put together from its blocks.
 
-    The whole example is the texts of blocks 0 to context_blocks - 1, of context_chars
-    characters, then `text`; the loss is on code points loss_start to loss_end of `text`.
+    A conversation whose examples take more than part_chars characters is there once for
+    each of its parts, so that its examples are written by as many tasks.
     """
-    upto = F.aggregate(F.slice("turns", F.lit(1), F.col("i") + 1), F.lit(0), lambda s, x: s + x["chars"])
-    replies = blocks.select(
+    replies = F.size(F.filter("turns", lambda x: x["trainable"])).cast("bigint")
+    written = blocks.groupBy("conv_key").agg(F.sum(replies * (F.col("context_chars") + F.length("text"))).alias("chars"))
+    many = durable(written.where(F.col("chars") > part_chars).select("conv_key", (1 + F.floor(F.col("chars") / part_chars)).cast("int").alias("parts")))
+    dealt = blocks.join(by_size(many), "conv_key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = dealt.groupBy("conv_key", "part").agg(
+        F.min("conv_id").alias("conv_id"),
+        F.first("parts").alias("parts"),
+        F.sort_array(F.collect_list(F.struct("block", "text", "turns"))).alias("b"),
+    )
+    return met.select(
         "conv_id",
         "conv_key",
-        "block",
-        "context_chars",
-        "turns",
-        "text",
-        F.posexplode("turns").alias("i", "reply"),
-    ).where("reply.trainable")
-    end = replies.withColumn("end", upto)
-    return end.select(
+        "part",
+        "parts",
+        F.array_join(F.transform("b", lambda x: x["text"]), "").alias("text"),
+        F.flatten(F.transform("b", lambda x: x["turns"])).alias("turns"),
+    )
+
+
+def examples_of(whole: DataFrame, *more: str) -> DataFrame:
+    """conv_id, conv_key, turn_no, text, loss_start, loss_end and the columns `more` of every reply of the part; null in a part without replies."""
+    mine = F.filter("turns", lambda x: x["trainable"] & (x["turn_no"] % F.col("parts") == F.col("part")))
+    each = whole.select("conv_id", "conv_key", "text", *more, F.explode_outer(mine).alias("reply"))
+    end = F.col("reply.start") + F.col("reply.chars")
+    return each.select(
         "conv_id",
         "conv_key",
         "reply.turn_no",
-        F.col("block").alias("context_blocks"),
-        "context_chars",
-        F.substring(F.col("text"), F.lit(1), F.col("end")).alias("text"),
-        (F.col("end") - F.col("reply.chars") + F.col("reply.head_chars")).alias("loss_start"),
-        (F.col("end") - 4).alias("loss_end"),
+        F.substring(F.col("text"), F.lit(1), end.cast("int")).alias("text"),
+        (F.col("reply.start") + F.col("reply.head_chars")).alias("loss_start"),
+        (end - 4).alias("loss_end"),
+        *more,
     )
 
 
-def render_examples(blocks: DataFrame) -> DataFrame:
-    """conv_id, turn_no, text, loss_start, loss_end: each example's text written out with its shared blocks.
+def expand_examples(blocks: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """One row an example: conv_id, conv_key, turn_no (of the reply), text, loss_start, loss_end.
 
-    Its size is that of all prefixes together, so it suits conversations of a usual length.
+    `text` is whole: all turns before the reply, and the reply; the loss is on its code points loss_start to loss_end.
     """
-    examples = expand_examples(blocks)
-    shared = blocks.select(F.col("conv_key").alias("k"), F.col("block").alias("b"), F.col("text").alias("before"))
-    met = examples.join(shared, (F.col("conv_key") == F.col("k")) & (F.col("b") < F.col("context_blocks")), "left")
-    keys = ["conv_key", "turn_no"]
-    context = F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "before")))), lambda x: x["before"]),
-        "",
-    )
-    whole = met.groupBy(*keys).agg(
-        F.min("conv_id").alias("conv_id"),
-        F.concat(context, F.first("text")).alias("text"),
-        F.first(F.col("context_chars") + F.col("loss_start")).alias("loss_start"),
-        F.first(F.col("context_chars") + F.col("loss_end")).alias("loss_end"),
-    )
-    return whole.select("conv_id", "turn_no", "text", "loss_start", "loss_end")
+    return examples_of(whole_conversations(blocks, part_chars)).where("turn_no IS NOT NULL")
+
+
+def render_examples(blocks: DataFrame) -> DataFrame:
+    """conv_id, turn_no, text, loss_start, loss_end of each example."""
+    return expand_examples(blocks).drop("conv_key")
 
 
-def read_turns(blocks: DataFrame) -> DataFrame:
-    """conv_id, conv_key, block, context_chars, text and said: an array of (role, text) as parsed from the block's text."""
+def read_turns(texts: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and said: an array of (role, text) as parsed from the column text."""
     roles, bodies = (F.regexp_extract_all("text", F.lit(TURN), F.lit(i)) for i in (1, 2))
 
     def turn(role: Column, body: Column) -> Column:
@@ -210,50 +217,48 @@ def read_turns(blocks: DataFrame) -> DataFrame:
         plain = F.when(role == USER, F.substring(body, F.lit(8), F.length(body) - 15)).otherwise(body)
         return F.struct(role.alias("role"), unescape(plain).alias("text"))
 
-    return blocks.select("conv_id", "conv_key", "block", "context_chars", "text", F.zip_with(roles, bodies, turn).alias("said"))
-
-
-def read_losses(examples: DataFrame) -> DataFrame:
-    """conv_key, turn_no, loss (the text under the loss mask, unescaped) of every example."""
-    loss = unescape(F.substring(F.col("text"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
-    return examples.select("conv_key", "turn_no", loss.alias("loss"))
-
+    return texts.select(*keep, F.zip_with(roles, bodies, turn).alias("said"))
 
-def read_sizes(blocks: DataFrame) -> DataFrame:
-    """conv_key, formatted_chars, counted on the stored blocks and examples: all examples, shared blocks with each, and the turns after the last reply once.
 
-    Numbers alone are shuffled; a block's context is the running sum of the blocks before it.
-    """
-    own = expand_examples(blocks).groupBy("conv_key", F.col("context_blocks").alias("block")).agg(
-        F.count("*").alias("n"),
-        F.sum(F.length("text")).alias("chars"),
-        F.max(F.length("text")).alias("longest"),
-    )
-    sizes = blocks.select("conv_key", "block", F.length("text").cast("bigint").alias("size")).join(own, ["conv_key", "block"], "left")
-    ahead = Window.partitionBy("conv_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("before", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
-    examples = F.coalesce(F.sum(F.col("n") * F.col("before") + F.col("chars")), F.lit(0))
-    last = F.coalesce(F.max(F.col("before") + F.col("longest")), F.lit(0))
-    return placed.groupBy("conv_key").agg((examples + F.sum("size") - last).cast("bigint").alias("formatted_chars"))
+def read_losses(examples: DataFrame, *more: str) -> DataFrame:
+    """conv_key, turn_no, chars (of the example's text), loss (the text under the loss mask, unescaped) of every example."""
+    loss = unescape(F.substring(F.col("text"), (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    return examples.select("conv_key", "turn_no", F.length("text").cast("bigint").alias("chars"), loss.alias("loss"), *more)
 
 
-def conversation_digest(blocks: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from blocks and examples.
+def conversation_digest(blocks: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted conversations and their examples.
 
-    formatted_chars counts the characters of all examples, shared blocks with each, plus
-    the turns after the last reply once.
+    formatted_chars counts the characters of all examples plus the turns after the last
+    reply once. Texts are put together once; examples are read where they are written.
     """
-    in_order = lambda by, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, F.col(c).alias("v")))), lambda x: x["v"]), "")
+    keys = ["conv_id", "conv_key", "part", "parts"]
     lines = F.array_join(F.transform("said", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    turns = read_turns(blocks).select("conv_id", "conv_key", "block", F.size("said").alias("n"), lines.alias("lines"))
-    turns = turns.groupBy("conv_key").agg(F.min("conv_id").alias("conv_id"), F.sum("n").alias("n_turns"), in_order("block", "lines").alias("lines"))
-    losses = read_losses(expand_examples(blocks)).groupBy("conv_key").agg(in_order("turn_no", "loss").alias("loss"))
-    loss = F.coalesce("loss", F.lit(""))
-    return turns.join(losses, "conv_key", "left").join(read_sizes(blocks), "conv_key").select(
+    # the first part reads the turns
+    first = F.when(F.col("part") == 0, F.col("text"))
+    whole = read_turns(whole_conversations(blocks, part_chars).withColumns({"all": F.col("text"), "text": first}), *keys, "all", "turns")
+    whole = whole.select(
+        *keys,
+        F.col("all").alias("text"),
+        "turns",
+        F.length("all").cast("bigint").alias("size"),
+        F.when(F.col("said").isNotNull(), F.size("said")).cast("bigint").alias("n"),
+        F.sha2(lines, 256).alias("sha"),
+    )
+    losses = read_losses(examples_of(whole, "size", "n", "sha"), "conv_id", "size", "n", "sha")
+    spoken = F.when(F.col("turn_no").isNotNull(), F.struct("turn_no", "loss"))
+    met = losses.groupBy("conv_key").agg(
+        F.min("conv_id").alias("conv_id"),
+        F.max("n").alias("n_turns"),
+        F.max("sha").alias("turns_sha256"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(spoken)), lambda x: x["loss"]), "").alias("loss"),
+        (F.coalesce(F.sum("chars"), F.lit(0)) + F.max("size") - F.coalesce(F.max("chars"), F.lit(0))).cast("bigint").alias("formatted_chars"),
+    )
+    return met.select(
         "conv_id",
         "n_turns",
-        F.sha2("lines", 256).alias("turns_sha256"),
-        F.length(loss).cast("bigint").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        "turns_sha256",
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )

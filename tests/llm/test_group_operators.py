@@ -73,6 +73,21 @@ def test_chat_of_hot_and_long_turns(spark):
     assert blocks.selectExpr("max(size(turns))").first()[0] <= chat_format.BLOCK
 
 
+def test_chat_examples_are_whole_for_long_conversations(spark):
+    """Each example of a conversation of many blocks holds all turns before its reply, also when its examples are dealt over parts."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t</s>{i}") for i in range(45)] + [(2, 0, "user", "tail")]
+    blocks = chat_format.format_blocks(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    whole = [segment(*r[2:]) for r in rows[:45]]
+    want = ["".join(whole[: i + 1]) for i in range(1, 45, 2)]
+    tail = (2, 1, len(segment("user", "tail")))
+    for size in (chat_format.PART_CHARS, 2000):
+        examples = sorted(chat_format.expand_examples(blocks, size).collect(), key=lambda r: r.turn_no)
+        assert [x.text for x in examples] == want and [chat_text(x) for x in examples] == [f"t</s>{i}" for i in range(1, 45, 2)]
+        got = sorted((r.conv_id, r.n_turns, r.formatted_chars) for r in chat_format.conversation_digest(blocks, size).collect())
+        assert got == [(1, 45, sum(map(len, want)) + len(whole[-1])), tail]
+    assert chat_format.whole_conversations(blocks, 2000).where("conv_id = 1").count() > 2
+
+
 def chat_text(example) -> str:
     inside = example.text[example.loss_start : example.loss_end]
     return re.sub(r"([<\[])\\(\\*)(/?(?:s>|INST\]|ROLE\]))", r"\1\2\3", inside)
