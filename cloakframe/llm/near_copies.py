@@ -1,10 +1,11 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints of SimHash are no filter for this: pairs at 0.8 to 0.95 differ in up to 14
-of 64 bits, which leaves a pigeonring segments of four bits. Candidates are texts that
-share a band of minima (MinHash, 32 bands of 5): a pair at 0.8 shares none with a
-probability of (1 - 0.8^5)^32, 3 in a million, and less above. Every candidate pair is
-then decided on its exact sets of shingles (64-bit hashes).
+Candidates come first from SimHash fingerprints that the pigeonring links (simhash_ring,
+within DISTANCE bits) and from texts of one fingerprint. These are not all: pairs at 0.8
+to 0.95 differ in up to 14 of 64 bits, which leaves a ring segments of four bits. So texts
+that share a band of minima (MinHash, 32 bands of 5) are candidates too: a pair at 0.8
+shares none with a probability of (1 - 0.8^5)^32, 3 in a million, and less above. Every
+candidate pair is then decided on its exact sets of shingles (64-bit hashes).
 
 The members of a band are held against one of them only, its hub: the one that shares
 most bands with others, as a text does from which others were made. A hub and all members
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 from .common import by_size, durable, map_texts, text_or_empty
 from .components import components
 from .embedding_join import Union
-from .simhash_ring import SEED, in_components, keep_smallest, row_key
+from .simhash_ring import SEED, fingerprint, in_components, keep_smallest, ring_links, row_key
 
 WIDTH = 5
 #: The least similarity, in hundredths.
 LEAST = 80
 BANDS, ROWS = 32, 5
+#: Bits within which fingerprints make candidates, as in simhash_ring.
+DISTANCE = 2
 #: Texts, and shingles of texts, to one side of a block; meetings of equal shingles that are counted at one time.
 BLOCK, BLOCK_SHINGLES, MEETINGS = 512, 250_000, 250_000
 #: Keys of candidates are broadcast (as 64-bit hashes) up to this many, else texts are shuffled to them.
@@ -78,7 +81,7 @@ def make_bands():
 
 
 def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, fp (digest of the words), sha (of the text) and bands of every row; a map over the scan."""
+    """id, fp (digest of the words), sha (of the text), print (SimHash) and bands of every row; a map over the scan."""
 
     def make():
         import xxhash
@@ -88,11 +91,12 @@ def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def row(text: str) -> tuple:
             words = words_of(text)
             found = shingles(words)
-            return signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)), hashlib.sha256(text.encode("utf-8")).hexdigest(), bands(found)
+            sha = hashlib.sha256(text.encode("utf-8")).hexdigest()
+            return signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)), sha, fingerprint(text), bands(found)
 
         return row
 
-    return map_texts(df, id_col, text_col, make, "fp bigint, sha string, bands array<bigint>").withColumnRenamed(id_col, "id")
+    return map_texts(df, id_col, text_col, make, "fp bigint, sha string, print bigint, bands array<bigint>").withColumnRenamed(id_col, "id")
 
 
 def shingle_sets(df: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -114,7 +118,7 @@ def shingle_sets(df: DataFrame, keys: DataFrame, id_col: str, text_col: str) ->
 
 
 def star_block(group: pa.Table) -> pa.Table:
-    """a, b and whether they are near: the hub of a cell (side 0) against a block of its members (side 1)."""
+    """a, b, whether they share a band and whether they are near: the hub of a cell (side 0) against a block of its members (side 1)."""
     import numpy as np
 
     side, fps = group.column("side").to_numpy(), group.column("fp").to_numpy()
@@ -124,7 +128,7 @@ def star_block(group: pa.Table) -> pa.Table:
     for i in others:
         both = len(np.intersect1d(hub, sets[i], assume_unique=True))
         near.append(both * 100 >= LEAST * (len(hub) + len(sets[i]) - both))
-    return pa.table({"a": group.column("a").to_numpy()[others], "b": fps[others], "near": pa.array(near, pa.bool_())})
+    return pa.table({"a": group.column("a").to_numpy()[others], "b": fps[others], "banded": group.column("banded").take(others), "near": pa.array(near, pa.bool_())})
 
 
 def blocks_of(which) -> Column:
@@ -187,28 +191,40 @@ def block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": nodes[tops.top[linked]], "b": nodes[linked]})
 
 
+def ring_cells(prints: DataFrame) -> DataFrame:
+    """Candidates (a, b), fps of texts whose SimHash fingerprints are equal or linked by the ring; `prints` has fp and print."""
+    heads = durable(prints.groupBy("print").agg(F.min("fp").alias("head")))
+    equal = prints.join(heads, "print").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    links = ring_links(heads.select(F.col("print").alias("fp")), DISTANCE)
+    of = lambda c: heads.select(F.col("print").alias(c), F.col("head").alias(f"{c}_head"))
+    near = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    return equal.where("a <> b").union(near)
+
+
 def copy_links(df: DataFrame, prints: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between fps that give the components of all near copies; `prints` has fp, key and bands."""
+    """Links (a, b) between fps that give the components of all near copies; `prints` has fp, key, print and bands."""
     keyed = prints.select("fp", F.explode("bands").alias("band"))
     crowds = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = durable(keyed.join(crowds, "band"))
     # a text from which others were made shares bands with most of them
     support = members.groupBy("fp").agg(F.sum("n").alias("support"))
     hubs = members.join(support, "fp").groupBy("band").agg(F.max(F.struct("support", "fp"))["fp"].alias("a"))
-    cells = durable(members.join(hubs, "band").where("a <> fp").select("a", F.col("fp").alias("b")).distinct())
+    banded = members.join(hubs, "band").where("a <> fp").select("a", F.col("fp").alias("b"), F.lit(True).alias("banded"))
+    cells = banded.union(ring_cells(prints).withColumn("banded", F.lit(False)))
+    cells = durable(cells.groupBy("a", "b").agg(F.max("banded").alias("banded")))
     taken = cells.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     keys = durable(prints.join(taken, "fp", "left_semi").select(F.xxhash64("key").alias("key")))
     sets = durable(shingle_sets(df, keys, id_col, text_col))
     sized = cells.join(sets.select(F.col("fp").alias("b"), F.expr("octet_length(shingles) div 8").alias("size")), "b")
     plan = durable(sized.groupBy("a").agg(blocks_of(F.col("b")).alias("mb")))
-    hub = plan.select("a", spread("mb").alias("m"), F.lit(0).alias("side"), F.col("a").alias("fp"))
-    rest = cells.join(plan, "a").withColumnRenamed("b", "fp").select("a", dealt("mb").alias("m"), F.lit(1).alias("side"), "fp")
-    told = durable(hub.unionByName(rest).join(sets, "fp").groupBy("a", "m").applyInArrow(star_block, "a bigint, b bigint, near boolean"))
+    hub = plan.select("a", spread("mb").alias("m"), F.lit(0).alias("side"), F.col("a").alias("fp"), F.lit(False).alias("banded"))
+    rest = cells.join(plan, "a").withColumnRenamed("b", "fp").select("a", dealt("mb").alias("m"), F.lit(1).alias("side"), "fp", "banded")
+    told = durable(hub.unionByName(rest).join(sets, "fp").groupBy("a", "m").applyInArrow(star_block, "a bigint, b bigint, banded boolean, near boolean"))
     links = told.where("near").select("a", "b")
-    # what a component holds needs no more links: members outside their hub's component meet all others of its cell
+    # what a component holds needs no more links: members of bands outside their hub's component meet all others of its cell
     found = durable(components(links))
     part = lambda c, name: found.select(F.col("id").alias(c), F.col("component").alias(name))
-    placed = told.select("a", F.col("b").alias("fp")).join(part("a", "ca"), "a", "left").join(part("fp", "cf"), "fp", "left")
+    placed = told.where("banded").select("a", F.col("b").alias("fp")).join(part("a", "ca"), "a", "left").join(part("fp", "cf"), "fp", "left")
     placed = placed.select("a", "fp", F.coalesce("cf", "fp").alias("component"), (F.coalesce("cf", "fp") != F.coalesce("ca", "a")).alias("outside"))
     placed = durable(placed.join(sets.select("fp", F.expr("octet_length(shingles) div 8").alias("size")), "fp"))
     outside = F.when(F.col("outside"), True)
@@ -231,6 +247,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """`df` with one row of each component of near copies: that of its smallest id (null last), then of its smallest digest."""
     rows = durable(text_rows(df, id_col, text_col))
     any_key = F.min(row_key(F.col("id"), F.col("sha")))
-    prints = durable(rows.groupBy("fp").agg(F.min("id").alias("rep"), any_key.alias("key"), F.first("bands").alias("bands")))
+    prints = durable(rows.groupBy("fp").agg(F.min("id").alias("rep"), any_key.alias("key"), F.first("print").alias("print"), F.first("bands").alias("bands")))
     groups = in_components(rows.select("id", "sha", "fp"), prints, copy_links(df, prints, id_col, text_col))
     return keep_smallest(df, groups, id_col, text_col)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import itertools
 import random
+import uuid
 
 import corpus_pipeline
+from cloakframe.llm import near_copies
+from cloakframe.llm.simhash_ring import fingerprint
 
 
 def plain_set(text: str | None) -> set:
@@ -47,3 +50,20 @@ def test_stage_drops_every_near_copy_and_nothing_else(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == want
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_ring_finds_copies_without_any_band(spark, monkeypatch):
+    """Copies whose fingerprints are equal or within two bits are found by the ring alone, and only near ones are dropped."""
+    monkeypatch.setattr(near_copies, "make_bands", lambda: lambda found: [uuid.uuid4().int >> 65])
+    rnd = random.Random(9)
+    rows = []
+    for base in range(12):
+        words = [f"b{base}w{rnd.randrange(4000)}" for _ in range(2000)]
+        rows.append((2 * base, " ".join(words)))
+        words[rnd.randrange(2000)] = "other"
+        rows.append((2 * base + 1, " ".join(words)))
+    bits = [(fingerprint(rows[i][1]) ^ fingerprint(rows[i + 1][1])).bit_count() for i in range(0, 24, 2)]
+    assert min(bits) <= 2
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lang string")
+    want = [2 * i for i in range(12)] + [2 * i + 1 for i in range(12) if bits[i] > 2]
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == sorted(want)
