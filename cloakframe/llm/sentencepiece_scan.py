@@ -67,7 +67,7 @@ class Pieces:
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         of_byte = {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.raw = [of_byte.get(i, self.model.id_to_piece(i).replace(MARK, " ").encode("utf-8")) for i in range(size)]
-        self.words, self.alone, self.agree, self.cuts = Remembered(24 << 20), Remembered(4 << 20), Remembered(8 << 20), Remembered(8 << 20)
+        self.words, self.alone, self.agree, self.cuts = Remembered(64 << 20), Remembered(4 << 20), Remembered(8 << 20), Remembered(8 << 20)
         # the last chunk without a free place: runs of one character repeat theirs
         self.unbroken: tuple = (None, None)
 
@@ -107,19 +107,21 @@ class Pieces:
         """Ids (int32) of texts that start with a space or a line break and end before one (or at the end)."""
         units = [UNIT.findall(t) for t in texts]
         known = self.words
-        new = {u: b"" for each in units for u in each if u not in known}
+        found = [list(map(known.get, each)) for each in units]
+        new = {u: b"" for each, ids in zip(units, found, strict=True) if None in ids for u, i in zip(each, ids, strict=True) if i is None}
         if new:
             # the library puts a space mark in front, which stands for a unit's own space
             said = [u[1:] if u[0] == " " else u for u in new]
             for u, ids in zip(new, self.model.encode(said, num_threads=1), strict=True):
                 if u == " ":
                     ids = [i for p in self.merge(MARK) for i in self.ids(p)]
-                new[u] = pack(f"<{len(ids)}i", *ids) if u[0] == " " else pack(f"<{len(ids) - 1}i", *ids[1:])
-            out = [b"".join([new[u] if u in new else known[u] for u in each]) for each in units]
+                new[u] = pack(f"<{len(ids)}i", *ids)[0 if u[0] == " " else 4 :]
+            for each, ids in zip(units, found, strict=True):
+                if None in ids:
+                    ids[:] = [new[u] if i is None else i for u, i in zip(each, ids, strict=True)]
             for u, ids in new.items():
                 known.keep(u, ids, len(u) + len(ids))
-            return out
-        return [b"".join([known[u] for u in each]) for each in units]
+        return [b"".join(ids) for ids in found]
 
     def decode_bytes(self, ids: bytes) -> bytes:
         """The UTF-8 bytes of ids (int32), space marks as spaces; parts decoded apart can be joined."""

@@ -346,3 +346,28 @@ def test_media_rows(spark, odd):
     assert all(told[i].error and told[i].tile_npy is None for i in (1, 2, 3)) and told[None].error is None and told[None].height == 1
     assert media_tiles.media_tiles(odd_content.limit(0), "doc_id", "media").count() == media_tiles.text_media_features(odd.limit(0)).count() == 0
     assert {r.doc_id for r in tiles if r.error} == {77} and all(bytes(r.tile_npy[:6]) == b"\x93NUMPY" for r in tiles if not r.error)
+
+
+def test_each_word_is_looked_up_once():
+    class Counted(sentencepiece_scan.Remembered):
+        asked = 0
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    pieces = sentencepiece_scan.Pieces(queries.tokenizer_file("piece_bpe_32k.model"))
+    first = pieces.encode_units([" one two two", "\n three  four é"])
+    pieces.words = Counted()
+    assert pieces.encode_units([" one two two", "\n three  four é"]) == first
+    Counted.asked = 0
+    assert pieces.encode_units([" one two two", "\n three  four é"]) == first
+    assert Counted.asked == sum(len(sentencepiece_scan.UNIT.findall(t)) for t in (" one two two", "\n three  four é"))
