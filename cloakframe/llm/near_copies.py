@@ -240,7 +240,8 @@ def copy_links(df: DataFrame, prints: DataFrame, id_col: str, text_col: str) ->
     one = rows.where("outside").select("a", dealt("ob").alias("o"), spread("mb").alias("m"), F.lit(0).alias("side"), *columns)
     two = rows.select("a", spread("ob").alias("o"), dealt("mb").alias("m"), F.lit(1).alias("side"), *columns)
     more = one.unionByName(two).groupBy("a", "o", "m").applyInArrow(block_links, "a bigint, b bigint")
-    return links.union(durable(more))
+    # the components found so far are stars, which are linked as the links were
+    return found.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(durable(more))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -152,7 +152,7 @@ def in_components(rows: DataFrame, prints: DataFrame, links: DataFrame) -> DataF
     """`rows` with top and component_id; `prints` has every fp of theirs with its smallest id (rep), `links` join fps (a, b)."""
     # components run over fingerprints; each then takes its smallest document
     found = components(links).select(F.col("id").alias("fp"), F.col("component").alias("top"))
-    tops = prints.select("fp", "rep").join(found, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
+    tops = durable(prints.select("fp", "rep").join(found, "fp", "left").withColumn("top", F.coalesce("top", "fp")))
     # a component may hold very many fingerprints
     smallest = tops.groupBy("top").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     by_print = durable(dealt_join(tops.select("top", "fp"), smallest, "top", "fp").select(F.col("fp").alias("p"), "top", "component_id"))
