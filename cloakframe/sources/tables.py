@@ -165,7 +165,8 @@ def artifact_digests(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = re.escape(re.sub(r"^[a-z]+:/*", "/", folder).rstrip("/") + "/")
     relative = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[a-z]+:/*", "/"), "^.*?" + root, "")
-    local = F.col("path").startswith("file:/")
+    # a filter over the file's metadata is applied to the listing; one over `path` only after the contents are read
+    local = F.col("_metadata.file_path").startswith("file:/")
     elsewhere = files.where(~local).select(relative("path").alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

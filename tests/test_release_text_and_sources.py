@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -298,6 +299,20 @@ def test_staging_needs_permission_and_a_clean_scan(spark, tmp_path):
     assert digests and all(len(r.sha256) == 64 for r in digests)
 
 
+def test_contents_of_mounted_files_are_not_read_by_the_listing(spark, tmp_path):
+    """Spark reads no contents beyond maxLength (2 GB at most), and would read every file a second time."""
+    (tmp_path / "x").mkdir()
+    texts = {"a.bin": b"0" * 5000, "x/b.bin": b"1" * 7}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)
+    try:
+        got = {r.path: (r.sha256, r.bytes) for r in tables.artifact_digests(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {n: (hashlib.sha256(t).hexdigest(), len(t)) for n, t in texts.items()}
+
+
 def arrives(spark, folder: str, rows: list, schema: str):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
