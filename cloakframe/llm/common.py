@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.lazy import SLICE
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
@@ -71,7 +73,8 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Call
     """Apply a function of the whole text to every row, in Arrow batches; ids pass unchanged.
 
     `make` runs once in each task and returns the function; `fields` is the DDL of
-    what the function returns. Other columns of the input never enter the plan.
+    what the function returns. Results leave by SLICE rows, so those of a batch are never
+    held beside it. Other columns of the input never enter the plan.
     """
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     added = T.StructType.fromDDL(fields)
@@ -79,7 +82,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, max(len(b), 1), SLICE)):
             # one text at a time: a batch of very long texts is never held twice
             values = [f(t.as_py()) for t in b.column("text")]
             columns = list(zip(*values, strict=True)) if values else [[] for _ in added]

@@ -11,13 +11,15 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cloakframe.functions.lazy import SLICE
 from cloakframe.llm import media_tiles, pii_anchor, queries, secret_ledger, sentencepiece_scan, token_count
-from cloakframe.llm.common import table
+from cloakframe.llm.common import map_texts, table
 from cloakframe.llm.queries import tokenizer_file
 
 ODD = [None, "", " ", "a", "é 你好 😀\n\n x", "word " * 4000, "<|endoftext|> tail <|endoftext|>", "\x00\t\x85\xa0", "x" * 3000]
@@ -371,3 +373,17 @@ def test_each_word_is_looked_up_once():
     Counted.asked = 0
     assert pieces.encode_units([" one two two", "\n three  four é"]) == first
     assert Counted.asked == sum(len(sentencepiece_scan.UNIT.findall(t)) for t in (" one two two", "\n three  four é"))
+
+
+def test_results_of_texts_leave_slice_by_slice(spark, monkeypatch):
+    """What a function makes of a batch's texts is never held as one batch; the word memory is a third of what it was."""
+    df, kept = spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), []
+    put = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **k: kept.append(f) or put(self, f, *a, **k))
+    rows = map_texts(df, "doc_id", "text", lambda: lambda t: (len(t),), "n int")
+    assert [tuple(r) for r in rows.collect()] == [(1, 1)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": ["x" * (i % 7) for i in range(1000)]})
+    out = list(kept[0](iter([batch, batch.slice(0, 0)])))
+    assert max(len(b) for b in out) == SLICE
+    assert [r for b in out for r in zip(b["id"].to_pylist(), b["n"].to_pylist(), strict=True)] == [(i, i % 7) for i in range(1000)]
+    assert sentencepiece_scan.loaded(tokenizer_file("piece_bpe_32k.model")).words.most <= 24 << 20
