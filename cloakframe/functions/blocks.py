@@ -50,6 +50,9 @@ def meet(
 
     part: "all" blocks of `right`, only its "first" block of every key, or the "rest". Rows
     of `left` whose key `right` lacks reach the test with an empty table of `right` in part first or all.
+
+    The work goes by pairs, not by bytes, so the pairs of blocks are dealt over the session's shuffle
+    partitions by number: a few megabytes of rows would else be merged into one task with all their pairs.
     """
     size = size or BLOCK
     sizes = lambda df, name: df.groupBy(*keys).agg((1 + F.floor(F.count("*") / size)).cast("int").alias(name))
@@ -64,9 +67,10 @@ def meet(
     two = rows(right, "__r").withColumn("__j", F.col("__d")).where({"all": F.lit(True), "first": F.col("__j") == 0, "rest": F.col("__j") > 0}[part])
     two = two.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__l") - 1)))
     by = [*keys, "__i", "__j"]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one, two = one.select(*by, *[c for c in left.columns if c not in keys]), two.select(*by, *[c for c in right.columns if c not in keys])
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         return test(a, b)
 
-    return one.groupBy(*by).cogroup(two.groupBy(*by)).applyInArrow(run, fields)
+    return one.repartition(tasks, *by).groupBy(*by).cogroup(two.repartition(tasks, *by).groupBy(*by)).applyInArrow(run, fields)

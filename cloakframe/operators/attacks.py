@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import blocks
 from ..functions.keys import as_key, rate
 from ..functions.ranges import before, bounds, range_of
-from ..sources.shared import durable
+from ..sources.shared import durable, durable_once
 
 #: Ranges of a nearest-neighbour search, and rows whose distances are held at one time.
 RANGES, STRIP = 256, 256
@@ -142,7 +142,7 @@ def crowded_matches(left: DataFrame, right: DataFrame, on: list[str], tolerances
     right, asked = once(right), left.select(*on, "row", "v")
     test = lambda a, b: matches_of(a, b, tolerances)
     fields = "row bigint, n bigint, entity string"
-    first = durable(blocks.meet(asked, right, on, test, fields, part="first"))
+    first = durable_once(blocks.meet(asked, right, on, test, fields, part="first"))
     few = first.groupBy("row").agg(F.sum("n").alias("n")).where("n < 2").select("row")
     rest = blocks.meet(asked.join(few, "row", "left_semi"), right, on, test, fields, part="rest")
     found = first.unionByName(rest).groupBy("row").agg(F.sum("n").alias("n"), F.min("entity").alias("found")).where("n = 1")
@@ -230,8 +230,8 @@ def nearest_vectors(asked: DataFrame, reference: DataFrame) -> DataFrame:
     near = F.element_at(F.array_sort(F.transform("there", lambda r: F.struct(F.abs(r - F.col("own")).alias("o"), r.alias("r")))), 1)["r"]
     first = mine(asked.distinct()).select("tag", near.alias("r"), "v", "p", F.lit(float("inf")).alias("u"))
     fields = "tag int, v array<double>, d double"
-    told = durable(blocks.meet(first.select("tag", "r", "v", "u"), held, ["tag", "r"], nearest_in, fields, part="first"))
-    same = durable(
+    told = durable_once(blocks.meet(first.select("tag", "r", "v", "u"), held, ["tag", "r"], nearest_in, fields, part="first"))
+    same = durable_once(
         blocks.meet(
             first.join(told.withColumnRenamed("d", "bound"), ["tag", "v"]).select("tag", "r", "v", F.col("bound").alias("u")),
             held,
@@ -365,11 +365,13 @@ def ensemble_membership(
     subsets = attack_subsets(names, largest, most)
     rows, made = standardised(members, holdout, synthetic, names, id_col)
     rows = durable(rows)
+    # the component with the most values cuts the finest ranges: one of 25 values would leave 25, however many rows there are
+    kinds = made.agg(*[F.approx_count_distinct(F.col("z")[k]).alias(f"k{k}") for k in range(len(names))]).first()
     views = []
     for i, subset in enumerate(subsets):
         used = [names.index(c) for c in subset]
         v = F.array(*[F.col("z")[k] if k in used else F.lit(0.0) for k in range(len(names))])
-        views.append(F.struct(F.lit(i).alias("tag"), F.col("z")[used[0]].alias("p"), v.alias("v")))
+        views.append(F.struct(F.lit(i).alias("tag"), F.col("z")[max(used, key=lambda k: kinds[f"k{k}"])].alias("p"), v.alias("v")))
     tagged = lambda df, *keep: df.select(*keep, F.explode(F.array(*views)).alias("t")).select(*keep, "t.*")
     found = nearest_vectors(tagged(rows), tagged(made))
     # nine places, so that equal distances tie whatever the last bits of a sum

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,3 +33,12 @@ def durable(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def durable_once(df: DataFrame) -> DataFrame:
+    """As `durable`, for rows that are dear to compute and few: held on disk meanwhile, because a checkpoint computes its rows twice."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return durable(held)
+    finally:
+        held.unpersist()

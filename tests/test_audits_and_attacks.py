@@ -268,3 +268,20 @@ def test_sides_that_grow_with_the_table_are_never_broadcast(spark):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_pairs_of_blocks_are_dealt_by_number_and_ranges_are_cut_by_the_finest_component(spark, monkeypatch):
+    """Few bytes are not merged into one task with all their pairs; a component of two values does not order the ranges."""
+    import pyarrow as pa
+
+    side = lambda: spark.range(400).select((F.col("id") % 40).alias("k"), "id")
+    test = lambda a, b: pa.table({"n": pa.array([len(a) * len(b)], pa.int64())})
+    met = blocks.meet(side(), side(), ["k"], test, "n bigint").withColumn("task", F.spark_partition_id()).collect()
+    assert [r.n for r in met] == [100] * 40 and len({r.task for r in met}) == 4
+    seen, put = [], attacks.nearest_vectors
+    monkeypatch.setattr(attacks, "nearest_vectors", lambda asked, ref: seen.append(ref) or put(asked, ref))
+    rows = spark.range(60).select("id", (F.col("id") % 2).alias("a"), (F.col("id") * 7 % 31).alias("b"))
+    parts = [rows.where(F.col("id") % 3 == i) for i in range(3)]
+    found = attacks.ensemble_membership(*parts, ["a", "b"], "id").collect()
+    assert [r.columns for r in sorted(found)] == ["a", "b", "a,b"]
+    assert {r.tag: r.n for r in seen[0].groupBy("tag").agg(F.count_distinct("p").alias("n")).collect()} == {0: 2, 1: 20, 2: 20}
