@@ -87,6 +87,8 @@ def reused_ngrams(source: str, output: str, size: int) -> tuple[int, int]:
     Equal hashes only propose a place; the characters decide. Of a source longer than HELD the hashes are
     taken in shares of the hash values, one share at a time, so memory is bounded and the result is the same.
     """
+    if source == output:
+        return (max(len(output) - size + 1, 0),) * 2
     held, said = code_points(source), code_points(output)
     total = max(len(said) - size + 1, 0)
     if not total or len(held) < size:
@@ -205,8 +207,13 @@ def pair_measures(size: int):
 def audit_pairs(source: DataFrame, output: DataFrame, key: str, text_col: str = "text", size: int = 32) -> DataFrame:
     """One row a pair with all measures and the gate: one join, one function over the folded texts, then columns."""
     pairs = source.select(key, F.col(text_col).alias("source")).join(output.select(key, F.col(text_col).alias("output")), key)
+    return measured_pairs(pairs, [key], size)
+
+
+def measured_pairs(pairs: DataFrame, keep: list[str], size: int = 32) -> DataFrame:
+    """The columns of `keep`, all measures and the gate of rows that hold both texts (source, output); nothing is shuffled."""
     rows = pairs.select(
-        key,
+        *keep,
         number_reuse(F.col("source"), F.col("output")).alias("reused_numbers"),
         sum(pii.entity_counts(F.col("output")).values(), F.lit(0)).cast("bigint").alias("pii_hits"),
         F.length("output").cast("bigint").alias("output_chars"),
@@ -222,8 +229,12 @@ def audit_pairs(source: DataFrame, output: DataFrame, key: str, text_col: str =
 
 def score_redteam(audited: DataFrame, cases: DataFrame) -> DataFrame:
     """audited (id, output and audit columns) with forbidden_reuse, utility_retention, attack_success by the case's lists."""
+    return scored_rows(audited.join(cases.select("id", "attack_family", "forbidden_literals", "utility_concepts"), "id"))
+
+
+def scored_rows(joined: DataFrame) -> DataFrame:
+    """As above, of audited rows that hold their case's columns."""
     said = F.lower("output")
-    joined = audited.join(cases.select("id", "attack_family", "forbidden_literals", "utility_concepts"), "id")
     reuse = F.size(F.filter("forbidden_literals", lambda x: said.contains(F.lower(x)))).cast("bigint")
     kept = F.size(F.filter("utility_concepts", lambda g: F.exists(g, lambda t: said.contains(F.lower(t)))))
     out = joined.withColumn("forbidden_reuse", reuse)
@@ -239,17 +250,16 @@ BASELINES: dict[str, Callable[[Column], Column]] = {"identity": lambda c: c, "re
 
 
 def redteam_matrix(cases: DataFrame, baselines: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """id, baseline, attack_family and all measures: every case under every baseline."""
+    """id, baseline, attack_family and all measures: every case under every baseline.
+
+    A case's output comes from its own row, so no text is joined back or shuffled; a case without an id has no rows.
+    """
     baselines = baselines or BASELINES
+    held = ["attack_family", "forbidden_literals", "utility_concepts"]
     out = None
     for name, transform in baselines.items():
-        made = cases.select("id", transform(F.col("source")).alias("text"))
-        audited = audit_pairs(
-            cases.select("id", F.col("source").alias("text")),
-            made,
-            "id",
-        ).join(made.select("id", F.col("text").alias("output")), "id")
-        one = score_redteam(audited, cases).withColumn("baseline", F.lit(name)).drop("output")
+        made = cases.where("id is not null").select("id", "source", transform(F.col("source")).alias("output"), *held)
+        one = scored_rows(measured_pairs(made, ["id", "output", *held])).withColumn("baseline", F.lit(name)).drop("output")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -421,3 +421,15 @@ def test_corpus_files_stay_small_whatever_the_table(spark, tmp_path, monkeypatch
     row = data_plans.a3_read_corpus(spark, str(tmp_path)).first()
     assert max(seen) <= data_plans.LINES_PER_FILE and sum(seen) == row.lines == 1000
     assert row.characters == sum(len(f"text {i}\n") for i in range(1000))
+
+
+def test_the_redteam_matrix_moves_no_texts(spark):
+    """Each case is measured in its own row: no join, no shuffle; equal texts share all their n-grams."""
+    row = ("c", "f", "x" * 20 + " mail a@b.example and 12345 " + "word " * 9, ["mail"], [["word"]])
+    cases = spark.createDataFrame([row, (None, *row[1:])], "id string, attack_family string, source string, forbidden_literals array<string>, utility_concepts array<array<string>>")
+    found = text_audit.redteam_matrix(cases)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {r.baseline: r for r in found.collect()}
+    assert found.count() == 2 and set(rows) == {"identity", "regex"}
+    assert rows["identity"].ngram_reuse_rate == 1.0 and rows["identity"].pii_hits == 1 and rows["regex"].pii_hits == 0
+    assert text_audit.reused_ngrams("ab" * 20, "ab" * 20, 32) == (9, 9) and text_audit.reused_ngrams("ab", "ab", 32) == (0, 0)
