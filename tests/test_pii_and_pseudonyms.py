@@ -49,6 +49,34 @@ def test_counts_equal_pythons(texts):
         assert {e: r[e] for e in P.ENTITIES} == plain_counts(TEXTS[r.doc_id] or ""), TEXTS[r.doc_id]
 
 
+#: What Java's Unicode word class reads otherwise than Python: combining mark, connector, joiner, circled letter, superscript, fraction.
+BESIDE = ("\u0301", "\u203f", "\u200d", "\u24b6", "\u00b2", "\u00bd", "\u00e9", "_", ".")
+
+
+def test_what_stands_beside_an_identifier_is_read_as_python_reads_it(spark):
+    held = ("a@b.org", "020 7946 0958", "11010519491231002X", "SW1A 1AA", "10.1.2.3", "10.1.2.3 10.4.5.6")
+    said = [t for x in held for c in BESIDE for t in (f"on {c}{x} on", f"on {x}{c} on")]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string")
+
+    def plain(text: str) -> str:
+        for p, tag in ((P.EMAIL, "EMAIL"), (P.PHONE, "PHONE"), (P.NATIONAL_ID, "NATIONAL_ID"), (P.POSTCODE, "POSTCODE"), (P.LOOSE_IPV4, "IP_ADDRESS")):
+            text = re.sub(p, f"[{tag}]", text)
+        return text
+
+    for r in scans.scan_text_column(df, "doc_id", "text", ipv6=True).collect():
+        assert {e: r[e] for e in P.ENTITIES} == plain_counts(said[r.doc_id]), ascii(said[r.doc_id])
+    for r in df.select("text", pii.redact_preview(F.col("text")).alias("told"), scans.redact_baseline(F.col("text")).alias("base")).collect():
+        assert r.told == plain(r.text), ascii(r.text)
+        assert ("a@b.org" in r.base, "SW1A 1AA" in r.base) == ("a@b.org" in r.told, "SW1A 1AA" in r.told), ascii(r.text)
+
+
+def test_words_and_numbers_of_texts_are_read_as_python_reads_them(spark):
+    said = [f"longword{c}tail {c}longerword 12{c}34 {c}77 x" for c in BESIDE]
+    cols = [F.regexp_extract_all("text", F.lit(P.java(p)), F.lit(0)) for p in (P.LONG_WORD, P.NUMBER_TOKEN)]
+    for r in spark.createDataFrame([(t,) for t in said], "text string").select("text", *[c.alias(n) for c, n in zip(cols, "wn", strict=True)]).collect():
+        assert (r.w, r.n) == (re.findall(P.LONG_WORD, r.text), re.findall(P.NUMBER_TOKEN, r.text)), ascii(r.text)
+
+
 def test_table_scan_counts_and_tells_no_values(texts):
     rows = scans.scan_table(texts, ["text"], ipv6=True).collect()
     want: dict[str, int] = {}
