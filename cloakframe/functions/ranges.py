@@ -77,6 +77,18 @@ def range_of(c: Column, limits: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, limits)), lambda b: b <= c))
 
 
+#: Bounds that are compared one by one.
+STEP = 32
+
+
+def place_of(c: Column, limits: list[list[float]], which: Column) -> Column:
+    """As `range_of`, among the list of bounds that `which` names (from 0): first through every STEP-th bound, then through the STEP behind it."""
+    each = lambda x: F.split(F.lit(",".join(map(repr, x))), ",").cast("array<double>") if x else F.array().cast("array<double>")
+    pick = lambda lists: F.get(F.array(*map(each, lists)), which)
+    ahead = F.size(F.filter(pick([x[STEP - 1 :: STEP] for x in limits]), lambda b: b <= c)) * STEP
+    return ahead + F.size(F.filter(F.slice(pick(limits), ahead + 1, STEP), lambda b: b <= c))
+
+
 def before(df: DataFrame, range_col: str, total: Column, name: str, *keys: str) -> DataFrame:
     """keys, range and the sum of `total` over all ranges before it."""
     sums = df.groupBy(*keys, range_col).agg(total.alias("__t"))

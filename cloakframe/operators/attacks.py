@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks
 from ..functions.keys import as_key, rate
-from ..functions.ranges import before, bounds, range_of
+from ..functions.ranges import before, bounds, place_of
 from ..sources.shared import durable, durable_once
 
-#: Ranges of a nearest-neighbour search, and rows whose distances are held at one time.
-RANGES, STRIP = 256, 256
+#: Ranges of a nearest-neighbour search, rows whose distances are held at one time, and distances that are.
+RANGES, STRIP, HELD = 1024, 256, 1 << 20
+#: Neighbours by order on either side that are compared in turn, before all within reach are.
+NEXT = (8, 32, 128)
 
 
 def band(auc: Column) -> Column:
@@ -194,61 +196,85 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def nearest_in(a: pa.Table, b: pa.Table) -> pa.Table:
-    """tag, v, d: for every asked vector the distance to its nearest in the other block, or what is known already."""
-    x, y = matrix(a.column("v")), matrix(b.column("v"))
-    d = a.column("u").to_numpy().copy()
-    for at in range(0, len(x) if len(y) else 0, STRIP):
-        apart = np.zeros((len(x[at : at + STRIP]), len(y)))
+    """tag, v, p, r, d: for every asked vector the distance to its nearest in the other block, or what is known already.
+
+    p, a component of v, orders the other block. A vector is compared with its neighbours in that order, some more at a time,
+    until the next of either side is farther along p alone than the nearest so far; the few that this does not end
+    are compared in strips with all that is within their reach.
+    """
+    x, px, d = matrix(a.column("v")), a.column("p").to_numpy(), a.column("u").to_numpy().copy()
+    order = np.argsort(b.column("p").to_numpy(), kind="stable")
+    y, py = matrix(b.column("v"))[order], b.column("p").to_numpy()[order]
+
+    def apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        out = np.zeros(np.broadcast_shapes(one.shape, other.shape)[:2])
         for i in range(x.shape[1]):
-            apart += (x[at : at + STRIP, i, None] - y[None, :, i]) ** 2
-        d[at : at + STRIP] = np.minimum(d[at : at + STRIP], np.sqrt(apart.min(axis=1)))
-    return pa.table({"tag": a.column("tag"), "v": a.column("v"), "d": d})
+            out += (one[..., i] - other[..., i]) ** 2
+        return np.sqrt(out.min(axis=1))
+
+    left = np.searchsorted(py, px)
+    right, open_ = left.copy(), np.arange(len(x) if len(y) else 0)
+    for k in NEXT:
+        step = np.arange(k)
+        for at in range(0, len(open_), HELD // (2 * k)):
+            i = open_[at : at + HELD // (2 * k)]
+            beside = np.concatenate([left[i, None] - 1 - step, right[i, None] + step], axis=1).clip(0, len(y) - 1)
+            d[i] = np.minimum(d[i], apart(x[i, None], y[beside]))
+        left[open_], right[open_] = np.maximum(left[open_] - k, 0), np.minimum(right[open_] + k, len(y))
+        i, j = left[open_], right[open_]
+        below, above = px[open_] - py[i - 1], py[np.minimum(j, len(y) - 1)] - px[open_]
+        open_ = open_[((i > 0) & (below <= d[open_])) | ((j < len(y)) & (above <= d[open_]))]
+    open_ = open_[np.argsort(px[open_], kind="stable")]
+    for at in range(0, len(open_), STRIP):
+        i = open_[at : at + STRIP]
+        low, high = np.searchsorted(py, (px[i] - d[i]).min()), np.searchsorted(py, (px[i] + d[i]).max(), "right")
+        for start in range(low, high, HELD // STRIP):
+            d[i] = np.minimum(d[i], apart(x[i, None], y[None, start : min(start + HELD // STRIP, high)]))
+    return pa.table({"tag": a.column("tag"), "v": a.column("v"), "p": a.column("p"), "r": a.column("r"), "d": d})
+
+
+NEAREST = "tag int, v array<double>, p double, r int, d double"
 
 
 def nearest_vectors(asked: DataFrame, reference: DataFrame) -> DataFrame:
     """tag, v, d for the distinct `asked` (tag, p, v): the Euclidean distance to the nearest `reference` (tag, p, v) of the tag. Exact.
 
-    p, a component of v, orders the vectors of a tag in ranges. A vector first searches one
-    block of the range nearest to its own; what it finds bounds which ranges can hold something
-    nearer, and only those are searched. Both sides are dealt over blocks.
+    p, a component of v, orders the vectors of a tag in ranges, none of them empty. A vector first searches its own range;
+    what it finds bounds which ranges can hold something nearer, and only those are searched. Both sides are dealt over blocks.
+    Vectors with a gap have no distance.
     """
-    ref = durable(reference.distinct())
-    # a list of at most RANGES numbers for each tag
-    per = F.least(F.lit(RANGES), 1 + F.floor(F.count("*") / blocks.BLOCK)).cast("int")
-    cuts = F.percentile_approx("p", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10_000))
-    tags = ref.groupBy("tag").agg(cuts.alias("cuts"), per.alias("n"))
-    thin = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.element_at("cuts", F.floor(i * RANGES / F.col("n")).cast("int")))
-    )
-    tags = durable(tags.select("tag", F.when(F.col("n") > 1, thin).otherwise(F.array().cast("array<double>")).alias("limits")))
-    at = lambda df: df.join(F.broadcast(tags), "tag").withColumn("r", F.size(F.filter("limits", lambda b: b <= F.col("p"))))
-    held = at(ref).select("tag", "r", "v")
-    # one row a range: which there are, and where they begin and end
-    there = held.groupBy("tag").agg(F.array_sort(F.collect_set("r")).alias("there"))
-    ranges = durable(tags.join(there, "tag"))
-    mine = lambda df: df.join(F.broadcast(ranges), "tag").withColumn("own", F.size(F.filter("limits", lambda b: b <= F.col("p"))))
-    near = F.element_at(F.array_sort(F.transform("there", lambda r: F.struct(F.abs(r - F.col("own")).alias("o"), r.alias("r")))), 1)["r"]
-    first = mine(asked.distinct()).select("tag", near.alias("r"), "v", "p", F.lit(float("inf")).alias("u"))
-    fields = "tag int, v array<double>, d double"
-    told = durable_once(blocks.meet(first.select("tag", "r", "v", "u"), held, ["tag", "r"], nearest_in, fields, part="first"))
-    same = durable_once(
-        blocks.meet(
-            first.join(told.withColumnRenamed("d", "bound"), ["tag", "v"]).select("tag", "r", "v", F.col("bound").alias("u")),
-            held,
-            ["tag", "r"],
-            nearest_in,
-            fields,
-            part="rest",
-        )
-    )
-    best = told.unionByName(same).groupBy("tag", "v").agg(F.min("d").alias("u"))
-    open_ = mine(first.select("tag", "v", "p", F.col("r").alias("searched")).join(best, ["tag", "v"]))
-    low = lambda r: F.when(r == 0, F.lit(float("-inf"))).otherwise(F.try_element_at("limits", r))
-    high = lambda r: F.coalesce(F.try_element_at("limits", r + 1), F.lit(float("inf")))
-    reach = F.filter("there", lambda r: (r != F.col("searched")) & (low(r) <= F.col("p") + F.col("u")) & (high(r) >= F.col("p") - F.col("u")))
-    more = open_.select("tag", F.explode(reach).alias("r"), "v", "u")
-    found = blocks.meet(more, held, ["tag", "r"], nearest_in, fields)
-    return best.withColumnRenamed("u", "d").unionByName(found).groupBy("tag", "v").agg(F.min("d").alias("d"))
+    sound = lambda df: df.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c))).distinct()
+    asked, ref, size = durable(sound(asked)), durable(sound(reference)), 4 * blocks.BLOCK
+    # one row a tag
+    counts = {t["tag"]: t for t in ref.groupBy("tag").agg(F.count("*").alias("n"), F.min("p").alias("least")).collect()}
+    if not counts:
+        return asked.where("false").select("tag", "v", F.lit(0.0).alias("d"))
+    per = {t: min(RANGES, 1 + 2 * c["n"] // size) for t, c in counts.items()}
+    finest = max(per.values())
+    limits: list[list[float]] = [[] for _ in range(max(counts) + 1)]
+    if finest > 1:
+        cuts = F.percentile_approx("p", F.array(*[F.lit(i / finest) for i in range(1, finest)]), F.lit(10_000)).alias("cuts")
+        # at most RANGES numbers a tag; a cut is a value of the tag, so every range holds one
+        for t in ref.groupBy("tag").agg(cuts).collect():
+            n = per[t["tag"]]
+            limits[t["tag"]] = sorted({t["cuts"][finest * i // n - 1] for i in range(1, n)} - {counts[t["tag"]]["least"]})
+    place = lambda c: place_of(c, limits, F.col("tag"))
+    held = ref.withColumn("r", place(F.col("p")))
+    first = asked.where(F.col("tag").isin(list(counts))).withColumn("r", place(F.col("p"))).withColumn("u", F.lit(float("inf")))
+    told = durable_once(blocks.meet(first, held, ["tag", "r"], nearest_in, NEAREST, size))
+    best = durable(told.groupBy("tag", "v", "p", "r").agg(F.min("d").alias("u")))
+    # a little more than the bound, whose last bits are rounded
+    far = F.col("u") * (1 + 1e-9)
+    reach = F.filter(F.sequence(place(F.col("p") - far), place(F.col("p") + far)), lambda r: r != F.col("r"))
+    more = best.select("tag", "v", "p", F.explode(reach).alias("r"), "u")
+    found = blocks.meet(more, held, ["tag", "r"], nearest_in, NEAREST, size)
+    return best.select("tag", "v", F.col("u").alias("d")).unionByName(found.select("tag", "v", "d")).groupBy("tag", "v").agg(F.min("d").alias("d"))
+
+
+def leading(df: DataFrame, column: str, size: int) -> list[int]:
+    """The components of a vector column, those with the most values first: they cut the finest ranges."""
+    kinds = df.agg(*[F.approx_count_distinct(F.col(column)[k]).alias(f"k{k}") for k in range(size)]).first()
+    return sorted(range(size), key=lambda k: -kinds[f"k{k}"])
 
 
 def vector_of(columns: list[str]) -> Column:
@@ -265,7 +291,8 @@ def nearest_distance(candidates: DataFrame, reference: DataFrame, columns: list[
     if approximate:
         found = hashed_nearest(rows.select("v"), held.select("v"), len(columns))
         return rows.join(found, "v", "left").select(F.col("id").alias(id_col), F.col("d").alias("distance"))
-    with_p = lambda df: df.select("tag", F.col("v")[0].alias("p"), "v")
+    p = leading(held, "v", len(columns))[0]
+    with_p = lambda df: df.select("tag", F.col("v")[p].alias("p"), "v")
     found = nearest_vectors(with_p(rows), with_p(held))
     return rows.join(found, ["tag", "v"], "left").select(F.col("id").alias(id_col), F.col("d").alias("distance"))
 
@@ -296,7 +323,9 @@ def hashed_nearest(asked: DataFrame, reference: DataFrame, size: int) -> DataFra
     """
     usable = lambda df: df.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))).distinct()
     asked, reference = durable(usable(asked)), durable(usable(reference))
-    exactly = lambda df: nearest_vectors(df.select(F.lit(0).alias("tag"), F.col("v")[0].alias("p"), "v"), reference.select(F.lit(0).alias("tag"), F.col("v")[0].alias("p"), "v")).select("v", "d")
+    p = leading(reference, "v", size)[0]
+    with_p = lambda df: df.select(F.lit(0).alias("tag"), F.col("v")[p].alias("p"), "v")
+    exactly = lambda df: nearest_vectors(with_p(df), with_p(reference)).select("v", "d")
     scale = exactly(asked.orderBy(F.xxhash64("v"), "v").limit(SCALE_BY)).agg(F.percentile("d", 0.9).alias("d")).first()["d"]
     if scale is None or scale == float("inf"):
         return exactly(asked)
@@ -309,8 +338,9 @@ def hashed_nearest(asked: DataFrame, reference: DataFrame, size: int) -> DataFra
     told = blocks.with_lists(left, right, on, many).where(F.size("near") > 0).select("v", F.array_min(F.transform("near", apart)).alias("d"))
     if many is not None:
         inside = lambda df: df.join(many, on, "left_semi")
-        whole = inside(left).select(*on, F.lit(0).alias("tag"), "v", F.lit(float("inf")).alias("u"))
-        told = told.unionByName(blocks.meet(whole, inside(right), on, nearest_in, "tag int, v array<double>, d double").select("v", "d"))
+        whole = inside(left).select(*on, F.lit(0).alias("tag"), "v", F.col("v")[p].alias("p"), F.lit(0).alias("r"), F.lit(float("inf")).alias("u"))
+        there = inside(right).withColumn("p", F.col("v")[p])
+        told = told.unionByName(blocks.meet(whole, there, on, nearest_in, NEAREST).select("v", "d"))
     best = durable(told.groupBy("v").agg(F.min("d").alias("d")))
     alone = durable(asked.join(best, "v", "left_anti"))
     return best.unionByName(exactly(alone)) if alone.limit(1).count() else best
@@ -318,12 +348,16 @@ def hashed_nearest(asked: DataFrame, reference: DataFrame, size: int) -> DataFra
 
 def pairwise_auc(scores: DataFrame, score_col: str, member_col: str, *by: str) -> DataFrame:
     """auc (by the columns of `by`): P(member above holdout) + half P(tie), from counts by score and running sums over score ranges."""
-    counts = scores.where(F.col(score_col).isNotNull()).groupBy(*by, F.col(score_col).cast("double").alias("s")).agg(
-        F.count_if(F.col(member_col)).alias("m"),
-        F.count_if(~F.col(member_col)).alias("h"),
-    )
+    one = lambda c: F.coalesce(c.cast("int"), F.lit(0)).cast("bigint")
+    each = scores.select(*by, F.col(score_col).alias("s"), one(F.col(member_col)).alias("m"), one(~F.col(member_col)).alias("h"))
+    return auc_of_counts(each, *by)
+
+
+def auc_of_counts(scores: DataFrame, *by: str) -> DataFrame:
+    """As `pairwise_auc`, from scores s (which may repeat) with numbers of members m and of holdout rows h."""
+    counts = scores.where("s is not null").groupBy(*by, F.col("s").cast("double").alias("s")).agg(F.sum("m").alias("m"), F.sum("h").alias("h"))
     counts = durable(counts)
-    rows = counts.withColumn("r", range_of(F.col("s"), bounds(counts, "s")))
+    rows = counts.withColumn("r", place_of(F.col("s"), [bounds(counts, "s")], F.lit(0)))
     ahead = before(rows, "r", F.sum("h"), "ahead", *by)
     inside = Window.partitionBy(*by, "r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     below = rows.withColumn("in", F.coalesce(F.sum("h").over(inside), F.lit(0))).join(ahead, [*by, "r"])
@@ -364,20 +398,21 @@ def ensemble_membership(
     names = list(dict.fromkeys(columns))
     subsets = attack_subsets(names, largest, most)
     rows, made = standardised(members, holdout, synthetic, names, id_col)
-    rows = durable(rows)
     # the component with the most values cuts the finest ranges: one of 25 values would leave 25, however many rows there are
-    kinds = made.agg(*[F.approx_count_distinct(F.col("z")[k]).alias(f"k{k}") for k in range(len(names))]).first()
+    finest = leading(made, "z", len(names))
     views = []
     for i, subset in enumerate(subsets):
         used = [names.index(c) for c in subset]
         v = F.array(*[F.col("z")[k] if k in used else F.lit(0.0) for k in range(len(names))])
-        views.append(F.struct(F.lit(i).alias("tag"), F.col("z")[max(used, key=lambda k: kinds[f"k{k}"])].alias("p"), v.alias("v")))
+        views.append(F.struct(F.lit(i).alias("tag"), F.col("z")[min(used, key=finest.index)].alias("p"), v.alias("v")))
     tagged = lambda df, *keep: df.select(*keep, F.explode(F.array(*views)).alias("t")).select(*keep, "t.*")
-    found = nearest_vectors(tagged(rows), tagged(made))
+    # equal vectors are searched once, with the numbers of members and of holdout rows behind them
+    asked = durable(tagged(rows, "member").groupBy("tag", "p", "v").agg(F.count_if("member").alias("m"), F.count_if(~F.col("member")).alias("h")))
+    found = nearest_vectors(asked.select("tag", "p", "v"), tagged(made))
     # nine places, so that equal distances tie whatever the last bits of a sum
-    scores = tagged(rows, "member").join(found, ["tag", "v"]).select("tag", (-F.round("d", 9)).alias("score"), "member")
+    scores = asked.join(found, ["tag", "v"]).select("tag", (-F.round("d", 9)).alias("s"), "m", "h")
     labels = rows.sparkSession.createDataFrame([(i, ",".join(s)) for i, s in enumerate(subsets)], "tag int, columns string")
-    out = labels.join(pairwise_auc(scores, "score", "member", "tag"), "tag", "left")
+    out = labels.join(auc_of_counts(scores, "tag"), "tag", "left")
     return out.select(F.col("tag").alias("attack_no"), "columns", "auc", band(F.col("auc")).alias("interpretation"))
 
 

@@ -6,10 +6,13 @@ import math
 import random
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.functions import blocks
+from cloakframe.functions.ranges import place_of
 from cloakframe.operators import attacks, audit, experiments, synth
 from cloakframe.operators.profile import PrivacyProfile
 
@@ -285,3 +288,38 @@ def test_pairs_of_blocks_are_dealt_by_number_and_ranges_are_cut_by_the_finest_co
     found = attacks.ensemble_membership(*parts, ["a", "b"], "id").collect()
     assert [r.columns for r in sorted(found)] == ["a", "b", "a,b"]
     assert {r.tag: r.n for r in seen[0].groupBy("tag").agg(F.count_distinct("p").alias("n")).collect()} == {0: 2, 1: 20, 2: 20}
+
+
+def test_nearest_in_a_block_compares_neighbours_not_all_pairs(monkeypatch):
+    rng, made = np.random.default_rng(4), []
+    sides = []
+    for n in (6000, 8000):
+        v = np.column_stack([rng.integers(0, 25, n).astype(float), np.round(rng.uniform(-1, 1, n), 4)])
+        v[:40] = v[0]
+        sides.append(pa.table({"tag": [0] * n, "v": list(v), "p": v[:, 1], "r": [0] * n, "u": [math.inf] * n}))
+    shapes = np.broadcast_shapes
+    monkeypatch.setattr(attacks.np, "broadcast_shapes", lambda *s: made.append(math.prod(shapes(*s)[:2])) or shapes(*s))
+    got = attacks.nearest_in(*sides).column("d").to_numpy()
+    x, y = (np.array(s.column("v").to_pylist()) for s in sides)
+    assert np.array_equal(got, [np.sqrt(((y - one) ** 2).sum(axis=1).min()) for one in x])
+    assert 0 < sum(made) < 6000 * 8000 / 8
+    # none beside, one beside, and what is known already
+    assert np.isinf(attacks.nearest_in(sides[0], sides[1].slice(0, 0)).column("d").to_numpy()).all()
+    assert np.allclose(attacks.nearest_in(sides[0], sides[1].slice(0, 1)).column("d").to_numpy(), [math.dist(one, y[0]) for one in x])
+    known = sides[0].set_column(4, "u", pa.array([0.0] * len(x)))
+    assert not attacks.nearest_in(known, sides[1]).column("d").to_numpy().any()
+
+
+def test_nearest_leaves_out_vectors_with_gaps(spark):
+    rows = lambda *x: spark.createDataFrame([(i, *r) for i, r in enumerate(x)], "id bigint, a double, b double")
+    asked, held = rows((0.0, 1.0), (5.0, 1.0), (None, 1.0)), rows((None, 1.0), (1.0, 1.0), (math.nan, 1.0), (4.5, None))
+    got = {r.id: r.distance for r in attacks.nearest_distance(asked, held, ["b", "a"], "id").collect()}
+    assert got == {0: 1.0, 1: 4.0, 2: None}
+    assert {r.distance for r in attacks.nearest_distance(asked, held.limit(0), ["a"], "id").collect()} == {None}
+
+
+def test_place_among_many_bounds(spark):
+    lists = [sorted(random.Random(3).sample(range(1000), 200)), [], [5.0], list(range(64))]
+    df = spark.range(400).select((F.col("id") % 4).cast("int").alias("k"), (F.col("id") * 2.6 - 10).alias("x"))
+    for r in df.select("k", "x", place_of(F.col("x"), [list(map(float, x)) for x in lists], F.col("k")).alias("r")).collect():
+        assert r.r == sum(b <= r.x for b in lists[r.k])
