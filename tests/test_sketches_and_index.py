@@ -122,3 +122,16 @@ def test_fallback_is_staged_and_sets_are_whole(spark, tmp_path):
     whole = release.set_digest(files).first()["set_sha256"]
     problems = lambda m: sorted((r.path or "", r.problem) for r in release.verify_artifacts(m, files, whole).collect())
     assert problems(files)[0] == ("", None) and problems(files.where("bytes > 0"))[0] == ("", "set_mismatch")
+
+
+@pytest.mark.parametrize("approximate", [False, True])
+def test_nearest_searches_are_led_by_the_component_with_most_values(spark, monkeypatch, approximate):
+    """A search led by a component of two values would have two ranges, however many rows there are."""
+    seen, put = [], attacks.nearest_vectors
+    monkeypatch.setattr(attacks, "nearest_vectors", lambda asked, ref: seen.append(ref.agg(F.count_distinct("p")).first()[0]) or put(asked, ref))
+    rows = spark.range(60).select("id", (F.col("id") % 2).alias("a"), (F.col("id") * 7 % 31).alias("b"))
+    one, two = rows.where("id % 3 = 0"), rows.where("id % 3 = 1")
+    got = {r.id: r.distance for r in attacks.nearest_distance(one, two, ["a", "b"], "id", approximate=approximate).collect()}
+    assert len(got) == 20 and min(seen) > 2
+    place = lambda i: (i % 2, i * 7 % 31)
+    assert all(d >= min(math.dist(place(i), place(j)) for j in range(1, 60, 3)) - 1e-9 for i, d in got.items())
